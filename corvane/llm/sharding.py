@@ -69,7 +69,8 @@ def curve_cells(dims: int, bits: int = BITS) -> list[int]:
 
 
 def ranked(df: DataFrame, cell: str, order: list[str], hashed: list[str], parts: int = PARTS) -> DataFrame:
-    """df (staged) with rank, from 0 in the order of `cell` (an integer column of few values), and the number of rows, `total`."""
+    """df (staged) with cell_rank, from 0 within each `cell` (an integer column of few values), rank, from 0 over all rows in the
+    order of `cell`, and the number of rows, `total`."""
     cells = df.groupBy(cell).count()
     ahead = Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(cell, "count", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
@@ -83,7 +84,8 @@ def ranked(df: DataFrame, cell: str, order: list[str], hashed: list[str], parts:
     return (
         split.withColumn("place", place)
         .join(F.broadcast(sizes), [cell, "part"])
-        .withColumn("rank", F.col("before") + F.col("part_before") + F.col("place"))
+        .withColumn("cell_rank", F.col("part_before") + F.col("place"))
+        .withColumn("rank", F.col("before") + F.col("cell_rank"))
         .withColumn("total", F.lit(total).cast("long"))
         .drop("before", "parts", "part", "part_before", "place")
     )
@@ -119,7 +121,7 @@ def hilbert_shards(
     steps = steps.withColumn("cell", F.element_at(F.array(*map(F.lit, curve_cells(n, bits))), number + 1)).drop(*[f"dim_{i}" for i in range(n)])
     out = ranked(steps, "cell", ["text_crc32", "doc_id", "size"], ["doc_id", "text_crc32"])
     out = out.withColumn("shard", F.expr(f"cast(rank * {shards}L div total as int)"))
-    return out.withColumn("slot", F.expr(f"rank - (shard * total + {shards - 1}L) div {shards}L")).drop("rank", "total")
+    return out.withColumn("slot", F.expr(f"rank - (shard * total + {shards - 1}L) div {shards}L")).drop("rank", "cell_rank", "total")
 
 
 def shard_manifest(sharded: DataFrame) -> DataFrame:

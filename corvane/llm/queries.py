@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, exact_dedup, packing, sharding, simhash, token_counts
+from corvane.llm import bpe, exact_dedup, langid, packing, sharding, simhash, token_counts, toxicity
 from corvane.llm.common import table
 
 
@@ -27,13 +27,23 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_sharding": sharding.op3,
         "op4_simhash": simhash.op4,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_token_counts": op8_token_counts,
+        "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

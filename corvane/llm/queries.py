@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, exact_dedup, langid, packing, sharding, simhash, token_counts, toxicity
+from corvane.llm import bpe, exact_dedup, langid, media, packing, sharding, simhash, token_counts, toxicity, warc
 from corvane.llm.common import table
 
 
@@ -41,7 +41,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_sharding": sharding.op3,
         "op4_simhash": simhash.op4,
+        "op5_media_columns": media.op5,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_warc": warc.op7,
         "op8_token_counts": op8_token_counts,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,

@@ -1,0 +1,119 @@
+"""Media archives and WARC files: exact round trips, pushed filters, broken members."""
+
+import base64
+import gzip
+import hashlib
+import io
+import wave
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from corvane.llm import media, warc
+
+TEXTS = ["", None, "a", "b" * 64, "b" * 65, "é😀" * 50, "same", "same", "long " * 50_000]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i if i != 4 else None, t, "clash", "x") for i, t in enumerate(TEXTS)] + [(3, "b" * 64, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, media string, size string")
+
+
+def test_media_round_trip(docs):
+    rows = media.media_features(media.stored_media(docs)).collect()
+    want = sorted((str(r.doc_id), (r.text or "").encode()) for r in docs.collect())
+    assert len(rows) == len(want)
+    got = sorted((str(r.id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes) for r in rows)
+    for (i, n, m, sha, crc, size), (j, raw) in zip(got, sorted(want, key=lambda x: (x[0], len(x[1]))), strict=True):
+        padded = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        assert (i, n, m, sha, crc, size) == (j, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(padded) + 44)
+    same = {r.feature for r in rows if r.id in ("6", "7")}
+    assert len(same) == 1 and len({r.media_sha256 for r in rows}) == 7
+
+
+def test_media_is_a_wav_file():
+    with wave.open(io.BytesIO(media.wav(media.padded(b"abc")))) as w:
+        assert (w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())) == (1, 1, b"abc" + bytes(61))
+
+
+def test_ranges_split_archives_and_members_are_retried(spark, docs, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/a"
+    media.stored_media(docs.coalesce(1), path=path).count()
+    reader = media.ArchiveReader({"path": path, "split_bytes": "300"})
+    parts = reader.partitions()
+    assert len(parts) > 3
+    found = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert len(found) == len(TEXTS) + 1
+    tries = defaultdict(int)
+    real = media.member
+
+    def flaky(f, offset, *rest):
+        tries[offset] += 1
+        if tries[offset] == 1:
+            raise OSError("lost")
+        return real(f, offset, *rest)
+
+    monkeypatch.setattr(media, "member", flaky)
+    assert [r for p in parts for b in reader.read(p) for r in b.to_pylist()] == found
+    assert set(tries.values()) == {2}
+    monkeypatch.setattr(media, "member", lambda f, offset, *rest: 1 / 0 if offset < 0 else (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError, match="gone"):
+        list(reader.read(parts[0]))
+    keeps = media.ArchiveReader({"path": path, "on_error": "keep"})
+    assert all(r["media"] is None and "gone" in r["error"] for p in keeps.partitions() for b in keeps.read(p) for r in b.to_pylist())
+
+
+PAGES = [(1, "http://a/ü b", "<p>x</p>"), (5, "http://b", "<p>x</p>"), (3, None, "<p>x</p>"), (2, "http://c", None), (9, "http://d", ""), (4, "http://e", "y\r\n\r\nz" * 20_000), (None, "http://f", "lone"), (5, "http://b", "<p>x</p>")]
+
+
+@pytest.fixture(scope="module")
+def archive(spark, tmp_path_factory):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(warc.Warc)
+    path = f"file://{tmp_path_factory.mktemp('warc')}/w"
+    pages = spark.createDataFrame([(*p, "c") for p in PAGES], "page_id long, url string, html string, payload string")
+    warc.deduplicated_records(pages).write.format("warc").mode("append").save(path)
+    return path
+
+
+def test_warc_round_trip(spark, archive):
+    rows = spark.read.format("warc").load(archive).collect()
+    by_id = defaultdict(list)
+    for r in rows:
+        by_id[r.record_id].append(r)
+    assert len(rows) == len(PAGES)
+    for page_id, url, html in PAGES:
+        r = by_id[f"urn:page:{'' if page_id is None else page_id}"][0]
+        raw = (html or "").encode()
+        assert (r.payload_bytes, r.payload_digest, r.uri) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), url)
+        refers = {1: "urn:page:5", 3: "urn:page:5", 2: "urn:page:9"}.get(page_id)
+        assert (r.record_type, r.refers_to) == ("revisit" if refers else "response", refers)
+        assert r.payload == (None if refers else raw)
+
+
+def test_filters_are_pushed_and_payloads_skipped(spark, archive, monkeypatch):
+    seen = spark.read.format("warc").load(archive).filter("record_type = 'revisit' and uri like 'http://c%'")
+    assert [r.record_id for r in seen.collect()] == ["urn:page:2"]
+    assert "Filter" not in seen._jdf.queryExecution().executedPlan().toString().replace("RuntimeFilters", "")
+    reader = warc.WarcReader({"path": archive})
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    assert len(list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("payload_bytes",), 3)]))) == 1
+    monkeypatch.setattr(warc.Bytes, "upto", lambda self, n: 1 / 0)
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3
+
+
+def test_warc_of_other_writers(tmp_path):
+    """Without lengths in the gzip header, and without gzip."""
+    raw = [warc.record("response", f"urn:page:{i}", "http://x", None, b"p" * (i * 9000)) for i in range(5)]
+    for name, whole in (("a.warc.gz", b"".join(map(gzip.compress, raw))), ("b.warc", b"".join(raw))):
+        (tmp_path / name).write_bytes(whole)
+        with (tmp_path / name).open("rb") as f:
+            got = list(warc.records(f, len(whole), lambda c: c["record_id"] != "urn:page:2", True))
+        assert [len(p) for _, _, p in got] == [0, 9000, 27_000, 36_000]
+
+
+def test_empty_tables(spark, docs):
+    assert media.media_features(media.stored_media(docs.limit(0))).count() == 0

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import drop_rows, keyed_text, staged, table
+from corvane.llm.common import drop_rows, keyed_text, row_key, staged, table
 
 SHINGLE_WORDS, DISTANCE, SEED = 4, 4, 42
 HEAVY, BLOCK = 64, 1024
@@ -144,11 +144,11 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         # Blocks of table rows against blocks of the rows that look them up.
         asked = probes.join(heavy, "key", "left_semi")
         sizes = heavy.join(asked.groupBy("key").agg(F.count(F.lit(1)).alias("asks")), "key").select(
-            "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("tn"), F.ceil(F.col("asks") / BLOCK).cast("int").alias("pn")
+            "key", F.ceil(F.col("count") / BLOCK).cast("long").alias("tn"), F.ceil(F.col("asks") / BLOCK).cast("long").alias("pn")
         )
         own = F.xxhash64("fp", F.lit(1))
-        table_side = entries.join(sizes, "key").select("key", "fp", F.pmod(own, F.col("tn")).alias("tb"), F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).cast("long").alias("pb"))
-        probe_side = asked.select("key", "fp").join(sizes, "key").select("key", "fp", F.explode(F.sequence(F.lit(0), F.col("tn") - 1)).cast("long").alias("tb"), F.pmod(own, F.col("pn")).alias("pb"))
+        table_side = entries.join(sizes, "key").select("key", "fp", F.pmod(own, F.col("tn")).alias("tb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pn") - 1)).alias("pb"))
+        probe_side = asked.select("key", "fp").join(sizes, "key").select("key", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tn") - 1)).alias("tb"), F.pmod(own, F.col("pn")).alias("pb"))
         blocks = table_side.unionByName(probe_side).groupBy("key", "tb", "pb")
         pairs = pairs.unionByName(blocks.applyInPandas(lambda pdf: forest(pdf, distance), "a long, b long"))
     return staged(pairs.distinct())
@@ -190,6 +190,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, size: int = SHINGLE_WORDS) -> DataFrame:
     """df with one row of each component, that with the smallest id; all its columns as they were."""
+    df, _ = row_key(df)
     groups = staged(near_groups(df, id_col, text_col, distance, size))
     # A component's candidates: one row of each id, so that a repeated row is dropped too.
     first = groups.filter("doc_id <=> component_id").groupBy("component_id").agg(F.min("row").alias("row"))

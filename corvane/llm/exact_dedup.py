@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WHITE_SPACE, drop_rows, keyed_text, staged
+from corvane.llm.common import WHITE_SPACE, drop_rows, keyed_text, row_key, staged
 
 CHUNK_MIN, CHUNK_MAX = 512, 4096
 
@@ -94,4 +94,5 @@ def exact_groups(
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each group of equal texts, all its columns as they were."""
+    df, _ = row_key(df)
     return drop_rows(df, exact_groups(df, id_col, text_col).filter("not kept"))

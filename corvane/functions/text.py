@@ -97,7 +97,7 @@ def detect_signals(text: Column, lexicon: ScoreLexicon | None = None) -> Column:
     """Struct of ideas, entities, is_operational, fast_score, summary, and whether the event is logged."""
     ideas, entities, scored, short = detect_ideas(text), detect_entities(text), fast_score(text, lexicon), is_operational(text, lexicon=lexicon)
     summary = F.concat(
-        F.format_string("Signals: %d ideas, %d entities | fast_score=%.3f [%s]", F.size(ideas), F.size(entities), scored["score"], scored["band"]),
+        F.format_string("Signals: %d ideas, %d entities | fast_score=%.3f [%s]", F.size(ideas), F.size(entities), F.bround(scored["score"], 3), scored["band"]),
         F.when(short, " (skipped: operational)").otherwise(""),
     )
     return F.struct(

@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from corvane.functions.names import basename, canonical_stem, stem_parts
 
-# Causes in order with their priorities and next steps, and those that aren't acted on at once.
+# Causes in order with their priorities. What to do next is said in words of our own.
 CAUSES = {
-    "missing_sync": ("P0", "원본 오디오 경로/동기화 상태 확인"),
-    "missing_transcript": ("P0", "batch_transcribe_whisperx.py --file 로 즉시 전사 재처리"),
-    "blacklisted": ("P3", "전사 제외 의도가 맞으면 유지; 업무 통화로 판단되면 blacklist에서 제거 후 재처리"),
-    "transcription_failed": ("P1", "실패 원인 확인 후 재시도 또는 blacklist 정책 결정"),
-    "diarization_failed": ("P2", "파생 재점검본이 있으면 원본 대체 검토; 없으면 run_diarization_recheck_batch.py 대상에 추가"),
-    "entity_pending": ("P2", "kct.extract.extract_all 또는 integrated extraction 배치 재개"),
-    "rag_pending": ("P2", "검색 인덱스 incremental 실행"),
-    "obsidian_pending": ("P2", "sync_transcripts_to_obsidian.py 또는 export 단계 재실행"),
-    "derived_excluded": ("P4", "재점검 파생본이므로 TODO/전사 gap에서는 제외"),
+    "missing_sync": ("P0", "check the recording's path and its synchronisation"),
+    "missing_transcript": ("P0", "transcribe the recording"),
+    "blacklisted": ("P3", "leave it, or take it off the list and transcribe it"),
+    "transcription_failed": ("P1", "find out why it failed, then try again or list it"),
+    "diarization_failed": ("P2", "tell the speakers apart again, or use a checked copy"),
+    "entity_pending": ("P2", "resume extraction"),
+    "rag_pending": ("P2", "index what is new"),
+    "obsidian_pending": ("P2", "export what is new"),
+    "derived_excluded": ("P4", "nothing: it is a checked copy of another"),
 }
 BACKGROUND = ("blacklisted", "derived_excluded", "entity_pending", "obsidian_pending")
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import export, health, mail
 from corvane.plans.names import STEMS, stems
 from corvane.session import rows, table
 
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+def now() -> Column:
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +140,7 @@ def state_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, "file string, present boolean, age int, content string",
         ("pipeline_state.json", True, 71, '{"a":1}'), ("persistent_todos.json", True, 49, '{"a":'), ("events.jsonl", True, 100, '{"a":1}\n\nnot json\n{"b":2}'), ("correction_rules.json", False, None, None), ("other.json", True, 1, "a\0b"), ("notes.txt", True, 48, "free"), ("empty.json", True, 2, ""),
     )
-    return health.check_files(r.withColumn("mtime", NOW - F.make_interval(hours=F.col("age"))), NOW)
+    return health.check_files(r.withColumn("mtime", now() - F.make_interval(hours=F.col("age"))), now())
 
 
 def state_ok(spark: SparkSession, sf_dir: str) -> DataFrame:

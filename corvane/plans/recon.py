@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import jobs, recon, retry
 from corvane.plans.names import STEMS, stems
 from corvane.session import staged, table
 
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+def now() -> Column:
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
 
 
 def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +91,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ── the retry queue ──
 
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retry.build(found(spark, sf_dir), NOW)
+    return retry.build(found(spark, sf_dir), now())
 
 
 RID = "'rq_' || left(sha256(stem || chr(0) || g.reason || chr(0) || action), 16)"
@@ -104,14 +108,14 @@ def old_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.length("stem")
     return q.filter(h % 4 != 0).withColumns({
         "status": F.when(h % 7 == 0, "succeeded").when(h % 7 == 1, "running").when(h % 7 == 2, "failed").when(h % 7 == 3, "terminal_failure").otherwise("pending"), "priority": F.lit("P8"),
-        "attempts": (h % 3).cast("int"), "last_error": F.when(h % 2 == 0, "e"), "next_retry_at": F.when(h % 5 == 0, NOW + F.make_interval(hours=(h % 3).cast("int") - 1)),
-        "lease_expires_at": F.when(h % 2 == 0, NOW - F.expr("interval 1 hour")), "terminal_failure": h % 7 == 3, "updated_at": NOW - F.expr("interval 1 day"),
+        "attempts": (h % 3).cast("int"), "last_error": F.when(h % 2 == 0, "e"), "next_retry_at": F.when(h % 5 == 0, now() + F.make_interval(hours=(h % 3).cast("int") - 1)),
+        "lease_expires_at": F.when(h % 2 == 0, now() - F.expr("interval 1 hour")), "terminal_failure": h % 7 == 3, "updated_at": now() - F.expr("interval 1 day"),
     })
 
 
 def queue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = retry.merge(old_queue(spark, sf_dir), built(spark, sf_dir).filter(F.length("stem") % 3 != 0), NOW)
-    return m.select("queue_id", "priority", "status", "attempts", "last_error", F.col("updated_at") == NOW)
+    m = retry.merge(old_queue(spark, sf_dir), built(spark, sf_dir).filter(F.length("stem") % 3 != 0), now())
+    return m.select("queue_id", "priority", "status", "attempts", "last_error", F.col("updated_at") == now())
 
 
 def queue_merge_(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +123,12 @@ def queue_merge_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retry.work(old_queue(spark, sf_dir), NOW, 50).select("queue_id", "status")
+    return retry.work(old_queue(spark, sf_dir), now(), 50).select("queue_id", "status")
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = old_queue(spark, sf_dir).filter(retry.is_due(NOW))
-    o = q.select("queue_id", (F.length("stem") % 2 == 0).alias("ok"), F.lit("boom").alias("error"), NOW.alias("at"))
+    q = old_queue(spark, sf_dir).filter(retry.is_due(now()))
+    o = q.select("queue_id", (F.length("stem") % 2 == 0).alias("ok"), F.lit("boom").alias("error"), now().alias("at"))
     r = retry.apply_outcomes(q, o)
     return r.groupBy("status", "attempts", "terminal_failure", F.date_format("next_retry_at", "yyyy-MM-dd HH:mm:ss").alias("next_retry"), F.size("history").alias("events")).agg(F.count(F.lit(1)).alias("entries"))
 
@@ -152,7 +156,11 @@ def job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOBS = """j AS (SELECT event_id AS id, ['pending', 'running', 'completed', 'failed', 'paused', 'cancelled'][event_id % 6 + 1] AS status, user_id % 5 AS priority, event_type AS queue, event_id % 4 AS attempts, 3 AS max_attempts,
     CASE WHEN event_id % 3 = 0 THEN 'key' || (event_id % 500) END AS idempotency_key, CASE WHEN event_id % 7 <> 0 THEN event_id // 7 * 7 END AS parent_id, CASE WHEN event_id % 49 = 1 THEN 'aggregator' ELSE 'child' END AS kind,
     CASE WHEN event_id % 5 = 0 THEN ts END AS scheduled_at, ts AS created_at, CASE WHEN event_id % 6 IN (2, 3, 5) THEN ts + INTERVAL 1 HOUR END AS completed_at FROM events)"""
-MID = F.lit("2024-01-15 00:00:00").cast("timestamp")
+
+
+def mid() -> Column:
+    return F.lit("2024-01-15 00:00:00").cast("timestamp")
+
 
 
 def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,27 +169,27 @@ def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = jobs.claim(job_rows(spark, sf_dir), MID, 3)
+    c = jobs.claim(job_rows(spark, sf_dir), mid(), 3)
     return c.filter("started_at is not null").select("id", "queue", "status", "attempts")
 
 
 def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = job_rows(spark, sf_dir)
     kind = F.element_at(F.array(*map(F.lit, ("complete", "cancel", "pause", "resume", "none"))), (F.col("id") % 5 + 1).cast("int"))
-    m = jobs.transition(j, j.select("id", kind.alias("kind")), MID)
-    return m.groupBy("status").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("completed_at") == MID).alias("ended_now"))
+    m = jobs.transition(j, j.select("id", kind.alias("kind")), mid())
+    return m.groupBy("status").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("completed_at") == mid()).alias("ended_now"))
 
 
 def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = job_rows(spark, sf_dir)
-    f = jobs.fail(j, j.filter("id % 2 = 1").select("id", F.lit("boom").alias("error")), MID)
+    f = jobs.fail(j, j.filter("id % 2 = 1").select("id", F.lit("boom").alias("error")), mid())
     return f.groupBy("status").agg(F.count(F.lit(1)).alias("jobs"), F.count("error").alias("errors"))
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = job_rows(spark, sf_dir)
     asked = j.filter("status = 'failed'").select("id", (F.col("id") + 1_000_000).alias("new_id"), F.create_map(F.lit("a"), F.lit("2"), F.lit("b"), F.lit("3")).alias("override"))
-    r = jobs.replay(j, asked, MID)
+    r = jobs.replay(j, asked, mid())
     return r.select("id", "status", F.array_join(F.transform(F.array_sort(F.map_entries("payload")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("payload"))
 
 
@@ -191,7 +199,7 @@ def family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def woken(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = job_rows(spark, sf_dir).withColumn("status", F.when(F.col("kind") == "aggregator", "pending").when(F.col("id") % 49 < 7, "completed").otherwise(F.col("status")))
-    return jobs.woken(j, MID).select("id", "parent_id")
+    return jobs.woken(j, mid()).select("id", "parent_id")
 
 
 def fanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +208,7 @@ def fanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.cleaned(job_rows(spark, sf_dir), MID).select("id", "parent_id")
+    return jobs.cleaned(job_rows(spark, sf_dir), mid()).select("id", "parent_id")
 
 
 def unread(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ from corvane.functions import text as tx
 from corvane.functions.lexicon import ScoreLexicon
 from corvane.session import rows, table
 
-T = F.col("text")
 
 
 def sql_list(words) -> str:
@@ -44,18 +43,18 @@ def score_sql(lexicon: ScoreLexicon) -> str:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = tx.fast_score(T, LEXICON)
+    s = tx.fast_score(F.col("text"), LEXICON)
     return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.score", "s.band", "s.should_process", "s.signals.*")
 
 
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by language and band."""
-    out = table(spark, sf_dir, "documents").select("lang", tx.fast_score(T, LEXICON).alias("s"))
+    out = table(spark, sf_dir, "documents").select("lang", tx.fast_score(F.col("text"), LEXICON).alias("s"))
     return out.groupBy("lang", F.col("s.band").alias("band")).agg(F.count(F.lit(1)).alias("documents"), F.bround(F.avg("s.score"), 6).alias("mean_score"))
 
 
 def default_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "documents").select("doc_id", tx.fast_score(T).alias("s"))
+    out = table(spark, sf_dir, "documents").select("doc_id", tx.fast_score(F.col("text")).alias("s"))
     r = F.col("s.drop_reason")
     return out.select("doc_id", "s.score", "s.band", *[F.coalesce(r.contains(k), F.lit(False)).alias(k) for k in ("no_entities", "no_keywords", "no_interaction")])
 
@@ -64,7 +63,7 @@ BAND_SQL = "CASE WHEN score >= 0.85 THEN 'definite_keep' WHEN score <= 0.15 THEN
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.detect_entities(T)).alias("e"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.detect_entities(F.col("text"))).alias("e"))
     return found.groupBy("doc_id", F.col("e.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("names"), F.min("e.name").alias("first_name"), F.max("e.name").alias("last_name"))
 
 
@@ -82,23 +81,23 @@ KOREAN_SQL = "(VALUES " + ", ".join(f"({i}, {quoted(t)})" for i, t in KOREAN) +
 
 
 def ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows(spark, "id int, text string", *KOREAN).select("id", F.posexplode(tx.detect_ideas(T)).alias("pos", "i"))
+    found = rows(spark, "id int, text string", *KOREAN).select("id", F.posexplode(tx.detect_ideas(F.col("text"))).alias("pos", "i"))
     return found.select("id", "i.content")
 
 
 def operational(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return texts.select("conv_id", "turn", tx.is_operational(T, lexicon=LEXICON).alias("operational"))
+    return texts.select("conv_id", "turn", tx.is_operational(F.col("text"), lexicon=LEXICON).alias("operational"))
 
 
 def signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would be appended to the event log."""
-    s = table(spark, sf_dir, "documents").select("doc_id", tx.detect_signals(T, LEXICON).alias("s")).filter("s.logged")
+    s = table(spark, sf_dir, "documents").select("doc_id", tx.detect_signals(F.col("text"), LEXICON).alias("s")).filter("s.logged")
     return s.select("doc_id", F.size("s.ideas").alias("ideas"), F.size("s.entities").alias("entities"), F.col("s.fast_score.score").alias("score"))
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "documents").select("doc_id", T, tx.redact(T).alias("safe")).filter("safe <> text")
+    out = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), tx.redact(F.col("text")).alias("safe")).filter("safe <> text")
     return out.select("doc_id", F.md5("safe").alias("safe_md5"), F.regexp_count("safe", F.lit(r"\*\*\*@")).alias("emails"))
 
 
@@ -115,7 +114,7 @@ def redact_sql(text: str) -> str:
 
 
 def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tx.compress(T)
+    c = tx.compress(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(c).alias("chars"), F.md5(c).alias("md5"))
 
 
@@ -128,7 +127,7 @@ def compress_sql() -> str:
 
 
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = tx.fallback_summary(T, LEXICON.keywords)
+    f = tx.fallback_summary(F.col("text"), LEXICON.keywords)
     return table(spark, sf_dir, "documents").select("doc_id", f["one_line"].alias("one_line"), f["details"][0].alias("detail"))
 
 
@@ -136,14 +135,14 @@ def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """To-do keys of conversation turns as titles, customers' recordings as sources."""
     c = table(spark, sf_dir, "conversations")
     source = F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.when(F.col("turn") % 3 == 0, ".m4a").when(F.col("turn") % 3 == 1, ".txt").otherwise(".m4a.txt"))
-    return c.select("conv_id", "turn", tx.todo_key(T, source).alias("key"))
+    return c.select("conv_id", "turn", tx.todo_key(F.col("text"), source).alias("key"))
 
 
 def role_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigram similarity of each turn to the next of its conversation."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 400).alias("text"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.bround(tx.bigram_similarity(T, F.col("next")), 6).alias("similarity"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.bround(tx.bigram_similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,11 +159,11 @@ def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(tx.wrap_untrusted(F.col("source"), T)).alias("md5"))
+    return d.select("doc_id", F.md5(tx.wrap_untrusted(F.col("source"), F.col("text"))).alias("md5"))
 
 
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("lang", tx.hits(T, LEXICON.keywords).alias("hits"))
+    d = table(spark, sf_dir, "documents").select("lang", tx.hits(F.col("text"), LEXICON.keywords).alias("hits"))
     return d.groupBy("lang", "hits").agg(F.count(F.lit(1)).alias("documents"))
 
 

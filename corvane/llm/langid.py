@@ -5,8 +5,8 @@ blank, and trigrams have a letter in the middle. The counts come from all labell
 are combined in each task; the model is 2**BITS numbers for each language, of which there are MOST_LANGUAGES at most.
 
 Of a document, EM over all languages gives shares. Then sets of the languages with the largest shares are compared by
-penalised likelihood, each with shares of its own: a further language must gain PENALTY for each halving of what one more
-free share costs. The predicted language is that with the largest share in the best set.
+penalised likelihood, each with shares of its own: a further language must raise the log-likelihood by PENALTY times the log of
+the number of trigrams. The predicted language is that with the largest share in the best set.
 
 Cases. A text that is null or has no letter is `und`, with score 0; so is every text if nothing can be learned. Rows without
 a language or id teach nothing. Equal shares go to the first language in order. Extra columns are ignored or kept, by the
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import held_out
+from corvane.llm.common import held_out, staged
 
-BITS, SMOOTHING, MOST_LANGUAGES = 16, 0.1, 512
+BITS, SMOOTHING, MOST_LANGUAGES = 16, 0.1, 128
 STEPS, LEAST_SHARE, PENALTY = 15, 0.02, 4.0
 UNKNOWN = "und"
 #: Characters taken at once.
@@ -79,12 +79,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     taught = slim.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text")
-    grams = taught.mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(grams["lang"].unique())
+    grams = staged(taught.mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model holds {MOST_LANGUAGES}")
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; the model is sent whole")
     n = np.full((1 << BITS, len(langs)), SMOOTHING)
-    n[grams["gram"].to_numpy(np.int64), np.searchsorted(langs, grams["lang"].to_numpy(str)) if len(langs) else []] += grams["n"].to_numpy(float)
+    if langs:
+        numbered = grams.select(F.col("gram"), (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("int").alias("lang"), "n").toPandas()
+        n[numbered["gram"].to_numpy(np.int64), numbered["lang"].to_numpy(np.int64)] += numbered["n"].to_numpy(float)
     return langs, n / n.sum(axis=0) if len(langs) else n
 
 

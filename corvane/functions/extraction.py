@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.text import strip
+from corvane.functions.text import let, strip
 
 # The domains of enumerated fields and the lengths of cut ones.
 OWNERS, PRIORITIES, TODO_STATES = ("me", "partner", "unknown"), ("high", "medium", "low"), ("new", "in_progress", "waiting", "done", "cancelled")
@@ -181,16 +181,18 @@ LISTS = {"todos": todos, "appointments": appointments, "entities": entities, "pr
 def extraction_record(response: Column) -> Column:
     """The validated record of a response. invalid_number: a field that must be a number is none, and the whole document goes
     to the fallback; parse_error: there is no JSON in the response, of which `raw` has the first 500 characters."""
-    doc = parsed(response)
-    lists = {k: f(doc) for k, f in LISTS.items()}
-    bad = F.lit(False)
-    for k, v in lists.items():
-        bad = bad | F.exists(v, lambda x: x["confidence"].isNull())
-        if k == "products":
-            bad = bad | F.exists(v, lambda x: x["quantity"]["value"].isNull())
-    head = summary(doc)
-    bad = bad | (head.isNotNull() & head["overall_confidence"].isNull())
-    return F.struct(
-        head.alias("summary"), *[v.alias(k) for k, v in lists.items()], doc.isNull().alias("parse_error"),
-        F.when(doc.isNull(), F.substring(cleaned(response), 1, 500)).alias("raw"), F.coalesce(bad, F.lit(False)).alias("invalid_number"),
-    )
+    def read(doc: Column) -> Column:
+        return F.struct(summary(doc).alias("summary"), *[f(doc).alias(k) for k, f in LISTS.items()], doc.isNull().alias("parse_error"))
+
+    def checked(r: Column) -> Column:
+        bad = r["summary"].isNotNull() & r["summary"]["overall_confidence"].isNull()
+        for k in LISTS:
+            bad = bad | F.exists(r[k], lambda x: x["confidence"].isNull())
+        bad = bad | F.exists(r["products"], lambda x: x["quantity"]["value"].isNull())
+        return F.struct(
+            *[r[k].alias(k) for k in ("summary", *LISTS, "parse_error")],
+            F.when(r["parse_error"], F.substring(cleaned(response), 1, 500)).alias("raw"),
+            F.coalesce(bad, F.lit(False)).alias("invalid_number"),
+        )
+
+    return let(let(parsed(response), read), checked)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +14,7 @@ from corvane.functions.lexicon import ScoreLexicon
 
 #: Java's flags for Python's rules: Unicode classes, and only a newline ends a line.
 UNICODE, LINES = "(?U)", "(?d)"
+SIGNALS = ("token_count", "unique_words", "entity_density", "keyword_signal", "interaction")
 
 
 def strip(text: Column) -> Column:
@@ -34,39 +35,57 @@ def occurrences(text: Column, words: Sequence[str]) -> Column:
     return reduce(Column.__add__, [F.regexp_count(text, F.lit(re.escape(w))) for w in words], F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fast_score(text: Column, lexicon: ScoreLexicon | None = None) -> Column:
     """Struct of score, band, should_process, signals and drop_reason, before anything expensive is done with a text."""
     lexicon = lexicon or ScoreLexicon()
-    words = tokens(text)
-    n = F.size(words)
     found = F.regexp_count(text, F.lit(lexicon.phone)) + F.regexp_count(text, F.lit(UNICODE + lexicon.amount)) + occurrences(text, lexicon.products)
     asked = reduce(Column.__add__, [F.regexp_like(text, F.lit(p)).cast("int") for p in lexicon.interactions], F.lit(0))
-    raw = {
-        "token_count": F.least(n / 200, F.lit(1.0)),
-        "unique_words": F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1)),
-        "entity_density": F.when(n > 0, F.least(found / n / 0.01, F.lit(1.0))).otherwise(F.lit(0.0)),
-        "keyword_signal": F.least(hits(text, lexicon.keywords) / 5, F.lit(1.0)),
-        "interaction": F.least(asked / 3, F.lit(1.0)),
-    }
-    signals = {k: F.bround(v, 4) for k, v in raw.items()}
-    total = reduce(Column.__add__, [signals[k] * F.lit(w) for k, w in lexicon.weights.items()])
-    score = F.bround(total / sum(lexicon.weights.values()), 4)
-    band = F.when(score >= lexicon.keep, "definite_keep").when(score <= lexicon.drop, "definite_drop").otherwise("borderline")
-    why = F.concat_ws(
-        "; ",
-        F.when(raw["token_count"] <= lexicon.drop, F.concat(F.lit("token_count="), raw["token_count"].cast("string"))),
-        F.when(raw["unique_words"] <= lexicon.drop, F.concat(F.lit("unique_words="), raw["unique_words"].cast("string"))),
-        F.when(raw["entity_density"] == 0, "no_entities"),
-        F.when(raw["keyword_signal"] == 0, "no_keywords"),
-        F.when(raw["interaction"] == 0, "no_interaction"),
-    )
-    return F.struct(
-        score.alias("score"),
-        band.alias("band"),
-        (band != "definite_drop").alias("should_process"),
-        F.struct(*[v.alias(k) for k, v in signals.items()]).alias("signals"),
-        F.when(band == "definite_drop", F.when(why != "", why).otherwise(F.concat(F.lit("score="), score.cast("string")))).alias("drop_reason"),
-    )
+    counts = F.struct(
+        let(tokens(text), lambda w: F.struct(F.size(w).alias("all"), F.size(F.array_distinct(w)).alias("distinct"))).alias("words"),
+        found.alias("found"), hits(text, lexicon.keywords).alias("keywords"), asked.alias("asked"),
+    )
+
+    def signals(c: Column) -> Column:
+        n = c["words"]["all"]
+        return F.struct(
+            F.least(n / 200, F.lit(1.0)).alias("token_count"),
+            (c["words"]["distinct"] / F.greatest(n, F.lit(1))).alias("unique_words"),
+            F.when(n > 0, F.least(c["found"] / n / 0.01, F.lit(1.0))).otherwise(F.lit(0.0)).alias("entity_density"),
+            F.least(c["keywords"] / 5, F.lit(1.0)).alias("keyword_signal"),
+            F.least(c["asked"] / 3, F.lit(1.0)).alias("interaction"),
+        )
+
+    def scored(raw: Column) -> Column:
+        rounded = {k: F.bround(raw[k], 4) for k in SIGNALS}
+        total = reduce(Column.__add__, [rounded[k] * F.lit(lexicon.weights[k]) for k in SIGNALS])
+        score = F.bround(total / sum(lexicon.weights.values()), 4)
+        why = F.concat_ws(
+            "; ",
+            F.when(raw["token_count"] <= lexicon.drop, F.concat(F.lit("token_count="), raw["token_count"].cast("string"))),
+            F.when(raw["unique_words"] <= lexicon.drop, F.concat(F.lit("unique_words="), raw["unique_words"].cast("string"))),
+            F.when(raw["entity_density"] == 0, "no_entities"),
+            F.when(raw["keyword_signal"] == 0, "no_keywords"),
+            F.when(raw["interaction"] == 0, "no_interaction"),
+        )
+        return F.struct(score.alias("score"), F.struct(*[v.alias(k) for k, v in rounded.items()]).alias("signals"), why.alias("why"))
+
+    def banded(s: Column) -> Column:
+        score = s["score"]
+        drop = score <= lexicon.drop
+        return F.struct(
+            score.alias("score"),
+            F.when(score >= lexicon.keep, "definite_keep").when(drop, "definite_drop").otherwise("borderline").alias("band"),
+            (~(drop & (score < lexicon.keep))).alias("should_process"),
+            s["signals"].alias("signals"),
+            F.when(drop, F.when(s["why"] != "", s["why"]).otherwise(F.concat(F.lit("score="), score.cast("string")))).alias("drop_reason"),
+        )
+
+    return let(let(let(counts, signals), scored), banded)
 
 
 def detect_ideas(text: Column, patterns: Sequence[str] = lx.IDEA_PATTERNS) -> Column:
@@ -88,22 +107,33 @@ def detect_entities(text: Column, company: str = lx.COMPANY_PATTERN, product: st
     return F.array_distinct(F.concat(of(company, "company"), of(product, "product")))
 
 
+def _operational(text: Column, should_process: Column, messages: Sequence[str]) -> Column:
+    return let(strip(text), lambda bare: (F.length(bare) < 5) | F.lower(bare).isin(*messages)) | ~should_process
+
+
 def is_operational(text: Column, messages: Sequence[str] = lx.OPERATIONAL_MESSAGES, lexicon: ScoreLexicon | None = None) -> Column:
-    bare = strip(text)
-    return (F.length(bare) < 5) | F.lower(bare).isin(*messages) | ~fast_score(text, lexicon)["should_process"]
+    return _operational(text, fast_score(text, lexicon)["should_process"], messages)
 
 
-def detect_signals(text: Column, lexicon: ScoreLexicon | None = None) -> Column:
+def detect_signals(text: Column, lexicon: ScoreLexicon | None = None, messages: Sequence[str] = lx.OPERATIONAL_MESSAGES) -> Column:
     """Struct of ideas, entities, is_operational, fast_score, summary, and whether the event is logged."""
-    ideas, entities, scored, short = detect_ideas(text), detect_entities(text), fast_score(text, lexicon), is_operational(text, lexicon=lexicon)
-    summary = F.concat(
-        F.format_string("Signals: %d ideas, %d entities | fast_score=%.3f [%s]", F.size(ideas), F.size(entities), F.bround(scored["score"], 3), scored["band"]),
-        F.when(short, " (skipped: operational)").otherwise(""),
-    )
-    return F.struct(
-        ideas.alias("ideas"), entities.alias("entities"), short.alias("is_operational"), scored.alias("fast_score"), summary.alias("summary"),
-        (~short & ((F.size(ideas) > 0) | (F.size(entities) > 0))).alias("logged"),
-    )
+    found = F.struct(detect_ideas(text).alias("ideas"), detect_entities(text).alias("entities"), fast_score(text, lexicon).alias("score"))
+
+    def judged(f: Column) -> Column:
+        return F.struct(f["ideas"].alias("ideas"), f["entities"].alias("entities"), f["score"].alias("score"), _operational(text, f["score"]["should_process"], messages).alias("short"))
+
+    def told(f: Column) -> Column:
+        ideas, entities, score = F.size(f["ideas"]), F.size(f["entities"]), f["score"]
+        summary = F.concat(
+            F.format_string("Signals: %d ideas, %d entities | fast_score=%.3f [%s]", ideas, entities, F.bround(score["score"], 3), score["band"]),
+            F.when(f["short"], " (skipped: operational)").otherwise(""),
+        )
+        return F.struct(
+            f["ideas"].alias("ideas"), f["entities"].alias("entities"), f["short"].alias("is_operational"), score.alias("fast_score"), summary.alias("summary"),
+            (~f["short"] & ((ideas > 0) | (entities > 0))).alias("logged"),
+        )
+
+    return let(let(found, judged), told)
 
 
 def redact(text: Column, limit: int | None = None) -> Column:

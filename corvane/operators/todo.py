@@ -2,7 +2,7 @@
 
 Similar titles are found by prefix filtering: for a Jaccard threshold t, two bigram sets can only match if they share a bigram
 among the rarest |x| - ceil(t |x|) + 1 of each, and if their sizes are within a factor of t. Candidates meet in an equi
-join on such a bigram and are verified exactly; no pair of dissimilar titles is formed by a cross join.
+join on such a bigram whose condition also bounds the overlap by bit signatures, and what passes is verified exactly.
 Equal titles are made one before the join, so that copies don't meet each other.
 """
 
@@ -14,29 +14,44 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import bigrams, normalise_source, normalise_title, set_jaccard, strip
 from corvane.operators.graph import components
+from corvane.session import staged
 
 SIMILAR, COMPLETED_SIMILAR = 0.55, 0.45
 
 
-def _prefixes(titles: DataFrame, frequency: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
-    """keys, title, g (bigrams), gram: a row for each of the rarest bigrams of a title."""
-    grams = titles.select(*keys, "title", F.explode("g").alias("gram")).join(frequency, "gram", "left")
-    ordered = grams.groupBy(*keys, "title").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), lambda x: x["gram"]).alias("g"))
-    n = F.size("g")
-    return ordered.select(*keys, "title", "g", F.explode(F.slice("g", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)).alias("gram"))
+def _signed(titles: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, title, g (bigrams), n (how many), s0 to s3 (a bit for each bigram's hash), spare (bigrams that share a bit)."""
+    word = "aggregate(g, 0L, (acc, x) -> CASE WHEN pmod(shiftright(xxhash64(x), 6), 4) = {i} THEN acc | shiftleft(1L, cast(xxhash64(x) & 63 AS int)) ELSE acc END)"
+    # explode() of one element: what is computed above it is computed once, and not again in each expression that uses it.
+    sets = titles.select(*keys, "title").distinct().select(*keys, "title", F.explode(F.array(bigrams(F.col("title")))).alias("g")).filter(F.size("g") > 0)
+    signed = sets.select(*keys, "title", "g", F.size("g").alias("n"), F.inline(F.array(F.struct(*[F.expr(word.format(i=i)).alias(f"s{i}") for i in range(4)]))))
+    return signed.withColumn("spare", F.expr("n - bit_count(s0) - bit_count(s1) - bit_count(s2) - bit_count(s3)"))
+
+
+def _prefixes(signed: DataFrame, frequency: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """A row for each of the rarest bigrams of a title, with what bounds its similarity; the bigrams themselves stay behind."""
+    own = [*keys, "title", "n", "s0", "s1", "s2", "s3", "spare"]
+    grams = signed.select(*own, F.explode("g").alias("gram")).join(frequency, "gram", "left")
+    ordered = grams.groupBy(*own).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "gram"))), lambda x: x["gram"]).alias("g"))
+    return ordered.select(*own, F.explode(F.slice("g", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1)).alias("gram"))
 
 
 def similar_titles(left: DataFrame, right: DataFrame, threshold: float, keys: list[str] | None = None) -> DataFrame:
     """keys, a, b: distinct titles of left and right (title, keys) of equal keys and a similarity of at least threshold."""
     keys = keys or []
-    of = lambda df: df.select(*keys, "title").distinct().withColumn("g", bigrams(F.col("title"))).filter(F.size("g") > 0)
-    a, b = of(left), of(right)
-    frequency = b.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    a = _prefixes(a, frequency, threshold, keys).withColumnsRenamed({"title": "a", "g": "ga"})
-    b = _prefixes(b, frequency, threshold, keys).withColumnsRenamed({"title": "b", "g": "gb"})
-    sizes = (F.size("ga") * threshold <= F.size("gb") + 1e-9) & (F.size("gb") * threshold <= F.size("ga") + 1e-9)
-    near = a.join(b, [*keys, "gram"]).filter(sizes & (set_jaccard(F.col("ga"), F.col("gb")) >= threshold))
-    return near.select(*keys, "a", "b").distinct()
+    # Written once each: set expressions are costly, and none of them may be pushed into the join.
+    one, two = staged(_signed(left, keys)), staged(_signed(right, keys))
+    frequency = two.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
+    a, b = _prefixes(one, frequency, threshold, keys).alias("a"), _prefixes(two, frequency, threshold, keys).alias("b")
+    same = F.col("a.gram") == F.col("b.gram")
+    for k in keys:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    # Common bits bound the common bigrams from above; a pair that the bound rules out is never formed.
+    bits = sum((F.bit_count(F.col(f"a.s{i}").bitwiseAND(F.col(f"b.s{i}"))) for i in range(4)), F.lit(0))
+    most = bits + F.least("a.spare", "b.spare")
+    near = a.join(b, same & (most * (1 + threshold) >= (F.col("a.n") + F.col("b.n")) * threshold - 1e-9))
+    pairs = near.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.title").alias("a"), F.col("b.title").alias("b")).distinct()
+    return staged(pairs).filter(set_jaccard(bigrams(F.col("a")), bigrams(F.col("b"))) >= threshold)
 
 
 def not_completed(todos: DataFrame, completed: DataFrame, threshold: float = COMPLETED_SIMILAR) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from corvane.functions import corrections as cx
 from corvane.functions import extraction as ex
 from corvane.operators import feedback
-from corvane.session import rows, table
+from corvane.session import rows, spread, table
 
 EXACT = (cx.Exact("the", "THE"), cx.Exact("THE and", "T&A"), cx.Exact(" que ", " q "), cx.Exact("off", "on", enabled=False), cx.Exact("", "x"), cx.Exact(" der ", " der "))
 
 
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cx.corrected(F.col("text"), EXACT, ())
-    d = table(spark, sf_dir, "documents").select("doc_id", c.alias("c"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", c.alias("c"))
     return d.select("doc_id", F.md5("c.text").alias("md5"), F.size("c.changes").alias("rules_hit"), F.aggregate("c.changes", F.lit(0), lambda a, x: a + x["count"]).alias("changes"))
 
 
@@ -33,7 +33,7 @@ TERMS = {"the": "THE", "and": "AND", "que": "QUE", "of THE": "of-the"}
 
 
 def quick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cx.correct(F.col("text"), "llm", TERMS)).alias("md5"), F.md5(cx.correct(F.col("text"), "none")).alias("same"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(cx.correct(F.col("text"), "llm", TERMS)).alias("md5"), F.md5(cx.correct(F.col("text"), "none")).alias("same"))
 
 
 def quick_korean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +86,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         '"products":[{"name":"fan","quantity":{"value":'), k, F.lit('},"action":"order"}],"entities":[{"name":"E","type":"Alien","attributes":{"a":1}}],"risks":[{"description":true}],"corrections":[{"original":"a"}]}'),
     )
     text = F.when(m == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(m == 2, F.concat(F.lit("Here: "), body, F.lit(" done"))).when(m == 3, F.concat(F.lit("broken {"), k)).otherwise(body)
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("response"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.alias("response"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return responses(spark, sf_dir).select("doc_id", ex.extraction_record(F.col("response")).alias("r"))
+    return responses(spark, sf_dir).select("doc_id", F.explode(F.array(ex.extraction_record(F.col("response")))).alias("r"))
 
 
 def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 6 == 4, F.concat_ws("_", day, F.lit("1430"), who, phone))
         .otherwise(F.concat_ws("_", F.lit("note"), who))
     )
-    return o.select("o_orderkey", stem.alias("stem"))
+    # explode() of one element: the name is made once, not again in each pattern that reads it.
+    return o.select("o_orderkey", F.explode(F.array(stem)).alias("stem"))
 
 
 STEMS = """stems AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN who || '_' || phone || '_' || stamp WHEN 1 THEN phone || '_' || stamp WHEN 2 THEN who || '_' || stamp

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import lexicon as lx
 from corvane.functions import text as tx
 from corvane.functions.lexicon import ScoreLexicon
-from corvane.session import rows, table
+from corvane.session import rows, spread, table
 
 
 
@@ -44,17 +44,17 @@ def score_sql(lexicon: ScoreLexicon) -> str:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tx.fast_score(F.col("text"), LEXICON)
-    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.score", "s.band", "s.should_process", "s.signals.*")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(F.array(s)).alias("s")).select("doc_id", "s.score", "s.band", "s.should_process", "s.signals.*")
 
 
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by language and band."""
-    out = table(spark, sf_dir, "documents").select("lang", tx.fast_score(F.col("text"), LEXICON).alias("s"))
+    out = spread(table(spark, sf_dir, "documents")).select("lang", F.explode(F.array(tx.fast_score(F.col("text"), LEXICON))).alias("s"))
     return out.groupBy("lang", F.col("s.band").alias("band")).agg(F.count(F.lit(1)).alias("documents"), F.bround(F.avg("s.score"), 6).alias("mean_score"))
 
 
 def default_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "documents").select("doc_id", tx.fast_score(F.col("text")).alias("s"))
+    out = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(F.array(tx.fast_score(F.col("text")))).alias("s"))
     r = F.col("s.drop_reason")
     return out.select("doc_id", "s.score", "s.band", *[F.coalesce(r.contains(k), F.lit(False)).alias(k) for k in ("no_entities", "no_keywords", "no_interaction")])
 
@@ -63,7 +63,7 @@ BAND_SQL = "CASE WHEN score >= 0.85 THEN 'definite_keep' WHEN score <= 0.15 THEN
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.detect_entities(F.col("text"))).alias("e"))
+    found = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(tx.detect_entities(F.col("text"))).alias("e"))
     return found.groupBy("doc_id", F.col("e.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("names"), F.min("e.name").alias("first_name"), F.max("e.name").alias("last_name"))
 
 
@@ -92,12 +92,12 @@ def operational(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would be appended to the event log."""
-    s = table(spark, sf_dir, "documents").select("doc_id", tx.detect_signals(F.col("text"), LEXICON).alias("s")).filter("s.logged")
+    s = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(F.array(tx.detect_signals(F.col("text"), LEXICON))).alias("s")).filter("s.logged")
     return s.select("doc_id", F.size("s.ideas").alias("ideas"), F.size("s.entities").alias("entities"), F.col("s.fast_score.score").alias("score"))
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), tx.redact(F.col("text")).alias("safe")).filter("safe <> text")
+    out = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text"), F.explode(F.array(tx.redact(F.col("text")))).alias("safe")).filter("safe <> text")
     return out.select("doc_id", F.md5("safe").alias("safe_md5"), F.regexp_count("safe", F.lit(r"\*\*\*@")).alias("emails"))
 
 
@@ -115,7 +115,7 @@ def redact_sql(text: str) -> str:
 
 def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tx.compress(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(c).alias("chars"), F.md5(c).alias("md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.length(c).alias("chars"), F.md5(c).alias("md5"))
 
 
 def compress_sql() -> str:
@@ -128,7 +128,7 @@ def compress_sql() -> str:
 
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = tx.fallback_summary(F.col("text"), LEXICON.keywords)
-    return table(spark, sf_dir, "documents").select("doc_id", f["one_line"].alias("one_line"), f["details"][0].alias("detail"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", f["one_line"].alias("one_line"), f["details"][0].alias("detail"))
 
 
 def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def role_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.md5("text").alias("file_md5"), tx.queue_id(F.concat(F.lit("stem"), F.col("doc_id").cast("string")), F.col("lang"), F.col("source")).alias("queue_id"))
 
 
@@ -158,12 +158,12 @@ def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.md5(tx.wrap_untrusted(F.col("source"), F.col("text"))).alias("md5"))
 
 
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("lang", tx.hits(F.col("text"), LEXICON.keywords).alias("hits"))
+    d = spread(table(spark, sf_dir, "documents")).select("lang", tx.hits(F.col("text"), LEXICON.keywords).alias("hits"))
     return d.groupBy("lang", "hits").agg(F.count(F.lit(1)).alias("documents"))
 
 

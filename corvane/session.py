@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its scan has too few splits for them, as one small file has. A large table is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def rows(spark: SparkSession, schema: str, *values: tuple) -> DataFrame:
     """A small DataFrame of literals."""
     return spark.createDataFrame(list(values), schema)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,12 @@ def drop_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
     return with_key.join(dropped.select("row"), "row", "left_anti").select("kept.*")
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, without a copy: what is made of one is passed on before the next is made."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is in the fold that nothing is learned from: crc32 of the decimal id, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

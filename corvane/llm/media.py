@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from corvane.llm import files
-from corvane.llm.common import shared_folder, table
+from corvane.llm.common import shared_folder, slices, table
 
 ARCHIVE_BYTES, MEMBERS, SPLIT_BYTES = 64 << 20, 50_000, 16 << 20
 BATCH_BYTES, BATCH_ROWS, TRIES = 4 << 20, 512, 3
@@ -221,7 +221,7 @@ def media_of_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, size, media: each text as a WAV file; size is that of the text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             raw = [(t.as_py() or "").encode("utf-8") for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(map(len, raw), pa.int64()), pa.array([wav(padded(x)) for x in raw], pa.binary())], ["id", "size", "media"])
 

@@ -7,7 +7,8 @@ what is broadcast.
 
 The model is fitted in one task on a bounded sample of labelled rows: FIT_ROWS of each class are expected, chosen by a hash
 of the id; classes keep their shares by weight. It is broadcast as ids before any text is read, so that only the sample's
-texts are shuffled, one for each id. All documents are scored, whole.
+texts are shuffled, one for each id. All documents are scored, whole. Rates, L1 and the stem length were chosen on tables of 10,000
+and 51,000 documents.
 
 Cases. A null text counts as empty and gets the bias alone. Labels that are null don't count, and of labels that repeat an id
 the largest counts. Without labels of both classes every score is 0. Extra columns are ignored or kept, by the function.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import held_out, staged
 
 BITS, FIT_ROWS, EPOCHS = 20, 8_000, 4
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 1.0
 THRESHOLD = 0.3
 #: The first bytes of a word stand for its stem.
 STEM = 4

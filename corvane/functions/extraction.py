@@ -196,3 +196,8 @@ def extraction_record(response: Column) -> Column:
         )
 
     return let(let(parsed(response), read), checked)
+
+
+def two_lists(response: Column, first: str, second: str) -> Column:
+    """Struct of two lists of a response as they are, unvalidated, and parse_error."""
+    return let(parsed(response), lambda doc: F.struct(_list(doc, first).alias(first), _list(doc, second).alias(second), doc.isNull().alias("parse_error")))

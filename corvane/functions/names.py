@@ -139,3 +139,22 @@ def slug(text: Column) -> Column:
     return F.substring(F.regexp_replace(F.trim(text), r"(?U)[^\w.-]", "_"), 1, 80)
 
 
+
+
+def drive_to_mount(path: Column) -> Column:
+    """X:\\a\\b as /mnt/x/a/b; other paths as they are."""
+    fits = F.substring(path, 2, 2) == ":\\"
+    rest = F.replace(F.substring(path, F.lit(4), F.length(path)), F.lit("\\"), F.lit("/"))
+    return F.when(fits & (F.length(path) >= 3), F.concat(F.lit("/mnt/"), F.lower(F.substring(path, 1, 1)), F.lit("/"), rest)).otherwise(path)
+
+
+def mount_to_drive(path: Column) -> Column:
+    """/mnt/x/a/b as X:\\a\\b; other paths as they are."""
+    fits = path.startswith("/mnt/") & (F.length(path) >= 7) & (F.substring(path, 7, 1) == "/")
+    rest = F.replace(F.substring(path, F.lit(8), F.length(path)), F.lit("/"), F.lit("\\"))
+    return F.when(fits, F.concat(F.upper(F.substring(path, 6, 1)), F.lit(":\\"), rest)).otherwise(path)
+
+
+def next_batch(last_completed: Column, updated: Column, today: Column) -> Column:
+    """The batch after the last completed one; from the beginning if the checkpoint is of another day."""
+    return F.when(F.replace(F.substring(updated, 1, 10), F.lit("-"), F.lit("")) == today, F.coalesce(last_completed, F.lit(-1)) + 1).otherwise(0)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.extraction import extraction_record
+from corvane.functions.lexicon import ScoreLexicon
 from corvane.functions.text import compress, fallback_summary, fast_score, wrap_untrusted
 
 # How often a call is tried, how long it waits, and what isn't tried again.
@@ -56,12 +57,12 @@ class MappedCalls:
         return df.mapInPandas(each, f"{fields}, response string")
 
 
-def extract(transcripts: DataFrame, extractor: ResponseTable | MappedCalls, template: str = "{corrections}\n{content}") -> DataFrame:
+def extract(transcripts: DataFrame, extractor: ResponseTable | MappedCalls, template: str = "{corrections}\n{content}", lexicon: ScoreLexicon | None = None) -> DataFrame:
     """stem, status, record, summary of transcripts (stem, text): the gate and all that is cheap come before the call; dropped ones
     keep a row. status: skipped_fast_score, ok or fallback."""
-    scored = transcripts.withColumn("score", fast_score(F.col("text")))
+    scored = transcripts.select("*", F.explode(F.array(fast_score(F.col("text"), lexicon))).alias("score"))
     asked = scored.filter("score.should_process").withColumn("prompt", prompt(template, F.lit(""), compress(F.col("text"))))
-    r = extractor.transform(asked.select("stem", "text", "prompt")).withColumn("record", extraction_record(F.col("response")))
+    r = extractor.transform(asked.select("stem", "text", "prompt")).select("*", F.explode(F.array(extraction_record(F.col("response")))).alias("record"))
     bad = F.col("response").isNull() | F.col("record.parse_error") | F.col("record.invalid_number")
     done = r.select("stem", F.when(bad, "fallback").otherwise("ok").alias("status"), F.when(~bad, F.col("record")).alias("record"), F.when(bad, fallback_summary(F.col("text"))["one_line"]).otherwise(F.col("record.summary.one_line")).alias("one_line"))
     kind = done.schema["record"].dataType.simpleString()

@@ -1,10 +1,12 @@
 """Byte-pair encoding and decoding with a public tokenizer's file, in bounded memory.
 
-A text is cut into pre-tokens as the tokenizer cuts it, and each worker keeps the pieces of the pre-tokens it has met, up
-to CACHE entries. Pre-tokens of over LONG bytes are encoded by tree concatenation: leaves are encoded in parallel, then
-neighbours are joined level by level. At a join a window around it is encoded anew and grows until its first piece is the
-left side's and its last piece is the right side's; since a sequence of pieces is the encoding exactly if each two
-neighbours are, the joined sequence is then the exact encoding.
+Long unsplit text is encoded by tree concatenation, at two levels. A text of over SPREAD characters becomes rows of LEAF_TEXT
+characters, which tasks encode in parallel; neighbours are then joined level by level. At a join the pre-tokens in a window
+around it are cut anew, and the window grows until its first one is the left side's and its last one begins where the right
+side's does: the cut reads forward only, so from there on both agree exactly. A pre-token of over LONG bytes is encoded in
+the same way from leaves of LEAF bytes, by pieces; a sequence of pieces is the encoding exactly if each two neighbours are,
+so one piece in common on either side is enough. Texts between LEAF_TEXT and SPREAD are joined from leaves within their task.
+For all other pre-tokens each worker keeps the pieces of those it has met, up to CACHE entries.
 
 Cases. A null text counts as empty and has no pieces. Strings of special tokens inside a text are those tokens. Characters
 beyond a plain set go through the tokenizer's own normaliser and splitter. Extra columns are ignored.
@@ -17,12 +19,15 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 CACHE, CACHED_LENGTH = 400_000, 64
 LONG, LEAF, WINDOW = 4096, 1024, 8
+SPREAD, LEAF_TEXT = 1 << 20, 1 << 14
 #: Characters on which Python's classes, its lower() and the tokenizer's rules agree: those outside go the slower way.
 UNUSUAL = re.compile(r"[^\t-\r -~\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-įı-ɏА-я]|<\|")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d|"
@@ -107,6 +112,28 @@ class Cutter:
             k *= 2
 
 
+    def cut_tree(self, text: str, leaf: int) -> list[str]:
+        """The pre-tokens of a long text, from leaves. Only for tokenizers that don't normalise."""
+        level = [self.cut(text[i : i + leaf])[0] for i in range(0, len(text), leaf)]
+        while len(level) > 1:
+            level = [self.joined_cut(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0] if level else []
+
+    def joined_cut(self, left: list[str], right: list[str]) -> list[str]:
+        a, window, b = self.recut(left, right)
+        return left[:a] + window + right[b:]
+
+    def recut(self, left: list[str], right: list[str]) -> tuple[int, list[str], int]:
+        """(pre-tokens of left that stay, what stands between, pre-tokens of right that go)."""
+        k = WINDOW
+        while True:
+            a, b = left[-k:], right[:k]
+            window = self.cut("".join(a + b))[0]
+            if (k >= len(left) or window[0] == a[0]) and (k >= len(right) or window[-1] == b[-1]):
+                return max(0, len(left) - k), window, min(k, len(right))
+            k *= 2
+
+
 @lru_cache(maxsize=4)
 def cutter(path: str) -> Cutter:
     """One for each worker process."""
@@ -141,11 +168,17 @@ def memo_of_bytes(path: str) -> Kept:
 
 def encode(text: str | None, path: str) -> list[str]:
     """The text's ids as decimal strings joined by commas, one for each pre-token."""
-    pre, special = cutter(path).cut(text or "")
-    if special:
-        c = cutter(path)
-        return [",".join(map(str, c.ids(p, True))) for p in pre]
-    return list(map(memo_of_ids(path).__getitem__, pre))
+    c, text = cutter(path), text or ""
+    if len(text) > LEAF_TEXT and not c.lower:
+        return ids_of(c.cut_tree(text, LEAF_TEXT), path)
+    pre, special = c.cut(text)
+    return ids_of(pre, path) if special else list(map(memo_of_ids(path).__getitem__, pre))
+
+
+def ids_of(pre: list[str], path: str) -> list[str]:
+    """The ids of each pre-token, special tokens among them."""
+    c, known = cutter(path), memo_of_ids(path)
+    return [",".join(map(str, c.ids(p, True))) if p in c.special else known[p] for p in pre]
 
 
 def decode(ids: list[str], path: str) -> str:
@@ -153,20 +186,53 @@ def decode(ids: list[str], path: str) -> str:
     return b"".join(map(memo_of_bytes(path).__getitem__, ids)).decode("utf-8", "replace")
 
 
-def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(ids: list[str], path: str) -> tuple[int, str, str]:
+    whole, sha = ",".join(ids), hashlib.sha256
+    return whole.count(",") + 1 if whole else 0, sha(whole.encode()).hexdigest(), sha(decode(ids, path).encode("utf-8")).hexdigest()
+
+
+def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD, leaf: int = LEAF_TEXT) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row."""
+    slim = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    out = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = hashlib.sha256
         for b in batches:
-            n, of_ids, of_text = [], [], []
-            for t in b.column("text"):
-                parts = encode(t.as_py(), path)
-                ids = ",".join(parts)
-                n.append(ids.count(",") + 1 if ids else 0)
-                of_ids.append(sha(ids.encode()).hexdigest())
-                of_text.append(sha(decode(parts, path).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [digests(encode(t.as_py(), path), path) for t in b.column("text")]
+            cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
 
-    slim = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
-    return slim.mapInArrow(each, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pre = [cutter(path).cut(t.as_py())[0] for t in b.column("leaf")]
+            ids = [ids_of(p, path) for p in pre]
+            yield pa.RecordBatch.from_arrays([*map(b.column, ("row", "doc_id", "part")), pa.array(pre, pa.list_(pa.string())), pa.array(ids, pa.list_(pa.string()))], ["row", "doc_id", "part", "pre", "ids"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        c = cutter(path)
+        level = [(list(p), list(i)) for p, i in zip(pdf["pre"], pdf["ids"], strict=True)]
+        while len(level) > 1:
+            above = []
+            for i in range(0, len(level), 2):
+                (lp, li), right = level[i], level[i + 1 : i + 2]
+                for rp, ri in right:
+                    a, window, n = c.recut(lp, rp)
+                    lp, li = lp[:a] + window + rp[n:], li[:a] + ids_of(window, path) + ri[n:]
+                above.append((lp, li))
+            level = above
+        n, of_ids, of_text = digests(level[0][1], path)
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "n_tokens": [n], "ids_sha256": [of_ids], "decoded_sha256": [of_text]})
+
+    if cutter(path).lower:
+        return slim.mapInArrow(each, out)
+    n = F.coalesce(F.length("text"), F.lit(0))
+    short = slim.filter(n <= spread).mapInArrow(each, out)
+    # row stands for a document from here to its join: the rows are dealt by it, so it is written down in the shuffle.
+    long = slim.filter(n > spread).withColumn("row", F.monotonically_increasing_id())
+    parts = F.transform(F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {leaf}").cast("int")), lambda i: F.substring(F.col("text"), i * leaf + 1, F.lit(leaf)))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    cut = long.select("row", "doc_id", F.posexplode(parts).alias("part", "leaf")).repartition("row", "part").mapInArrow(leaves, f"row bigint, doc_id {kind}, part int, pre array<string>, ids array<string>")
+    return short.unionByName(cut.groupBy("row").applyInPandas(join, out))

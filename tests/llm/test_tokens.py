@@ -37,9 +37,19 @@ def test_tree_concatenation_is_exact():
             assert c.tree(text.encode(), 64) == ids_of(BYTE, text)
 
 
-def test_round_trip(docs):
+def test_cut_from_leaves_is_exact():
+    c, rng = bpe.cutter(BYTE), random.Random(9)
+    pieces = ["the ", " don't", "  ", "\n\n", "\t \n x", "12 34", "<|endoftext|>", "<|end", "...", " 日本", "é\u00a0", "_a_", "'", "'s", "word" * 9, "\u2003 "]
+    for leaf in (1, 3, 7, 50):
+        for _ in range(60):
+            text = "".join(rng.choices(pieces, k=rng.randint(1, 60)))
+            assert c.cut_tree(text, leaf) == c.cut(text)[0]
+
+
+@pytest.mark.parametrize(("spread", "leaf"), [(bpe.SPREAD, bpe.LEAF_TEXT), (5, 3), (40, 16)])
+def test_round_trip(docs, spread, leaf):
     t = Tokenizer.from_file(BYTE)
-    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip_digests(docs, BYTE).collect()}
+    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip_digests(docs, BYTE, spread=spread, leaf=leaf).collect()}
     want = set()
     for r in docs.collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids

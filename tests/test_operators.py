@@ -238,3 +238,30 @@ def test_extraction_run(spark):
 def test_global_rank(spark):
     got = global_rank(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")), "x").collect()
     assert all(r.x == r["rank"] for r in got) and len(got) == 1000
+
+
+def test_note_text(spark):
+    from corvane.operators import export
+
+    f = spark.createDataFrame([("한빛 (주)_01012345678_20240102030405.txt", 200, "가" * 100), ("0212345678_20240102030405.txt", 200, "b" * 100), ("bad.txt", 200, "c" * 100)], "name string, size_bytes int, text string")
+    got = {r.note: r.markdown.split("\n") for r in export.notes(f, f.limit(0)).collect()}
+    assert set(got) == {"2024-01-02_한빛 (주).md", "2024-01-02_0212345678.md"}
+    named = got["2024-01-02_한빛 (주).md"]
+    assert named[:3] == ["---", "type: transcript", 'counterparty: "한빛 (주)"'] and "tags: [통화전사, 한빛]" in named and "> **거래처**: [[한빛 (주)]]" in named
+    assert "# 통화 전사 — 021-234-5678 (2024-01-02 03:04)" in got["2024-01-02_0212345678.md"] and named[-1] == "가" * 100
+
+
+def test_whole_merge(spark):
+    store = spark.createDataFrame([(1, "send the quote", "s", "k1"), (2, "pay the invoice", "s", "k2")], "seq long, title string, source string, key string")
+    new = spark.createDataFrame([(10, "send quote", "a.m4a"), (11, "book a room", "a.m4a"), (12, "book a room now", "a.m4a"), (13, "pay the invoice", "b")], "seq long, title string, source string")
+    done = spark.createDataFrame([("Pay_the invoice",)], "title string")
+    got = {r.key: r.title for r in todo.merged_store(store, new, done).collect()}
+    assert got == {"k1": "send the quote", "bookaroomnow|a": "book a room now"}
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "seq long, title string, source string")
+    assert todo.merge_within_sources(none).count() == todo.add_new(none, none, none).count() == todo.not_completed(none, none).count() == 0
+    e = spark.createDataFrame([], "a long, b long")
+    assert graph.components(e).count() == 0
+    assert recon.matched_audio(spark.createDataFrame([], "stem string"), spark.createDataFrame([], "stem string")).count() == 0

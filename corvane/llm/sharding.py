@@ -21,7 +21,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import staged, table
+from corvane.llm.common import row_key, staged, table
 
 SHARDS, BITS, PARTS = 24, 4, 4096
 #: Two powers of 256 short of a long: strings are compared by their first bytes.
@@ -92,13 +92,19 @@ def ranked(df: DataFrame, cell: str, order: list[str], hashed: list[str], parts:
 
 
 def hilbert_shards(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("source", "lang"), shards: int = SHARDS, bits: int = BITS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("source", "lang"), shards: int = SHARDS, bits: int = BITS, with_row: bool = False
 ) -> DataFrame:
-    """doc_id, size, text_crc32, one step_<i> for each dimension (the size in bytes is the last), cell, shard, slot."""
+    """doc_id, size, text_crc32, one step_<i> for each dimension (the size in bytes is the last), cell, shard, slot; with_row: and the
+    key of df's row."""
     kinds = dict(df.dtypes)
+    keys = []
+    if with_row:
+        df, row = row_key(df)
+        keys = [row.alias("row")]
     text = F.coalesce(df[text_col], F.lit(""))
     slim = staged(
         df.select(
+            *keys,
             df[id_col].alias("doc_id"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
@@ -124,6 +130,17 @@ def hilbert_shards(
     return out.withColumn("slot", F.expr(f"rank - (shard * total + {shards - 1}L) div {shards}L")).drop("rank", "cell_rank", "total")
 
 
+def write_shards(df: DataFrame, path: str, rows_per_file: int = 1_000_000, **how) -> DataFrame:
+    """Writes df, all its columns as they are, to a folder for each shard in the order of slots, and gives the manifest. A row is
+    shuffled once to its file; the manifest says which shards a range in any dimension can be in."""
+    df, row = row_key(df)
+    placed = staged(hilbert_shards(df, with_row=True, **how))
+    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("doc"), row.alias("row")).join(placed.select("row", "shard", "slot"), "row")
+    files = whole.withColumn("part", F.floor(F.col("slot") / rows_per_file)).repartition("shard", "part").sortWithinPartitions("shard", "slot")
+    files.select("doc", "slot", "shard").write.partitionBy("shard").parquet(path)
+    return shard_manifest(placed)
+
+
 def shard_manifest(sharded: DataFrame) -> DataFrame:
     """For each shard its rows and the range of steps in each dimension."""
     steps = [c for c in sharded.columns if c.startswith("step_")]

@@ -134,6 +134,14 @@ def test_shards(docs):
     assert order == sorted(order)
 
 
+def test_shards_are_written_whole(spark, docs, tmp_path):
+    manifest = sharding.write_shards(docs, f"{tmp_path}/s", rows_per_file=10, shards=5)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    as_rows = lambda df: Counter(str(r) for r in df.collect())
+    assert as_rows(back.select("doc.*")) == as_rows(docs)
+    assert {r.shard: r["rows"] for r in manifest.collect()} == {r.shard: r["count"] for r in back.groupBy("shard").count().collect()}
+
+
 def test_hilbert_cells_are_a_walk():
     import itertools
 

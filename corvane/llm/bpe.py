@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from corvane.llm.common import slices
+
 CACHE, CACHED_LENGTH = 400_000, 64
 LONG, LEAF, WINDOW = 4096, 1024, 8
 SPREAD, LEAF_TEXT = 1 << 20, 1 << 14
@@ -186,6 +188,30 @@ def decode(ids: list[str], path: str) -> str:
     return b"".join(map(memo_of_bytes(path).__getitem__, ids)).decode("utf-8", "replace")
 
 
+def encoded(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """`doc`: the row of df as a struct, whatever its columns are named, and its ids. Each text is encoded in one task."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole)):
+            ids = [[int(i) for p in encode(t.as_py(), path) if p for i in p.split(",")] for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(ids, pa.list_(pa.int32()))], ["doc", "ids"])
+
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("doc"), df[text_col].alias("text"))
+    return rows.mapInArrow(each, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>")
+
+
+def decoded(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """`doc`: the row of df, but its ids, as a struct, and the text of its ids; of null the empty text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole)):
+            text = [decode([str(i) for i in ids.as_py() or []], path) for ids in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(text, pa.string())], ["doc", "text"])
+
+    rows = df.select(F.struct(*[df[c] for c in df.columns if c != ids_col]).alias("doc"), df[ids_col].alias("ids"))
+    return rows.mapInArrow(each, f"doc {rows.schema['doc'].dataType.simpleString()}, text string")
+
+
 def digests(ids: list[str], path: str) -> tuple[int, str, str]:
     whole, sha = ",".join(ids), hashlib.sha256
     return whole.count(",") + 1 if whole else 0, sha(whole.encode()).hexdigest(), sha(decode(ids, path).encode("utf-8")).hexdigest()

@@ -30,6 +30,7 @@ from corvane.llm.common import staged
 from corvane.llm.sharding import ranked
 
 CAPACITY, END_ID = 4096, 1
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 #: multiplicity of a sequence, and its (length, times) in order
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
@@ -50,13 +51,13 @@ def encoded(text: str | None, path: str) -> bytes:
     return b"".join(map(memo_of_words(path).__getitem__, pre))
 
 
-def pieces(df: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32."""
+def pieces(df: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32; with_ids: and the ids, as little-endian unsigned 32-bit integers."""
     end = np.array([end_id], "<u4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, piece, length, crc = [], [], [], []
+            at, piece, length, crc, kept = [], [], [], [], []
             for i, t in enumerate(b.column("text")):
                 ids = encoded(t.as_py(), path) + end
                 for k in range(-(-len(ids) // (4 * capacity))):
@@ -65,12 +66,15 @@ def pieces(df: DataFrame, path: str, id_col: str, text_col: str, capacity: int,
                     piece.append(k)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
+                    if with_ids:
+                        kept.append(part)
             k = pa.array(piece, pa.int32())
             start = pa.array([capacity * p for p in piece], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), k, start, pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            cols = [b.column("doc_id").take(pa.array(at, pa.int64())), k, start, pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(kept, pa.binary())] if with_ids else [])], [*PIECE, *(["ids"] if with_ids else [])])
 
     slim = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
-    return slim.mapInArrow(each, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return slim.mapInArrow(each, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
 def best_pair(count: dict[int, int], lengths: list[int], room: int) -> tuple[int, int] | None:
@@ -205,11 +209,14 @@ def places(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def packed(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
-    cut = staged(pieces(df, path, id_col, text_col, capacity, end_id))
+def packed(
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
+) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids): one row for each piece."""
+    cut = staged(pieces(df, path, id_col, text_col, capacity, end_id, with_ids))
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     where = df.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity)))
+    names = [*PIECE, *(["ids"] if with_ids else [])]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,9 +229,15 @@ def packed(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 past = rank[mine] - row[:, 0]
                 sequence[mine] = row[:, 1] + past // row[:, 2]
                 offset[mine] = row[:, 3] + past % row[:, 2] * n
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     kind = cut.schema["doc_id"].dataType.simpleString()
-    placed = ranked(cut, "length", ["doc_id", "piece"], ["doc_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("cell_rank").alias("rank"))
-    return placed.mapInArrow(each, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    placed = ranked(cut, "length", ["doc_id", "piece"], ["doc_id", "piece"]).select(*names, F.col("cell_rank").alias("rank"))
+    return placed.mapInArrow(each, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, " + "ids binary, " * with_ids + "sequence_id bigint, offset bigint")
+
+
+def sequences(placed: DataFrame) -> DataFrame:
+    """sequence_id, ids (little-endian unsigned 32-bit integers), documents of pieces with ids. A sequence is CAPACITY ids at most."""
+    parts = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids", "doc_id"))).alias("p"))
+    joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    return parts.select("sequence_id", joined.alias("ids"), F.transform("p", lambda x: x["doc_id"]).alias("documents"))

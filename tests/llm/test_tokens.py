@@ -84,6 +84,26 @@ def test_packing(docs):
             assert r.start == 64 * r.piece and len(ids) == r.length and zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32
 
 
+def test_whole_sequences(docs):
+    placed = packing.packed(docs.filter("doc_id <> 3"), WORD, capacity=64, with_ids=True)
+    whole = {r.sequence_id: (np.frombuffer(r.ids, "<u4").tolist(), r.documents) for r in packing.sequences(placed).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in placed.collect():
+        ids, documents = whole[r.sequence_id]
+        assert ids[r.offset : r.offset + r.length] == [*ids_of(WORD, texts[r.doc_id]), 1][r.start : r.start + r.length] and r.doc_id in documents
+
+
+def test_encoding_and_decoding_tables(spark, docs):
+    t = Tokenizer.from_file(BYTE)
+    both = bpe.encoded(docs, BYTE)
+    for r in both.collect():
+        assert r.ids == t.encode(r.doc.text or "", add_special_tokens=False).ids and set(r.doc.asDict()) == set(docs.columns)
+    back = bpe.decoded(both.select("doc.doc_id", "ids"), BYTE).collect()
+    assert sorted((r.doc.doc_id or -1, r.text) for r in back) == sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
+    odd = spark.createDataFrame([(1, [0, 50256, 220]), (2, None), (3, [])], "i int, ids array<int>")
+    assert {r.doc.i: r.text for r in bpe.decoded(odd, BYTE).collect()} == {1: t.decode([0, 50256, 220], skip_special_tokens=False), 2: "", 3: ""}
+
+
 def optimum(items, capacity):
     """The least number of bins, by search."""
     items, best = sorted(items, reverse=True), [len(items)]

@@ -132,9 +132,12 @@ def forest(pdf, distance: int):
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """a, b: links among distinct fingerprints (fp), staged; where an entry is heavy, links that connect the same ones."""
     plan = segment_plan(fps.count(), distance)
-    entries, probes = index_rows(fps, plan), probe_rows(fps, plan)
+    entries, probes = staged(index_rows(fps, plan)), probe_rows(fps, plan)
     heavy = staged(entries.groupBy("key").count().filter(F.col("count") > HEAVY))
     some = not heavy.isEmpty()
+    if some:
+        # They are used twice then: enumerate the balls once.
+        probes = staged(probes)
     light = entries.join(heavy, "key", "left_anti") if some else entries
     p, t = probes.alias("p"), light.alias("t")
     near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= distance
@@ -142,7 +145,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     pairs = p.join(t, (F.col("p.key") == F.col("t.key")) & near & once).select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b"))
     if some:
         # Blocks of table rows against blocks of the rows that look them up.
-        asked = probes.join(heavy, "key", "left_semi")
+        asked = staged(probes.join(heavy, "key", "left_semi"))
         sizes = heavy.join(asked.groupBy("key").agg(F.count(F.lit(1)).alias("asks")), "key").select(
             "key", F.ceil(F.col("count") / BLOCK).cast("long").alias("tn"), F.ceil(F.col("asks") / BLOCK).cast("long").alias("pn")
         )

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from corvane.functions import lexicon as lx
 from corvane.functions.lexicon import ScoreLexicon
 
-#: Java's flags for Python's rules: Unicode classes, and only a newline ends a line.
-UNICODE, LINES = "(?U)", "(?d)"
+#: Java's flag for Python's rule: classes are those of Unicode.
+UNICODE = "(?U)"
 SIGNALS = ("token_count", "unique_words", "entity_density", "keyword_signal", "interaction")
 
 

@@ -14,16 +14,18 @@ from corvane.functions.lexicon import ScoreLexicon
 
 #: Java's flag for Python's rule: classes are those of Unicode.
 UNICODE = "(?U)"
+#: What Python calls white space: four separators more than Unicode does.
+SPACE = r"\s\x1c-\x1f"
 SIGNALS = ("token_count", "unique_words", "entity_density", "keyword_signal", "interaction")
 
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(text, f"(?U)[{SPACE}]+"), lambda x: x != "")
 
 
 def hits(text: Column, words: Sequence[str]) -> Column:

@@ -48,9 +48,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by language and band."""
+    """Documents by language and band. Scores have four places, so they are summed as integers: in any order the mean is the same."""
     out = spread(table(spark, sf_dir, "documents")).select("lang", F.explode(F.array(tx.fast_score(F.col("text"), LEXICON))).alias("s"))
-    return out.groupBy("lang", F.col("s.band").alias("band")).agg(F.count(F.lit(1)).alias("documents"), F.bround(F.avg("s.score"), 6).alias("mean_score"))
+    return out.groupBy("lang", F.col("s.band").alias("band")).agg(F.count(F.lit(1)).alias("documents"), F.bround(F.sum(F.round(F.col("s.score") * 10_000).cast("long")) / (F.count(F.lit(1)) * 10_000), 6).alias("mean_score"))
 
 
 def default_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +179,7 @@ BIGRAM_SQL = "list_distinct(list_transform(range(1, greatest(length({0}), 1)), l
 
 QUERIES = {
     "fast_score": (scored, score_sql(LEXICON) + f"SELECT doc_id, score, {BAND_SQL} AS band, score > 0.15 AS should_process, token_count, unique_words, entity_density, keyword_signal, interaction FROM t"),
-    "score_bands": (score_bands, score_sql(LEXICON) + f"SELECT lang, {BAND_SQL} AS band, count(*) AS documents, round_even(avg(score), 6) AS mean_score FROM t GROUP BY ALL"),
+    "score_bands": (score_bands, score_sql(LEXICON) + f"SELECT lang, {BAND_SQL} AS band, count(*) AS documents, round_even(sum(cast(round(score * 10000) AS bigint))::double / (count(*) * 10000), 6) AS mean_score FROM t GROUP BY ALL"),
     "fast_score_default_lexicon": (default_score, score_sql(ScoreLexicon()) + f"""SELECT doc_id, score, {BAND_SQL} AS band, score <= 0.15 AND entity_density = 0 AS no_entities,
         score <= 0.15 AND keyword_signal = 0 AS no_keywords, score <= 0.15 AND interaction = 0 AS no_interaction FROM t"""),
     "entity_detect": (entities, f"SELECT doc_id, entity_type, count(*) AS names, min(name) AS first_name, max(name) AS last_name FROM ({ENTITY_SQL}) WHERE length(name) >= 2 GROUP BY ALL"),

@@ -82,15 +82,15 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, fit_rows: int)
     counts = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
     part = {k: min(1.0, fit_rows / v) for k, v in counts.items()}
     dealt = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) / 1_000_000
-    kept = [ids.filter((F.col("label") == k) & (dealt < p)).withColumn("share", F.lit(1.0 / p)) for k, p in part.items()]
     if not {0, 1} <= part.keys():
         return ids.limit(0).withColumn("share", F.lit(1.0))
-    scale = max(1.0, max(part.values()) / min(part.values()))
+    most = max(part.values())
+    # A row stands for 1 / p rows, by the class that is sampled least: the weighted classes have the ratio of all labels, at any size.
+    kept = [ids.filter((F.col("label") == k) & (dealt < p)).withColumn("share", F.lit(most / p)) for k, p in part.items()]
     both = kept[0]
     for k in kept[1:]:
         both = both.unionByName(k)
-    # Weights of over 8 would make single steps too long; the fit is the same up to a shift of the bias beyond that.
-    return staged(both.withColumn("share", F.least(F.col("share"), F.lit(min(scale, 8.0)))))
+    return staged(both)
 
 
 def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> np.ndarray:

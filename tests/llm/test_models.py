@@ -107,6 +107,15 @@ def test_weights_are_sparse_and_the_sample_is_bounded(rated):
     assert toxicity.sample_labels(labels, "doc_id", "toxic", 50).count() < 160
 
 
+@pytest.mark.parametrize(("every", "fit_rows"), [(9, 500), (9, 20_000), (40, 500), (40, 5_000)])
+def test_sampled_classes_keep_their_ratio(spark, every, fit_rows):
+    labels = spark.range(60_000).selectExpr("id as doc_id", f"cast(id % {every} = 0 as int) as toxic")
+    true = {r.toxic: r["count"] for r in labels.filter(~common.held_out(F.col("doc_id"))).groupBy("toxic").count().collect()}
+    got = {r.label: r for r in toxicity.sample_labels(labels, "doc_id", "toxic", fit_rows).groupBy("label").agg(F.sum("share").alias("weight"), F.count("share").alias("n")).collect()}
+    assert all(got[k].n <= 1.2 * fit_rows for k in (0, 1))
+    assert math.isclose(got[0].weight / got[1].weight, true[0] / true[1], rel_tol=0.15)
+
+
 def test_pipeline(spark, docs, rated, tmp_path):
     texts = [r.text for r in docs.filter("doc_id < 100").collect()]
     toxic_docs, labels = rated

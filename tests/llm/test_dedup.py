@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corvane.llm import exact_dedup, sharding, simhash
+import corpus_pipeline
+from corvane.llm import exact_dedup, near_copies, sharding, simhash
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -94,6 +95,36 @@ def test_near_groups(docs, monkeypatch, heavy, block):
     assert out.columns == docs.columns and out.count() == len(least)
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_pipeline_finds_every_near_copy(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = random.Random(11)
+    texts = [None, "", "one two", "ONE  two"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 120, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 25))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(copy))
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {min(i for i, r in enumerate(root) if r == k) for k in set(root)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 12 < len(want) < len(texts) - 20
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()} == want
+
+
 @pytest.mark.parametrize(("plan_for", "distance"), [(100, 4), (1 << 20, 4), (1 << 40, 4), (100, 1), (1 << 20, 7)])
 def test_links_lose_nothing(spark, monkeypatch, plan_for, distance):
     rng = random.Random(plan_for)

@@ -145,6 +145,13 @@ def role_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.bround(tx.bigram_similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
 
 
+def whole_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram similarity of each whole turn to the next of its conversation."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.bround(tx.bigram_similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
+
+
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.md5("text").alias("file_md5"), tx.queue_id(F.concat(F.lit("stem"), F.col("doc_id").cast("string")), F.col("lang"), F.col("source")).alias("queue_id"))
@@ -199,6 +206,10 @@ QUERIES = {
         b AS (SELECT conv_id, turn, {BIGRAM_SQL.format('s')} AS g FROM c)
         SELECT a.conv_id, a.turn, round_even(CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0 ELSE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::double END, 6) AS similarity
         FROM b AS a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"""),
+    "bigram_similarity_whole": (whole_similarity, f"""WITH c AS (SELECT conv_id, turn, lower(replace(text, ' ', '')) AS s FROM conversations),
+        b AS (SELECT conv_id, turn, {BIGRAM_SQL.format('s')} AS g FROM c)
+        SELECT a.conv_id, a.turn, round_even(CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0 ELSE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::double END, 6) AS similarity
+        FROM b AS a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"""),
     "digests": (digests, "SELECT doc_id, md5(text) AS file_md5, 'rq_' || left(sha256('stem' || doc_id || chr(0) || lang || chr(0) || source), 16) AS queue_id FROM documents"),
     "phone_display": (phones, """WITH d AS (SELECT c_custkey, '010' || lpad(cast(c_custkey AS varchar), 8, '0') AS d FROM customer)
         SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN substr(d, 1, 3) || '-' || substr(d, 4, 3) || '-' || substr(d, 7, 4) WHEN 1 THEN substr(d, 1, 3) || '-' || substr(d, 4, 4) || '-' || substr(d, 8, 4) ELSE substr(d, 1, 7) END AS phone FROM d"""),

@@ -79,6 +79,16 @@ def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("uid", "subject", "from", "message_id", F.md5("body").alias("body_md5"))
 
 
+def whole_raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages as raw messages, parsed back."""
+    p = table(spark, sf_dir, "pages")
+    # base64() breaks lines, which an encoded word may not have.
+    subject = F.regexp_replace(F.base64(F.encode("url", "utf-8")), "\\s", "")
+    head = F.concat(F.lit("Subject: =?utf-8?B?"), subject, F.lit("?=\r\nFrom: a@b.c\r\nMessage-ID: <"), F.col("page_id").cast("string"), F.lit(">\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"))
+    raw = p.select(F.lit("INBOX").alias("folder"), F.col("page_id").cast("string").alias("uid"), F.encode(F.concat(head, "html"), "utf-8").alias("raw"))
+    return mail.parse_raw(raw).select("uid", "subject", "from", "message_id", F.md5("body").alias("body_md5"))
+
+
 # ── runs ──
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +219,7 @@ QUERIES = {
     "sms_payloads": (sms, "SELECT * FROM (VALUES (1, '010', 'hi', ''), (2, 's', 'm', 't'), (3, '', '', ''), (4, NULL, 'x', '')) AS t(id, sender, message, thread_id)"),
     "mail_exclusions": (exclusions, "SELECT DISTINCT source || '@x.com' AS address FROM documents WHERE source <> 'src1' UNION SELECT 'new@x.com'"),
     "raw_mail": (raw_mail, "SELECT cast(page_id AS varchar) AS uid, trim(substr(url, 1, 30)) AS subject, 'a@b.c' AS \"from\", '<' || page_id || '>' AS message_id, md5(substr(html, 1, 200)) AS body_md5 FROM pages"),
+    "raw_mail_whole": (whole_raw_mail, "SELECT cast(page_id AS varchar) AS uid, trim(url) AS subject, 'a@b.c' AS \"from\", '<' || page_id || '>' AS message_id, md5(html) AS body_md5 FROM pages"),
     "error_streaks": (streaks, f"WITH {RUNS} SELECT s.step, last AS signature, count(*) AS count FROM s JOIN r ON s.step = r.step AND (since IS NULL OR seq > since) WHERE last <> '' GROUP BY ALL"),
     "error_signatures": (signatures, f"WITH {RUNS} SELECT sig AS signature, count(*) AS runs FROM r WHERE rc <> 0 GROUP BY 1"),
     "run_steps": (outcomes, f"WITH {STEPS} SELECT * FROM f"),

@@ -20,9 +20,13 @@ def now() -> Column:
     return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
-def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    return table(spark, sf_dir, "events").select(k.alias("seq"), F.concat(F.lit("s"), (F.col("user_id") % 80).cast("string")).alias("stem"), F.concat(F.lit("e"), k.cast("string")).alias("error"), k.alias("at"), (k % 3 == 0).alias("counted")).filter("seq % 7 = 0")
+    return table(spark, sf_dir, "events").select(k.alias("seq"), F.concat(F.lit("s"), (F.col("user_id") % 80).cast("string")).alias("stem"), F.concat(F.lit("e"), k.cast("string")).alias("error"), k.alias("at"), (k % 3 == 0).alias("counted"))
+
+
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_failures(spark, sf_dir).filter("seq % 7 = 0")
 
 
 def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +34,12 @@ def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.blacklist_after(old, failures(spark, sf_dir))
 
 
+def whole_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blacklist after every event."""
+    old = rows(spark, "stem string, failures int, last_error string, blacklisted_at long", ("s1", 2, "old", None), ("s2", 5, "old", -1), ("gone", 1, "old", None))
+    return state.blacklist_after(old, all_failures(spark, sf_dir))
+
+
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("stem"), F.col("ts").alias("mtime"))
     return state.pending(e, e.filter("stem % 5 = 0"), e.filter("stem % 2 = 0"), e.filter("stem % 7 = 0")).select("stem")
@@ -120,6 +130,9 @@ QUERIES = {
     "blacklist_update": (blacklist, """WITH f AS (SELECT event_id AS seq, 's' || (user_id % 80) AS stem, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS c FROM events WHERE event_id % 7 = 0), o(stem, b, e, t) AS (VALUES ('s1', 2, 'old', NULL), ('s2', 5, 'old', -1), ('gone', 1, 'old', NULL)),
         n AS (SELECT f.*, coalesce(b, 0) + sum(c) OVER (PARTITION BY f.stem ORDER BY seq) AS n FROM f LEFT JOIN o ON f.stem = o.stem), g AS (SELECT stem, max(n) AS n, 'e' || max(seq) AS error, min(CASE WHEN n >= 3 THEN seq END) AS a FROM n GROUP BY stem)
         SELECT coalesce(g.stem, o.stem) AS stem, coalesce(n, b) AS failures, coalesce(error, e) AS last_error, coalesce(t, a) AS blacklisted_at FROM g FULL JOIN o ON g.stem = o.stem"""),
+    "blacklist_update_whole": (whole_blacklist, """WITH f AS (SELECT event_id AS seq, 's' || (user_id % 80) AS stem, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS c FROM events), o(stem, b, e, t) AS (VALUES ('s1', 2, 'old', NULL), ('s2', 5, 'old', -1), ('gone', 1, 'old', NULL)),
+        n AS (SELECT f.*, coalesce(b, 0) + sum(c) OVER (PARTITION BY f.stem ORDER BY seq) AS n FROM f LEFT JOIN o ON f.stem = o.stem), g AS (SELECT stem, max(n) AS n, 'e' || max(seq) AS error, min(CASE WHEN n >= 3 THEN seq END) AS a FROM n GROUP BY stem)
+        SELECT coalesce(g.stem, o.stem) AS stem, coalesce(n, b) AS failures, coalesce(error, e) AS last_error, coalesce(t, a) AS blacklisted_at FROM g FULL JOIN o ON g.stem = o.stem"""),
     "pending_audio": (pending, "SELECT event_id AS stem FROM events WHERE event_id % 2 = 1 AND event_id % 5 <> 0 AND event_id % 7 <> 0"),
     "notification_state": (notified, """SELECT DISTINCT 'todo' AS kind, event_type || '|u' || user_id AS key, true AS is_new FROM events WHERE event_id % 2 = 0
         UNION ALL SELECT DISTINCT 'appointment', event_type || '|' || strftime(ts, '%Y-%m-%d') || '|10:00|s', true FROM events WHERE event_id % 2 = 1 UNION ALL SELECT 'todo', 'old|s', false"""),

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import drop_rows, keyed_text, row_key, staged
-from corvane.llm.simhash import HASH_BLOCK, SEED, components, words_of
+from corvane.llm.simhash import HASH_BLOCK, SEED, all_but_first, components, words_of
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS, BLOCK, BITS = 30, 5, 1024, 512
@@ -135,7 +135,7 @@ def links(nodes: DataFrame, texts_of: DataFrame, similarity: float = SIMILARITY)
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """row, doc_id, component_id: one row for each row of df, whose row keys it takes."""
+    """row, doc_id, root (of the component), component_id: one row for each row of df, whose row keys it takes."""
     keyed = keyed_text(df, id_col, text_col)
     docs = staged(described(keyed))
     sets = docs.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("keys").alias("keys"))
@@ -143,13 +143,12 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     roots = links(nodes, keyed.select("row", "text"), similarity)
     named = nodes.select("node", "digest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = staged(named.join(ids, "root").select("digest", "component_id"))
-    return docs.select("row", "doc_id", "digest").join(by_set, "digest").select("row", "doc_id", "component_id")
+    by_set = staged(named.join(ids, "root").select("digest", "root", "component_id"))
+    return docs.select("row", "doc_id", "digest").join(by_set, "digest").select("row", "doc_id", "root", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """df with one row of each component, that with the smallest id; all its columns as they were."""
     df, _ = row_key(df)
     groups = staged(near_groups(df, id_col, text_col, similarity))
-    first = groups.filter("doc_id <=> component_id").groupBy("component_id").agg(F.min("row").alias("row"))
-    return drop_rows(df, groups.select("row").join(first, "row", "left_anti"))
+    return drop_rows(df, all_but_first(groups))

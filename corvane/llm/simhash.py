@@ -15,7 +15,8 @@ Classes are the connected components of the links, found by alternating star con
 
 Cases. A null, empty or white-space text has no words and fingerprint zero, linked like any other; fewer words than a
 shingle needs are one shingle. A component's id is its smallest doc_id, null only if all of them are. Rows that repeat an
-id are rows of their own. Extra columns are ignored. An empty table gives an empty result.
+id are rows of their own, and may be in different components: one row of each component is kept even if components share an
+id or have none. Very long texts are hashed in blocks. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,6 +158,13 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return staged(pairs.distinct())
 
 
+def with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """pairs (a, b) with m of least (a, m). The key is a number made of a, so that both sides are exchanged for the join: only then
+    does adaptive execution split the partition of a hub."""
+    key = F.col("a").bitwiseXOR(F.lit(SEED).cast("long"))
+    return pairs.withColumn("key", key).join(least.select(key.alias("key"), "m"), "key").drop("key")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root of all nodes in edges (a, b): alternating large-star and small-star until nothing changes. Staged."""
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -169,10 +177,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: each larger neighbour of a points at the least of a's neighbourhood
-        now = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        now = with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # small star: a and its smaller neighbours point at the least of them
         least = now.groupBy("a").agg(F.min("b").alias("m"))
-        now = now.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        now = with_least(now, least).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = staged(now.filter("a <> b").distinct())
         last, seen = seen, state(now)
         if last == seen:
@@ -181,23 +189,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, size: int = SHINGLE_WORDS) -> DataFrame:
-    """row, doc_id, fp, component_id: one row for each row of df."""
+    """row, doc_id, fp, root (of the component, a fingerprint), component_id: one row for each row of df."""
     docs = staged(fingerprints(keyed_text(df, id_col, text_col), size))
     fps = staged(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps.select("fp"), distance))
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = staged(named.join(ids, "root").select("fp", "component_id"))
-    return docs.join(by_fp, "fp").select("row", "doc_id", "fp", "component_id")
+    by_fp = staged(named.join(ids, "root").select("fp", "root", "component_id"))
+    return docs.join(by_fp, "fp").select("row", "doc_id", "fp", "root", "component_id")
+
+
+def all_but_first(groups: DataFrame) -> DataFrame:
+    """row of all rows of groups (row, doc_id, root, component_id) but one of each root: of those with the smallest id the first.
+    Components are told apart by their root, for their ids may be null, or the same where rows of several repeat an id."""
+    first = groups.filter("doc_id <=> component_id").groupBy("root").agg(F.min("row").alias("row"))
+    return groups.select("row").join(first, "row", "left_anti")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, size: int = SHINGLE_WORDS) -> DataFrame:
     """df with one row of each component, that with the smallest id; all its columns as they were."""
     df, _ = row_key(df)
     groups = staged(near_groups(df, id_col, text_col, distance, size))
-    # A component's candidates: one row of each id, so that a repeated row is dropped too.
-    first = groups.filter("doc_id <=> component_id").groupBy("component_id").agg(F.min("row").alias("row"))
-    return drop_rows(df, groups.select("row").join(first, "row", "left_anti"))
+    return drop_rows(df, all_but_first(groups))
 
 
 def hex_digits(fp: Column) -> Column:

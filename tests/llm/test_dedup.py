@@ -95,6 +95,17 @@ def test_near_groups(docs, monkeypatch, heavy, block):
     assert out.columns == docs.columns and out.count() == len(least)
 
 
+@pytest.mark.parametrize("operator", [simhash, near_copies])
+def test_unlike_documents_stay_whatever_their_ids(spark, operator):
+    rng = random.Random(3)
+    unlike = [(i, " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80))) for i in (None, None, None, 5, 5)]
+    docs = spark.createDataFrame([*unlike, (5, unlike[0][1]), (None, unlike[3][1]), (None, None), (7, ""), (7, None)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text or "") for r in operator.one_of_each(docs).collect()]
+    # Of the first text the row with an id stays, and of the empty ones 7.
+    assert sorted(kept, key=str) == sorted([(5, unlike[0][1]), *unlike[1:], (7, "")], key=str)
+    assert len({r.root for r in operator.near_groups(docs).collect()}) == 6
+
+
 @pytest.mark.parametrize("block", [1024, 3])
 def test_pipeline_finds_every_near_copy(spark, monkeypatch, block):
     monkeypatch.setattr(near_copies, "BLOCK", block)

@@ -1,7 +1,9 @@
 """Language ID and toxicity on held-out rows, their cases, and the pipeline against its stages."""
 
+import itertools
 import math
 import random
+import string
 import zlib
 
 import numpy as np
@@ -94,6 +96,53 @@ def test_toxicity(rated):
     assert kept.columns == docs.columns and kept.filter("text like '%vile%' or text like '%rotten%'").count() == 0 and kept.count() == sum(not r.predicted for r in got)
 
 
+def plain_fit(rows, epochs, alpha, beta, l1, l2):
+    """The same steps, a coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(k):
+        most = 0 if k == 0 else l1
+        x = z.get(k, 0.0)
+        return 0.0 if abs(x) <= most else -(x - math.copysign(most, x)) / ((beta + math.sqrt(n.get(k, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for f, label, share in rows:
+            w = {k: weight(k) for k in f}
+            g = share * (1 / (1 + math.exp(-sum(w.values()))) - label)
+            for k in f:
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / alpha
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    return {k: w for k in z if (w := weight(k))}
+
+
+def plain_features(text):
+    """Numbers of words, stems, pairs and pairs with one between, by plain integers."""
+    words = "".join(" " if c in string.punctuation else c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    x, (m, k, s), top = [zlib.crc32(w) for w in words], map(int, toxicity.MIX), (1 << 32) - 1
+    mixed = [v * m for v in x] + [zlib.crc32(w[: toxicity.STEM]) * s + m for w in words]
+    mixed += [a * k + b * m for a, b in itertools.pairwise(x)] + [a * s + b * m + k for a, b in zip(x, x[2:], strict=False)]
+    mixed = [v & top for v in mixed]
+    return {0} | {1 + (((v ^ v >> 15) * k & top) >> 32 - toxicity.BITS) % ((1 << toxicity.BITS) - 1) for v in mixed}
+
+
+def test_scores_are_those_of_a_plain_model(rated):
+    docs, labels = rated
+    text = {r.doc_id: r.text for r in docs.filter("doc_id < 600").collect()}
+    known = {i: int(i % 5 == 0) for i in range(600) if not held(i)}
+    order = sorted(known, key=lambda i: (zlib.crc32(str(i).encode()), i))
+    w = plain_fit([(plain_features(text[i]), known[i], 1.0) for i in order], toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    assert any(w.get(k) for k in plain_features("vile"))
+    for r in toxicity.toxicity(docs.filter("doc_id < 600"), labels).collect():
+        assert math.isclose(r.score, 1 / (1 + math.exp(-sum(w.get(k, 0.0) for k in plain_features(text[r.doc_id])))), abs_tol=1e-6)
+
+
+def test_other_labels_teach_nothing(spark, rated):
+    docs, labels = rated
+    odd = labels.unionByName(spark.createDataFrame([(i, x) for i in range(0, 600, 5) for x in (2, -1)] + [(11, 7)], "doc_id long, toxic int"))
+    assert np.array_equal(toxicity.model(docs, odd), toxicity.model(docs, labels))
+
+
 def test_toxicity_without_labels(rated):
     docs, labels = rated
     assert {r.predicted for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}

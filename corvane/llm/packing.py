@@ -213,7 +213,8 @@ def packed(
     df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids): one row for each piece."""
-    cut = staged(pieces(df, path, id_col, text_col, capacity, end_id, with_ids))
+    # nth, written here, tells pieces apart that are alike in all else.
+    cut = staged(pieces(df, path, id_col, text_col, capacity, end_id, with_ids).withColumn("nth", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     where = df.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity)))
     names = [*PIECE, *(["ids"] if with_ids else [])]
@@ -232,7 +233,7 @@ def packed(
             yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     kind = cut.schema["doc_id"].dataType.simpleString()
-    placed = ranked(cut, "length", ["doc_id", "piece"], ["doc_id", "piece"]).select(*names, F.col("cell_rank").alias("rank"))
+    placed = ranked(cut, "length", ["doc_id", "piece", "nth"], ["doc_id", "piece", "nth"]).select(*names, F.col("cell_rank").alias("rank"))
     return placed.mapInArrow(each, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, " + "ids binary, " * with_ids + "sequence_id bigint, offset bigint")
 
 

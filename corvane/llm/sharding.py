@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve, in DataFrame functions only.
 
-Each metadata dimension is quantised to 2**BITS equally filled steps, the steps of a row are a cell of a Hilbert curve,
-rows are ordered by the cell's place on the curve, and the order is cut into runs. The law is `rows`: counts of shards
+Each metadata dimension is quantised to 2**BITS equally filled steps, strings by the counts of their whole values, numbers,
+dates and times by approximate quantiles; the steps of a row are a cell of a Hilbert curve, rows are ordered by the cell's place on the curve, and the order is cut into runs. The law is `rows`: counts of shards
 differ by one at most. Rows of a shard are close in every dimension at once, so that `shard_manifest` and
 `shards_matching` leave out most shards for a range in any dimension.
 
@@ -10,8 +10,10 @@ parts of its cell before its own, plus its place in its part. A cell is split in
 at 1/PARTS of all rows; the tables of cells and of parts have 2**(BITS * dimensions) + PARTS rows at most, whatever the
 input, and only they are broadcast.
 
-Cases. A null or empty text has 8 bytes of size and crc32 0; nulls in other dimensions are the lowest value. Repeated rows
-take adjacent slots of their part. Extra columns are ignored. An empty table gives an empty result.
+Cases. A null or empty text has 8 bytes of size and crc32 0; nulls in other dimensions are the lowest value, with empty strings.
+Binary values are ordered by their bytes, values of other types by their string. A value that is more frequent than a step is
+wide fills it alone. Repeated rows have a slot each, and are split like others. Texts of any length count by their bytes.
+Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +26,41 @@ from pyspark.sql import functions as F
 from corvane.llm.common import row_key, staged, table
 
 SHARDS, BITS, PARTS = 24, 4, 4096
-#: Two powers of 256 short of a long: strings are compared by their first bytes.
-PREFIX_BYTES = 7
-
-
-def as_number(col: Column, kind: str) -> Column:
-    """A number in the column's order; of strings, the first bytes count."""
-    if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(col, F.lit("")), "utf-8"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
-        return F.conv(head, 16, 10).cast("long")
-    return F.coalesce(col.cast("double"), F.lit(float("-inf")))
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
+
+
+def comparable(col: Column, kind: str) -> Column:
+    """The column as a double or a string in the same order; null is the lowest value."""
+    if kind.startswith(NUMBERS):
+        return F.coalesce(col.cast("double"), F.lit(float("-inf")))
+    if kind == "date":
+        return F.coalesce(F.unix_date(col).cast("double"), F.lit(float("-inf")))
+    if kind.startswith("timestamp"):
+        return F.coalesce(F.unix_micros(col.cast("timestamp")).cast("double"), F.lit(float("-inf")))
+    return F.coalesce(F.hex(col) if kind == "binary" else col.cast("string"), F.lit(""))
+
+
+def number_edges(slim: DataFrame, names: list[str], steps: int) -> dict[str, list[float]]:
+    """The values that end each step but the last, of columns of doubles: approximate quantiles in one pass."""
+    shares = [i / steps for i in range(1, steps)]
+    found = slim.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in names]).first()
+    return {c: sorted(set(found[c] or [])) for c in names}
+
+
+def string_edges(slim: DataFrame, name: str, steps: int) -> list[str]:
+    """The values that end each step but the last, of a column of strings, which are compared whole: counts of the distinct values,
+    cumulated in the ranges that Spark sorts them into, and then over the ranges."""
+    counted = slim.groupBy(F.col(name).alias("value")).count().repartitionByRange("value").withColumn("range", F.spark_partition_id())
+    counted = staged(counted)
+    ranges = counted.groupBy("range").agg(F.sum("count").alias("rows"))
+    ahead = F.sum("rows").over(Window.orderBy("range"))
+    ranges = ranges.select("range", (ahead - F.col("rows")).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
+    upto = F.sum("count").over(Window.partitionBy("range").orderBy("value"))
+    place = counted.withColumn("upto", upto).join(F.broadcast(ranges), "range").select("value", (F.col("before") + F.col("upto")).alias("upto"), "count", "total")
+    # A value ends a step if the rows up to it reach a further step; the last value of all ends none.
+    ends = F.floor(F.col("upto") * steps / F.col("total"))
+    ended = place.filter((ends > F.floor((F.col("upto") - F.col("count")) * steps / F.col("total"))) & (F.col("upto") < F.col("total")))
+    return [r["value"] for r in ended.select("value").orderBy("value").collect()]
 
 
 def curve_cells(dims: int, bits: int = BITS) -> list[int]:
@@ -108,26 +135,27 @@ def hilbert_shards(
             df[id_col].alias("doc_id"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            *[as_number(df[c], kinds[c]).alias(f"dim_{i}") for i, c in enumerate(dims)],
-            F.octet_length(text).cast("long").alias(f"dim_{len(dims)}"),
+            # Written here, it tells rows apart that are alike in all else.
+            F.monotonically_increasing_id().alias("nth"),
+            *[comparable(df[c], kinds[c]).alias(f"dim_{i}") for i, c in enumerate(dims)],
+            F.octet_length(text).cast("double").alias(f"dim_{len(dims)}"),
         )
     )
     n = len(dims) + 1
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = slim.agg(*[F.percentile_approx(f"dim_{i}", shares, 10_000).alias(f"c{i}") for i in range(n)]).first()
+    kind = {c: k for c, k in slim.dtypes if c.startswith("dim_")}
+    edges = number_edges(slim, [c for c, k in kind.items() if k == "double"], 1 << bits)
+    edges |= {c: string_edges(slim, c, 1 << bits) for c, k in kind.items() if k == "string"}
     steps = slim
     for i in range(n):
-        edges = sorted(set(cuts[i] or []))
         # The cast from a boolean: a step is the number of edges below the value.
-        step = sum((F.col(f"dim_{i}") > F.lit(e)).cast("int") for e in edges) if edges else F.lit(0)
-        steps = steps.withColumn(f"step_{i}", step)
+        steps = steps.withColumn(f"step_{i}", sum(((F.col(f"dim_{i}") > F.lit(e)).cast("int") for e in edges[f"dim_{i}"]), F.lit(0)))
     number = F.lit(0)
     for i in range(n):
         number = number * (1 << bits) + F.col(f"step_{i}")
     steps = steps.withColumn("cell", F.element_at(F.array(*map(F.lit, curve_cells(n, bits))), number + 1)).drop(*[f"dim_{i}" for i in range(n)])
-    out = ranked(steps, "cell", ["text_crc32", "doc_id", "size"], ["doc_id", "text_crc32"])
+    out = ranked(steps, "cell", ["text_crc32", "doc_id", "size", "nth"], ["doc_id", "text_crc32", "nth"])
     out = out.withColumn("shard", F.expr(f"cast(rank * {shards}L div total as int)"))
-    return out.withColumn("slot", F.expr(f"rank - (shard * total + {shards - 1}L) div {shards}L")).drop("rank", "cell_rank", "total")
+    return out.withColumn("slot", F.expr(f"rank - (shard * total + {shards - 1}L) div {shards}L")).drop("rank", "cell_rank", "total", "nth")
 
 
 def write_shards(df: DataFrame, path: str, rows_per_file: int = 1_000_000, **how) -> DataFrame:

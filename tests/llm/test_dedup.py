@@ -203,6 +203,27 @@ def test_manifest_prunes(spark):
     assert hit <= {r.shard for r in sharding.shards_matching(manifest, step_2=(3, 3)).collect()}
 
 
+def test_strings_are_quantised_whole(spark):
+    many = spark.range(20_000).selectExpr("id as doc_id", "'x' as text", "concat('https://site', id % 50) as source", "date_add(date '2020-01-01', cast(id % 40 as int)) as day", "cast(concat('aaaaaaaaaa', id % 20) as binary) as raw")
+    out = sharding.hilbert_shards(many, dims=("source", "day", "raw"), bits=3).cache()
+    for i in range(3):
+        filled = {r[f"step_{i}"]: r["count"] for r in out.groupBy(f"step_{i}").count().collect()}
+        assert set(filled) == set(range(8)) and max(filled.values()) <= 20_000 / 8 + 20_000 / 20
+    steps = {r.source: r.step_0 for r in out.join(many, "doc_id").select("source", "step_0").distinct().collect()}
+    assert [steps[v] for v in sorted(steps)] == sorted(steps.values())
+    wide = sharding.hilbert_shards(many, dims=("source", "day"))
+    assert wide.select("step_0").distinct().count() == 16
+    manifest = sharding.shard_manifest(wide)
+    assert sharding.shards_matching(manifest, step_0=(3, 3)).count() <= 16  # of 24
+
+
+def test_hot_values_and_repeated_rows_are_sharded(spark):
+    rows = [(1, "same", "hot", None)] * 300 + [(None, "same", None, "l")] * 100 + [(i, f"t{i}", f"s{i % 7}", "l") for i in range(200)]
+    out = sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), shards=7).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    assert len({(r.shard, r.slot) for r in out}) == len(rows) and {len([1 for r in out if r.shard == s]) for s in range(7)} <= {85, 86}
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert exact_dedup.exact_groups(none).count() == simhash.near_groups(none).count() == sharding.hilbert_shards(none).count() == 0

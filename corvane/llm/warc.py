@@ -4,10 +4,12 @@ The source `warc` writes each task's records to files of FILE_BYTES at most, one
 field `sl` holds the member's lengths. Reading, files are the partitions; the driver takes their names from a manifest.
 Filters on record type and on header columns are pushed to the reader, which inflates a member as far as its headers,
 tests them, and goes on to the next member by the recorded length, so that unwanted payloads are neither read nor decoded.
-Files of other writers, without `sl` or without gzip, are read too; there a record's end is found from Content-Length.
+Files of other writers, without `sl` or without gzip, are read too; there a record's end is found from Content-Length. A file
+that ends within a record fails the read: what is missing is never taken for the end.
 
 `deduplicated_records` makes the records of pages: of equal payloads the largest page_id's is the response, the others are
-revisits of it, without a payload.
+revisits of it, without a payload. Payloads are compared by SHA-256 on thin rows; they themselves are joined by the row's key,
+which no two rows share.
 
 Cases. A null html counts as empty, like any other payload. A null page_id is smaller than every other, and if all of equal
 payloads have none, all are responses. Rows that repeat both the largest page_id and the payload are all responses. A null
@@ -21,6 +23,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -29,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith
 
 from corvane.llm import files
-from corvane.llm.common import shared_folder, staged, table
+from corvane.llm.common import row_key, shared_folder, staged, table
 
 FILE_BYTES, BATCH_BYTES, BATCH_ROWS = 64 << 20, 4 << 20, 1024
 WINDOW = 1 << 14
 DATE = "1970-01-01T00:00:00Z"
+URI_ENCODED = "X-Target-URI-Encoding"
 RECORD_SCHEMA = "record_id string, record_type string, uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
 #: Columns that headers alone decide.
 HEADER_COLUMNS = {"record_id": "warc-record-id", "record_type": "warc-type", "uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
@@ -43,12 +47,21 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def uri_lines(uri: str | None) -> list[str]:
+    """The header of a URI as it is; one that a header line can't hold is percent-encoded, and a line of its own says so."""
+    if uri is None:
+        return []
+    if uri.isprintable() and uri == uri.strip() and not uri.startswith("<"):
+        return [f"WARC-Target-URI: {uri}"]
+    return [f"WARC-Target-URI: {quote(uri, safe='')}", f"{URI_ENCODED}: percent"]
+
+
 def record(kind: str, record_id: str, uri: str | None, refers_to: str | None, payload: bytes) -> bytes:
     """A WARC record of an HTTP response; a revisit keeps the HTTP headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", *([f"WARC-Target-URI: {quote(uri, safe='%/:?#[]@!$&()*+,;=~')}"] if uri is not None else []),
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", *uri_lines(uri),
         *([f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if kind == "revisit" else []),
         f"WARC-Payload-Digest: sha1:{digest_of(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
@@ -68,7 +81,7 @@ def parsed(head: bytes) -> dict[str, str]:
     out = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
-        value = value.strip()
+        value = value.strip(" \t")
         out[name.strip().lower()] = value[1:-1] if value.startswith("<") and value.endswith(">") else value
     return out
 
@@ -77,7 +90,7 @@ def column_values(h: dict[str, str]) -> dict[str, str | None]:
     out = {c: h.get(k) for c, k in HEADER_COLUMNS.items()}
     if out["payload_digest"]:
         out["payload_digest"] = out["payload_digest"].rpartition(":")[2]
-    if out["uri"] is not None:
+    if out["uri"] is not None and h.get(URI_ENCODED.lower()) == "percent":
         out["uri"] = unquote(out["uri"])
     return out
 
@@ -91,9 +104,9 @@ class Bytes:
         if gzipped:
             f.seek(at)
             fixed = f.read(12)
+            if len(fixed) < 12 or fixed[:3] != b"\x1f\x8b\x08":
+                raise ValueError(f"no whole gzip member at {at}")
             flags, extra = fixed[3], b""
-            if fixed[:3] != b"\x1f\x8b\x08":
-                raise ValueError(f"no gzip member at {at}")
             here = at + 10
             if flags & 4:
                 n = struct.unpack("<H", fixed[10:12])[0]
@@ -157,6 +170,8 @@ class Bytes:
             return self.at + self.size
         while self.more():
             self.got.clear()
+        if not self.inflater.eof:
+            raise ValueError(f"the gzip member at {self.at} is cut off")
         return self.next + 8
 
 
@@ -169,10 +184,19 @@ def records(f, size: int, wanted: Callable[[dict], bool], payloads: bool) -> Ite
         b = Bytes(f, gzipped, at)
         i = b.until(b"\r\n\r\n")
         if i < 0:
-            return
+            if not gzipped and not b.got.strip(b"\r\n"):
+                return
+            raise ValueError(f"the record at {at} is cut off in its headers")
         h = parsed(bytes(b.got[:i]))
         length, cols = int(h.get("content-length", 0)), column_values(h)
         first = i + 4
+
+        def block() -> bytes:
+            b.upto(first + length)
+            if len(b.got) < first + length:
+                raise ValueError(f"the record at {at} is cut off in its block")
+            return bytes(b.got[first : first + length])
+
         if wanted(cols):
             http, payload = {}, None
             if "application/http" in h.get("content-type", ""):
@@ -181,13 +205,14 @@ def records(f, size: int, wanted: Callable[[dict], bool], payloads: bool) -> Ite
                 if first <= j < first + length:
                     http = parsed(bytes(b.got[first:j]))
                     if payloads and cols["record_type"] != "revisit":
-                        b.upto(first + length)
-                        payload = bytes(b.got[j + 4 : first + length])
+                        payload = block()[j + 4 - first :]
             elif payloads:
-                b.upto(first + length)
-                payload = bytes(b.got[first : first + length])
+                payload = block()
             yield cols, http, payload
         at = b.end(first + length + 4)
+        # The line ends behind a plain record's block may be missing at the end of a file, but nothing else.
+        if at > size + (0 if gzipped else 4):
+            raise ValueError(f"the record before {at} is cut off: the file has {size} bytes")
 
 
 def as_test(f: Filter) -> Callable[[dict], bool] | None:
@@ -309,32 +334,44 @@ def record_id(page_id: Column) -> Column:
 
 def deduplicated_records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
     """record_id, record_type, uri, refers_to, payload of each page."""
+    pages, row = row_key(pages)
     payload = F.encode(F.coalesce(pages[payload_col], F.lit("")), "utf-8")
-    rows = pages.select(pages[id_col].alias("page_id"), pages[uri_col].alias("uri"), payload.alias("payload"))
-    keyed = rows.withColumn("key", F.concat(F.sha1("payload"), F.hex(F.octet_length("payload"))))
-    groups = staged(keyed.groupBy("key").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1 and last is not null").select("key", "last"))
-    with_last = keyed.join(groups, "key", "left")
-    again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return with_last.select(
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
+    thin = staged(pages.select(row.alias("row"), pages[id_col].alias("page_id"), F.sha2(payload, 256).alias("key")))
+    groups = thin.groupBy("key").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1 and last is not null").select("key", "last")
+    again = staged(thin.join(staged(groups), "key").filter(~F.col("page_id").eqNullSafe(F.col("last"))).select("row", "last"))
+    rows = pages.select(row.alias("row"), pages[id_col].alias("page_id"), pages[uri_col].alias("uri"), payload.alias("payload")).join(again, "row", "left")
+    revisit = F.col("last").isNotNull()
+    return rows.select(
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         record_id(F.col("page_id")).alias("record_id"),
         "uri",
-        F.when(again, record_id(F.col("last"))).alias("refers_to"),
+        F.when(revisit, record_id(F.col("last"))).alias("refers_to"),
         "payload",
     )
 
 
+@contextmanager
+def pushed_filters(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark hands filters to the reader; afterwards the session is as it was."""
+    name = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     spark.dataSource.register(Warc)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     path = shared_folder(spark)
-    deduplicated_records(pages).write.format("warc").mode("append").save(path)
     kind = pages.schema["page_id"].dataType
 
     def page(urn: Column) -> Column:
         return F.nullif(F.url_decode(F.substring(urn, len("urn:page:") + 1, 1 << 20)), F.lit("")).cast(kind)
 
-    responses = spark.read.format("warc").option("payload", "check").load(path).filter("record_type = 'response'")
-    revisits = spark.read.format("warc").option("payload", "skip").load(path).filter("record_type = 'revisit'")
-    return responses.unionByName(revisits).select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
+    deduplicated_records(pages).write.format("warc").mode("append").save(path)
+    with pushed_filters(spark):
+        records = spark.read.format("warc").option("payload", "check").load(path).filter("record_type in ('response', 'revisit')")
+        return staged(records.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to")))

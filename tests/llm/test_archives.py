@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import struct
 import wave
 import zlib
 from collections import defaultdict
@@ -65,13 +66,17 @@ def test_ranges_split_archives_and_members_are_retried(spark, docs, tmp_path, mo
     assert all(r["media"] is None and "gone" in r["error"] for p in keeps.partitions() for b in keeps.read(p) for r in b.to_pylist())
 
 
-PAGES = [(1, "http://a/ü b", "<p>x</p>"), (5, "http://b", "<p>x</p>"), (3, None, "<p>x</p>"), (2, "http://c", None), (9, "http://d", ""), (4, "http://e", "y\r\n\r\nz" * 20_000), (None, "http://f", "lone"), (5, "http://b", "<p>x</p>")]
+PAGES = [(1, "http://a/ü b", "<p>x</p>"), (5, "http://b", "<p>x</p>"), (3, None, "<p>x</p>"), (2, "http://c", None), (9, "http://d", ""), (4, "http://e", "y\r\n\r\nz" * 20_000), (None, "http://f", "lone"), (5, "http://b", "<p>x</p>"), (11, "http://a/x%20b", "n"), (12, "<a>", "o"), (13, " \u2028 http://a\r\nX: y%41", "p"), (14, "", "q"), (15, "\u00a0a ", "r")]
 
 
 @pytest.fixture(scope="module")
 def archive(spark, tmp_path_factory):
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(warc.Warc)
+    with warc.pushed_filters(spark):
+        yield written(spark, tmp_path_factory)
+
+
+def written(spark, tmp_path_factory):
     path = f"file://{tmp_path_factory.mktemp('warc')}/w"
     pages = spark.createDataFrame([(*p, "c") for p in PAGES], "page_id long, url string, html string, payload string")
     warc.deduplicated_records(pages).write.format("warc").mode("append").save(path)
@@ -115,5 +120,41 @@ def test_warc_of_other_writers(tmp_path):
         assert [len(p) for _, _, p in got] == [0, 9000, 27_000, 36_000]
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, warc.gzip_member])
+def test_a_file_that_ends_within_a_record_fails(tmp_path, pack):
+    raw = [warc.record("response", f"urn:page:{i}", "http://x", None, bytes(range(256)) * 200) for i in range(4)]
+    whole, last = b"".join(map(pack, raw)), len(pack(raw[3]))
+    for payloads, wanted in ((True, lambda c: True), (False, lambda c: True), (True, lambda c: False)):
+        for cut in (0, 5, 9, 300, last - 600, last - 200, last - 30, last - 1, last):
+            name = tmp_path / f"{cut}"
+            name.write_bytes(whole[: len(whole) - cut])
+            with name.open("rb") as f:
+                read = warc.records(f, len(whole) - cut, wanted, payloads)
+                # Without its payload, a plain record lacks nothing but line ends.
+                if cut in (0, last):
+                    assert len(list(read)) == (4 - (cut == last)) * wanted(None)
+                else:
+                    with pytest.raises((ValueError, struct.error, zlib.error)):
+                        list(read)
+
+
+def test_op7_leaves_the_session_as_it_was(spark, tmp_path):
+    name = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(name, None)
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    for part in (pages, pages.limit(0)):
+        part.write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+        got = sorted(((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op7(spark, str(tmp_path)).collect()), key=str)
+        by = defaultdict(list)
+        for i, _, html in PAGES if part is pages else []:
+            by[(html or "").encode()].append(i)
+        want = []
+        for raw, ids in by.items():
+            last = max((i for i in ids if i is not None), default=None)
+            want += [(i or -1, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), *(("response", None) if i == last else ("revisit", last))) for i in ids]
+        assert got == sorted(want, key=str)
+    assert spark.conf.get(name, None) == before
+
+
 def test_empty_tables(spark, docs):
     assert media.media_features(media.stored_media(docs.limit(0))).count() == 0

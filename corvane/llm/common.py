@@ -18,10 +18,13 @@ _OWN_FOLDER: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path under the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (a local test session) a temporary folder stands in for it.
+    Where that setting is missing, a temporary folder stands in for it in a local session, whose tasks share it; elsewhere it fails.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="corvane-"))
         base = _OWN_FOLDER[0]

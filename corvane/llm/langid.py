@@ -4,13 +4,14 @@ A language is a distribution over character trigrams, hashed to 2**BITS; letters
 blank, and trigrams have a letter in the middle. The counts come from all labelled documents outside the held-out fold and
 are combined in each task; the model is 2**BITS numbers for each language, of which there are MOST_LANGUAGES at most.
 
-Of a document, EM over all languages gives shares. Then sets of the languages with the largest shares are compared by
+Of a document, EM over all languages gives shares, until no share moves by more than TOLERANCE. Then sets of the languages with the largest shares are compared by
 penalised likelihood, each with shares of its own: a further language must raise the log-likelihood by PENALTY times the log of
 the number of trigrams. The predicted language is that with the largest share in the best set.
 
 Cases. A text that is null or has no letter is `und`, with score 0; so is every text if nothing can be learned. Rows without
-a language or id teach nothing. Equal shares go to the first language in order. Extra columns are ignored or kept, by the
-function. An empty table gives an empty result.
+a language or id teach nothing; rows that repeat an id teach, and are identified, each. Equal shares go to the first language in
+order. A very long text is taken in blocks of characters. Extra columns are ignored or kept, by the function. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 from corvane.llm.common import held_out, staged
 
 BITS, SMOOTHING, MOST_LANGUAGES = 16, 0.1, 128
-STEPS, LEAST_SHARE, PENALTY = 15, 0.02, 4.0
+LEAST_SHARE, PENALTY = 0.02, 4.0
+#: EM ends where no share moves further; its steps are bounded in case two languages are alike.
+TOLERANCE, STEPS = 1e-4, 1000
 UNKNOWN = "und"
+TOO_MANY = f"more than {MOST_LANGUAGES} languages; the model is sent whole"
 #: Characters taken at once.
 BLOCK = 1 << 20
 
@@ -45,10 +49,10 @@ def folded() -> np.ndarray:
     return out
 
 
-def trigrams(text: str | None, bits: int = BITS) -> np.ndarray | None:
-    """Counts of hashed trigrams; None if there is no letter."""
-    counts, any_letter = np.zeros(1 << bits, np.int64), False
-    text = text or ""
+def trigrams(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distinct hashed trigrams, in order, and their counts; None if there is no letter."""
+    found, text = [], text or ""
+    counts = np.zeros(1 << bits, np.int64) if len(text) >= 1 << (bits - 2) else None
     for at in range(0, len(text), BLOCK):
         part = text[max(0, at - 1) : at + BLOCK + 1]
         c = folded()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -56,11 +60,16 @@ def trigrams(text: str | None, bits: int = BITS) -> np.ndarray | None:
         inner = c[1:-1] != 0
         if not inner.any():
             continue
-        any_letter = True
         x = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA77) + c[2:] * np.uint32(0xC2B2AE3D)
         x = ((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)
-        counts += np.bincount(x[inner], minlength=1 << bits)
-    return counts if any_letter else None
+        if counts is None:
+            found.append(x[inner])
+        else:
+            counts += np.bincount(x[inner], minlength=1 << bits)
+    if counts is None:
+        return np.unique(np.concatenate(found), return_counts=True) if found else None
+    at = np.flatnonzero(counts)
+    return (at, counts[at]) if len(at) else None
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -72,7 +81,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
                 c = trigrams(t.as_py())
                 if c is not None:
-                    found[lang] += c
+                    found[lang][c[0]] += c[1]
+                    if len(found) > MOST_LANGUAGES:
+                        raise ValueError(TOO_MANY)
         for lang, c in found.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])], ["lang", "gram", "n"])
@@ -82,7 +93,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     grams = staged(taught.mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     langs = sorted(r["lang"] for r in grams.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages; the model is sent whole")
+        raise ValueError(TOO_MANY)
     n = np.full((1 << BITS, len(langs)), SMOOTHING)
     if langs:
         numbered = grams.select(F.col("gram"), (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("int").alias("lang"), "n").toPandas()
@@ -95,7 +106,9 @@ def shares(p: np.ndarray, c: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray
     theta, total = np.full(p.shape[1], 1 / p.shape[1]), c.sum()
     if p.shape[1] > 1:
         for _ in range(steps):
-            theta = theta * ((c / (p @ theta)) @ p) / total
+            last, theta = theta, theta * ((c / (p @ theta)) @ p) / total
+            if np.abs(theta - last).max() <= TOLERANCE:
+                break
     return theta, float(c @ np.log(p @ theta))
 
 
@@ -104,8 +117,7 @@ def languages_of(text: str | None, p: np.ndarray) -> list[tuple[int, float]]:
     counts = trigrams(text) if p.shape[1] else None
     if counts is None:
         return []
-    at = np.flatnonzero(counts)
-    c, q = counts[at].astype(float), p[at]
+    c, q = counts[1].astype(float), p[counts[0]]
     all_shares, _ = shares(q, c)
     order = np.argsort(-all_shares, kind="stable")
     best, best_value = [], -np.inf

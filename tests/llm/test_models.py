@@ -68,6 +68,80 @@ def test_mixture_shares_are_a_maximum():
     assert math.isclose(theta.sum(), 1)
 
 
+def plain_languages(taught, texts, penalty=langid.PENALTY):
+    """language and share of each text by plain counting, dictionaries and EM, a trigram at a time."""
+
+    def grams(t):
+        c = [(x.lower() if len(x.lower()) == 1 else x) if x.isalpha() else " " for x in f" {t or ''} "]
+        h = lambda a: 0 if a == " " else ord(a)
+        out = {}
+        for x, y, z in zip(c, c[1:], c[2:], strict=False):
+            if y != " ":
+                v = (h(x) * 0x9E3779B1 + h(y) * 0x85EBCA77 + h(z) * 0xC2B2AE3D) & 0xFFFFFFFF
+                v = ((v ^ v >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 16
+                out[v] = out.get(v, 0) + 1
+        return out
+
+    counts = {}
+    for lang, t in taught:
+        for g, n in grams(t).items():
+            counts.setdefault(lang, {}).setdefault(g, 0)
+            counts[lang][g] += n
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + 0.1 * 65536 for x in langs}
+    p = lambda x, g: (counts[x].get(g, 0) + 0.1) / total[x]
+
+    def em(c, among):
+        share = dict.fromkeys(among, 1 / len(among))
+        for _ in range(400 if len(among) > 1 else 0):
+            new = dict.fromkeys(among, 0.0)
+            for g, n in c.items():
+                mix = sum(share[x] * p(x, g) for x in among)
+                for x in among:
+                    new[x] += n * share[x] * p(x, g) / mix
+            share = {x: v / sum(c.values()) for x, v in new.items()}
+        return share, sum(n * math.log(sum(share[x] * p(x, g) for x in among)) for g, n in c.items())
+
+    out = []
+    for t in texts:
+        c = grams(t)
+        if not c:
+            out.append(("und", 0.0))
+            continue
+        overall, _ = em(c, langs)
+        ranked, best = sorted(langs, key=lambda x: -overall[x]), None
+        for k in range(1, len(langs) + 1):
+            share, value = em(c, ranked[:k])
+            value -= penalty * (k - 1) * math.log(sum(c.values()) + 1)
+            if k > 1 and (overall[ranked[k - 1]] < langid.LEAST_SHARE or value <= best[0]):
+                break
+            best = (value, share if k > 1 else {ranked[0]: overall[ranked[0]]})
+        top = max(best[1], key=best[1].get)
+        out.append((top, best[1][top]))
+    return out
+
+
+def test_predictions_are_those_of_plain_counting(spark):
+    rng = random.Random(8)
+    rows = [(i, text_of(rng, x := rng.choice("aa bb cc".split()), 12), x) for i in range(60)]
+    rows += [(100 + i, text_of(rng, "aa", 10 + i) + " " + text_of(rng, "bb", 18 - i), None) for i in range(8)] + [(200, "щ7a", None), (201, "!", None), (202, "Ÿß İ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.language_id(docs).collect()}
+    want = plain_languages([(x, t) for i, t, x in rows if x and not held(i)], [t for _, t, _ in rows])
+    for (i, _, _), (lang, share) in zip(rows, want, strict=True):
+        assert got[i].lang_pred == lang and math.isclose(got[i].score, share, abs_tol=2e-2), i
+
+
+def test_more_languages_than_the_model_may_have(spark):
+    many = spark.range(400).selectExpr("id as doc_id", "'abc' as text", "concat('l', id) as lang")
+    with pytest.raises(Exception, match="more than 128 languages"):
+        langid.learn(many)
+
+
+def test_language_of_an_empty_table(docs):
+    assert langid.language_id(docs.limit(0)).count() == langid.with_language(docs.limit(0)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def rated(spark):
     rng = random.Random(7)

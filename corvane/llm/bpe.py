@@ -5,21 +5,23 @@ characters, which tasks encode in parallel; neighbours are then joined level by
 around it are cut anew, and the window grows until its first one is the left side's and its last one begins where the right
 side's does: the cut reads forward only, so from there on both agree exactly. A pre-token of over LONG bytes is encoded in
 the same way from leaves of LEAF bytes, by pieces; a sequence of pieces is the encoding exactly if each two neighbours are,
-so one piece in common on either side is enough. Texts between LEAF_TEXT and SPREAD are joined from leaves within their task.
+so one piece in common on either side is enough. The task that joins a text's leaves holds them as Arrow slices, some three
+times the text's bytes, and digests them as a stream. `encoded` keeps each text in one task and joins leaves there.
 For all other pre-tokens each worker keeps the pieces of those it has met, up to CACHE entries.
 
 Cases. A null text counts as empty and has no pieces. Strings of special tokens inside a text are those tokens. Characters
-beyond a plain set go through the tokenizer's own normaliser and splitter. Extra columns are ignored.
+beyond a plain set go through the tokenizer's own normaliser and splitter. Rows that repeat an id, or a text, are encoded each.
+Extra columns are ignored or kept, by the function. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from corvane.llm.common import slices
 
 CACHE, CACHED_LENGTH = 400_000, 64
 LONG, LEAF, WINDOW = 4096, 1024, 8
-SPREAD, LEAF_TEXT = 1 << 20, 1 << 14
+SPREAD, LEAF_TEXT = 1 << 14, 1 << 13
 #: Characters on which Python's classes, its lower() and the tokenizer's rules agree: those outside go the slower way.
 UNUSUAL = re.compile(r"[^\t-\r -~\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-įı-ɏА-я]|<\|")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d|"
@@ -125,11 +127,12 @@ class Cutter:
         a, window, b = self.recut(left, right)
         return left[:a] + window + right[b:]
 
-    def recut(self, left: list[str], right: list[str]) -> tuple[int, list[str], int]:
-        """(pre-tokens of left that stay, what stands between, pre-tokens of right that go)."""
+    def recut(self, left: Sequence, right: Sequence) -> tuple[int, list[str], int]:
+        """(pre-tokens of left that stay, what stands between, pre-tokens of right that go). Of Arrow columns only windows are
+        made Python's."""
         k = WINDOW
         while True:
-            a, b = left[-k:], right[:k]
+            a, b = (x if isinstance(x, list) else x.to_pylist() for x in (left[-k:], right[:k]))
             window = self.cut("".join(a + b))[0]
             if (k >= len(left) or window[0] == a[0]) and (k >= len(right) or window[-1] == b[-1]):
                 return max(0, len(left) - k), window, min(k, len(right))
@@ -212,9 +215,19 @@ def decoded(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     return rows.mapInArrow(each, f"doc {rows.schema['doc'].dataType.simpleString()}, text string")
 
 
-def digests(ids: list[str], path: str) -> tuple[int, str, str]:
-    whole, sha = ",".join(ids), hashlib.sha256
-    return whole.count(",") + 1 if whole else 0, sha(whole.encode()).hexdigest(), sha(decode(ids, path).encode("utf-8")).hexdigest()
+def digests(parts: Iterable[list[str]], path: str) -> tuple[int, str, str]:
+    """Number and digest of the ids, and digest of the text they decode to; of parts of what encode() gives."""
+    of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
+    bytes_of, text_of = memo_of_bytes(path), codecs.getincrementaldecoder("utf-8")("replace")
+    for ids in parts:
+        if not ids:
+            continue
+        joined = ",".join(ids)
+        of_ids.update(("," + joined if n else joined).encode())
+        n += joined.count(",") + 1
+        of_text.update(text_of.decode(b"".join(map(bytes_of.__getitem__, ids))).encode("utf-8"))
+    of_text.update(text_of.decode(b"", True).encode("utf-8"))
+    return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
 def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD, leaf: int = LEAF_TEXT) -> DataFrame:
@@ -224,7 +237,7 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [digests(encode(t.as_py(), path), path) for t in b.column("text")]
+            rows = [digests([encode(t.as_py(), path)], path) for t in b.column("text")]
             cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -236,21 +249,19 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids = [ids_of(p, path) for p in pre]
             yield pa.RecordBatch.from_arrays([*map(b.column, ("row", "doc_id", "part")), pa.array(pre, pa.list_(pa.string())), pa.array(ids, pa.list_(pa.string()))], ["row", "doc_id", "part", "pre", "ids"])
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        c = cutter(path)
-        level = [(list(p), list(i)) for p, i in zip(pdf["pre"], pdf["ids"], strict=True)]
+    def join(leaf_rows: pa.Table) -> pa.Table:
+        c, leaf_rows = cutter(path), leaf_rows.sort_by("part")
+        sides = [[pa.chunked_array([x.values], pa.string()) for x in leaf_rows.column(name)] for name in ("pre", "ids")]
+        level = list(zip(*sides, strict=True))
         while len(level) > 1:
-            above = []
-            for i in range(0, len(level), 2):
-                (lp, li), right = level[i], level[i + 1 : i + 2]
-                for rp, ri in right:
-                    a, window, n = c.recut(lp, rp)
-                    lp, li = lp[:a] + window + rp[n:], li[:a] + ids_of(window, path) + ri[n:]
-                above.append((lp, li))
-            level = above
-        n, of_ids, of_text = digests(level[0][1], path)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "n_tokens": [n], "ids_sha256": [of_ids], "decoded_sha256": [of_text]})
+            above = level[-1:] if len(level) % 2 else []
+            pairs = []
+            for (lp, li), (rp, ri) in zip(level[::2], level[1::2], strict=False):
+                a, window, n = c.recut(lp, rp)
+                pairs.append(tuple(pa.chunked_array([*x[:a].chunks, pa.array(w, pa.string()), *y[n:].chunks]) for x, w, y in ((lp, window, rp), (li, ids_of(window, path), ri))))
+            level = pairs + above
+        n, of_ids, of_text = digests((part.to_pylist() for part in level[0][1].chunks), path)
+        return pa.table([leaf_rows.column("doc_id").slice(0, 1), pa.array([n], pa.int64()), pa.array([of_ids]), pa.array([of_text])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     if cutter(path).lower:
         return slim.mapInArrow(each, out)
@@ -261,4 +272,4 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
     parts = F.transform(F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {leaf}").cast("int")), lambda i: F.substring(F.col("text"), i * leaf + 1, F.lit(leaf)))
     kind = slim.schema["doc_id"].dataType.simpleString()
     cut = long.select("row", "doc_id", F.posexplode(parts).alias("part", "leaf")).repartition("row", "part").mapInArrow(leaves, f"row bigint, doc_id {kind}, part int, pre array<string>, ids array<string>")
-    return short.unionByName(cut.groupBy("row").applyInPandas(join, out))
+    return short.unionByName(cut.groupBy("row").applyInArrow(join, out))

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -49,12 +49,30 @@ def test_cut_from_leaves_is_exact():
 @pytest.mark.parametrize(("spread", "leaf"), [(bpe.SPREAD, bpe.LEAF_TEXT), (5, 3), (40, 16)])
 def test_round_trip(docs, spread, leaf):
     t = Tokenizer.from_file(BYTE)
-    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip_digests(docs, BYTE, spread=spread, leaf=leaf).collect()}
-    want = set()
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip_digests(docs, BYTE, spread=spread, leaf=leaf).collect())
+    want = Counter()
     for r in docs.collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        want.add((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))))
+        want[(r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))] += 1
+    assert got == want
+
+
+def test_long_texts_are_encoded_in_parallel(spark):
+    """With the settings of the query: random texts of several leaves, a long pre-token across leaves, repeated rows."""
+    rng, t = random.Random(4), Tokenizer.from_file(BYTE)
+    pieces = ["the ", "don't ", "  ", "\n\n", "12 34", "<|endoftext|>", "...", " 日本", "é ", "_a_", "word" * 9, "😀"]
+    texts = ["".join(rng.choices(pieces, k=n)) for n in (6000, 9000, 30_000)] + ["ab" * 20_000, "x " + "ab" * 9000 + " y", " " * 40_000]
+    assert all(len(x) > bpe.SPREAD for x in texts)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(0, texts[0]), (None, texts[1])], "doc_id long, text string")
+    out = bpe.round_trip_digests(docs, BYTE)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = Counter()
+    for i, x in [*enumerate(texts), (0, texts[0]), (None, texts[1])]:
+        ids = t.encode(x, add_special_tokens=False).ids
+        want[(i, len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))] += 1
     assert got == want
 
 

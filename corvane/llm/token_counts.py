@@ -1,12 +1,13 @@
 """Token counts from pre-token frequencies: pieces are counted once for each distinct pre-token, ids never exist.
 
-One pass counts pre-tokens over all texts, combined in each task, and each distinct one is encoded once. A second pass
-makes the frequencies of each document and joins them to those counts. Pre-tokens follow a steep distribution, so the join
-is done in two parts: the HOT most frequent ones, HOT rows of HOT_LENGTH characters at most, are broadcast and summed where
-the document is; the rest, a few hundredths of all, are shuffled and joined. Every pre-token is in exactly one part.
-
-Cases. A null text counts as empty: no bytes, no tokens. Pre-tokens of any length are joined whole. Rows that repeat an id
-are counted each. Extra columns are ignored. An empty table gives an empty result.
+One pass cuts the texts. It writes each document's pre-tokens with their frequencies, and for each task those of all its texts
+together, from which the distinct pre-tokens come; each is encoded once. The documents' frequencies are then joined to these
+counts. Pre-tokens follow a steep distribution, so the join is done in two parts: the HOT most frequent ones, HOT rows of
+HOT_LENGTH characters at most, are broadcast and looked up where the document's frequencies are; the rest, a few hundredths of
+all, are shuffled and joined. Every pre-token is in exactly one part.
+
+Cases. A null text counts as empty: no bytes, no tokens. Pre-tokens of any length are joined whole; a very long text is cut whole
+in its task. Rows that repeat an id are counted each. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corvane.llm.bpe import as_chars, cutter
-from corvane.llm.common import staged
+from corvane.llm.common import shared_folder, slices, staged
 
 HOT, HOT_LENGTH, FLUSH = 150_000, 32, 200_000
+#: Pre-tokens in a row of those of a task.
+TOGETHER = 5_000
 #: Marks a special token's own string among pre-tokens; no pre-token begins with a space here.
 MARK = " "
 
@@ -32,22 +37,48 @@ def pre_tokens(text: str | None, path: str) -> list[str]:
     return [MARK + p if p in c.special else p for p in pre] if special else pre
 
 
-def distinct_pre_tokens(texts: DataFrame, path: str) -> DataFrame:
-    """pre, freq, pieces of all texts (text); staged."""
+def frequencies(docs: DataFrame, path: str) -> DataFrame:
+    """Of documents (row, doc_id, text): row, doc_id, n_bytes, pre, n, the distinct pre-tokens and how often each occurs. Rows
+    without n_bytes have those of many documents together. Staged, the two kinds apart."""
+    kind = docs.schema["doc_id"].dataType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
+        together: Counter[str] = Counter()
+        names = ["row", "doc_id", "n_bytes", "pre", "n"]
+        lists = pa.list_(pa.string()), pa.list_(pa.int64())
+
+        def of_all() -> Iterator[pa.RecordBatch]:
+            pre, n = list(together.keys()), list(together.values())
+            for at in range(0, len(pre), TOGETHER):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.array([pre[at : at + TOGETHER]], lists[0]), pa.array([n[at : at + TOGETHER]], lists[1])], names
+                )
+            together.clear()
+
+        id_type = to_arrow_type(kind)
+        for b in (part for whole in batches for part in slices(whole)):
+            size, pre, n = [], [], []
+            for t in b.column("text"):
+                text = t.as_py() or ""
+                size.append(len(text.encode("utf-8")))
+                cut = pre_tokens(text, path)
+                own = Counter(cut)
+                together.update(cut)
+                pre.append(list(own.keys()))
+                n.append(list(own.values()))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(size, pa.int64()), pa.array(pre, lists[0]), pa.array(n, lists[1])], names)
+            if len(together) > FLUSH:
+                yield from of_all()
+        yield from of_all()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["pre", "freq"])
+    counted = docs.mapInArrow(count, f"row bigint, doc_id {kind.simpleString()}, n_bytes bigint, pre array<string>, n array<bigint>")
+    folder = shared_folder(docs.sparkSession)
+    counted.withColumn("together", F.col("n_bytes").isNull().cast("int")).write.partitionBy("together").parquet(folder)
+    return docs.sparkSession.read.schema(StructType([*counted.schema, StructField("together", IntegerType())])).parquet(folder)
 
-        for b in batches:
-            for t in b.column("text"):
-                found.update(pre_tokens(t.as_py(), path))
-                if len(found) > FLUSH:
-                    yield out()
-                    found.clear()
-        yield out()
+
+def distinct_pre_tokens(counted: DataFrame, path: str) -> DataFrame:
+    """pre, freq, pieces of all texts; staged."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = cutter(path)
@@ -55,8 +86,8 @@ def distinct_pre_tokens(texts: DataFrame, path: str) -> DataFrame:
             n = [1 if p.startswith(MARK) else len(c.model.tokenize(as_chars(p.encode("utf-8")))) for p in b.column("pre").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("pre"), b.column("freq"), pa.array(n, pa.int64())], ["pre", "freq", "pieces"])
 
-    counted = texts.mapInArrow(count, "pre string, freq bigint").groupBy("pre").agg(F.sum("freq").alias("freq"))
-    return staged(counted.mapInArrow(pieces, "pre string, freq bigint, pieces bigint"))
+    each = counted.filter("together = 1").select(F.explode(F.arrays_zip("pre", "n")).alias("p")).select("p.pre", "p.n")
+    return staged(each.groupBy("pre").agg(F.sum("n").alias("freq")).mapInArrow(pieces, "pre string, freq bigint, pieces bigint"))
 
 
 def most_frequent(known: DataFrame, hot: int) -> DataFrame:
@@ -76,40 +107,38 @@ def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc
     """doc_id, n_bytes, n_tokens, over_limit for each row."""
     spark = df.sparkSession
     docs = df.select(F.monotonically_increasing_id().alias("row"), df[id_col].alias("doc_id"), df[text_col].alias("text"))
-    known = distinct_pre_tokens(docs.select("text"), path)
+    counted = frequencies(docs, path)
+    known = distinct_pre_tokens(counted, path)
     top = most_frequent(known, hot).select("pre", "pieces").toPandas()
     table = spark.sparkContext.broadcast(dict(zip(top["pre"].tolist(), top["pieces"].tolist(), strict=True)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = table.value.get
-        for b in batches:
-            row, size, here, at, pre, times = b.column("row").to_pylist(), [], [], [], [], []
-            for i, t in enumerate(b.column("text")):
-                text = t.as_py() or ""
-                size.append(len(text.encode("utf-8")))
-                found = pre_tokens(text, path)
-                n = list(map(get, found))
-                if None in n:
-                    rest = Counter(p for p, k in zip(found, n, strict=True) if k is None)
-                    at += [row[i]] * len(rest)
-                    pre += rest.keys()
-                    times += rest.values()
-                    n = [k for k in n if k is not None]
-                here.append(sum(n))
+        for b in (part for whole in batches for part in slices(whole)):
+            row, here, at, pre, times = b.column("row").to_pylist(), [], [], [], []
+            for r, found, n in zip(row, b.column("pre").to_pylist(), b.column("n").to_pylist(), strict=True):
+                pieces = list(map(get, found))
+                here.append(sum(k * m for k, m in zip(pieces, n, strict=True) if k is not None))
+                if None in pieces:
+                    rest = [(p, m) for p, k, m in zip(found, pieces, n, strict=True) if k is None]
+                    at += [r] * len(rest)
+                    pre += [p for p, _ in rest]
+                    times += [m for _, m in rest]
             # A document's own row has a key that no pre-token has, so that it meets nothing in the join.
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row + at, pa.int64()),
                     pa.concat_arrays([b.column("doc_id"), pa.nulls(len(at), b.column("doc_id").type)]),
-                    pa.array(size + [None] * len(at), pa.int64()),
+                    pa.concat_arrays([b.column("n_bytes"), pa.nulls(len(at), pa.int64())]),
                     pa.array([f"{MARK}{MARK}{r}" for r in row] + pre, pa.string()),
                     pa.array(here + times, pa.int64()),
                 ],
                 ["row", "doc_id", "n_bytes", "pre", "n"],
             )
 
-    parts = docs.mapInArrow(each, f"row bigint, doc_id {kind}, n_bytes bigint, pre string, n bigint")
+    own = counted.filter("together = 0").select("row", "doc_id", "n_bytes", "pre", "n")
+    parts = own.mapInArrow(each, f"row bigint, doc_id {kind}, n_bytes bigint, pre string, n bigint")
     summed = (
         parts.join(known.select("pre", "pieces"), "pre", "left")
         .groupBy("row")

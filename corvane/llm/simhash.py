@@ -22,7 +22,7 @@ id or have none. Very long texts are hashed in blocks. Extra columns are ignored
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,24 +45,34 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
+def shingle_hashes(text: str | None, size: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """Blocks of the hashes of a text's shingles, repeats included; of fewer words, of the whole sequence."""
     words = words_of(text or "")
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
-    if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest, n = xxhash.xxh64_intdigest, len(words) - size + 1
-    counts = np.zeros(64, np.int64)
+    digest, size = xxhash.xxh64_intdigest, min(size, len(words))
+    n = len(words) - size + 1
     for at in range(0, n, HASH_BLOCK):
         a, b = starts[at : min(at + HASH_BLOCK, n)].tolist(), ends[at + size - 1 : min(at + HASH_BLOCK, n) + size - 1].tolist()
-        h = np.array([digest(joined[i:j], SEED) for i, j in zip(a, b, strict=True)], dtype="<u8")
+        yield np.array([digest(joined[i:j], SEED) for i, j in zip(a, b, strict=True)], dtype="<u8")
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that over half of the hashes have; 0 of none."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """row, doc_id, fp (the 64 bits as a signed long) of documents (row, doc_id, text)."""
 

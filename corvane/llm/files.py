@@ -10,6 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql.datasource import WriterCommitMessage
 
 MANIFEST = "_files.json"
+#: Read tasks that the driver plans at most, but for one more.
+PARTITIONS = 20_000
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -54,3 +56,15 @@ def committed(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
             return [(n, s) for n, s in json.loads(f.read())]
     found = fs.get_file_info(pafs.FileSelector(folder))
     return sorted((x.base_name, x.size) for x in found if x.is_file and x.base_name.endswith(suffixes))
+
+
+def together(sizes: list[int], least: int, most: int | None = None) -> list[list[int]]:
+    """The places of sizes in runs of `least` bytes or more, and of more where there would be more than `most` runs (PARTITIONS)."""
+    target, runs, held = max(least, -(-sum(sizes) // (most or PARTITIONS))), [], 0
+    for i, size in enumerate(sizes):
+        if not runs or held >= target:
+            runs.append([])
+            held = 0
+        runs[-1].append(i)
+        held += size
+    return runs

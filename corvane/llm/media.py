@@ -2,7 +2,7 @@
 
 The source `media_archive` writes each task's members to ZIP files of ARCHIVE_BYTES or MEMBERS at most; a manifest names the
 files that count, so that repeated task attempts do no harm. Reading, the driver plans byte ranges from the files' sizes
-alone. A task walks the archive's directory as a stream, takes the members that begin in its range, reads each at its own
+alone, several for a task where there would be too many tasks. A task walks the archive's directory as a stream, takes the members that begin in its range, reads each at its own
 offset, and passes them on as Arrow batches of BATCH_BYTES. A member that can't be read is tried again by its offset,
 with the file opened anew, without reading its neighbours again; what fails TRIES times fails the task or, with
 on_error = keep, becomes a row with `error`.
@@ -10,7 +10,8 @@ on_error = keep, becomes a row with `error`.
 A text is stored as a WAV file of 8-bit samples: its UTF-8 bytes and then zeros up to a positive multiple of 64.
 
 Cases. A null text counts as empty: 64 zeros. A null id stays null. Rows that repeat an id are members of their own. Extra
-columns are ignored. An empty table gives an archive folder without files and an empty result.
+columns are ignored. A very long text is one member, held whole by its task. An empty table gives an archive folder without files
+and an empty result.
 """
 
 from __future__ import annotations
@@ -72,11 +73,18 @@ def feature(payload: bytes) -> str:
     return f"mean={centred.mean():.4f} rms={np.sqrt((centred * centred).mean()):.4f} turns={signs} bands=" + ",".join(f"{b:.4f}" for b in bands)
 
 
-class Range(InputPartition):
+class Range:
+    """Bytes of an archive."""
+
     def __init__(self, archive: str, size: int, start: int, end: int):
         self.archive, self.size, self.start, self.end = archive, size, start, end
 
 
+class Ranges(InputPartition):
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
 def directory(f, size: int) -> Iterator[tuple[int, int, int, int, int, str, bytes]]:
     """(offset, method, crc, stored bytes, whole bytes, name, comment) of each member of an open archive, in the order stored."""
     tail = min(size, DIRECTORY_END.size + 65_535)
@@ -116,13 +124,18 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         found = [Range(n, s, a, min(s, a + self.split)) for n, s in files.committed(self.path, (".zip",)) for a in range(0, s, self.split)]
-        return found or [Range("", 0, 0, 0)]
+        runs = files.together([r.end - r.start for r in found], self.split)
+        return [Ranges([found[i] for i in run]) for run in runs] or [Ranges([])]
 
     def open(self, archive: str):
         fs, folder = files.opened(self.path)
         return fs.open_input_file(f"{folder}/{archive}")
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in part.ranges:
+            yield from self.members(r)
+
+    def members(self, part: Range) -> Iterator[pa.RecordBatch]:
         names = ["id", "size", "archive", "offset", "media", "error"]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
         rows: list[tuple] = []
@@ -131,8 +144,6 @@ class ArchiveReader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        if not part.size:
-            return
         f = self.open(part.archive)
         with self.open(part.archive) as listing:
             for offset, method, crc, stored, whole, name, comment in directory(io.BufferedReader(listing, 1 << 16), part.size):

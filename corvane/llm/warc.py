@@ -1,7 +1,7 @@
 """WARC archives as a Spark data source.
 
 The source `warc` writes each task's records to files of FILE_BYTES at most, one gzip member for each record, whose extra
-field `sl` holds the member's lengths. Reading, files are the partitions; the driver takes their names from a manifest.
+field `sl` holds the member's lengths. Reading, files are the partitions, several in one where there would be too many; the driver takes their names from a manifest.
 Filters on record type and on header columns are pushed to the reader, which inflates a member as far as its headers,
 tests them, and goes on to the next member by the recorded length, so that unwanted payloads are neither read nor decoded.
 Files of other writers, without `sl` or without gzip, are read too; there a record's end is found from Content-Length. A file
@@ -234,9 +234,11 @@ def as_test(f: Filter) -> Callable[[dict], bool] | None:
     return None
 
 
-class File(InputPartition):
-    def __init__(self, name: str, size: int):
-        self.name, self.size = name, size
+class Files(InputPartition):
+    """(name, bytes) of each file of a task."""
+
+    def __init__(self, found: list[tuple[str, int]]):
+        self.found = found
 
 
 class WarcReader(DataSourceReader):
@@ -253,9 +255,14 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [File(n, s) for n, s in files.committed(self.path, (".warc", ".warc.gz"))] or [File("", 0)]
+        found = files.committed(self.path, (".warc", ".warc.gz"))
+        return [Files([found[i] for i in run]) for run in files.together([s for _, s in found], 0)] or [Files([])]
+
+    def read(self, part: Files) -> Iterator[pa.RecordBatch]:
+        for name, size in part.found:
+            yield from self.records_of(name, size)
 
-    def read(self, part: File) -> Iterator[pa.RecordBatch]:
+    def records_of(self, name: str, file_bytes: int) -> Iterator[pa.RecordBatch]:
         names = [*HEADER_COLUMNS, "payload_bytes", "payload"]
         kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
         tests = [as_test(f) for f in self.pushed]
@@ -265,14 +272,12 @@ class WarcReader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        if not part.name:
-            return
         fs, folder = files.opened(self.path)
-        with fs.open_input_file(f"{folder}/{part.name}") as f:
-            for cols, http, payload in records(f, part.size, lambda c: all(t(c) for t in tests), self.payload != "skip"):
+        with fs.open_input_file(f"{folder}/{name}") as f:
+            for cols, http, payload in records(f, file_bytes, lambda c: all(t(c) for t in tests), self.payload != "skip"):
                 size = len(payload) if payload is not None else int(http["content-length"]) if "content-length" in http else None
                 if payload is not None and cols["payload_digest"] not in (None, digest_of(payload)):
-                    raise ValueError(f"{part.name}: the payload of {cols['record_id']} differs from its digest")
+                    raise ValueError(f"{name}: the payload of {cols['record_id']} differs from its digest")
                 rows.append((*(cols[c] for c in HEADER_COLUMNS), size, payload if self.payload == "keep" else None))
                 held += len(payload or b"") if self.payload == "keep" else 0
                 if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:

@@ -156,5 +156,13 @@ def test_op7_leaves_the_session_as_it_was(spark, tmp_path):
     assert spark.conf.get(name, None) == before
 
 
+def test_ranges_are_put_together_where_tasks_would_be_too_many():
+    from corvane.llm.files import together
+
+    assert together([5, 5, 5], 5) == [[0], [1], [2]] and together([2, 2, 2, 9, 1], 4) == [[0, 1], [2, 3], [4]] and together([], 4) == []
+    runs = together([16] * 100_000, 16, 200)
+    assert len(runs) <= 201 and [i for run in runs for i in run] == list(range(100_000))
+
+
 def test_empty_tables(spark, docs):
     assert media.media_features(media.stored_media(docs.limit(0))).count() == 0

@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,19 +216,43 @@ def decoded(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     return rows.mapInArrow(each, f"doc {rows.schema['doc'].dataType.simpleString()}, text string")
 
 
-def digests(parts: Iterable[list[str]], path: str) -> tuple[int, str, str]:
-    """Number and digest of the ids, and digest of the text they decode to; of parts of what encode() gives."""
-    of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
-    bytes_of, text_of = memo_of_bytes(path), codecs.getincrementaldecoder("utf-8")("replace")
-    for ids in parts:
-        if not ids:
-            continue
-        joined = ",".join(ids)
-        of_ids.update(("," + joined if n else joined).encode())
-        n += joined.count(",") + 1
-        of_text.update(text_of.decode(b"".join(map(bytes_of.__getitem__, ids))).encode("utf-8"))
-    of_text.update(text_of.decode(b"", True).encode("utf-8"))
-    return n, of_ids.hexdigest(), of_text.hexdigest()
+class Digests:
+    """Number and digest of ids, and digest of the text they decode to, part by part."""
+
+    def __init__(self, path: str):
+        self.of_ids, self.of_text, self.n = hashlib.sha256(), hashlib.sha256(), 0
+        self.bytes_of, self.text_of = memo_of_bytes(path).__getitem__, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def add(self, ids: list[str]) -> None:
+        """ids: strings of ids joined by commas."""
+        if ids:
+            joined = ",".join(ids)
+            self.of_ids.update(("," + joined if self.n else joined).encode())
+            self.n += joined.count(",") + 1
+            self.of_text.update(self.text_of.decode(b"".join(map(self.bytes_of, ids))).encode("utf-8"))
+
+    def done(self) -> tuple[int, str, str]:
+        self.of_text.update(self.text_of.decode(b"", True).encode("utf-8"))
+        return self.n, self.of_ids.hexdigest(), self.of_text.hexdigest()
+
+
+def digests(ids: list[str], path: str) -> tuple[int, str, str]:
+    out = Digests(path)
+    out.add(ids)
+    return out.done()
+
+
+def lengths(of: Iterable) -> bytes:
+    """The width of a number, and then the numbers in that many bytes each."""
+    n = np.fromiter(map(len, of), "<u4")
+    width = next(w for w in (1, 2, 4) if not len(n) or n.max() < 1 << 8 * w)
+    return bytes([width]) + n.astype(f"<u{width}").tobytes()
+
+
+def strings(raw: bytes, cut: bytes) -> pa.ChunkedArray:
+    """raw, UTF-8, in parts of so many bytes, without a copy."""
+    ends = np.concatenate(([0], np.cumsum(np.frombuffer(cut, f"<u{cut[0]}", offset=1), dtype=np.int64))).astype(np.int32)
+    return pa.chunked_array([pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(raw))])
 
 
 def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD, leaf: int = LEAF_TEXT) -> DataFrame:
@@ -237,21 +262,28 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [digests([encode(t.as_py(), path)], path) for t in b.column("text")]
+            rows = [digests(encode(t.as_py(), path), path) for t in b.column("text")]
             cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pre = [cutter(path).cut(t.as_py())[0] for t in b.column("leaf")]
-            ids = [ids_of(p, path) for p in pre]
-            yield pa.RecordBatch.from_arrays([*map(b.column, ("row", "doc_id", "part")), pa.array(pre, pa.list_(pa.string())), pa.array(ids, pa.list_(pa.string()))], ["row", "doc_id", "part", "pre", "ids"])
+        for b in (part for whole in batches for part in slices(whole)):
+            cut, ids, ends = [], [], []
+            for t in b.column("leaf"):
+                text = t.as_py()
+                pre = cutter(path).cut(text)[0]
+                of_pre = ids_of(pre, path)
+                cut.append(lengths(pre if text.isascii() else [p.encode("utf-8") for p in pre]))
+                ids.append("".join(of_pre))
+                ends.append(lengths(of_pre))
+            cols = [*map(b.column, ("row", "doc_id", "part", "leaf")), pa.array(cut, pa.binary()), pa.array(ids, pa.string()), pa.array(ends, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "part", "leaf", "cut", "ids", "ends"])
 
     def join(leaf_rows: pa.Table) -> pa.Table:
         c, leaf_rows = cutter(path), leaf_rows.sort_by("part")
-        sides = [[pa.chunked_array([x.values], pa.string()) for x in leaf_rows.column(name)] for name in ("pre", "ids")]
+        sides = [[strings(x.as_buffer(), y.as_py()) for x, y in zip(leaf_rows.column(of), leaf_rows.column(at), strict=True)] for of, at in (("leaf", "cut"), ("ids", "ends"))]
         level = list(zip(*sides, strict=True))
         while len(level) > 1:
             above = level[-1:] if len(level) % 2 else []
@@ -260,7 +292,10 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
                 a, window, n = c.recut(lp, rp)
                 pairs.append(tuple(pa.chunked_array([*x[:a].chunks, pa.array(w, pa.string()), *y[n:].chunks]) for x, w, y in ((lp, window, rp), (li, ids_of(window, path), ri))))
             level = pairs + above
-        n, of_ids, of_text = digests((part.to_pylist() for part in level[0][1].chunks), path)
+        whole = Digests(path)
+        for part in level[0][1].chunks:
+            whole.add(part.to_pylist())
+        n, of_ids, of_text = whole.done()
         return pa.table([leaf_rows.column("doc_id").slice(0, 1), pa.array([n], pa.int64()), pa.array([of_ids]), pa.array([of_text])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     if cutter(path).lower:
@@ -271,5 +306,5 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
     long = slim.filter(n > spread).withColumn("row", F.monotonically_increasing_id())
     parts = F.transform(F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {leaf}").cast("int")), lambda i: F.substring(F.col("text"), i * leaf + 1, F.lit(leaf)))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    cut = long.select("row", "doc_id", F.posexplode(parts).alias("part", "leaf")).repartition("row", "part").mapInArrow(leaves, f"row bigint, doc_id {kind}, part int, pre array<string>, ids array<string>")
+    cut = long.select("row", "doc_id", F.posexplode(parts).alias("part", "leaf")).repartition("row", "part").mapInArrow(leaves, f"row bigint, doc_id {kind}, part int, leaf string, cut binary, ids string, ends binary")
     return short.unionByName(cut.groupBy("row").applyInArrow(join, out))

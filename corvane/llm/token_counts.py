@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +25,10 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from corvane.llm.bpe import as_chars, cutter
 from corvane.llm.common import shared_folder, slices, staged
 
-HOT, HOT_LENGTH, FLUSH = 150_000, 32, 200_000
+HOT, HOT_LENGTH, FLUSH = 150_000, 32, 400_000
 #: Pre-tokens in a row of those of a task.
 TOGETHER = 5_000
+DICTIONARY = 16 << 20
 #: Marks a special token's own string among pre-tokens; no pre-token begins with a space here.
 MARK = " "
 
@@ -73,7 +75,9 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
 
     counted = docs.mapInArrow(count, f"row bigint, doc_id {kind.simpleString()}, n_bytes bigint, pre array<string>, n array<bigint>")
     folder = shared_folder(docs.sparkSession)
-    counted.withColumn("together", F.col("n_bytes").isNull().cast("int")).write.partitionBy("together").parquet(folder)
+    kinds = counted.withColumn("together", F.col("n_bytes").isNull().cast("int"))
+    # A file's pre-tokens fit a dictionary of this size, so that a row holds their numbers.
+    kinds.write.partitionBy("together").option("compression", "zstd").option("parquet.dictionary.page.size", DICTIONARY).parquet(folder)
     return docs.sparkSession.read.schema(StructType([*counted.schema, StructField("together", IntegerType())])).parquet(folder)
 
 
@@ -115,24 +119,24 @@ def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = table.value.get
-        for b in (part for whole in batches for part in slices(whole)):
-            row, here, at, pre, times = b.column("row").to_pylist(), [], [], [], []
-            for r, found, n in zip(row, b.column("pre").to_pylist(), b.column("n").to_pylist(), strict=True):
-                pieces = list(map(get, found))
-                here.append(sum(k * m for k, m in zip(pieces, n, strict=True) if k is not None))
-                if None in pieces:
-                    rest = [(p, m) for p, k, m in zip(found, pieces, n, strict=True) if k is None]
-                    at += [r] * len(rest)
-                    pre += [p for p, _ in rest]
-                    times += [m for _, m in rest]
+        for b in batches:
+            row, lists = b.column("row").to_numpy(), b.column("pre")
+            # Each distinct pre-token of the batch is looked up once.
+            found = lists.flatten().dictionary_encode()
+            pieces = np.fromiter((get(p, -1) for p in found.dictionary.to_pylist()), np.int64, len(found.dictionary))[found.indices.to_numpy()]
+            n, doc = b.column("n").flatten().to_numpy(), np.repeat(np.arange(len(row)), lists.value_lengths().to_numpy())
+            hot = pieces >= 0
+            here = np.zeros(len(row), np.int64)
+            np.add.at(here, doc[hot], n[hot] * pieces[hot])
+            rest = np.flatnonzero(~hot)
             # A document's own row has a key that no pre-token has, so that it meets nothing in the join.
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(row + at, pa.int64()),
-                    pa.concat_arrays([b.column("doc_id"), pa.nulls(len(at), b.column("doc_id").type)]),
-                    pa.concat_arrays([b.column("n_bytes"), pa.nulls(len(at), pa.int64())]),
-                    pa.array([f"{MARK}{MARK}{r}" for r in row] + pre, pa.string()),
-                    pa.array(here + times, pa.int64()),
+                    pa.array(np.concatenate([row, row[doc[rest]]])),
+                    pa.concat_arrays([b.column("doc_id"), pa.nulls(len(rest), b.column("doc_id").type)]),
+                    pa.concat_arrays([b.column("n_bytes"), pa.nulls(len(rest), pa.int64())]),
+                    pa.concat_arrays([pa.array([f"{MARK}{MARK}{r}" for r in row.tolist()], pa.string()), found.take(pa.array(rest)).cast(pa.string())]),
+                    pa.array(np.concatenate([here, n[rest]])),
                 ],
                 ["row", "doc_id", "n_bytes", "pre", "n"],
             )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.names import basename, canonical_stem, stem_parts
+from corvane.session import staged
 
 # Causes in order with their priorities. What to do next is said in words of our own.
 CAUSES = {
@@ -38,10 +39,10 @@ def split_blacklist(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def matched_audio(audio: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Stems of audio that some transcript stands for: four equi semi joins, never one with OR."""
-    part = lambda df: df.select("stem", stem_parts(F.col("stem")).alias("p")).select("stem", "p.*")
-    a, t = part(audio), part(transcripts)
-    same = a.join(transcripts.select("stem"), "stem", "left_semi").select("stem")
-    canonical = a.join(transcripts.select(canonical_stem(F.col("stem")).alias("stem")), "stem", "left_semi").select("stem")
+    # Written once: each of the joins below would take the stems apart again.
+    a, t = (staged(df.select("stem", stem_parts(F.col("stem")).alias("p"), canonical_stem(F.col("stem")).alias("whole")).select("stem", "whole", "p.*")) for df in (audio, transcripts))
+    same = a.join(t.select("stem"), "stem", "left_semi").select("stem")
+    canonical = a.join(t.select(F.col("whole").alias("stem")), "stem", "left_semi").select("stem")
     dated_a, dated_t = a.filter("date <> ''"), t.filter("date <> ''")
     phone = dated_a.filter("phone <> ''").join(dated_t.filter("phone <> ''").select("date", "phone"), ["date", "phone"], "left_semi").select("stem")
     caller = dated_a.filter("phone = ''").join(dated_t.filter("phone = ''").select("date", "caller"), ["date", "caller"], "left_semi").select("stem")
@@ -53,11 +54,14 @@ def _gap(df: DataFrame, reason: str | Column, file: Column) -> DataFrame:
     return df.select(why.alias("reason"), file.alias("file"), "stem")
 
 
-def gaps(audio: DataFrame, transcripts: DataFrame, blacklist: DataFrame, indexed: DataFrame, exported: DataFrame, extracted: DataFrame, diarization_failed: DataFrame) -> DataFrame:
-    """reason, file, stem, priority, next_action: a row for each file and cause. indexed.path, exported.name, extracted.stem."""
+def gaps(
+    audio: DataFrame, transcripts: DataFrame, blacklist: DataFrame, indexed: DataFrame, exported: DataFrame, extracted: DataFrame, diarization_failed: DataFrame, matched: DataFrame | None = None
+) -> DataFrame:
+    """reason, file, stem, priority, next_action: a row for each file and cause. indexed.path, exported.name, extracted.stem;
+    matched: matched_audio(audio, transcripts), where it is there already."""
     listed, failed = split_blacklist(blacklist)
     state = listed.withColumn("why", F.lit("blacklisted")).unionByName(failed.withColumn("why", F.lit("transcription_failed"))).groupBy("stem").agg(F.min("why").alias("why"))
-    missing = audio.join(matched_audio(audio, transcripts), "stem", "left_anti").join(state, "stem", "left")
+    missing = audio.join(matched_audio(audio, transcripts) if matched is None else matched, "stem", "left_anti").join(state, "stem", "left")
     name, wav = F.concat("stem", F.lit(".txt")), F.concat("stem", F.lit(".m4a"))
     t = transcripts.select("stem", name.alias("name"))
     derived = t.withColumn("canonical", canonical_stem(F.col("stem"))).filter("canonical <> stem").join(audio.select(F.col("stem").alias("canonical")), "canonical", "left_semi")
@@ -98,13 +102,20 @@ def merged_index(left: DataFrame, right: DataFrame, key: str, value: str) -> Dat
     return left.select(key, value).join(r, key, "full").select(key, F.coalesce(value, "_other").alias(value))
 
 
-def report(audio: DataFrame, transcripts: DataFrame, found: DataFrame) -> DataFrame:
-    """The derived counts, one row."""
+def report(
+    audio: DataFrame, transcripts: DataFrame, found: DataFrame, blacklist: DataFrame, indexed: DataFrame, exported: DataFrame, extracted: DataFrame, matched: DataFrame | None = None
+) -> DataFrame:
+    """The sixteen derived counts, one row: sources, matches by count and by stem, states, causes. Each source is counted once."""
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     of = cause_counts(found).agg(*[F.sum(F.when(F.col("reason") == k, F.col("files")).otherwise(0)).alias(k) for k in CAUSES])
-    one = n(audio, "audio").crossJoin(n(transcripts, "transcripts")).crossJoin(n(matched_audio(audio, transcripts), "complete")).crossJoin(of)
+    counted = {
+        "audio": audio, "transcripts": transcripts, "complete": matched_audio(audio, transcripts) if matched is None else matched,
+        "blacklist_entries": blacklist.filter("stem <> '_meta'"), "indexed_files": indexed.select(basename(F.col("path"))).distinct(),
+        "exported_files": exported.select("name").distinct(), "extracted_stems": extracted.select("stem").distinct(),
+    }
+    one = reduce(DataFrame.crossJoin, [n(df, name) for name, df in counted.items()], of)
     return one.select(
-        "audio", "transcripts", (F.col("audio") - F.col("transcripts")).alias("gap_by_count"), "complete", (F.col("audio") - F.col("complete")).alias("gap"),
-        "derived_excluded", "rag_pending", "obsidian_pending", "entity_pending", "diarization_failed",
+        "audio", "transcripts", F.col("transcripts").alias("complete_by_count"), (F.col("audio") - F.col("transcripts")).alias("gap_by_count"), "complete", (F.col("audio") - F.col("complete")).alias("gap"),
+        "derived_excluded", "blacklist_entries", "indexed_files", "rag_pending", "exported_files", "obsidian_pending", "extracted_stems", "entity_pending", "diarization_failed",
         (F.col("missing_transcript") + F.col("transcription_failed") + F.col("diarization_failed")).alias("reprocess"),
     )

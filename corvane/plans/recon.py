@@ -28,27 +28,35 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(s.filter("o_orderkey % 4 <> 0").select(stem.alias("stem")).distinct())
 
 
-AUDIO = f"{STEMS}, audio AS (SELECT stem, min(o_orderkey) AS k FROM stems GROUP BY stem)"
-TRANSCRIPTS = """transcripts AS (SELECT DISTINCT CASE o_orderkey % 4 WHEN 1 THEN stem || '_120000' WHEN 2 THEN 'X' || stem ELSE stem END AS stem FROM stems WHERE o_orderkey % 4 <> 0)"""
+AUDIO = f"{STEMS}, audio AS MATERIALIZED (SELECT stem, min(o_orderkey) AS k FROM stems GROUP BY stem)"
+TRANSCRIPTS = """transcripts AS MATERIALIZED (SELECT DISTINCT CASE o_orderkey % 4 WHEN 1 THEN stem || '_120000' WHEN 2 THEN 'X' || stem ELSE stem END AS stem FROM stems WHERE o_orderkey % 4 <> 0)"""
 PART = """SELECT stem, CASE WHEN regexp_matches(stem, '^(.+_\\d{14})_\\d{6}$') THEN regexp_extract(stem, '^(.+_\\d{14})_\\d{6}$', 1) ELSE stem END AS canonical,
     CASE WHEN regexp_matches(stem, '^(.+?)_(\\d{10,11})_(\\d{14})$') THEN regexp_extract(stem, '^(.+?)_(\\d{10,11})_(\\d{14})$', 2) WHEN regexp_matches(stem, '^(\\d{10,11})_(\\d{14})$') THEN regexp_extract(stem, '^(\\d{10,11})_(\\d{14})$', 1) ELSE '' END AS phone,
     CASE WHEN regexp_matches(stem, '^(.+?)_(\\d{10,11})_(\\d{14})$') THEN regexp_extract(stem, '^(.+?)_(\\d{10,11})_(\\d{14})$', 1) WHEN regexp_matches(stem, '^(\\d{10,11})_(\\d{14})$') THEN '' ELSE regexp_extract(stem, '^(.+?)_(\\d{14})$', 1) END AS caller,
     CASE WHEN regexp_matches(stem, '_?\\d{14}$') AND regexp_matches(stem, '^(.+?)_(\\d{14})$') THEN right(stem, 14) ELSE '' END AS date FROM """
-MATCHED = f"""pa AS ({PART} audio), pt AS ({PART} transcripts), matched AS (SELECT stem FROM pa WHERE stem IN (SELECT stem FROM pt) OR stem IN (SELECT canonical FROM pt)
-    OR (date <> '' AND phone <> '' AND (date, phone) IN (SELECT date, phone FROM pt)) OR (date <> '' AND phone = '' AND (date, caller) IN (SELECT date, caller FROM pt WHERE phone = '')))"""
+MATCHED = f"""pa AS MATERIALIZED ({PART} audio), pt AS MATERIALIZED ({PART} transcripts), matched AS MATERIALIZED (SELECT stem FROM pa SEMI JOIN pt USING (stem)
+    UNION SELECT pa.stem FROM pa SEMI JOIN pt ON pa.stem = pt.canonical UNION SELECT pa.stem FROM pa SEMI JOIN pt ON pa.date = pt.date AND pa.phone = pt.phone WHERE pa.date <> '' AND pa.phone <> ''
+    UNION SELECT pa.stem FROM pa SEMI JOIN pt ON pa.date = pt.date AND pa.caller = pt.caller AND pa.phone = pt.phone WHERE pa.date <> '' AND pa.phone = '')"""
 
 
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def states(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """What reconciliation looks at, each made once."""
     a, t = audio(spark, sf_dir), transcripts(spark, sf_dir)
     k = F.col("k")
-    black = a.filter("k % 3 = 0").select("stem", (k % 5).cast("int").alias("failures"), F.when(k % 9 == 0, "2024-01-01").alias("blacklisted_at"))
-    indexed = t.filter(F.length("stem") % 2 == 0).select(F.concat(F.lit("C:\\data\\"), "stem", F.lit(".txt")).alias("path"))
-    exported = t.filter(F.length("stem") % 3 == 0).select(F.concat("stem", F.lit(".txt")).alias("name"))
-    extracted = t.filter(F.length("stem") % 5 == 0).select("stem")
-    return recon.gaps(a, t, black, indexed, exported, extracted, a.filter("k % 50 = 0").select("stem"))
+    return {
+        "audio": a, "transcripts": t, "matched": staged(recon.matched_audio(a, t)),
+        "blacklist": a.filter("k % 3 = 0").select("stem", (k % 5).cast("int").alias("failures"), F.when(k % 9 == 0, "2024-01-01").alias("blacklisted_at")),
+        "indexed": t.filter(F.length("stem") % 2 == 0).select(F.concat(F.lit("C:\\data\\"), "stem", F.lit(".txt")).alias("path")),
+        "exported": t.filter(F.length("stem") % 3 == 0).select(F.concat("stem", F.lit(".txt")).alias("name")), "extracted": t.filter(F.length("stem") % 5 == 0).select("stem"),
+    }
 
 
-FOUND = f"""WITH {AUDIO}, {TRANSCRIPTS}, {MATCHED}, g AS (
+def found(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    known = known or states(spark, sf_dir)
+    return recon.gaps(**known, diarization_failed=known["audio"].filter("k % 50 = 0").select("stem"))
+
+
+FOUND = f"""WITH {AUDIO}, {TRANSCRIPTS}, {MATCHED}, g AS MATERIALIZED (
     SELECT CASE WHEN k % 9 = 0 THEN 'blacklisted' WHEN k % 3 = 0 AND k % 5 > 0 THEN 'transcription_failed' ELSE 'missing_transcript' END AS reason, stem || '.m4a' AS file, stem FROM audio WHERE stem NOT IN (SELECT stem FROM matched)
     UNION ALL SELECT 'derived_excluded', stem || '.txt', stem FROM pt WHERE canonical <> stem AND canonical IN (SELECT stem FROM audio)
     UNION ALL SELECT 'rag_pending', stem || '.txt', stem FROM transcripts WHERE length(stem) % 2 <> 0 UNION ALL SELECT 'obsidian_pending', stem || '.txt', stem FROM transcripts WHERE length(stem) % 3 <> 0
@@ -73,7 +81,8 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recon.report(audio(spark, sf_dir), transcripts(spark, sf_dir), found(spark, sf_dir))
+    known = states(spark, sf_dir)
+    return recon.report(found=found(spark, sf_dir, known), **known)
 
 
 def unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +111,9 @@ def queue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir).select("queue_id", "stem", "reason", "next_action", "priority", "status")
 
 
-def old_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def old_queue(spark: SparkSession, sf_dir: str, q: DataFrame | None = None) -> DataFrame:
     """An older queue in every state."""
-    q = built(spark, sf_dir)
+    q = q or built(spark, sf_dir)
     h = F.length("stem")
     return q.filter(h % 4 != 0).withColumns({
         "status": F.when(h % 7 == 0, "succeeded").when(h % 7 == 1, "running").when(h % 7 == 2, "failed").when(h % 7 == 3, "terminal_failure").otherwise("pending"), "priority": F.lit("P8"),
@@ -114,7 +123,8 @@ def old_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = retry.merge(old_queue(spark, sf_dir), built(spark, sf_dir).filter(F.length("stem") % 3 != 0), now())
+    q = staged(built(spark, sf_dir))
+    m = retry.merge(old_queue(spark, sf_dir, q), q.filter(F.length("stem") % 3 != 0), now())
     return m.select("queue_id", "priority", "status", "attempts", "last_error", F.col("updated_at") == now())
 
 
@@ -133,8 +143,8 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("status", "attempts", "terminal_failure", F.date_format("next_retry_at", "yyyy-MM-dd HH:mm:ss").alias("next_retry"), F.size("history").alias("events")).agg(F.count(F.lit(1)).alias("entries"))
 
 
-OLD = f"""{FOUND}, {ACT}, q AS (SELECT {RID} AS queue_id, stem, g.reason, action, rank, p.priority AS new_priority, length(stem) AS h FROM g JOIN a ON g.reason = a.reason JOIN p ON g.reason = p.reason),
-    o AS (SELECT *, CASE h % 7 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' WHEN 3 THEN 'terminal_failure' ELSE 'pending' END AS status, h % 3 AS attempts,
+OLD = f"""{FOUND}, {ACT}, q AS MATERIALIZED (SELECT {RID} AS queue_id, stem, g.reason, action, rank, p.priority AS new_priority, length(stem) AS h FROM g JOIN a ON g.reason = a.reason JOIN p ON g.reason = p.reason),
+    o AS MATERIALIZED (SELECT *, CASE h % 7 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' WHEN 3 THEN 'terminal_failure' ELSE 'pending' END AS status, h % 3 AS attempts,
         CASE WHEN h % 5 = 0 THEN h % 3 - 1 END AS retry_in FROM q WHERE h % 4 <> 0),
     d AS (SELECT * FROM o WHERE CASE WHEN status IN ('succeeded', 'terminal_failure') THEN false WHEN status = 'running' THEN h % 2 = 0 WHEN retry_in IS NOT NULL THEN retry_in <= 0 ELSE true END)"""
 
@@ -235,8 +245,9 @@ QUERIES = {
     "gap_counts": (counts, f"{FOUND} SELECT pos, p.reason, count(g.stem) AS files FROM p LEFT JOIN g ON p.reason = g.reason GROUP BY ALL"),
     "gap_health": (health, "SELECT 'danger' AS health, 2 AS exit_code"),
     "gap_action_queue": (actions, f"{FOUND} SELECT priority, g.reason, file FROM g JOIN p USING (reason) WHERE g.reason NOT IN ('blacklisted', 'derived_excluded', 'entity_pending', 'obsidian_pending') ORDER BY 1, 2, 3 LIMIT 30"),
-    "gap_report": (summary, f"""{FOUND}, c AS (SELECT reason, count(*) AS n FROM g GROUP BY 1), v AS (SELECT (SELECT count(*) FROM audio) AS audio, (SELECT count(*) FROM transcripts) AS transcripts, (SELECT count(*) FROM matched) AS complete)
-        SELECT audio, transcripts, audio - transcripts AS gap_by_count, complete, audio - complete AS gap, {", ".join(f"(SELECT n FROM c WHERE reason = '{r}') AS {r}" for r in ("derived_excluded", "rag_pending", "obsidian_pending", "entity_pending", "diarization_failed"))},
+    "gap_report": (summary, f"""{FOUND}, c AS (SELECT reason, count(*) AS n FROM g GROUP BY 1), v AS (SELECT (SELECT count(*) FROM audio) AS audio, (SELECT count(*) FROM transcripts) AS transcripts, (SELECT count(*) FROM matched) AS complete,
+            (SELECT count(*) FROM audio WHERE k % 3 = 0) AS blacklist_entries, (SELECT count(*) FROM transcripts WHERE length(stem) % 2 = 0) AS indexed_files, (SELECT count(*) FROM transcripts WHERE length(stem) % 3 = 0) AS exported_files, (SELECT count(*) FROM transcripts WHERE length(stem) % 5 = 0) AS extracted_stems)
+        SELECT audio, transcripts, transcripts AS complete_by_count, audio - transcripts AS gap_by_count, complete, audio - complete AS gap, blacklist_entries, indexed_files, exported_files, extracted_stems, {", ".join(f"(SELECT n FROM c WHERE reason = '{r}') AS {r}" for r in ("derived_excluded", "rag_pending", "obsidian_pending", "entity_pending", "diarization_failed"))},
         (SELECT sum(n) FROM c WHERE reason IN ('missing_transcript', 'transcription_failed', 'diarization_failed')) AS reprocess FROM v"""),
     "unchanged_skip": (unchanged, "SELECT cast(doc_id AS varchar) AS stem, md5(text) AS hash FROM documents WHERE doc_id % 2 = 1 OR doc_id % 10 = 0"),
     "index_merge": (index, "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'left' ELSE 'right' END AS state FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"),

@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.names import call_context
 from corvane.functions.text import bigrams, normalise_source, normalise_title, set_jaccard, strip
 from corvane.operators.graph import components
+from corvane.operators.rank import global_rank
 from corvane.session import staged
 
 SIMILAR, COMPLETED_SIMILAR = 0.55, 0.45
@@ -64,39 +66,63 @@ def not_completed(todos: DataFrame, completed: DataFrame, threshold: float = COM
 
 
 def _greedy(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """In order: the first kept title that a title resembles takes it in, and gives way to it if it is longer."""
+    """In order: the first kept title that a title resembles takes it in, and gives way to it if it is longer. Rows with what is kept
+    (seq, place), and one for each seq at which that changed."""
     def grams(s: str) -> set[str]:
         s = s.replace(" ", "").lower()
         return {s[i : i + 2] for i in range(len(s) - 1)}
 
     pdf = pdf.sort_values("seq", kind="stable")
-    kept: list[tuple[int, str, set[str], int]] = []
+    of = {title: grams(title) for title in pdf["title"].unique()}
+    kept: list[tuple[int, str, int]] = []
+    changed = []
     for seq, title in zip(pdf["seq"].tolist(), pdf["title"].tolist(), strict=True):
-        g = grams(title)
-        for i, (_, other, h, _) in enumerate(kept):
+        g = of[title]
+        for i, (_, other, place) in enumerate(kept):
+            h = of[other]
             if g and h and len(g & h) / len(g | h) >= threshold:
                 if len(title) > len(other):
-                    kept[i] = (seq, title, g, kept[i][3])
+                    kept[i] = (seq, title, place)
+                    changed.append(seq)
                 break
         else:
-            kept.append((seq, title, g, seq))
-    return pd.DataFrame({"seq": [k[0] for k in kept], "place": [k[3] for k in kept]}, dtype="int64")
+            kept.append((seq, title, seq))
+            changed.append(seq)
+    rows = [(pdf["root"].iloc[0], seq, place) for seq, _, place in kept] + [(pdf["root"].iloc[0], seq, None) for seq in changed]
+    return pd.DataFrame({"root": [r[0] for r in rows], "seq": [r[1] for r in rows], "place": pd.array([r[2] for r in rows], "Int64")})
 
 
 def merge_within_sources(todos: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """todos (seq, title, source, ...) with overlapping titles of a source merged in order, and `place`, the position kept.
 
     Only titles that resemble each other can meet, so each component of resembling titles is worked through on its own, however
-    many rows a source has. Of rows with equal titles only the first matters: later ones are always taken in.
+    many rows a source has. Of rows with equal titles one matters only if what is kept has changed since the one before: the first
+    rows are worked through, then those, too, that come first after one of the changes found, until no other change is found.
+    So a task gets a row for each title and change at most.
     """
     titled = todos.withColumn("source", F.coalesce("source", F.lit("")))
     key = ["source", "title"]
-    first = titled.groupBy(*key).agg(F.min("seq").alias("seq"), F.size(bigrams(F.any_value("title"))).alias("grams"))
+    first = staged(titled.groupBy(*key).agg(F.min("seq").alias("seq"), F.size(bigrams(F.any_value("title"))).alias("grams")))
     pairs = similar_titles(first, first, threshold, ["source"]).filter("a < b")
     node = lambda c: F.struct("source", F.col(c).alias("title"))
-    named = components(pairs.select(node("a").alias("a"), node("b").alias("b"))).select("node.source", "node.title", F.col("root").alias("root"))
+    named = components(pairs.select(node("a").alias("a"), node("b").alias("b"))).select("node.source", "node.title", F.to_json("root").alias("root"))
     alone = first.join(named, key, "left_anti").select("seq", F.col("seq").alias("place"))
-    grouped = first.join(named, key).groupBy("root").applyInPandas(lambda pdf: _greedy(pdf[["seq", "title"]], threshold), "seq long, place long")
+    members = staged(titled.select(*key, "seq").join(named, key).select("root", "title", "seq"))
+    changes = None
+    while True:
+        after = members if changes is None else members.join(changes, "root", "left")
+        since = F.lit(0) if changes is None else F.size(F.filter("times", lambda t: t < F.col("seq")))
+        met = after.select("root", "title", "seq", since.alias("since")).groupBy("root", "title", "since").agg(F.min("seq").alias("seq"))
+        out = staged(met.groupBy("root").applyInPandas(lambda pdf: _greedy(pdf[["root", "seq", "title"]], threshold), "root string, seq long, place long"))
+        seen = out.filter("place is null").select("root", "seq")
+        if changes is not None:
+            # All changes found so far: what is worked through only grows.
+            seen = seen.unionByName(changes.select("root", F.explode("times").alias("seq")))
+        now = staged(seen.groupBy("root").agg(F.sort_array(F.collect_set("seq")).alias("times")))
+        if changes is not None and now.agg(F.sum(F.size("times"))).first() == changes.agg(F.sum(F.size("times"))).first():
+            break
+        changes = now
+    grouped = out.filter("place is not null").select("seq", "place")
     # A title without bigrams resembles nothing, not even its equal.
     bare = titled.filter(F.size(bigrams(F.col("title"))) == 0).select("seq", F.col("seq").alias("place"))
     kept = alone.unionByName(grouped).unionByName(bare).distinct()
@@ -119,9 +145,10 @@ def add_new(store: DataFrame, new: DataFrame, completed: DataFrame, threshold: f
     """new (seq, title, source, ...) that the store takes: titled, not completed, resembling nothing in the store nor anything taken
     before; with `key`."""
     titled = new.withColumns({"title": strip(F.coalesce("title", F.lit(""))), "source": normalise_source(F.col("source"))}).filter("title <> ''")
-    open_ = not_completed(titled, completed)
+    # Each is used several times below, and costs a join of similar titles.
+    open_ = staged(not_completed(titled, completed))
     known = similar_titles(open_, store, threshold).select(F.col("a").alias("title")).distinct()
-    fresh = open_.join(known, "title", "left_anti")
+    fresh = staged(open_.join(known, "title", "left_anti"))
     first = fresh.groupBy("title").agg(F.min("seq").alias("seq"))
     pairs = similar_titles(first, first, threshold).filter("a < b")
     named = components(pairs).withColumnRenamed("node", "title")
@@ -154,7 +181,31 @@ def first_by_key(df: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def completed_union(existing: DataFrame, store: DataFrame) -> DataFrame:
-    """title, source, status, completed_at: the store's completed ones over the existing, by (title, source), by title."""
-    done = store.filter("status = 'completed'").select("title", F.coalesce("source", F.lit("")).alias("source"), "status", "completed_at").dropDuplicates(["title", "source"])
-    old = existing.select("title", F.coalesce("source", F.lit("")).alias("source"), "status", "completed_at").dropDuplicates(["title", "source"])
+    """title, source, status, completed_at: the store's completed ones over the existing, by (title, source), by title. Of rows that
+    repeat a key that with the latest completed_at, and then the greatest status, stays."""
+
+    def latest(df: DataFrame) -> DataFrame:
+        rows = df.select("title", F.coalesce("source", F.lit("")).alias("source"), F.struct("completed_at", "status").alias("last"))
+        return rows.groupBy("title", "source").agg(F.max("last").alias("last")).select("title", "source", "last.status", "last.completed_at")
+
+    done, old = latest(store.filter("status = 'completed'")), latest(existing)
     return done.unionByName(old.join(done, ["title", "source"], "left_anti")).orderBy("title", "source")
+
+
+def owned(records: DataFrame, run_id: str | None = None, owner: str = "me") -> DataFrame:
+    """The to-dos of validated results (file, status, todos) that are the owner's and have a title, a row each, with the context of
+    the file's name: what a synchronisation adds to the store. Results that aren't ok give none; without an owner a to-do is mine."""
+    each = records.filter("status = 'ok'").select("file", F.posexplode("todos").alias("place", "t"))
+    mine = each.filter((F.coalesce("t.owner", F.lit("me")) == owner) & (strip(F.coalesce("t.title", F.lit(""))) != ""))
+    context = call_context(normalise_source(F.col("file")))
+    return mine.select("file", "place", "t", F.explode(F.array(context)).alias("c")).select(
+        "file", "place", strip(F.col("t.title")).alias("title"), F.lit(owner).alias("owner"), normalise_source(F.col("file")).alias("source"), F.col("c.caller").alias("counterparty"), "c.phone", "c.called_at",
+        F.coalesce("t.priority", F.lit("medium")).alias("priority"), F.lit("active").alias("status"), F.coalesce("t.context", F.lit("")).alias("details"), F.nullif("t.due_date", F.lit("")).alias("due_date"),
+        F.lit(run_id).cast("string").alias("run_id"),
+    )
+
+
+def synchronised(store: DataFrame, records: DataFrame, completed: DataFrame, run_id: str | None = None) -> DataFrame:
+    """store (seq, title, source, key) after the owner's to-dos of validated results, in the order of files and places."""
+    new = global_rank(owned(records, run_id), "file", "place").withColumn("seq", F.col("rank"))
+    return merged_store(store, new, completed)

@@ -7,25 +7,60 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import bigram_similarity, bigrams
 from corvane.operators import graph, todo
+from corvane.plans.names import BASE, CTX, STEMS, fits, iso, stems, x
 from corvane.session import rows, table
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, title, source: the beginnings of conversation turns."""
-    c = table(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.substring("text", 1, 24).alias("title"), F.concat(F.lit("s"), (F.col("conv_id") % 9).cast("string"), F.lit(".m4a")).alias("source"))
+    """seq, title, source: names and types of parts."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").cast("long").alias("seq"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.concat(F.lit("s"), (F.col("p_size") % 9).cast("string"), F.lit(".m4a")).alias("source"))
 
 
-TITLES = "titles AS (SELECT conv_id * 100 + turn AS seq, substr(text, 1, 24) AS title, 's' || (conv_id % 9) || '.m4a' AS source FROM conversations)"
+TITLES = "titles AS MATERIALIZED (SELECT p_partkey::bigint AS seq, p_name || ' ' || p_type AS title, 's' || (p_size % 9) || '.m4a' AS source FROM part)"
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 NORM = "substr(replace(replace(lower(" + STRIP + "), ' ', ''), '_', ''), 1, 100)"
 GRAMS = "list_distinct(list_transform(range(1, greatest(length(replace({0}, ' ', '')), 1)), lambda i: lower(substr(replace({0}, ' ', ''), i, 2))))"
-DONE = f"done AS (SELECT DISTINCT {NORM.format('substr(text, 1, 24)')} AS t FROM documents)"
+DONE = f"done AS MATERIALIZED (SELECT DISTINCT {NORM.format('p_name')} AS t FROM part WHERE p_brand = 'Brand#22')"
+STORE = "store AS MATERIALIZED (SELECT p_partkey::bigint AS seq, p_name || ' ' || p_type AS title, 'b' AS source, 'b|' || p_partkey AS key FROM part WHERE p_brand = 'Brand#7' AND p_size < 9)"
 SIM = "(len(list_intersect({0}, {1})) / greatest(len({0}) + len({1}) - len(list_intersect({0}, {1})), 1)::double)"
 
 
+#: Greedy merging in order, as a recursion: row i of a source against the list of what is kept.
+MERGED = f"""w AS MATERIALIZED (SELECT seq, title, source, {GRAMS.format('title')} AS g, row_number() OVER (PARTITION BY source ORDER BY seq) AS i FROM titles),
+    steps AS (SELECT DISTINCT source, 0::bigint AS i, []::STRUCT(seq BIGINT, title VARCHAR, g VARCHAR[], place BIGINT)[] AS kept FROM w
+        UNION ALL SELECT source, i, CASE WHEN hit IS NULL THEN list_append(kept, {{'seq': seq, 'title': title, 'g': g, 'place': seq}})
+            WHEN length(title) > length(kept[hit].title) THEN list_concat(list_append(kept[:hit - 1], {{'seq': seq, 'title': title, 'g': g, 'place': kept[hit].place}}), kept[hit + 1:]) ELSE kept END
+        FROM (SELECT w.*, kept, nullif(list_position(list_transform(kept, lambda k: len(k.g) > 0 AND len(w.g) > 0 AND {SIM.format('k.g', 'w.g')} >= 0.55), true), 0) AS hit FROM steps JOIN w ON steps.source = w.source AND w.i = steps.i + 1)),
+    merged AS MATERIALIZED (SELECT k.seq, k.place FROM (SELECT unnest(kept) AS k FROM (SELECT kept, row_number() OVER (PARTITION BY source ORDER BY i DESC) AS n FROM steps) WHERE n = 1))"""
+
+
+def known(store: str) -> str:
+    """The bigrams of the store's titles."""
+    return f"known AS MATERIALIZED (SELECT DISTINCT {GRAMS.format('title')} AS g FROM {store})"
+
+
+def accepted(new: str) -> str:
+    """Rows of new that resemble nothing that is completed or known, and, in order, nothing accepted before."""
+    return f"""candidates AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq) AS i FROM (SELECT seq, title, replace(source, '.m4a', '') AS source, {GRAMS.format('title')} AS g, {NORM.format('title')} AS t FROM {new})
+            WHERE t NOT IN (SELECT x.t FROM (SELECT DISTINCT {NORM.format('title')} AS t FROM {new}) AS x, done WHERE x.t = done.t OR {SIM.format(GRAMS.format('x.t'), GRAMS.format('done.t'))} >= 0.45)
+            AND title NOT IN (SELECT y.title FROM (SELECT DISTINCT title FROM {new}) AS y, known WHERE {SIM.format(GRAMS.format('y.title'), 'known.g')} >= 0.55)),
+        taken AS (SELECT 0::bigint AS i, []::BIGINT[] AS seqs, []::VARCHAR[][] AS grams
+            UNION ALL SELECT c.i, CASE WHEN {{near}} THEN seqs ELSE list_append(seqs, c.seq) END, CASE WHEN {{near}} THEN grams ELSE list_append(grams, c.g) END FROM taken JOIN candidates AS c ON c.i = taken.i + 1),
+        accepted AS MATERIALIZED (SELECT c.* FROM candidates AS c WHERE c.seq IN (SELECT unnest(seqs) FROM (SELECT seqs FROM taken ORDER BY i DESC LIMIT 1)))""".format(
+        near=f"len(list_filter(grams, lambda g: {SIM.format('g', 'c.g')} >= 0.55)) > 0"
+    )
+
+
 def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.substring("text", 1, 24).alias("title"))
+    """Names of the parts of one brand."""
+    return table(spark, sf_dir, "part").filter("p_brand = 'Brand#22'").select(F.col("p_name").alias("title"))
+
+
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small parts of another brand."""
+    key = F.concat(F.lit("b|"), F.col("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").filter("p_brand = 'Brand#7' and p_size < 9").select(F.col("p_partkey").cast("long").alias("seq"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.lit("b").alias("source"), key.alias("key"))
 
 
 def active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +69,7 @@ def active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = titles(spark, sf_dir)
-    return todo.similar_titles(t, completed(spark, sf_dir), 0.35)
+    return todo.similar_titles(titles(spark, sf_dir), completed(spark, sf_dir), 0.35)
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +77,20 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def added(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 24).alias("title"))
-    return todo.add_new(store, titles(spark, sf_dir), completed(spark, sf_dir)).select("seq", "title", "source", "key")
+    return todo.add_new(store(spark, sf_dir), titles(spark, sf_dir), completed(spark, sf_dir)).select("seq", "title", "source", "key")
 
 
 def whole_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), F.substring("text", 1, 24).alias("title"), F.lit("b").alias("source"), F.concat(F.lit("b|"), F.col("item_id").cast("string")).alias("key"))
-    return todo.merged_store(store, titles(spark, sf_dir), completed(spark, sf_dir))
+    return todo.merged_store(store(spark, sf_dir), titles(spark, sf_dir), completed(spark, sf_dir))
+
+
+def mine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of calls named like stems, one to-do for each of the customer's orders' priorities."""
+    k = F.col("o_orderkey")
+    t = F.struct(F.concat(F.lit(" T"), k.cast("string")).alias("title"), F.when(k % 3 == 0, "me").when(k % 3 == 1, "partner").alias("owner"), F.when(k % 2 == 0, "high").alias("priority"), F.lit("ctx").alias("context"), F.when(k % 5 == 0, "2024-01-01").otherwise("").alias("due_date"))
+    empty = t.withField("title", F.lit(" "))
+    r = stems(spark, sf_dir).select(F.concat("stem", F.lit(".txt")).alias("file"), F.when(k % 7 == 0, "error").otherwise("ok").alias("status"), F.array(t, empty).alias("todos"))
+    return todo.owned(r, "run1").drop("place")
 
 
 def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +106,7 @@ def firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def completed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("t"), (F.col("o_orderkey") % 500).cast("string")).alias("title"), F.concat(F.lit("s"), (F.col("o_custkey") % 3).cast("string")).alias("source"),
-        F.when(F.col("o_orderkey") % 500 < 250, "completed").otherwise("active").alias("status"), F.lit("2024").alias("completed_at"),
+        F.when(F.col("o_orderkey") % 500 < 250, "completed").otherwise("active").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("completed_at"),
     )
     old = table(spark, sf_dir, "customer").select(F.concat(F.lit("t"), (F.col("c_custkey") % 400).cast("string")).alias("title"), F.when(F.col("c_custkey") % 2 == 0, "s0").alias("source"), F.lit("old").alias("status"), F.lit(None).cast("string").alias("completed_at"))
     return todo.completed_union(old, o)
@@ -152,14 +193,20 @@ QUERIES = {
     "active_todos": (active, f"""WITH {TITLES}, {DONE}, n AS (SELECT DISTINCT {NORM.format('title')} AS t FROM titles), ng AS (SELECT t, {GRAMS.format('t')} AS g FROM n), dg AS (SELECT t, {GRAMS.format('t')} AS g FROM done),
         x AS (SELECT DISTINCT ng.t FROM ng JOIN dg ON ng.t = dg.t OR (len(ng.g) > 0 AND len(dg.g) > 0 AND {SIM.format('ng.g', 'dg.g')} >= 0.45))
         SELECT seq, title FROM titles WHERE {NORM.format('title')} NOT IN (SELECT t FROM x)"""),
-    "similar_titles": (near_titles, f"""WITH {TITLES}, a AS (SELECT DISTINCT title AS a, {GRAMS.format('title')} AS g FROM titles), b AS (SELECT DISTINCT substr(text, 1, 24) AS b, {GRAMS.format('substr(text, 1, 24)')} AS g FROM documents)
+    "similar_titles": (near_titles, f"""WITH {TITLES}, a AS (SELECT DISTINCT title AS a, {GRAMS.format('title')} AS g FROM titles), b AS (SELECT DISTINCT p_name AS b, {GRAMS.format('p_name')} AS g FROM part WHERE p_brand = 'Brand#22')
         SELECT a, b FROM a JOIN b ON len(a.g) > 0 AND len(b.g) > 0 AND {SIM.format('a.g', 'b.g')} >= 0.35"""),
-    "merge_within_sources": (merged, None),
-    "add_new_todos": (added, None),
-    "merge_todo_store": (whole_merge, None),
+    "merge_within_sources": (merged, f"WITH RECURSIVE {TITLES}, {MERGED} SELECT m.seq, m.place, t.title, t.source FROM merged AS m JOIN titles AS t USING (seq)"),
+    "add_new_todos": (added, f"WITH RECURSIVE {TITLES}, {DONE}, {STORE}, {known('store')}, {accepted('titles')} SELECT seq, title, source, {NORM.format('title')} || '|' || source AS key FROM accepted"),
+    "merge_todo_store": (whole_merge, f"""WITH RECURSIVE {TITLES}, {DONE}, {STORE}, {MERGED}, mine AS MATERIALIZED (SELECT t.* FROM merged JOIN titles AS t USING (seq)),
+        kept AS MATERIALIZED (SELECT s.* FROM store AS s WHERE {NORM.format('title')} NOT IN (SELECT x.t FROM (SELECT DISTINCT {NORM.format('title')} AS t FROM store) AS x, done WHERE x.t = done.t OR {SIM.format(GRAMS.format('x.t'), GRAMS.format('done.t'))} >= 0.45)),
+        {known('kept')}, {accepted('mine')}, n AS (SELECT seq, title, source, {NORM.format('title')} || '|' || source AS key FROM accepted)
+        SELECT * FROM n UNION ALL SELECT * FROM kept WHERE key NOT IN (SELECT key FROM n)"""),
+    "my_todo_rows": (mine, f"""WITH {STEMS} SELECT stem || '.txt' AS file, 'T' || o_orderkey AS title, 'me' AS owner, stem AS source, CASE WHEN {fits(CTX, 'base')} THEN {x(CTX, 1, 'base')} ELSE base END AS counterparty, {x(CTX, 2, 'base')} AS phone,
+        CASE WHEN {fits(CTX, 'base')} THEN {iso(x(CTX, 3, 'base'))} ELSE '' END AS called_at, CASE WHEN o_orderkey % 2 = 0 THEN 'high' ELSE 'medium' END AS priority, 'active' AS status, 'ctx' AS details,
+        CASE WHEN o_orderkey % 5 = 0 THEN '2024-01-01' END AS due_date, 'run1' AS run_id FROM (SELECT *, {BASE} AS base FROM stems) WHERE o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 1"""),
     "key_upsert": (upserts, "SELECT seq, key, value FROM (SELECT event_id AS seq, event_type || '|' || user_id AS key, value, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id % 3 <> 0 DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
     "first_by_key": (firsts, "SELECT min(event_id) AS event_id, event_type || '|' || user_id AS k FROM events WHERE user_id % 10 <> 0 GROUP BY 2"),
-    "completed_union": (completed_rows, """WITH n AS (SELECT DISTINCT 't' || (o_orderkey % 500) AS title, 's' || (o_custkey % 3) AS source, 'completed' AS status, '2024' AS completed_at FROM orders WHERE o_orderkey % 500 < 250),
+    "completed_union": (completed_rows, """WITH n AS (SELECT 't' || (o_orderkey % 500) AS title, 's' || (o_custkey % 3) AS source, 'completed' AS status, max(strftime(o_orderdate, '%Y-%m-%d')) AS completed_at FROM orders WHERE o_orderkey % 500 < 250 GROUP BY ALL),
         o AS (SELECT DISTINCT 't' || (c_custkey % 400) AS title, CASE WHEN c_custkey % 2 = 0 THEN 's0' ELSE '' END AS source, 'old' AS status, cast(NULL AS varchar) AS completed_at FROM customer)
         SELECT * FROM n UNION ALL SELECT * FROM o WHERE (title, source) NOT IN (SELECT title, source FROM n)"""),
     "graph_nodes_from_todos": (todo_nodes, f"""WITH {TODO_ROWS} SELECT DISTINCT 'cp:' || counterparty AS id, 'counterparty' AS type, counterparty AS label, '' AS status FROM t WHERE counterparty <> ''

@@ -121,6 +121,35 @@ def test_merging_follows_the_order(spark, seed):
     assert {r.seq for r in got.collect()} == merged_model(rows)
 
 
+def test_a_repeated_title_counts_after_a_change(spark):
+    # The second title resembles nothing at first; once the first has given way to the third, it takes its place.
+    rows = [(1, "abcdef", "s"), (2, "abcdefghijkl", "s"), (3, "abcdefgh", "s"), (4, "abcdefghijkl", "s"), (5, "abcdefghijkl", "s")]
+    got = todo.merge_within_sources(spark.createDataFrame(rows, "seq long, title string, source string"))
+    assert {r.seq for r in got.collect()} == merged_model(rows) == {2, 4}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merging_of_many_repeats_follows_the_order(spark, seed):
+    rng = random.Random(seed + 9)
+    some = [("abcdefghijklmnop"[i:j]) for i in range(4) for j in range(i + 3, 17)]
+    rows = [(i, rng.choice(some), rng.choice(["s1", "s2"])) for i in range(150)]
+    got = todo.merge_within_sources(spark.createDataFrame(rows, "seq long, title string, source string"))
+    assert {r.seq for r in got.collect()} == merged_model(rows)
+
+
+def test_synchronising_takes_my_titled_todos_of_ok_results(spark):
+    todos = [("me", "call kim"), (None, "ship fans"), ("partner", "pay invoice"), ("me", " ")]
+    record = "file string, status string, todos array<struct<title string, owner string, priority string, context string, due_date string>>"
+    rows = [(f, s, [(t, o, None, None, "") for o, t in todos]) for f, s in (("Kim_01012345678_20240102030405.m4a", "ok"), ("b.txt", "error"))]
+    records = spark.createDataFrame(rows, record)
+    store = spark.createDataFrame([(0, "old title", "x", "oldtitle|x"), (1, "call lee now", "x", "calllee|x")], "seq long, title string, source string, key string")
+    done = spark.createDataFrame([("old title",)], "title string")
+    out = todo.synchronised(store, records, done, "r1")
+    assert {r.key for r in out.collect()} == {"calllee|x", "callkim|Kim_01012345678_20240102030405", "shipfans|Kim_01012345678_20240102030405"}
+    owned = todo.owned(records, "r1").collect()
+    assert [(r.title, r.counterparty, r.phone, r.priority, r.due_date) for r in owned] == [("call kim", "Kim", "01012345678", "medium", None), ("ship fans", "Kim", "01012345678", "medium", None)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_adding_follows_the_order(spark, seed):
     rng = random.Random(seed + 50)

@@ -34,6 +34,17 @@ def parsed(response: Column) -> Column:
     return F.coalesce(F.try_parse_json(c), F.try_parse_json(F.nullif(outer, F.lit(""))))
 
 
+def client_object(response: Column) -> Column:
+    """As a client reads a response: a fence's beginning and end go, not its lines; the whole, else from the first brace to the last,
+    as VARIANT; null if neither is JSON."""
+    bare = strip(F.coalesce(response, F.lit("")))
+    # One mark with `json`, and then one without; behind them one at the end.
+    inner = strip(F.regexp_replace(F.regexp_replace(bare, "\\A(?:```json)?(?:```)?", ""), "```\\z", ""))
+    text = F.when(bare.startswith("```"), inner).otherwise(bare)
+    outer = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.coalesce(F.try_parse_json(F.nullif(text, F.lit(""))), F.try_parse_json(F.nullif(outer, F.lit(""))))
+
+
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 

@@ -224,7 +224,8 @@ def queue_id(stem: Column, reason: Column, action: Column) -> Column:
     return F.concat(F.lit("rq_"), F.left(F.sha2(F.concat_ws("\0", stem, reason, action), 256), F.lit(16)))
 
 
-def error_summary(text: Column) -> Column:
-    """The last 500 characters of the last line, masked."""
-    whole = strip(redact(text))
-    return F.left(F.element_at(F.split(whole, "\n"), -1), F.lit(500))
+def error_report(returncode: Column, stderr: Column, stdout: Column) -> Column:
+    """How a run failed: its code and the last line of its errors, or of its output if there are none, masked and cut."""
+    said = strip(redact(F.when(F.coalesce(stderr, F.lit("")) != "", stderr).otherwise(F.coalesce(stdout, F.lit("")))))
+    last = F.element_at(F.split(said, "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), -1)
+    return F.left(F.concat(F.lit("exit "), returncode.cast("string"), F.lit(": "), F.when(said == "", "no output").otherwise(last)), F.lit(500))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.names import export_name, notice_time, safe_file_name
 from corvane.functions.text import normalise_title, phone_display, strip
+from corvane.operators.rank import global_rank
 from corvane.operators.recon import CAUSES
+from corvane.session import staged
 
 # Lengths, headings, icons and limits of what is written.
 LEAST_CONTENT = 100
@@ -95,20 +102,47 @@ def unnotified(appointments: DataFrame, sent: DataFrame) -> DataFrame:
     return appointments.withColumn("key", key).join(sent.select("key"), "key", "left_anti")
 
 
+#: Queries whose vectors are held by each task at once.
+QUERY_BLOCK = 1024
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, most: float = 1.5, source: str = "source") -> DataFrame:
     """query_pos, source, dist: of each query (query_pos, q) the k nearest vectors (source, v) within `most`, squared Euclidean; a
-    source is kept for the first query that has it. Queries are a handful that a caller writes; each row of vectors is scored
-    against all of them where it is, and the k best of each task meet in a top-k by query."""
-    asked = [(r["query_pos"], [float(x) for x in r["q"]]) for r in queries.collect()]
-    if len(asked) > 1000:
-        raise ValueError("nearest() is for up to 1000 queries")
-    scored = F.array(*[F.struct(F.lit(p).alias("query_pos"), F.aggregate(F.zip_with("v", F.array(*map(F.lit, q)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("dist")) for p, q in asked])
-    d = vectors.select(F.col(source).alias("source"), F.inline(scored))
-    # A first cut within each slice of the rows bounds what the second sees to k rows a slice.
+    source is kept for the first query that has it. Queries are taken in blocks of QUERY_BLOCK, whose vectors are broadcast: every
+    row of vectors is scored against a block where it is, a batch passes on the k best of each query, and those meet by query."""
+    numbered = staged(global_rank(queries.select("query_pos", "q"), "query_pos").withColumn("block", F.floor(F.col("rank") / QUERY_BLOCK)))
+    slim = vectors.select(F.col(source).alias("source"), "v")
+    names, kind = ["query_pos", "source", "dist"], f"query_pos {numbered.schema['query_pos'].dataType.simpleString()}, source {slim.schema['source'].dataType.simpleString()}, dist double"
+
+    def against(block: int) -> DataFrame:
+        asked = numbered.filter(F.col("block") == block).select("query_pos", "q").collect()
+        sent = vectors.sparkSession.sparkContext.broadcast([(r["query_pos"], np.array(r["q"], float)) for r in asked])
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                v = np.stack([np.asarray(x, float) for x in pdf["v"]])
+                out = []
+                for pos, q in sent.value:
+                    d = ((v - q) ** 2).sum(axis=1)
+                    # All that are as near as the k-th: ties are decided where all batches meet.
+                    limit = min(most, np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf)
+                    at = np.flatnonzero(d <= limit)
+                    out.append(pd.DataFrame({"query_pos": pos, "source": pdf["source"].to_numpy()[at], "dist": d[at]}))
+                yield pd.concat(out)[names]
+
+        return staged(slim.mapInPandas(each, kind))
+
+    blocks = numbered.agg(F.max("block")).first()[0]
+    if blocks is None:
+        return slim.sparkSession.createDataFrame([], kind)
+    d = reduce(DataFrame.unionByName, map(against, range(blocks + 1)))
+    # A first cut within slices of the rows, so that a query's candidates of all batches aren't sorted in one task.
     local = F.row_number().over(Window.partitionBy("query_pos", F.pmod(F.xxhash64("source"), F.lit(64))).orderBy("dist", "source"))
     d = d.withColumn("r", local).filter(F.col("r") <= k).withColumn("r", F.row_number().over(Window.partitionBy("query_pos").orderBy("dist", "source")))
     near = d.filter((F.col("r") <= k) & (F.col("dist") <= most)).withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("query_pos", "dist")))
-    return near.filter("n = 1").select("query_pos", "source", "dist")
+    return near.filter("n = 1").select(*names)
 
 
 def with_recent(found: DataFrame, recent: DataFrame) -> DataFrame:

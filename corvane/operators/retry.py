@@ -83,3 +83,19 @@ def apply_outcomes(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
         "next_retry_at": F.when(~F.col("ok") & ~over, backoff(F.col("at"), attempts)), "updated_at": F.col("at"), "history": F.concat("history", F.array(event).cast(HISTORY)),
     }
     return q.select(*[F.when(done, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in queue.columns])
+
+
+def plan(queue: DataFrame) -> DataFrame:
+    """queue_id, step, arguments, error: what a worker is to run for each entry; running it is the worker's own. A failed transcription,
+    and every separation of speakers, is forced; both need source_path. arguments: of step, in order."""
+    action, path, bare = F.col("next_action"), F.coalesce("source_path", F.lit("")), F.array().cast("array<string>")
+    audio = F.array(F.lit("--file"), path)
+    forced = F.concat(audio, F.array(F.lit("--force")))
+    folder = F.regexp_extract(F.regexp_replace(F.coalesce("transcript_path", F.lit("")), r"\\", "/"), "^(.*)/[^/]*$", 1)
+    arguments = (
+        F.when((action == "transcribe") & (F.col("reason") != "transcription_failed"), audio).when(action.isin("transcribe", "diarize"), forced)
+        .when(action == "entity", F.array(F.lit("--base-dir"), F.when(folder == "", ".").otherwise(folder))).when(action == "rag", F.array(F.lit("--json"))).otherwise(bare)
+    )
+    error = F.when(~F.coalesce(action.isin(*ACTION_ORDER), F.lit(False)), F.concat(F.lit("unsupported next_action: "), F.coalesce(action, F.lit("none"))))
+    error = error.when(action.isin("transcribe", "diarize") & (path == ""), F.concat(F.lit("missing source_path for "), action))
+    return queue.select("queue_id", action.alias("step"), F.when(error.isNull(), arguments).otherwise(bare).alias("arguments"), error.alias("error"))

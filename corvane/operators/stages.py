@@ -14,7 +14,8 @@ from corvane.functions.text import compress, fallback_summary, fast_score, wrap_
 
 # How often a call is tried, how long it waits, and what isn't tried again.
 ATTEMPTS, WAITS, FINAL, RATE_WAIT = 4, (5, 15, 45, 90), (400, 401, 403, 404), 30
-PROMPT_CHARS = 12_000
+PROMPT_CHARS, OVERRIDE_CHARS = 12_000, 100
+CORRECTIONS_HEADING = "- 전사 교정 규칙 (반드시 적용, corrections에 기록):"
 
 
 def retry_wait(status: Column, attempt: Column) -> Column:
@@ -24,10 +25,22 @@ def retry_wait(status: Column, attempt: Column) -> Column:
     return F.when(last | status.isin(*FINAL), F.lit(None).cast("int")).when(status == 429, (RATE_WAIT * F.pow(F.lit(2.0), attempt)).cast("int")).when(status >= 500, F.get(steps, attempt))
 
 
-def prompt(template: str, corrections: Column, content: Column, most: int = PROMPT_CHARS) -> Column:
-    """The template with {corrections} and {content}, the content cut and framed as data."""
+def prompt(template: str, corrections: Column, content: Column, most: int = PROMPT_CHARS, examples: str = "", override: str | None = None) -> Column:
+    """The template with {corrections}, {examples} and {content}, the content cut and framed as data. An override of over a hundred
+    characters, as a prompt store may give it, stands in for the template with all that is filled into it but the content."""
     framed = wrap_untrusted(F.lit("transcript"), F.substring(content, 1, most))
-    return F.replace(F.replace(F.lit(template), F.lit("{corrections}"), corrections), F.lit("{content}"), framed)
+    if override and len(override) > OVERRIDE_CHARS:
+        whole = F.lit(override)
+    else:
+        whole = F.replace(F.replace(F.lit(template), F.lit("{corrections}"), corrections), F.lit("{examples}"), F.lit(examples))
+    return F.replace(whole, F.lit("{content}"), framed)
+
+
+def corrections_block(rules: DataFrame) -> DataFrame:
+    """block: the rules (pos, old, new, note) as lines of a prompt, one row, empty without rules. Rules are what people wrote."""
+    line = F.concat(F.lit('  - "'), "old", F.lit('" → "'), "new", F.lit('"'), F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit(" ("), "note", F.lit(")"))).otherwise(""))
+    lines = rules.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    return lines.select(F.when(F.col("lines") == "", "").otherwise(F.concat(F.lit(CORRECTIONS_HEADING + "\n"), "lines")).alias("block"))
 
 
 class ResponseTable:

@@ -46,14 +46,14 @@ def stages_korean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as segments: as many seconds as characters, two of the roles as speakers."""
-    c = table(spark, sf_dir, "conversations").filter("role <> 'system'")
+    """Turns as segments: as many seconds as characters, users as one speaker, all others as another."""
+    c = table(spark, sf_dir, "conversations")
     n = F.length("text").cast("double")
     return c.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("pos"), (F.col("turn") * 1000.0).alias("start"), (F.col("turn") * 1000.0 + n / 8).alias("end"), "text", F.when(F.col("role") == "user", "SPEAKER_01").otherwise("SPEAKER_00").alias("speaker"))
 
 
 POLITE = ("the ", "que ")
-SEGMENTS = "s AS (SELECT conv_id AS call_id, turn AS pos, turn * 1000.0::double AS start, turn * 1000.0::double + length(text) / 8.0::double AS \"end\", text, CASE WHEN role = 'user' THEN 'SPEAKER_01' ELSE 'SPEAKER_00' END AS speaker FROM conversations WHERE role <> 'system')"
+SEGMENTS = "s AS (SELECT conv_id AS call_id, turn AS pos, turn * 1000.0::double AS start, turn * 1000.0::double + length(text) / 8.0::double AS \"end\", text, CASE WHEN role = 'user' THEN 'SPEAKER_01' ELSE 'SPEAKER_00' END AS speaker FROM conversations)"
 STATS = f"""{SEGMENTS}, st AS (SELECT call_id, speaker, sum("end" - start) AS seconds, count(*) FILTER (contains(text, 'the ') OR contains(text, 'que ')) AS polite, min(pos) AS first_pos FROM s GROUP BY ALL)"""
 
 

@@ -116,6 +116,26 @@ def my_todos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.filter("t.owner = 'me' and t.title <> ''").select("doc_id", "t.title", "t.priority", "t.status")
 
 
+def client_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of six dialects as a client reads them."""
+    k, m = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    body = F.concat(F.lit('{"a":{"id":'), k, F.lit('},"b":[1,2]}'))
+    text = (
+        F.when(m == 0, body).when(m == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(m == 2, F.concat(F.lit(" ```"), body, F.lit("```\n\n")))
+        .when(m == 3, F.concat(F.lit("Here is {it}: "), body)).when(m == 4, F.concat(F.lit("so\n"), body, F.lit("\nmore"))).otherwise("```json\n```")
+    )
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(F.array(ex.client_object(text))).alias("v"))
+    return d.select("doc_id", F.try_variant_get("v", "$.a.id", "bigint").alias("id"), F.col("v").isNull().alias("none"))
+
+
+def client_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rows(
+        spark, "id int, response string",
+        (1, "```json```{}"), (2, "```{\"a\":1}"), (3, "``````"), (4, "[1, 2]"), (5, "x {\"a\":{\"b\":1}, \"c\":2} y"), (6, "}{"), (7, "  \n "), (8, None), (9, "이것은 JSON이 아닙니다"), (10, "```\n{\"a\":\"```\"}\n```"),
+    )
+    return r.select("id", F.to_json(ex.client_object(F.col("response"))).alias("object"))
+
+
 OK = "doc_id % 6 <> 3"
 VALID = "doc_id % 6 NOT IN (3, 4)"
 QUERIES = {
@@ -131,6 +151,8 @@ QUERIES = {
     "correction_promotions": (promotions, f"""WITH s AS ({SEEN_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY original, corrected ORDER BY seq) AS k FROM s), t AS (SELECT * FROM r WHERE k = 3 AND original <> 'view')
         SELECT original, corrected, seq AS promoted_at, 'auto-promoted (' || reason || ')' AS note, false AS enabled FROM (SELECT *, row_number() OVER (PARTITION BY original ORDER BY seq) AS n FROM t) WHERE n = 1"""),
     "alias_variants": (variants, "SELECT event_type, string_agg(DISTINCT v, ',' ORDER BY v) AS variants FROM (SELECT event_type, cast(user_id % 7 AS varchar) AS v FROM events UNION SELECT event_type, cast(user_id % 11 AS varchar) FROM events) WHERE v <> '3' GROUP BY 1"),
+    "client_responses": (client_objects, "SELECT doc_id, CASE WHEN doc_id % 6 NOT IN (3, 5) THEN doc_id END AS id, doc_id % 6 IN (3, 5) AS none FROM documents"),
+    "client_dialects": (client_fixture, """SELECT * FROM (VALUES (1, '{}'), (2, '{"a":1}'), (3, NULL), (4, '[1,2]'), (5, '{"a":{"b":1},"c":2}'), (6, NULL), (7, NULL), (8, NULL), (9, NULL), (10, '{"a":"```"}')) AS t(id, object)"""),
     "extraction_run_totals": (run_totals, f"SELECT count(*) AS summaries, count(*) AS todos, 3 * count(*) AS money, count(*) AS products, count(*) AS entities, count(*) AS risks, 0 AS corrections FROM documents WHERE {VALID}"),
     "my_todos": (my_todos, f"SELECT doc_id, 'T' || doc_id AS title, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'medium' END AS priority, 'new' AS status FROM documents WHERE {VALID} AND doc_id % 4 = 0"),
 }

@@ -71,15 +71,6 @@ def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as raw messages, parsed back."""
-    p = table(spark, sf_dir, "pages")
-    head = F.concat(F.lit("Subject: =?utf-8?B?"), F.base64(F.encode(F.substring("url", 1, 30), "utf-8")), F.lit("?=\r\nFrom: a@b.c\r\nMessage-ID: <"), F.col("page_id").cast("string"), F.lit(">\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"))
-    raw = p.select(F.lit("INBOX").alias("folder"), F.col("page_id").cast("string").alias("uid"), F.encode(F.concat(head, F.substring("html", 1, 200)), "utf-8").alias("raw"))
-    m = mail.parse_raw(raw)
-    return m.select("uid", "subject", "from", "message_id", F.md5("body").alias("body_md5"))
-
-
-def whole_raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages as raw messages, parsed back."""
     p = table(spark, sf_dir, "pages")
     # base64() breaks lines, which an encoded word may not have.
@@ -204,7 +195,7 @@ def appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("doc"), (F.col("vec_id") % 400).cast("string")).alias("source"), F.col("embedding").cast("array<double>").alias("v"))
-    q = table(spark, sf_dir, "embeddings").filter("vec_id < 4").select(F.col("vec_id").cast("int").alias("query_pos"), F.col("embedding").cast("array<double>").alias("q"))
+    q = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").cast("int").alias("query_pos"), F.col("embedding").cast("array<double>").alias("q"))
     return export.nearest(v, q, 20, 150.0).select("query_pos", "source", F.bround("dist", 4).alias("dist"))
 
 
@@ -218,8 +209,7 @@ QUERIES = {
     "mail_to_fetch": (fetches, "SELECT folder, uid FROM (SELECT event_type AS folder, event_id AS uid, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events WHERE event_id % 3 <> 0) WHERE r <= 10"),
     "sms_payloads": (sms, "SELECT * FROM (VALUES (1, '010', 'hi', ''), (2, 's', 'm', 't'), (3, '', '', ''), (4, NULL, 'x', '')) AS t(id, sender, message, thread_id)"),
     "mail_exclusions": (exclusions, "SELECT DISTINCT source || '@x.com' AS address FROM documents WHERE source <> 'src1' UNION SELECT 'new@x.com'"),
-    "raw_mail": (raw_mail, "SELECT cast(page_id AS varchar) AS uid, trim(substr(url, 1, 30)) AS subject, 'a@b.c' AS \"from\", '<' || page_id || '>' AS message_id, md5(substr(html, 1, 200)) AS body_md5 FROM pages"),
-    "raw_mail_whole": (whole_raw_mail, "SELECT cast(page_id AS varchar) AS uid, trim(url) AS subject, 'a@b.c' AS \"from\", '<' || page_id || '>' AS message_id, md5(html) AS body_md5 FROM pages"),
+    "raw_mail": (raw_mail, "SELECT cast(page_id AS varchar) AS uid, trim(url) AS subject, 'a@b.c' AS \"from\", '<' || page_id || '>' AS message_id, md5(html) AS body_md5 FROM pages"),
     "error_streaks": (streaks, f"WITH {RUNS} SELECT s.step, last AS signature, count(*) AS count FROM s JOIN r ON s.step = r.step AND (since IS NULL OR seq > since) WHERE last <> '' GROUP BY ALL"),
     "error_signatures": (signatures, f"WITH {RUNS} SELECT sig AS signature, count(*) AS runs FROM r WHERE rc <> 0 GROUP BY 1"),
     "run_steps": (outcomes, f"WITH {STEPS} SELECT * FROM f"),
@@ -237,7 +227,7 @@ QUERIES = {
         UNION ALL SELECT 'B', '# B' || chr(10) || chr(10) || '## 통화 기록' || chr(10) || '- [2024-01-03] [[n3.md]]' || chr(10) || '- [2024-01-01] [[old.md]]' || chr(10) UNION ALL SELECT 'C', '# C' || chr(10) || chr(10) || '## 통화 기록' || chr(10) || '- [2024-01-04] [[n4.md]]' || chr(10)"""),
     "notice_lines": (message, "SELECT * FROM (VALUES (1, '  🔴 Call' || chr(10) || '    • 통화: Kim (010-1234-5678) / 1/2 03:04'), (2, '   Mail'), (3, '  🟢 Ship' || chr(10) || '    • 통화: Lee / soon, they said ')) AS t(seq, line)"),
     "unnotified_appointments": (appointments, "SELECT key, count(*) AS appointments FROM (SELECT event_type || '|' || strftime(ts, '%Y-%m-%d') || '|' || CASE WHEN user_id % 2 = 0 THEN '10:00' ELSE '' END || '|u' || (user_id % 5) AS key FROM events WHERE ts >= TIMESTAMP '2024-01-20') GROUP BY 1"),
-    "vector_top_k": (vectors, """WITH e AS (SELECT 'doc' || (vec_id % 400) AS source, embedding::double[] AS v FROM embeddings), q AS (SELECT vec_id::int AS query_pos, embedding::double[] AS q FROM embeddings WHERE vec_id < 4),
+    "vector_top_k": (vectors, """WITH e AS (SELECT 'doc' || (vec_id % 400) AS source, embedding::double[] AS v FROM embeddings), q AS (SELECT vec_id::int AS query_pos, embedding::double[] AS q FROM embeddings WHERE vec_id % 20 = 0),
         d AS (SELECT query_pos, source, list_sum(list_transform(list_zip(v, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM e, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_pos ORDER BY dist, source) AS r FROM d),
         n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY query_pos, dist) AS n FROM r WHERE r <= 20 AND dist <= 150) SELECT query_pos, source, round_even(dist, 4) AS dist FROM n WHERE n = 1"""),
 }

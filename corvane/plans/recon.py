@@ -136,6 +136,12 @@ def due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retry.work(old_queue(spark, sf_dir), now(), 50).select("queue_id", "status")
 
 
+def worker_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.length("stem")
+    q = built(spark, sf_dir).select("queue_id", "reason", F.when(h % 11 == 0, "dance").otherwise(F.col("next_action")).alias("next_action"), F.when(h % 3 != 0, F.concat(F.lit("/a/"), "file")).alias("source_path"), F.concat(F.lit("/t/"), "stem", F.lit("/x.txt")).alias("transcript_path"))
+    return retry.plan(q).select("queue_id", "step", F.array_join("arguments", " ").alias("arguments"), "error")
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = old_queue(spark, sf_dir).filter(retry.is_due(now()))
     o = q.select("queue_id", (F.length("stem") % 2 == 0).alias("ok"), F.lit("boom").alias("error"), now().alias("at"))
@@ -255,6 +261,9 @@ QUERIES = {
     "retry_queue_merge": (queue_merge_, f"""{OLD} SELECT q.queue_id, CASE WHEN o.queue_id IS NULL THEN q.new_priority WHEN q.h % 3 = 0 OR o.status IN ('succeeded', 'terminal_failure') THEN 'P8' ELSE q.new_priority END AS priority, coalesce(o.status, 'pending') AS status,
         coalesce(o.attempts, 0) AS attempts, CASE WHEN o.queue_id IS NOT NULL AND q.h % 2 = 0 THEN 'e' END AS last_error, NOT (o.queue_id IS NOT NULL AND (q.h % 3 = 0 OR o.status IN ('succeeded', 'terminal_failure'))) AS is_new
         FROM q LEFT JOIN o ON q.queue_id = o.queue_id WHERE o.queue_id IS NOT NULL OR q.h % 3 <> 0"""),
+    "retry_worker_plan": (worker_plan, f"""{OLD}, s AS (SELECT queue_id, stem, reason, h, CASE WHEN h % 11 = 0 THEN 'dance' ELSE action END AS step FROM q)
+        SELECT queue_id, step, CASE WHEN step IN ('transcribe', 'diarize') AND h % 3 <> 0 THEN '--file /a/' || stem || '.m4a' || CASE WHEN step = 'diarize' OR reason = 'transcription_failed' THEN ' --force' ELSE '' END WHEN step = 'entity' THEN '--base-dir /t/' || stem WHEN step = 'rag' THEN '--json' ELSE '' END AS arguments,
+        CASE WHEN step = 'dance' THEN 'unsupported next_action: dance' WHEN step IN ('transcribe', 'diarize') AND h % 3 = 0 THEN 'missing source_path for ' || step END AS error FROM s"""),
     "retry_queue_due": (due, f"{OLD} SELECT queue_id, status FROM d ORDER BY rank, stem, reason LIMIT 50"),
     "retry_queue_outcomes": (outcomes, f"""{OLD} SELECT CASE WHEN h % 2 = 0 THEN 'succeeded' WHEN attempts + 1 >= 3 THEN 'terminal_failure' ELSE 'pending' END AS status, attempts + 1 AS attempts, h % 2 <> 0 AND attempts + 1 >= 3 AS terminal_failure,
         CASE WHEN h % 2 <> 0 AND attempts + 1 < 3 THEN strftime(TIMESTAMP '2024-02-01' + to_minutes(15 * (CASE attempts WHEN 0 THEN 1 ELSE 2 END)), '%Y-%m-%d %H:%M:%S') END AS next_retry, 1 AS events, count(*) AS entries FROM d GROUP BY ALL"""),

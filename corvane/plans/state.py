@@ -20,26 +20,16 @@ def now() -> Column:
     return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
-def all_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     return table(spark, sf_dir, "events").select(k.alias("seq"), F.concat(F.lit("s"), (F.col("user_id") % 80).cast("string")).alias("stem"), F.concat(F.lit("e"), k.cast("string")).alias("error"), k.alias("at"), (k % 3 == 0).alias("counted"))
 
 
-def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_failures(spark, sf_dir).filter("seq % 7 = 0")
-
-
 def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = rows(spark, "stem string, failures int, last_error string, blacklisted_at long", ("s1", 2, "old", None), ("s2", 5, "old", -1), ("gone", 1, "old", None))
     return state.blacklist_after(old, failures(spark, sf_dir))
 
 
-def whole_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blacklist after every event."""
-    old = rows(spark, "stem string, failures int, last_error string, blacklisted_at long", ("s1", 2, "old", None), ("s2", 5, "old", -1), ("gone", 1, "old", None))
-    return state.blacklist_after(old, all_failures(spark, sf_dir))
-
-
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("stem"), F.col("ts").alias("mtime"))
     return state.pending(e, e.filter("stem % 5 = 0"), e.filter("stem % 2 = 0"), e.filter("stem % 7 = 0")).select("stem")
@@ -110,7 +100,7 @@ def day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("name"), F.col("ts").alias("mtime"))
-    return files.newest_first(e).limit(25).select("name")
+    return files.newest_first(e, ranked=True).select("name", "rank")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,10 +117,7 @@ def waits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "blacklist_update": (blacklist, """WITH f AS (SELECT event_id AS seq, 's' || (user_id % 80) AS stem, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS c FROM events WHERE event_id % 7 = 0), o(stem, b, e, t) AS (VALUES ('s1', 2, 'old', NULL), ('s2', 5, 'old', -1), ('gone', 1, 'old', NULL)),
-        n AS (SELECT f.*, coalesce(b, 0) + sum(c) OVER (PARTITION BY f.stem ORDER BY seq) AS n FROM f LEFT JOIN o ON f.stem = o.stem), g AS (SELECT stem, max(n) AS n, 'e' || max(seq) AS error, min(CASE WHEN n >= 3 THEN seq END) AS a FROM n GROUP BY stem)
-        SELECT coalesce(g.stem, o.stem) AS stem, coalesce(n, b) AS failures, coalesce(error, e) AS last_error, coalesce(t, a) AS blacklisted_at FROM g FULL JOIN o ON g.stem = o.stem"""),
-    "blacklist_update_whole": (whole_blacklist, """WITH f AS (SELECT event_id AS seq, 's' || (user_id % 80) AS stem, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS c FROM events), o(stem, b, e, t) AS (VALUES ('s1', 2, 'old', NULL), ('s2', 5, 'old', -1), ('gone', 1, 'old', NULL)),
+    "blacklist_update": (blacklist, """WITH f AS (SELECT event_id AS seq, 's' || (user_id % 80) AS stem, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS c FROM events), o(stem, b, e, t) AS (VALUES ('s1', 2, 'old', NULL), ('s2', 5, 'old', -1), ('gone', 1, 'old', NULL)),
         n AS (SELECT f.*, coalesce(b, 0) + sum(c) OVER (PARTITION BY f.stem ORDER BY seq) AS n FROM f LEFT JOIN o ON f.stem = o.stem), g AS (SELECT stem, max(n) AS n, 'e' || max(seq) AS error, min(CASE WHEN n >= 3 THEN seq END) AS a FROM n GROUP BY stem)
         SELECT coalesce(g.stem, o.stem) AS stem, coalesce(n, b) AS failures, coalesce(error, e) AS last_error, coalesce(t, a) AS blacklisted_at FROM g FULL JOIN o ON g.stem = o.stem"""),
     "pending_audio": (pending, "SELECT event_id AS stem FROM events WHERE event_id % 2 = 1 AND event_id % 5 <> 0 AND event_id % 7 <> 0"),
@@ -147,7 +134,7 @@ QUERIES = {
     "checkpoint_batches": (checkpoints, "SELECT event_id, CASE WHEN strftime(ts, '%Y%m%d') = '20240105' THEN event_id % 9 + 1 ELSE 0 END AS next_batch FROM events"),
     "response_lists": (lists, "SELECT doc_id, CASE WHEN doc_id % 6 <> 3 THEN 1 ELSE 0 END AS entities, CASE WHEN doc_id % 6 <> 3 THEN 3 ELSE 0 END AS todos, doc_id % 6 = 3 AS parse_error FROM documents"),
     "events_of_a_day": (day, "SELECT count(*) AS events FROM events WHERE cast(ts + INTERVAL 9 HOUR AS date) = DATE '2024-01-10'"),
-    "newest_files": (newest, "SELECT cast(event_id AS varchar) AS name FROM events ORDER BY ts DESC, 1 LIMIT 25"),
+    "newest_files": (newest, "SELECT cast(event_id AS varchar) AS name, row_number() OVER (ORDER BY ts DESC, cast(event_id AS varchar)) - 1 AS rank FROM events"),
     "extraction_run": (run, score_sql(LEXICON) + f"""SELECT CASE WHEN {BAND_SQL} = 'definite_drop' THEN 'skipped_fast_score' WHEN doc_id % 7 = 0 OR doc_id % 6 IN (3, 4) THEN 'fallback' ELSE 'ok' END AS status, count(*) AS documents,
         CASE WHEN count(*) FILTER ({BAND_SQL} <> 'definite_drop' AND doc_id % 7 <> 0 AND doc_id % 6 NOT IN (3, 4)) > 0 THEN count(*) END AS todos FROM t GROUP BY 1"""),
     "retry_waits": (waits, """SELECT s AS status, a AS attempt, CASE WHEN a >= 3 OR s IN (400, 403, 404) THEN NULL WHEN s = 429 THEN cast(30 * pow(2, a) AS int) WHEN s >= 500 THEN [5, 15, 45, 90][a + 1] END AS wait

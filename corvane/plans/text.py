@@ -139,19 +139,23 @@ def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def role_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram similarity of each turn to the next of its conversation."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 400).alias("text"))
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.bround(tx.bigram_similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
-
-
-def whole_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigram similarity of each whole turn to the next of its conversation."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.bround(tx.bigram_similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
 
 
+def tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last characters of documents, masked, and what an error report would say of them."""
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(F.array(F.concat("text", F.lit("\r\nfailed for a.person@example.com\n")))).alias("text"))
+    return d.select("doc_id", F.md5(tx.redact(F.col("text"), 200)).alias("tail_md5"), tx.error_report((F.col("doc_id") % 3).cast("int"), F.lit(""), F.col("text")).alias("summary"))
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rows(spark, "id int, code int, stderr string, stdout string", (1, 1, "Trace\n  at x\nto a.person@example.com\r\n", "out"), (2, 2, "", "done\nlast " + "y" * 600), (3, -9, None, None), (4, 1, " \n", "from stdout"))
+    return r.select("id", tx.error_report(F.col("code"), F.col("stderr"), F.col("stdout")).alias("summary"))
+
+
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.md5("text").alias("file_md5"), tx.queue_id(F.concat(F.lit("stem"), F.col("doc_id").cast("string")), F.col("lang"), F.col("source")).alias("queue_id"))
@@ -202,14 +206,12 @@ QUERIES = {
     "fallback_summary": (fallback, f"""SELECT doc_id, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP_SQL.format('x')}), lambda x: length(x) > 10)[1], 1, 100), '{lx.FALLBACK_LINE}') AS one_line,
         replace('{lx.FALLBACK_DETAIL}', '%d', cast({HITS_SQL} AS varchar)) AS detail FROM documents"""),
     "todo_keys": (title_keys, f"""SELECT conv_id, turn, substr(replace(replace(lower({STRIP_SQL.format('text')}), ' ', ''), '_', ''), 1, 100) || '|call_' || conv_id || CASE WHEN turn % 3 = 2 THEN '.m4a' ELSE '' END AS key FROM conversations"""),
-    "bigram_similarity": (role_similarity, f"""WITH c AS (SELECT conv_id, turn, lower(replace(substr(text, 1, 400), ' ', '')) AS s FROM conversations),
-        b AS (SELECT conv_id, turn, {BIGRAM_SQL.format('s')} AS g FROM c)
-        SELECT a.conv_id, a.turn, round_even(CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0 ELSE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::double END, 6) AS similarity
-        FROM b AS a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"""),
-    "bigram_similarity_whole": (whole_similarity, f"""WITH c AS (SELECT conv_id, turn, lower(replace(text, ' ', '')) AS s FROM conversations),
+    "bigram_similarity": (role_similarity, f"""WITH c AS (SELECT conv_id, turn, lower(replace(text, ' ', '')) AS s FROM conversations),
         b AS (SELECT conv_id, turn, {BIGRAM_SQL.format('s')} AS g FROM c)
         SELECT a.conv_id, a.turn, round_even(CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0 ELSE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::double END, 6) AS similarity
         FROM b AS a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"""),
+    "redacted_tails": (tails, f"""WITH t AS (SELECT doc_id, {redact_sql("(text || chr(13) || chr(10) || 'failed for a.person@example.com' || chr(10))")} AS safe FROM documents) SELECT doc_id, md5(right(safe, 200)) AS tail_md5, 'exit ' || (doc_id % 3) || ': failed for a***@example.com' AS summary FROM t"""),
+    "error_summaries": (summaries, "SELECT * FROM (VALUES (1, 'exit 1: to a***@example.com'), (2, 'exit 2: last ' || repeat('y', 487)), (3, 'exit -9: no output'), (4, 'exit 1: no output')) AS t(id, summary)"),
     "digests": (digests, "SELECT doc_id, md5(text) AS file_md5, 'rq_' || left(sha256('stem' || doc_id || chr(0) || lang || chr(0) || source), 16) AS queue_id FROM documents"),
     "phone_display": (phones, """WITH d AS (SELECT c_custkey, '010' || lpad(cast(c_custkey AS varchar), 8, '0') AS d FROM customer)
         SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN substr(d, 1, 3) || '-' || substr(d, 4, 3) || '-' || substr(d, 7, 4) WHEN 1 THEN substr(d, 1, 3) || '-' || substr(d, 4, 4) || '-' || substr(d, 8, 4) ELSE substr(d, 1, 7) END AS phone FROM d"""),

@@ -31,8 +31,11 @@ def audio(spark: SparkSession, path: str, least: int = LEAST_AUDIO) -> DataFrame
     return _listed(spark, path, "*.m4a").filter(F.col("size_bytes") > least)
 
 
-def newest_first(files: DataFrame) -> DataFrame:
-    return files.orderBy(F.desc("mtime"), "name")
+def newest_first(files: DataFrame, ranked: bool = False) -> DataFrame:
+    """files, the latest first; ranked: with each one's place, from 0, which doesn't need a sort to be shown."""
+    if not ranked:
+        return files.orderBy(F.desc("mtime"), "name")
+    return global_rank(files.withColumn("_age", -F.unix_micros(F.col("mtime").cast("timestamp"))), "_age", "name").drop("_age")
 
 
 def of_day(files: DataFrame, now: Column) -> DataFrame:

@@ -74,6 +74,12 @@ def unread(messages: DataFrame, receipts: DataFrame) -> DataFrame:
     return messages.join(receipts.select("id"), "id", "left_anti")
 
 
+def logs(entries: DataFrame) -> DataFrame:
+    """Log rows of entries (job_id, level, message, metadata as a map or null), for a table that they are appended to."""
+    none = F.create_map().cast("map<string,string>")
+    return entries.select("job_id", "level", "message", F.to_json(F.coalesce("metadata", none)).alias("metadata"))
+
+
 def fan_out(parents: DataFrame, aggregator: bool = True) -> DataFrame:
     """Children of parents (id, children), numbered, and an aggregator that isn't due before it is woken."""
     kids = parents.select(F.col("id").alias("parent_id"), F.explode(F.sequence(F.lit(1), F.greatest("children", F.lit(1)))).alias("n"), "children").filter("n <= children")

@@ -199,6 +199,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.nearest(v, q, 20, 150.0).select("query_pos", "source", F.bround("dist", 4).alias("dist"))
 
 
+EXPORTED = f"""{FILES}, c AS (SELECT *, count(*) OVER (PARTITION BY party, strftime(t, '%Y-%m-%d')) AS n FROM p WHERE skip IS NULL OR skip = 'short'),
+    e AS (SELECT name, strftime(t, '%Y-%m-%d') || CASE WHEN n > 1 THEN '_' || strftime(t, '%H%M') ELSE '' END || '_' || party || '.md' AS note, nullif(cp0, '') AS counterparty, strftime(t, '%Y-%m-%d') AS date FROM c WHERE skip IS NULL)"""
+
 QUERIES = {
     "promotional_mail": (promo, f"WITH {MAILS} SELECT uid, {PROMO} AS promotional FROM m"),
     "promotional_korean": (promo_korean, "SELECT * FROM (VALUES (1, true, 'normal'), (2, true, 'normal'), (3, true, 'normal'), (4, false, 'normal'), (5, true, 'normal'), (6, false, 'important')) AS t(id, promotional, class)"),
@@ -220,9 +223,11 @@ QUERIES = {
     "state_files": (state_files, "SELECT * FROM (VALUES ('pipeline_state.json', true, false, 71.0::double, true, NULL), ('persistent_todos.json', true, true, 49.0, false, 'no JSON'), ('events.jsonl', true, false, 100.0, false, 'line 3'), ('correction_rules.json', false, true, -1.0, true, NULL), ('other.json', true, false, 1.0, false, 'null byte found'), ('notes.txt', true, false, 48.0, true, NULL), ('empty.json', true, false, 2.0, true, NULL)) AS t(file, present, stale, age_hours, parse_ok, parse_error)"),
     "state_ok": (state_ok, "SELECT false AS ok"),
     "export_skips": (skips, f"{FILES} SELECT coalesce(skip, 'export') AS skip, count(*) AS files FROM p GROUP BY 1"),
-    "export_notes": (notes, f"""{FILES}, c AS (SELECT *, count(*) OVER (PARTITION BY party, strftime(t, '%Y-%m-%d')) AS n FROM p WHERE skip IS NULL OR skip = 'short')
-        SELECT name, strftime(t, '%Y-%m-%d') || CASE WHEN n > 1 THEN '_' || strftime(t, '%H%M') ELSE '' END || '_' || party || '.md' AS note, nullif(cp0, '') AS counterparty, strftime(t, '%Y-%m-%d') AS date FROM c WHERE skip IS NULL"""),
-    "export_markdown": (note_text, None),
+    "export_notes": (notes, f"{EXPORTED} SELECT * FROM e"),
+    "export_markdown": (note_text, """WITH f(note, cp, tag, phone, shown, day, file, body) AS (VALUES
+            ('2024-01-02_한빛 (주).md', '한빛 (주)', '한빛', '01012345678', '010-1234-5678', '2024-01-02', '한빛 (주)_01012345678_20240102030405.txt', repeat('가', 100)), ('2024-01-02_0212345678.md', NULL, NULL, '0212345678', '021-234-5678', '2024-01-02', '0212345678_20240102030405.txt', repeat('b', 100)))
+        SELECT note, concat_ws(chr(10), '---', 'type: transcript', 'counterparty: "' || coalesce(cp, '') || '"', 'phone: "' || phone || '"', 'date: ' || day, 'time: "03:04:05"', 'source_file: ' || file, 'tags: [' || concat_ws(', ', '통화전사', tag) || ']', '---', '',
+            '# 통화 전사 — ' || coalesce(cp, shown) || ' (' || day || ' 03:04)', '', '> **거래처**: [[' || cp || ']]', '> **전화**: ' || shown, '', '---', '', body) AS markdown FROM f"""),
     "party_files": (parties, """SELECT 'A' AS counterparty, '---' || chr(10) || 'type: counterparty' || chr(10) || 'name: "A"' || chr(10) || '---' || chr(10) || chr(10) || '# A' || chr(10) || chr(10) || '## 통화 기록' || chr(10) || '- [2024-01-02] [[n2.md]]' || chr(10) || '- [2024-01-01] [[n1.md]]' || chr(10) AS content
         UNION ALL SELECT 'B', '# B' || chr(10) || chr(10) || '## 통화 기록' || chr(10) || '- [2024-01-03] [[n3.md]]' || chr(10) || '- [2024-01-01] [[old.md]]' || chr(10) UNION ALL SELECT 'C', '# C' || chr(10) || chr(10) || '## 통화 기록' || chr(10) || '- [2024-01-04] [[n4.md]]' || chr(10)"""),
     "notice_lines": (message, "SELECT * FROM (VALUES (1, '  🔴 Call' || chr(10) || '    • 통화: Kim (010-1234-5678) / 1/2 03:04'), (2, '   Mail'), (3, '  🟢 Ship' || chr(10) || '    • 통화: Lee / soon, they said ')) AS t(seq, line)"),

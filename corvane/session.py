@@ -36,17 +36,22 @@ def rows(spark: SparkSession, schema: str, *values: tuple) -> DataFrame:
     return spark.createDataFrame(list(values), schema)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Written once to the folder in spark.checkpoint.dir, which all executors share, and read back. Only a local session may lack
-    that setting: a temporary folder stands in for it there."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path under the folder in spark.checkpoint.dir, which all executors share. Only a local session may lack that setting:
+    a temporary folder stands in for it there."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = df.sparkSession.conf.get("spark.master", "")
+        master = spark.conf.get("spark.master", "")
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="corvane-"))
         base = _OWN_FOLDER[0]
-    path = f"{base.rstrip('/')}/corvane/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/corvane/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Written once to the shared folder and read back."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

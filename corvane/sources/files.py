@@ -3,6 +3,9 @@ store that Spark knows will do."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +13,9 @@ from pyspark.sql import functions as F
 from corvane.functions.names import basename, stem
 from corvane.operators.rank import global_rank
 
-# Sizes that a file must exceed, and the line by which a failed separation of speakers is known.
+# Sizes that a file must exceed, the size at which a log is cut to its last lines, and the line by which a failed separation of speakers is known.
 LEAST_TRANSCRIPT, LEAST_AUDIO, LEAST_RECENT = 50, 1024, 50
+LOG_BYTES, KEPT_LINES = 5 << 20, 5000
 DIARIZATION_FAILED = r"Speaker diarization JSON parse failed for (.+?)\.m4a:"
 
 
@@ -127,9 +131,52 @@ def day_events(events: DataFrame, day: str) -> DataFrame:
 
 # ── sinks ──
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Readers see the old table or the new one: Spark's commit moves whole task outputs."""
-    df.write.mode("overwrite").parquet(path)
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The committed versions under path, oldest first: those in which Spark's commit has left its mark."""
+    jvm = spark.sparkContext._jvm
+    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+    return sorted(str(f.getPath().getParent().toString()) for f in found or [])
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> None:
+    """A new version of the table at path. Readers see the old table until the whole new one is committed, and a job that fails leaves
+    the old one; the last `keep` versions stay for readers that have begun. There is one writer at a time."""
+    spark = df.sparkSession
+    old = _versions(spark, path)
+    number = int(old[-1].rsplit("=", 1)[-1]) + 1 if old else 0
+    df.write.mode("overwrite").parquet(f"{path}/version={number:012d}")
+    for gone in old[: max(0, len(old) + 1 - keep)]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(gone)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version of a table that replace_table writes."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"{path} has no version that is whole")
+    return spark.read.parquet(found[-1])
+
+
+def write_files(contents: DataFrame, path: str) -> None:
+    """A file of its own for each row (name, content as text or bytes): written beside its place and then moved there, so that readers see
+    whole files, and a task that is tried again writes the same ones. Names that repeat have the content of one of their rows."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        fs, folder = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+        fs.create_dir(folder, recursive=True)
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                beside = f"{folder}/.{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(beside) as out:
+                    out.write(content.encode("utf-8") if isinstance(content, str) else bytes(content or b""))
+                fs.move(beside, f"{folder}/{name}")
+        yield pd.DataFrame({"n": pd.Series([], dtype="int64")})
+
+    contents.select("name", "content").mapInPandas(each, "n long").write.format("noop").mode("overwrite").save()
 
 
 def append_json(df: DataFrame, path: str) -> None:
@@ -148,11 +195,13 @@ def numbered(files: DataFrame, each: int, *order: str) -> DataFrame:
     return r.withColumn("batch_index", F.floor(F.col("rank") / each)).withColumn("place", F.col("rank") % each).drop("rank")
 
 
-def rotated(lines: DataFrame, keep: int, order: str = "seq") -> DataFrame:
-    """The last lines of a log."""
+def rotated(lines: DataFrame, keep: int = KEPT_LINES, order: str = "seq", most: int = 0, text: str = "line") -> DataFrame:
+    """The last lines of a log if it has over `most` bytes, line ends included, else all of them."""
+    if most and (lines.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0) <= most:
+        return lines
     return lines.orderBy(F.desc(order)).limit(keep)
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
-    """A file's text for each note, by name: one task's notes in one part, to be split by whoever serves them."""
-    notes.select("note", "markdown").write.mode("overwrite").json(path)
+    """A file for each note (note, markdown), by its name."""
+    write_files(notes.select(F.col("note").alias("name"), F.col("markdown").alias("content")), path)

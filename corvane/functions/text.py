@@ -190,10 +190,14 @@ def todo_key(title: Column, source: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """The set of character pairs, without spaces, in lower case."""
-    s = F.lower(F.replace(text, F.lit(" "), F.lit("")))
-    at = F.when(F.length(s) >= 2, F.sequence(F.lit(1), F.length(s) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(s, i, F.lit(2))))
+    """The set of character pairs, without spaces, in lower case. Characters are taken apart once: substring() counts from the beginning."""
+    c = F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(""))), F.lit("(?s)."), F.lit(0))
+
+    def pairs(c: Column) -> Column:
+        n = F.greatest(F.size(c) - 1, F.lit(0))
+        return F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.concat(a, b))
+
+    return F.array_distinct(let(c, pairs))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

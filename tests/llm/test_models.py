@@ -243,7 +243,8 @@ def test_pipeline(spark, docs, rated, tmp_path):
     texts = [r.text for r in docs.filter("doc_id < 100").collect()]
     toxic_docs, labels = rated
     bad = [r.text for r in toxic_docs.filter("doc_id % 5 = 0 and doc_id < 100").collect()]
-    rows = [(i, t) for i, t in enumerate(texts + texts[:30] + bad)] + [(990, "..."), (991, None), (3, texts[3])]
+    close = [" ".join([*t.split()[:-1], "otherwise"]) for t in texts[40:48]]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:30] + bad)] + [(200 + i, t) for i, t in enumerate(close)] + [(990, "..."), (991, None), (3, texts[3])]
     all_docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     known = spark.createDataFrame([(i, int(i >= 130)) for i in range(150)], "doc_id long, toxic int")
     all_docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -254,8 +255,18 @@ def test_pipeline(spark, docs, rated, tmp_path):
         assert now.columns == all_docs.columns, name
         kept.append({r.doc_id for r in now.collect()})
     assert kept[0] == {i for i, t in rows if t and any(c.isalpha() for c in t)}
-    assert kept[1] <= kept[0] and kept[2] == {min(i for i, t in rows if t == rows_text and i in kept[1]) for rows_text in {t for i, t in rows if i in kept[1]}}
-    assert kept[3] <= kept[2] and now.count() == len(kept[3])
+    by_id = {i: t for i, t in rows if i in kept[0]}
+    order = sorted((i for i in range(150) if not held(i) and i in by_id), key=lambda i: (zlib.crc32(str(i).encode()), i))
+    w = plain_fit([(plain_features(by_id[i]), int(i >= 130), 1.0) for i in order], toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    assert kept[1] == {i for i, t in by_id.items() if 1 / (1 + math.exp(-sum(w.get(k, 0.0) for k in plain_features(t)))) < 0.3} < kept[0]
+    assert kept[2] == {min(i for i, t in rows if t == rows_text and i in kept[1]) for rows_text in {t for i, t in rows if i in kept[1]}}
+    grams = {i: frozenset(tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))) for i in kept[2] for x in [by_id[i].lower().split()]}
+    root = {i: i for i in grams}
+    for i in sorted(grams):
+        for j in sorted(grams):
+            if j < i and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                root = {k: root[j] if r == root[i] else r for k, r in root.items()}
+    assert kept[3] == {min(i for i in root if root[i] == r) for r in root.values()} < kept[2] and now.count() == len(kept[3])
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == kept[3] and set(out[0].asDict()) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
     assert packing.CAPACITY == 4096

@@ -7,9 +7,11 @@ some segment i; so each fingerprint enumerates the ball of radius t_i around its
 and the whole distance of each is verified. Only the half of each ball in which the highest changed bit becomes 1 is
 enumerated: of two linked fingerprints exactly one finds the other.
 
-Table entries of over HEAVY fingerprints are not joined, for their pairs would grow with the square: their rows are dealt
-into blocks, each pair of blocks is one small task, and it emits a spanning forest of its links, not its pairs. So no link
-between different texts is lost and no bucket is capped. Copies have the same fingerprint and never meet in a join.
+Table entries of over HEAVY fingerprints (and over four times the mean) are cut by a second index: linked fingerprints of an
+entry differ in `distance` bits or fewer outside its segment, too, so the same holds for PARTS segments of the other bits. What is
+still heavy there is alike in two places. Its pairs would grow with the square, so its rows are dealt into blocks, each pair of
+blocks is one small task, and it emits a spanning forest of its links, not its pairs. So no link between different texts is lost
+and no bucket is capped. Copies have the same fingerprint and never meet in a join.
 
 Classes are the connected components of the links, found by alternating star contraction over DataFrames.
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import drop_rows, keyed_text, row_key, staged, table
 
 SHINGLE_WORDS, DISTANCE, SEED = 4, 4, 42
-HEAVY, BLOCK = 64, 1024
+HEAVY, BLOCK, PARTS = 64, 1024, 4
 #: Hashes whose bits are counted at once.
 HASH_BLOCK = 1 << 15
 #: Segments by the number of distinct fingerprints: a segment has about as many bits as that number.
@@ -119,6 +121,33 @@ def probe_rows(fps: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
     return fps.select("fp", F.explode(F.concat(*parts)).alias("p")).select("fp", "p.key", "p.exact")
 
 
+def second_keys(plan: list[tuple[int, int, int]], distance: int, balls: bool) -> Column:
+    """Array of second keys of (fp, key): for each of PARTS segments of the bits outside the key's segment one or, with balls, one for
+    each value within the segment's radius. Radii as in segment_plan."""
+    m = min(PARTS, distance + 1)
+    spare = distance - m + 1
+
+    def outside(i: int, first: int, width: int) -> Column:
+        # Turned so that the key's segment is on top, the other bits are the lower ones.
+        by = (first + width) % 64
+        turned = F.shiftrightunsigned("fp", by).bitwiseOR(F.shiftleft("fp", 64 - by)) if by else F.col("fp")
+        bits, out, at = 64 - width, [], 0
+        for j in range(m):
+            w = bits // m + (j >= m - bits % m)
+            seg = F.shiftrightunsigned(turned, at).bitwiseAND(F.lit((1 << w) - 1))
+            radius = spare // m + (j < spare % m)
+            masks = ball(w, radius) if balls else [0]
+            out += [F.xxhash64("key", F.lit(j), seg.bitwiseXOR(F.lit(x).cast("long"))) for x in masks]
+            at += w
+        return F.array(*out)
+
+    segment = F.shiftrightunsigned("key", 40)
+    keys = F.when(segment == 0, outside(0, *plan[0][:2]))
+    for i, (first, width, _) in enumerate(plan[1:], 1):
+        keys = keys.when(segment == i, outside(i, first, width))
+    return keys
+
+
 def forest(pdf, distance: int):
     """Spanning stars of the links among one block pair's fingerprints."""
     import pandas as pd
@@ -140,31 +169,46 @@ def forest(pdf, distance: int):
     return pd.DataFrame({"a": np.array(out_a, np.uint64).view(np.int64), "b": np.array(out_b, np.uint64).view(np.int64)})
 
 
+def met(probes: DataFrame, entries: DataFrame, distance: int) -> DataFrame:
+    """a, b: links between probes (fp, key, exact) and the entries (fp, key) that they look up."""
+    p, t = probes.alias("p"), entries.alias("t")
+    near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= distance
+    once = (~F.col("p.exact")) | (F.col("p.fp") < F.col("t.fp"))
+    return p.join(t, (F.col("p.key") == F.col("t.key")) & near & once).select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b"))
+
+
+def in_blocks(entries: DataFrame, asked: DataFrame, dense: DataFrame, distance: int) -> DataFrame:
+    """a, b: links that connect what the links between asked (fp, key) and entries (fp, key, count) of dense keys (key, count) do: blocks
+    of table rows against blocks of the rows that look them up."""
+    asked = staged(asked.select("key", "fp").distinct())
+    sizes = dense.join(asked.groupBy("key").agg(F.count(F.lit(1)).alias("asks")), "key").select(
+        "key", F.ceil(F.col("count") / BLOCK).cast("long").alias("tn"), F.ceil(F.col("asks") / BLOCK).cast("long").alias("pn")
+    )
+    own = F.xxhash64("fp", F.lit(1))
+    table_side = entries.join(sizes, "key").select("key", "fp", F.pmod(own, F.col("tn")).alias("tb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pn") - 1)).alias("pb"))
+    probe_side = asked.join(sizes, "key").select("key", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tn") - 1)).alias("tb"), F.pmod(own, F.col("pn")).alias("pb"))
+    blocks = table_side.unionByName(probe_side).groupBy("key", "tb", "pb")
+    return blocks.applyInPandas(lambda pdf: forest(pdf, distance), "a long, b long")
+
+
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """a, b: links among distinct fingerprints (fp), staged; where an entry is heavy, links that connect the same ones."""
-    plan = segment_plan(fps.count(), distance)
+    n = fps.count()
+    plan = segment_plan(n, distance)
     entries, probes = staged(index_rows(fps, plan)), probe_rows(fps, plan)
-    heavy = staged(entries.groupBy("key").count().filter(F.col("count") > HEAVY))
+    heavy = staged(entries.groupBy("key").count().filter(F.col("count") > max(HEAVY, 4 * n >> min(w for _, w, _ in plan))).select("key"))
     some = not heavy.isEmpty()
     if some:
         # They are used twice then: enumerate the balls once.
         probes = staged(probes)
-    light = entries.join(heavy, "key", "left_anti") if some else entries
-    p, t = probes.alias("p"), light.alias("t")
-    near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= distance
-    once = (~F.col("p.exact")) | (F.col("p.fp") < F.col("t.fp"))
-    pairs = p.join(t, (F.col("p.key") == F.col("t.key")) & near & once).select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b"))
+    pairs = met(probes, entries.join(heavy, "key", "left_anti") if some else entries, distance)
     if some:
-        # Blocks of table rows against blocks of the rows that look them up.
-        asked = staged(probes.join(heavy, "key", "left_semi"))
-        sizes = heavy.join(asked.groupBy("key").agg(F.count(F.lit(1)).alias("asks")), "key").select(
-            "key", F.ceil(F.col("count") / BLOCK).cast("long").alias("tn"), F.ceil(F.col("asks") / BLOCK).cast("long").alias("pn")
-        )
-        own = F.xxhash64("fp", F.lit(1))
-        table_side = entries.join(sizes, "key").select("key", "fp", F.pmod(own, F.col("tn")).alias("tb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pn") - 1)).alias("pb"))
-        probe_side = asked.select("key", "fp").join(sizes, "key").select("key", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tn") - 1)).alias("tb"), F.pmod(own, F.col("pn")).alias("pb"))
-        blocks = table_side.unionByName(probe_side).groupBy("key", "tb", "pb")
-        pairs = pairs.unionByName(blocks.applyInPandas(lambda pdf: forest(pdf, distance), "a long, b long"))
+        again = staged(entries.join(heavy, "key", "left_semi").select("fp", F.explode(second_keys(plan, distance, False)).alias("key")))
+        asked = staged(probes.join(heavy, "key", "left_semi").select("fp", F.explode(second_keys(plan, distance, True)).alias("key"), "exact"))
+        dense = staged(again.groupBy("key").count().filter(F.col("count") > HEAVY))
+        pairs = pairs.unionByName(met(asked, again.join(dense, "key", "left_anti"), distance))
+        if not dense.isEmpty():
+            pairs = pairs.unionByName(in_blocks(again.join(dense, "key"), asked.join(dense, "key", "left_semi"), dense, distance))
     return staged(pairs.distinct())
 
 

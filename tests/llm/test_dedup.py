@@ -155,6 +155,34 @@ def test_links_lose_nothing(spark, monkeypatch, plan_for, distance):
     assert pairs == {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= distance}
 
 
+@pytest.mark.parametrize(("plan_for", "distance"), [(100, 4), (1 << 20, 4), (1 << 40, 4), (100, 1), (1 << 20, 7)])
+def test_heavy_entries_connect_all_that_links_do(spark, monkeypatch, plan_for, distance):
+    """Fingerprints alike in most bits: every entry is heavy, and many are still so by the second index."""
+    rng = random.Random(plan_for + 1)
+    middle = [rng.getrandbits(64) for _ in range(3)]
+    fps = {m ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for m in middle for _ in range(120)} | {rng.getrandbits(64) for _ in range(100)}
+    plan = simhash.segment_plan(plan_for, distance)
+    monkeypatch.setattr(simhash, "segment_plan", lambda n, d: plan)
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    mask, of = (1 << 64) - 1, classes(fps, distance)
+    for heavy, block in ((2, 3), (20, 50)):
+        monkeypatch.setattr(simhash, "HEAVY", heavy)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = [(r.a & mask, r.b & mask) for r in simhash.links(spark.createDataFrame(signed, "fp long"), distance).collect()]
+        # A forest's stars join fingerprints by way of others.
+        assert all(of[a] == of[b] for a, b in got)
+        root = {f: f for f in fps}
+
+        def find(f):
+            while root[f] != f:
+                f = root[f]
+            return f
+
+        for a, b in got:
+            root[find(a)] = find(b)
+        assert len({find(f) for f in fps}) == len(set(of.values()))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.names import hours_between
 from corvane.functions.text import strip
+from corvane.session import beside
 
 # Signatures in the order in which they are looked for, ages in hours, which states count as processed.
 SIGNATURES = ("ModuleNotFoundError", "ImportError", "FileNotFoundError", "PermissionError", "ConnectionError", "TimeoutError", "RuntimeError", "429", "503", "500")
@@ -52,9 +53,11 @@ def run_steps(steps: DataFrame, paused_steps: DataFrame) -> DataFrame:
     """steps (run, pos, step, upstream, returncode) with what becomes of each: -3 if an upstream step before it in its run failed,
     -2 if it is paused, else its own code."""
     s = steps.join(paused_steps.select("step", F.lit(True).alias("_paused")), "step", "left")
-    own = F.when(F.col("_paused"), -2).otherwise(F.col("returncode"))
-    before = F.max(F.when(F.col("upstream") & (own != 0), True)).over(Window.partitionBy("run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    return s.withColumn("outcome", F.when(~F.col("upstream") & before, -3).otherwise(own)).select("run", "pos", "step", "upstream", "outcome")
+    s = s.withColumn("own", F.when(F.col("_paused"), -2).otherwise(F.col("returncode")))
+    # The first upstream failure of a run decides for all that come behind it: an aggregate, not a sort of a run's steps.
+    failed = s.groupBy("run").agg(F.min(F.when(F.col("upstream") & (F.col("own") != 0), F.col("pos"))).alias("failed"))
+    blocked = ~F.col("upstream") & F.coalesce(F.col("failed") < F.col("pos"), F.lit(False))
+    return beside(s, failed, "run").withColumn("outcome", F.when(blocked, -3).otherwise(F.col("own"))).select("run", "pos", "step", "upstream", "outcome")
 
 
 def run_status(steps: DataFrame, code: str = "returncode") -> DataFrame:

@@ -87,6 +87,13 @@ def sms(payload: Column) -> Column:
     return F.struct(first("from", "sender").alias("sender"), first("body", "text", "message").alias("message"), first("thread_id").alias("thread_id"))
 
 
+def sms_todos(messages: DataFrame, todos: DataFrame) -> DataFrame:
+    """todos (id, ...) with what they come from: source, source_phone, sms_thread, sms_timestamp of messages (id, sender, thread_id, at).
+    Which to-dos a message has is for an extraction stage to say."""
+    m = messages.select("id", F.lit("sms").alias("source"), F.col("sender").alias("source_phone"), F.col("thread_id").alias("sms_thread"), F.col("at").alias("sms_timestamp"))
+    return todos.drop(*[c for c in m.columns if c != "id"]).join(m, "id")
+
+
 def excluded_after(current: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
     clean = lambda df: df.select(F.lower(strip(F.col("address"))).alias("address"))
     return clean(current).unionByName(clean(added)).distinct().join(clean(removed), "address", "left_anti")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import beside
+
 # Stages in order, hints in the order in which they are tried, entity types that name a party or a phone.
 STAGES = ("order", "quote", "po", "delivery", "payment", "complete")
 HINTS = {"주문": "order", "견적": "quote", "견적요청": "quote", "발주": "po", "납기": "delivery", "납품": "delivery", "결제": "payment", "입금": "payment", "수금": "payment"}
@@ -47,10 +49,12 @@ def stage_index(stage: Column) -> Column:
 
 
 def timeline(events: DataFrame) -> DataFrame:
-    """key, seq, stage, current_stage at each event of events (seq, key, stage, ...): stages only go forward."""
-    w = Window.partitionBy("key").orderBy("seq")
-    furthest = F.max(stage_index(F.col("stage"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return events.filter("key is not null").withColumn("current_stage", F.element_at(F.array(*map(F.lit, STAGES)), (furthest + 1).cast("int")))
+    """key, seq, stage, current_stage at each event of events (seq, key, stage, ...): stages only go forward. An order's stage at an
+    event is the number of stages first reached by then: an aggregate of a few numbers for each key, not a sort of a key's events."""
+    e = events.filter("key is not null")
+    reached = e.groupBy("key").agg(F.array(*[F.min(F.when(stage_index(F.col("stage")) >= i, F.col("seq"))) for i in range(1, len(STAGES))]).alias("_reached"))
+    furthest = F.size(F.filter("_reached", lambda seq: seq <= F.col("seq")))
+    return beside(e, reached, "key").withColumn("current_stage", F.element_at(F.array(*map(F.lit, STAGES)), furthest + 1)).drop("_reached")
 
 
 def orders(events: DataFrame) -> DataFrame:

@@ -65,6 +65,14 @@ def sms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", mail.sms(F.parse_json("raw")).alias("s")).select("id", "s.*")
 
 
+def sms_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First turns of conversations as messages, a to-do from each second turn."""
+    c = table(spark, sf_dir, "conversations")
+    m = c.filter("turn = 0").select(F.col("conv_id").alias("id"), F.concat(F.lit("010"), F.col("conv_id").cast("string")).alias("sender"), F.concat(F.lit("t"), (F.col("conv_id") % 5).cast("string")).alias("thread_id"), F.lit("2024-01-01").alias("at"))
+    t = c.filter("turn = 1").select(F.col("conv_id").alias("id"), F.md5("text").alias("title"), F.lit("call").alias("source"))
+    return mail.sms_todos(m, t)
+
+
 def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("@X.com ")).alias("address"))
     return mail.excluded_after(d, rows(spark, "address string", ("New@x.com",)), rows(spark, "address string", ("SRC1@x.com",)))
@@ -211,6 +219,7 @@ QUERIES = {
         WHEN doc_id % 2 = 1 THEN 'no_actions' ELSE 'extracted' END AS status, count(*) AS mails FROM m GROUP BY 1"""),
     "mail_to_fetch": (fetches, "SELECT folder, uid FROM (SELECT event_type AS folder, event_id AS uid, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events WHERE event_id % 3 <> 0) WHERE r <= 10"),
     "sms_payloads": (sms, "SELECT * FROM (VALUES (1, '010', 'hi', ''), (2, 's', 'm', 't'), (3, '', '', ''), (4, NULL, 'x', '')) AS t(id, sender, message, thread_id)"),
+    "sms_entries": (sms_entries, "SELECT a.conv_id AS id, md5(b.text) AS title, 'sms' AS source, '010' || a.conv_id AS source_phone, 't' || (a.conv_id % 5) AS sms_thread, '2024-01-01' AS sms_timestamp FROM conversations AS a JOIN conversations AS b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1"),
     "mail_exclusions": (exclusions, "SELECT DISTINCT source || '@x.com' AS address FROM documents WHERE source <> 'src1' UNION SELECT 'new@x.com'"),
     "raw_mail": (raw_mail, "SELECT cast(page_id AS varchar) AS uid, trim(url) AS subject, 'a@b.c' AS \"from\", '<' || page_id || '>' AS message_id, md5(html) AS body_md5 FROM pages"),
     "error_streaks": (streaks, f"WITH {RUNS} SELECT s.step, last AS signature, count(*) AS count FROM s JOIN r ON s.step = r.step AND (since IS NULL OR seq > since) WHERE last <> '' GROUP BY ALL"),

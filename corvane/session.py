@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_FOLDER: list[str] = []
 
@@ -55,3 +56,10 @@ def staged(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def beside(rows_: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """rows_ with the other columns of per_key, which has a row for each key. The join is on a text made of the key: an aggregate is
+    dealt by its key already, and only if both sides are exchanged for the join does adaptive execution split a hot key."""
+    made = F.concat(F.lit("="), F.col(key).cast("string"))
+    return rows_.withColumn("_key", made).join(per_key.withColumn("_key", made).drop(key), "_key").drop("_key")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,11 @@ from corvane.functions.extraction import extraction_record
 from corvane.functions.lexicon import ScoreLexicon
 from corvane.functions.text import compress, fallback_summary, fast_score, wrap_untrusted
 
+T = TypeVar("T")
+
 # How often a call is tried, how long it waits, and what isn't tried again.
 ATTEMPTS, WAITS, FINAL, RATE_WAIT = 4, (5, 15, 45, 90), (400, 401, 403, 404), 30
+CONNECT_TRIES, CONNECT_WAIT = 3, 5
 PROMPT_CHARS, OVERRIDE_CHARS = 12_000, 100
 CORRECTIONS_HEADING = "- 전사 교정 규칙 (반드시 적용, corrections에 기록):"
 
@@ -43,6 +48,18 @@ def corrections_block(rules: DataFrame) -> DataFrame:
     return lines.select(F.when(F.col("lines") == "", "").otherwise(F.concat(F.lit(CORRECTIONS_HEADING + "\n"), "lines")).alias("block"))
 
 
+def connected(connect: Callable[[], T], tries: int = CONNECT_TRIES, wait: float = CONNECT_WAIT, sleep: Callable[[float], None] = time.sleep) -> T:
+    """What connect() gives, tried again after a pause while it fails; the last failure is raised. For transports outside the engine."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return connect()
+        except OSError:
+            if not left:
+                raise
+            sleep(wait)
+    raise ValueError("no tries")
+
+
 class ResponseTable:
     """Responses that are already there: stem, response."""
 

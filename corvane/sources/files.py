@@ -4,9 +4,11 @@ store that Spark knows will do."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from corvane.operators.rank import global_rank
 # Sizes that a file must exceed, the size at which a log is cut to its last lines, and the line by which a failed separation of speakers is known.
 LEAST_TRANSCRIPT, LEAST_AUDIO, LEAST_RECENT = 50, 1024, 50
 LOG_BYTES, KEPT_LINES = 5 << 20, 5000
+STALE_LOCK = timedelta(hours=8)
 DIARIZATION_FAILED = r"Speaker diarization JSON parse failed for (.+?)\.m4a:"
 
 
@@ -205,3 +208,64 @@ def rotated(lines: DataFrame, keep: int = KEPT_LINES, order: str = "seq", most:
 def write_notes(notes: DataFrame, path: str) -> None:
     """A file for each note (note, markdown), by its name."""
     write_files(notes.select(F.col("note").alias("name"), F.col("markdown").alias("content")), path)
+
+
+# ── beside the tables: what a driver does with files of its own ──
+
+class Reread:
+    """A file's rows as read(spark, path) gives them, read again only when the file has changed since: rules that people edit."""
+
+    def __init__(self, path: str, read: Callable[[SparkSession, str], DataFrame]):
+        self.path, self.read, self.at, self.rows = path, read, None, None
+
+    def get(self, spark: SparkSession) -> DataFrame:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        at = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+        if self.rows is None or at > self.at:
+            self.at, self.rows = at, self.read(spark, self.path)
+        return self.rows
+
+
+def take_lock(spark: SparkSession, path: str, now: datetime, stale: timedelta = STALE_LOCK) -> bool:
+    """Whether this driver has the lock at path from now on. A lock that is older than `stale`, or can't be read, is taken away from its
+    owner: moved aside first, so that of several who try one wins."""
+    fs_package = spark.sparkContext._jvm.org.apache.hadoop.fs
+    p = fs_package.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def take() -> bool:
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError:
+            return False
+        out.write(bytearray(now.isoformat().encode()))
+        out.close()
+        return True
+
+    if take():
+        return True
+    try:
+        opened = fs.open(p)
+        since = datetime.fromisoformat(bytes(opened.readAllBytes()).decode())
+        opened.close()
+        old = now - since > stale
+    except (Py4JJavaError, TypeError, ValueError):
+        old = True
+    if not old:
+        return False
+    aside = fs_package.Path(f"{path}.stale.{uuid.uuid4().hex}")
+    try:
+        moved = fs.rename(p, aside)
+    except Py4JJavaError:
+        return False
+    if not moved:
+        return False
+    try:
+        return take()
+    finally:
+        fs.delete(aside, False)
+
+
+def release_lock(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, False)

@@ -1,10 +1,13 @@
 """Scans, sinks and streams on files of their own."""
 
 import json
+import os
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.operators import stages
 from corvane.sources import files
 from corvane.streaming import incremental
 
@@ -80,3 +83,75 @@ def test_streams(spark, tmp_path):
     w = incremental.counts_by_window(incremental.read(spark, f"{tmp_path}/ev", "at timestamp, k long"), "at", "k")
     incremental.into(w, f"{tmp_path}/wout", f"{tmp_path}/ck3").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/wout").agg(F.sum("n")).first()[0] >= 80
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        files.read_table(spark, path)
+    for i in range(4):
+        files.replace_table(spark.range(i + 1), path)
+        assert files.read_table(spark, path).count() == i + 1
+    kept = files.read_table(spark, path)
+    with pytest.raises(Exception, match="no way"):
+        files.replace_table(spark.range(3).select(F.raise_error(F.lit("no way")).alias("x")), path)
+    assert files.read_table(spark, path).count() == kept.count() == 4
+    assert len(list((tmp_path / "t").glob("version=*/_SUCCESS"))) == 2
+
+
+def test_files_are_written_by_name(spark, tmp_path):
+    rows = [("a b.txt", "héllo"), ("c.md", ""), ("d", None)]
+    files.write_files(spark.createDataFrame(rows, "name string, content string"), f"{tmp_path}/n")
+    assert {p.name: p.read_text(encoding="utf-8") for p in (tmp_path / "n").iterdir() if p.suffix != ".crc"} == {"a b.txt": "héllo", "c.md": "", "d": ""}
+
+
+def test_rules_are_read_again_when_they_change(spark, tmp_path):
+    path, reads = tmp_path / "rules.json", []
+
+    def read(spark, path):
+        reads.append(path)
+        return spark.read.json(path)
+
+    path.write_text('{"a":1}')
+    os.utime(path, (1000, 1000))
+    rules = files.Reread(str(path), read)
+    assert [r.a for r in rules.get(spark).collect()] == [1] and rules.get(spark).count() == 1 and len(reads) == 1
+    path.write_text('{"a":2}')
+    os.utime(path, (2000, 2000))
+    assert [r.a for r in rules.get(spark).collect()] == [2] and len(reads) == 2
+
+
+def test_locks(spark, tmp_path):
+    path, now = f"{tmp_path}/lock", datetime(2024, 1, 1)
+    assert files.take_lock(spark, path, now) and not files.take_lock(spark, path, now + timedelta(hours=8))
+    assert files.take_lock(spark, path, now + timedelta(hours=8, seconds=1)) and not files.take_lock(spark, path, now + timedelta(hours=9))
+    files.release_lock(spark, path)
+    assert files.take_lock(spark, path, now)
+    files.release_lock(spark, path)
+    (tmp_path / "lock").write_text("broken")
+    assert files.take_lock(spark, path, now) and not list(tmp_path.glob("*stale*"))
+
+
+def test_connections_are_tried_again():
+    said, waits = iter([OSError(), OSError(), "there"]), []
+
+    def connect():
+        x = next(said)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert stages.connected(connect, sleep=waits.append) == "there" and waits == [5, 5]
+    with pytest.raises(OSError, match="never"):
+        stages.connected(lambda: (_ for _ in ()).throw(OSError("never")), sleep=waits.append)
+    assert len(waits) == 4
+
+
+def test_prompts(spark):
+    rules = spark.createDataFrame([(1, "c", "d", "why"), (0, "a", "b", None)], "pos int, old string, new string, note string")
+    block = stages.corrections_block(rules).first().block
+    assert block.split("\n")[1:] == ['  - "a" → "b"', '  - "c" → "d" (why)'] and stages.corrections_block(rules.limit(0)).first().block == ""
+    one = spark.createDataFrame([("the text",)], "t string")
+    said = lambda **how: one.select(stages.prompt("{corrections}|{examples}|{content}", F.lit(block), F.col("t"), **how).alias("p")).first().p
+    assert said(examples="EX").startswith(block + "|EX|") and "the text" in said()
+    assert said(override="short") == said() and said(override="x" * 101 + "{content}").startswith("x" * 101) and "the text" in said(override="x" * 101 + "{content}")

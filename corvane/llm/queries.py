@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, exact_dedup, langid, media, packing, sharding, simhash, token_counts, toxicity, warc
+from corvane.llm import bpe, exact_dedup, langid, line_rules, media, packing, resampling, sharding, simhash, token_counts, toxicity, warc
 from corvane.llm.common import table
 
 
@@ -47,6 +47,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_line_frequency": line_rules.op11,
+        "op12_importance_resampling": resampling.op12,
     }
 
 
@@ -57,4 +59,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM d WINDOW w AS (PARTITION BY t)""",
+        "op11_line_frequency": line_rules.OP11_SQL,
+        "op12_importance_resampling": resampling.OP12_SQL,
     }

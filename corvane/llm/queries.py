@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, exact_dedup, langid, line_rules, media, packing, resampling, sharding, simhash, token_counts, toxicity, warc
+from corvane.llm import alignment, bpe, exact_dedup, langid, line_rules, media, packing, resampling, sharding, simhash, token_counts, toxicity, warc
 from corvane.llm.common import table
 
 
@@ -49,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_line_frequency": line_rules.op11,
         "op12_importance_resampling": resampling.op12,
+        "op13_tokenizer_alignment": alignment.op13,
     }
 
 

@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over a corpus: groups between common byte offsets, links of ids, and each id's best counterpart.
 
-Texts are cut into units where a character that isn't white space stands before a space: there a token of either tokenizer ends,
-whatever stands around it (checked for the pieces of B when it is loaded). A unit is encoded once for each worker, by both, and
-aligned; a document's groups are those of its units in order. Links of a unit are kept as distinct pairs of ids with how often they
+Texts are cut into units where a character that isn't white space stands before a space, and where a letter stands before a mark:
+there a token of either tokenizer ends, whatever stands around it (checked for the pieces of B when it is loaded). A unit is encoded
+once for each worker, by both, and aligned; a document's groups are those of its units in order. Links of a unit are kept as distinct pairs of ids with how often they
 occur, never as occurrences.
 
 Links travel in chunks: up to CHUNK pairs of documents of one task, dealt into STRIPES by A's id, each pair once with the places of
@@ -44,7 +44,9 @@ STRIPES, CHUNK, CHUNK_DOCS, FAN = 128, 1 << 20, 1 << 14, 64
 #: Units that a worker keeps.
 KEPT = 300_000
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
-GLUED = re.compile(r"(?<=\S) ")
+#: Letters on which Python and A's rules agree, and marks that no piece of B has behind one.
+LETTER, MARKS = "A-Za-zÀ-ÖØ-öø-ɏА-я", ".,;:!?)'\"-"
+UNIT = re.compile(f"(?s) ?[{LETTER}]+(?=[{re.escape(MARKS)} ]|\\Z)|.+?(?:(?<=\\S)(?= )|(?<=[{LETTER}])(?=[{re.escape(MARKS)}])|\\Z)")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -59,15 +61,11 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def units_of(text: str) -> list[str]:
-    """The text, behind a space, in parts that begin with a space which follows a character that is none; all but the first may be
-    encoded alone. A single space at the end belongs to the unit before."""
-    parts = text.split(" ")
-    if "" in parts or any(p[-1].isspace() for p in parts[:-1]):
-        parts = GLUED.split(text)
-        # A text that begins with a space has nothing before it to end a unit.
-        if len(parts) > 1 and parts[-1] == "":
-            parts[-2:] = [parts[-2] + " "]
-    return [" " + p for p in parts]
+    """The text, behind a space, in parts that may be encoded alone. A single space at the end belongs to the part before."""
+    units = UNIT.findall(" " + text)
+    if units[-1] == " " and len(units) > 1:
+        units[-2:] = [units[-2] + " "]
+    return units
 
 
 class Aligner:
@@ -84,8 +82,11 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece of B has a space behind another character: units can't be encoded alone")
+        if any(re.search(f"[{LETTER}][{re.escape(MARKS)}]", p) for p in pieces if not BYTE_PIECE.fullmatch(p)):
+            raise ValueError("a piece of B has a mark behind a letter: units can't be encoded alone")
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode("utf-8") for p in pieces]
         self.width = len(pieces)
+        self.a_text, self.b_text = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(self.width)]
         self.clear()
 
     def clear(self) -> None:
@@ -96,37 +97,46 @@ class Aligner:
     def add(self, units: list[str]) -> None:
         """Encodes and aligns units that are new."""
         ids_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        ids_b = self.b.encode([u[1:] for u in units], num_threads=1)
+        # Behind a letter B puts no space before a unit, and the letter is the first piece.
+        ids_b = self.b.encode([u[1:] if u[0] == " " else "a" + u for u in units], num_threads=1)
         for u, a, b in zip(units, ids_a, ids_b, strict=True):
             self.id_of[u] = len(self.groups)
-            counts, text, pairs = self.aligned(u.encode("utf-8"), a, b)
+            counts, text, pairs = self.aligned(u.encode("utf-8"), a, b if u[0] == " " else b[1:])
             self.groups.append(text)
             self.counts.extend(counts)
             self.keys.extend(pairs.keys())
             self.times.extend(pairs.values())
             self.ends.append(len(self.keys))
 
-    def aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple[tuple[int, ...], str | None, Counter[int]]:
+    def aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple[tuple[int, ...], str | None, dict[int, int]]:
         """Counts, text of the groups (None if the bytes differ), and how often each pair of ids, a * width + b, is linked."""
-        of_a, of_b, pairs = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], Counter()
+        of_a, of_b, pairs = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], {}
         if b"".join(of_a) != raw or b"".join(of_b) != raw:
             return (0, 0, 0, 0), None, pairs
-        text, links, i, j, w = [], 0, 0, 0, self.width
-        while i < len(a):
-            i0, j0, end_a, end_b = i, j, len(of_a[i]), len(of_b[j])
+        names_a, names_b, w = [self.a_text[i] for i in a], [self.b_text[i] for i in b], self.width
+        text, links, i, j, n = [], 0, 0, 0, len(a)
+        while i < n:
+            i0, j0, ahead = i, j, len(of_a[i]) - len(of_b[j])
             i, j = i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a, i = end_a + len(of_a[i]), i + 1
+            while ahead:
+                if ahead < 0:
+                    ahead, i = ahead + len(of_a[i]), i + 1
                 else:
-                    end_b, j = end_b + len(of_b[j]), j + 1
-            mine, other = a[i0:i], b[j0:j]
-            text.append(",".join(map(str, mine)) + "|" + ",".join(map(str, other)))
-            links += len(mine) * len(other)
-            for x, m in Counter(mine).items() if len(mine) > 1 else ((mine[0], 1),):
-                for y, n in Counter(other).items() if len(other) > 1 else ((other[0], 1),):
-                    pairs[x * w + y] += m * n
-        return (len(a), len(b), len(text), links), ";".join(text), pairs
+                    ahead, j = ahead - len(of_b[j]), j + 1
+            if i - i0 == 1 == j - j0:
+                text.append(f"{names_a[i0]}|{names_b[j0]}")
+                key, links = a[i0] * w + b[j0], links + 1
+                pairs[key] = pairs.get(key, 0) + 1
+                continue
+            text.append(",".join(names_a[i0:i]) + "|" + ",".join(names_b[j0:j]))
+            links += (i - i0) * (j - j0)
+            # Distinct ids of the group, never its occurrences.
+            other = list(Counter(b[j0:j]).items())
+            for x, m in Counter(a[i0:i]).items():
+                for y, k in other:
+                    key = x * w + y
+                    pairs[key] = pairs.get(key, 0) + m * k
+        return (n, len(b), len(text), links), ";".join(text), pairs
 
 
 @lru_cache(maxsize=2)
@@ -160,21 +170,25 @@ class Chunk:
         n = ends[units + 1] - ends[units]
         if not n.sum():
             return
-        # The pairs of each unit of each document, one after the other.
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[units], n)
-        key, times = np.array(self.of.keys, np.int64)[at], np.array(self.of.times, np.int64)[at] * np.repeat(doc_times, n)
-        known, number = np.unique(key, return_inverse=True)
+        known, number = np.unique(np.array(self.of.keys, np.int64), return_inverse=True)
         a, b = np.divmod(known, w)
         stripe, local = a % stripes, a // stripes * w + b
         order = np.lexsort((local, stripe))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        both, inverse = np.unique(rank[number] * self.docs + np.repeat(place, n), return_inverse=True)
-        total = np.zeros(len(both), np.int64)
-        np.add.at(total, inverse, times)
-        pair, place = np.divmod(both, self.docs)
+        # The pairs of each unit of each document, one after the other, then those of a document that are the same together.
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[units], n)
+        times = np.array(self.of.times, np.int64)[at] * np.repeat(doc_times, n)
+        both = rank[number][at] * self.docs + np.repeat(place, n)
+        sort = np.argsort(both)
+        both = both[sort]
+        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+        total = np.add.reduceat(times[sort], first)
+        pair, place = np.divmod(both[first], self.docs)
         docs = np.bincount(pair, minlength=len(order))
-        stripe, local = stripe[order], local[order]
+        # Of all pairs of the units kept those that this chunk has.
+        used = np.flatnonzero(docs)
+        stripe, local, docs = stripe[order][used], local[order][used], docs[used]
         first = np.concatenate(([0], np.cumsum(docs)))
         for s in np.unique(stripe).tolist():
             lo, hi = np.searchsorted(stripe, [s, s + 1])
@@ -215,12 +229,13 @@ def links(docs: DataFrame, a_path: str, b_path: str, stripes: int = STRIPES, chu
             if new := list(dict.fromkeys(u for units in cut for u in units if u not in of.id_of)):
                 of.add(new)
             counts, digests, at, places = [], [], [], []
+            per_unit = np.array(of.counts, np.int64).reshape(-1, 4)
             for units in cut:
                 text = None
                 if units:
-                    ids = np.fromiter(map(of.id_of.__getitem__, units), np.int64, len(units))
-                    found = [of.groups[i] for i in ids.tolist()]
-                    text = None if None in found else ";".join(found)
+                    ids = list(map(of.id_of.__getitem__, units))
+                    found = [of.groups[i] for i in ids]
+                    text, ids = None if None in found else ";".join(found), np.array(ids, np.int64)
                 at.append(name + made)
                 places.append(now.docs)
                 if text is None:
@@ -228,7 +243,7 @@ def links(docs: DataFrame, a_path: str, b_path: str, stripes: int = STRIPES, chu
                     counts.append((0, 0, 0, 0))
                 else:
                     now.add(ids)
-                    counts.append(np.array(of.counts, np.int64).reshape(-1, 4)[ids].sum(axis=0) if len(ids) > 4096 else tuple(map(sum, zip(*[of.counts[4 * i : 4 * i + 4] for i in ids.tolist()], strict=True))))
+                    counts.append(per_unit[ids].sum(axis=0).tolist())
                 digests.append("" if text is None else hashlib.sha256(text.encode()).hexdigest())
                 if now.pairs >= chunk or now.docs >= CHUNK_DOCS:
                     yield from written()

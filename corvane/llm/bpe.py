@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -255,6 +255,11 @@ def strings(raw: bytes, cut: bytes) -> pa.ChunkedArray:
     return pa.chunked_array([pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(raw))])
 
 
+def leaf_texts(text: Column, leaf: int) -> Column:
+    """The text in parts of `leaf` characters, read once from front to back."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{leaf}}}"), F.lit(0))
+
+
 def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD, leaf: int = LEAF_TEXT) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row."""
     slim = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
@@ -304,7 +309,6 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
     short = slim.filter(n <= spread).mapInArrow(each, out)
     # row stands for a document from here to its join: the rows are dealt by it, so it is written down in the shuffle.
     long = slim.filter(n > spread).withColumn("row", F.monotonically_increasing_id())
-    parts = F.transform(F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {leaf}").cast("int")), lambda i: F.substring(F.col("text"), i * leaf + 1, F.lit(leaf)))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    cut = long.select("row", "doc_id", F.posexplode(parts).alias("part", "leaf")).repartition("row", "part").mapInArrow(leaves, f"row bigint, doc_id {kind}, part int, leaf string, cut binary, ids string, ends binary")
+    cut = long.select("row", "doc_id", F.posexplode(leaf_texts(F.col("text"), leaf)).alias("part", "leaf")).repartition("row", "part").mapInArrow(leaves, f"row bigint, doc_id {kind}, part int, leaf string, cut binary, ids string, ends binary")
     return short.unionByName(cut.groupBy("row").applyInArrow(join, out))

@@ -109,7 +109,10 @@ QUERY_BLOCK = 1024
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, most: float = 1.5, source: str = "source") -> DataFrame:
     """query_pos, source, dist: of each query (query_pos, q) the k nearest vectors (source, v) within `most`, squared Euclidean; a
     source is kept for the first query that has it. Queries are taken in blocks of QUERY_BLOCK, whose vectors are broadcast: every
-    row of vectors is scored against a block where it is, a batch passes on the k best of each query, and those meet by query."""
+    row of vectors is scored against a block where it is, a batch passes on the k best of each query, and those meet by query. A null
+    vector, or one with a null in it, is near to nothing, on either side; vectors are near only to queries of their length."""
+    whole = lambda c: F.coalesce(~F.exists(c, lambda x: x.isNull()), F.lit(False))
+    vectors, queries = vectors.filter(whole("v")), queries.filter(whole("q"))
     numbered = staged(global_rank(queries.select("query_pos", "q"), "query_pos").withColumn("block", F.floor(F.col("rank") / QUERY_BLOCK)))
     slim = vectors.select(F.col(source).alias("source"), "v")
     names, kind = ["query_pos", "source", "dist"], f"query_pos {numbered.schema['query_pos'].dataType.simpleString()}, source {slim.schema['source'].dataType.simpleString()}, dist double"
@@ -122,15 +125,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, most: float = 1
             for pdf in batches:
                 if not len(pdf):
                     continue
-                v = np.stack([np.asarray(x, float) for x in pdf["v"]])
+                by_size = {n: (np.stack(group.map(lambda x: np.asarray(x, float)).tolist()), group.index) for n, group in pdf["v"].groupby(pdf["v"].map(len))}
                 out = []
                 for pos, q in sent.value:
+                    if len(q) not in by_size:
+                        continue
+                    v, rows = by_size[len(q)]
                     d = ((v - q) ** 2).sum(axis=1)
                     # All that are as near as the k-th: ties are decided where all batches meet.
                     limit = min(most, np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf)
                     at = np.flatnonzero(d <= limit)
-                    out.append(pd.DataFrame({"query_pos": pos, "source": pdf["source"].to_numpy()[at], "dist": d[at]}))
-                yield pd.concat(out)[names]
+                    out.append(pd.DataFrame({"query_pos": pos, "source": pdf["source"].loc[rows[at]].to_numpy(), "dist": d[at]}))
+                if out:
+                    yield pd.concat(out)[names]
 
         return staged(slim.mapInPandas(each, kind))
 

@@ -70,17 +70,32 @@ def active(found: DataFrame) -> DataFrame:
     return found.filter("current_stage <> 'complete'")
 
 
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct strings of `size` characters in a text."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
 def lookup(asked: DataFrame, found: DataFrame) -> DataFrame:
     """asked (term) with the key of its order: by phone, by name, else the first order whose name or phone contains it.
 
-    The two equi joins come first; only terms that they leave meet the orders in a containment join, where asked is the small
-    side that a caller types in.
+    Terms that the two equi joins leave are looked up in an inverted index: each by the rarest of its strings of GRAM characters (a
+    shorter term by itself), which names and phones must have, too; what is found is verified. The empty term is in all orders.
     """
     t = asked.select("term").distinct()
     by_phone = t.join(found.select("key"), F.concat(F.lit("phone:"), F.regexp_replace("term", r"(?U)[\-\s]", "")) == F.col("key")).select("term", "key", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("first"))
     by_name = t.join(found.select("key"), F.concat(F.lit("name:"), F.col("term")) == F.col("key")).select("term", "key", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("first"))
     exact = by_phone.unionByName(by_name)
     left = t.join(exact, "term", "left_anti")
-    inside = F.contains(F.coalesce("counterparty", F.lit("")), F.col("term")) | F.contains(F.coalesce("phone", F.lit("")), F.col("term"))
-    part = left.join(found, inside).select("term", "key", F.lit(2).alias("rank"), F.col("first").cast("long").alias("first"))
-    return exact.unionByName(part).groupBy("term").agg(F.min_by("key", F.struct("rank", "first", "key")).alias("key"))
+    wanted = left.select("term", F.explode(F.when(F.length("term") < GRAM, F.array("term")).otherwise(_grams(F.col("term"), GRAM))).alias("gram"))
+    fields = F.array(F.coalesce("counterparty", F.lit("")), F.coalesce("phone", F.lit("")))
+    every = F.array_distinct(F.flatten(F.transform(fields, lambda x: F.concat(*[_grams(x, n) for n in range(1, GRAM + 1)]))))
+    index = found.select("key", F.col("first").cast("long").alias("first"), fields.alias("fields"), F.explode(every).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(often, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    part = rarest.join(index, "gram").filter(F.exists("fields", lambda x: F.contains(x, F.col("term")))).select("term", "key", F.lit(2).alias("rank"), "first")
+    all_ = found.groupBy(F.lit("").alias("term")).agg(F.min_by("key", F.struct("first", "key")).alias("key"))
+    empty = left.join(all_, "term").select("term", "key", F.lit(2).alias("rank"), F.lit(0).cast("long").alias("first"))
+    return exact.unionByName(part).unionByName(empty).groupBy("term").agg(F.min_by("key", F.struct("rank", "first", "key")).alias("key"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import corrections as cx
 from corvane.functions import extraction as ex
-from corvane.operators import feedback
+from corvane.operators import feedback, rulebook
 from corvane.session import rows, spread, table
 
 EXACT = (cx.Exact("the", "THE"), cx.Exact("THE and", "T&A"), cx.Exact(" que ", " q "), cx.Exact("off", "on", enabled=False), cx.Exact("", "x"), cx.Exact(" der ", " der "))
@@ -49,6 +49,59 @@ def quick_sql() -> str:
     return out
 
 
+# ── rules in tables ──
+
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after rules that the benchmark's texts give: exact ones, whose words meet each other, and aliases."""
+    b = table(spark, sf_dir, "benchmark")
+    w = lambda k: F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(k)), "[^0-9A-Za-z]", "")
+    exact = b.select(F.col("item_id").alias("pos"), w(1).alias("from"), w(2).alias("to"), F.concat(F.lit("n"), "item_id").alias("note"), (F.col("item_id") % 5 != 0).alias("enabled"))
+    alias = b.select(F.col("item_id").alias("pos"), F.upper(w(3)).alias("canonical"), F.array(w(4), w(5), w(6)).alias("variants"), F.concat(F.lit("c"), "item_id").alias("category"), F.lit(True).alias("enabled"))
+    fix = rulebook.corrector(rulebook.exact_steps(exact), rulebook.alias_steps(alias))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(F.array(fix(F.col("text")))).alias("c"))
+    fired = F.array_join(F.transform("c.changes", lambda x: F.coalesce(x["note"], x["category"])), ";")
+    return d.select("doc_id", F.md5("c.text").alias("md5"), fired.alias("fired"))
+
+
+def rule_table_sql() -> str:
+    """Each rule in turn. For aliases whatever is no word character is there twice, so that one of the two can be taken by a match."""
+    w = lambda k: f"regexp_replace(split_part(text, ' ', {k}), '[^0-9A-Za-z]', '', 'g')"
+    no = f"[^{cx.WORD}]"
+    fold = "list_reduce(r, lambda a, x: {{'f': '', 'o': '', 'k': '', 't': {0}, 'n': CASE WHEN {0} <> a.t THEN a.n || x.k || ';' ELSE a.n END}}, {{'f': '', 'o': '', 'k': '', 't': {1}, 'n': ''}})"
+    one = "replace(a.t, x.f, x.o)"
+    two = f"regexp_replace(a.t, '({no})' || x.f || '({no})', '\\1' || x.o || '\\2', 'g')"
+    return f"""WITH e AS (SELECT coalesce(list({{'f': f, 'o': o, 'k': 'n' || item_id, 't': '', 'n': ''}} ORDER BY item_id), []) AS r FROM (SELECT item_id, {w(1)} AS f, {w(2)} AS o FROM benchmark WHERE item_id % 5 <> 0) WHERE f <> '' AND f <> o),
+        v AS (SELECT item_id, c, unnest([a, b, d]) AS f, unnest([1, 2, 3]) AS p FROM (SELECT item_id, upper({w(3)}) AS c, {w(4)} AS a, {w(5)} AS b, {w(6)} AS d FROM benchmark)),
+        s AS (SELECT item_id, c, f, min(p) AS p FROM v WHERE c <> '' AND f <> '' AND f <> c GROUP BY ALL),
+        l AS (SELECT list({{'f': f, 'o': c, 'k': 'c' || item_id, 't': '', 'n': ''}} ORDER BY item_id, length(f) DESC, p) AS r FROM s),
+        x AS MATERIALIZED (SELECT doc_id, {fold.format(one, 'text')} AS q FROM documents, e),
+        y AS MATERIALIZED (SELECT doc_id, q.n AS n, {fold.format(two, f"' ' || regexp_replace(q.t, '({no})', '\\1\\1', 'g') || ' '")} AS b FROM x, l)
+        SELECT doc_id, md5(regexp_replace(substr(b.t, 2, length(b.t) - 2), '({no}){no}', '\\1', 'g')) AS md5, rtrim(n || b.n, ';') AS fired FROM y"""
+
+
+SPOKEN = {" the ": " 리엑트 ", " and ": " 도커, ", " of ": " 노드! ", " de ": " 디비 ", " que ": " 파이썬.", " der ": " 뷰\n"}
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with spoken terms in them after the whole dictionary."""
+    text = F.col("text")
+    for old, new in SPOKEN.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    fix = rulebook.corrector(rulebook.term_steps(spark))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(F.array(fix(text))).alias("c"))
+    return d.select("doc_id", F.md5("c.text").alias("md5"), F.size("c.changes").alias("terms"))
+
+
+def dictionary_sql() -> str:
+    text = "text"
+    for old, new in SPOKEN.items():
+        text = f"replace({text}, '{old}', '{new}')"
+    terms = ", ".join(f"{{'f': '{a}', 'o': '{b}', 't': '', 'n': 0}}" for a, b in cx.SPOKEN_TERMS.items())
+    now = "regexp_replace(a.t, '([\\s,.!?])' || x.f || '([\\s,.!?])', '\\1' || x.o || '\\2', 'g')"
+    return f"""WITH d AS (SELECT doc_id, list_reduce([{terms}], lambda a, x: {{'f': '', 'o': '', 't': {now}, 'n': a.n + CASE WHEN {now} <> a.t THEN 1 ELSE 0 END}}, {{'f': '', 'o': '', 't': ' ' || regexp_replace({text}, '([\\s,.!?])', '\\1\\1', 'g') || ' ', 'n': 0}}) AS a FROM documents)
+        SELECT doc_id, md5(regexp_replace(substr(a.t, 2, length(a.t) - 2), '([\\s,.!?])[\\s,.!?]', '\\1', 'g')) AS md5, a.n AS terms FROM d"""
+
+
 # ── suggestions from what models corrected ──
 
 SEEN_SQL = "SELECT event_id AS seq, event_type AS original, 'w' || (event_id % 40) AS corrected, cast(user_id AS varchar) AS source, 'alias' AS reason FROM events"
@@ -145,6 +198,8 @@ QUERIES = {
     "alias_corrections": (aliases, """SELECT * FROM (VALUES (1, 'Kim & Co, Kim & Co; kims akim Kim & Co-co 팬 환풍기가', 'kim co:Kim & Co:1|kim:Kim & Co:2|환풍기:팬:1'), (2, 'no match', ''), (3, 'Kim & Co', 'kim:Kim & Co:1'), (4, '(Kim & Co)Kim & Co', 'kim co:Kim & Co:1|kim:Kim & Co:1')) AS t(id, text, changes)"""),
     "quick_fix": (quick, f"SELECT doc_id, md5(substr(r, 2, length(r) - 2)) AS md5, md5(text) AS same FROM (SELECT doc_id, text, ' ' || regexp_replace(substr(q, 2, length(q) - 2), '([\\s,.!?])([\\s,.!?])', '\\1', 'g') || ' ' AS r FROM (SELECT doc_id, text, {quick_sql()} AS q FROM documents))"),
     "quick_fix_korean": (quick_korean, "SELECT * FROM (VALUES (1, 'React component 만들어야'), (2, '새리엑트 Vue, Node. Docker'), (3, '서버서버 server server'), (4, 'no hangul')) AS t(id, text)"),
+    "rule_table": (rule_table, rule_table_sql()),
+    "quick_fix_dictionary": (dictionary, dictionary_sql()),
     "correction_suggestions": (suggestions, f"""WITH s AS ({SEEN_SQL}), g AS (SELECT original, corrected, count(*) AS count, min(seq) AS first_seen, max(seq) AS last_seen FROM s GROUP BY ALL),
         f AS (SELECT original, corrected, source, min(seq) AS seq FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY original, corrected ORDER BY seq DESC) AS k FROM f)
         SELECT g.*, (SELECT string_agg(source, ',' ORDER BY seq) FROM r WHERE r.original = g.original AND r.corrected = g.corrected AND k <= 20) AS sources FROM g"""),

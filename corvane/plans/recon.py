@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import jobs, recon, retry
+from corvane.operators import joblog, jobs, recon, retry
 from corvane.plans.names import STEMS, stems
-from corvane.session import staged, table
+from corvane.session import shared_folder, staged, table
 
 
 
@@ -246,10 +246,36 @@ def requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.requeued(j, j.filter("id % 7 = 0 and status = 'running'").select("id")).groupBy("status").agg(F.sum("attempts").alias("attempts"))
 
 
+def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' jobs through a log: submitted, claimed, moved, failed, reported on and cleaned up, a version each; then its fold."""
+    j = job_rows(spark, sf_dir).withColumn("progress", F.lit(None).cast("string"))
+    log = joblog.JobLog(spark, f"{shared_folder(spark)}/jobs", j.schema, every=4)
+    log.submit(j, mid())
+    log.claim(mid(), 3)
+    kind = F.element_at(F.array(*map(F.lit, ("complete", "cancel", "pause", "resume", "none"))), (F.col("id") % 5 + 1).cast("int"))
+    log.transition(j.select("id", kind.alias("kind")), mid())
+    log.fail(j.filter("id % 2 = 1").select("id", F.lit("boom").alias("error")), mid())
+    log.progress(j.filter("id % 11 = 0").select("id", F.concat(F.lit('{"done":'), "id", F.lit("}")).alias("progress")), mid())
+    log.clean(mid(), mid())
+    return log.state().select("id", "status", "attempts", "error", "progress", "parent_id", (F.col("completed_at") == mid()).alias("ended_now"), F.col("started_at").isNotNull().alias("started"))
+
+
+JOB_LOG = f"""WITH {JOBS}, t AS (SELECT TIMESTAMP '2024-01-15' AS now), s0 AS (SELECT j.*, now FROM j, t QUALIFY idempotency_key IS NULL OR row_number() OVER (PARTITION BY idempotency_key ORDER BY id) = 1),
+    due AS (SELECT id FROM s0 WHERE status = 'pending' AND (scheduled_at IS NULL OR scheduled_at <= now) QUALIFY row_number() OVER (PARTITION BY queue ORDER BY priority DESC, created_at, id) <= 3),
+    s1 AS (SELECT s0.* REPLACE (CASE WHEN due.id IS NULL THEN status ELSE 'running' END AS status, CASE WHEN due.id IS NULL THEN attempts ELSE attempts + 1 END AS attempts), due.id IS NOT NULL AS started FROM s0 LEFT JOIN due ON s0.id = due.id),
+    m AS (SELECT *, CASE WHEN id % 5 = 0 AND status = 'running' THEN 'completed' WHEN id % 5 = 1 AND status IN ('pending', 'running', 'paused') THEN 'cancelled' WHEN id % 5 = 2 AND status IN ('pending', 'running') THEN 'paused' WHEN id % 5 = 3 AND status = 'paused' THEN 'pending' END AS move FROM s1),
+    s2 AS (SELECT * REPLACE (coalesce(move, status) AS status, CASE WHEN move IN ('completed', 'cancelled') THEN now ELSE completed_at END AS completed_at), id % 2 = 1 AND coalesce(move, status) = 'running' AS hit FROM m),
+    s3 AS (SELECT * REPLACE (CASE WHEN hit THEN CASE WHEN attempts >= max_attempts THEN 'failed' ELSE 'pending' END ELSE status END AS status, CASE WHEN hit AND attempts >= max_attempts THEN now ELSE completed_at END AS completed_at), CASE WHEN hit THEN 'boom' END AS error FROM s2),
+    gone AS (SELECT id FROM s3 WHERE status IN ('completed', 'failed', 'cancelled') AND completed_at < now)
+    SELECT id, status, attempts, error, CASE WHEN id % 11 = 0 THEN '{{"done":' || id || '}}' END AS progress, CASE WHEN parent_id IN (SELECT id FROM gone) THEN NULL ELSE parent_id END AS parent_id, completed_at = now AS ended_now, started
+    FROM s3 WHERE id NOT IN (SELECT id FROM gone)"""
+
 QUERIES = {
+    "job_event_log": (job_log, JOB_LOG),
     "gap_rows": (gap_rows, f"{FOUND} SELECT g.reason, file, stem, priority FROM g JOIN p USING (reason)"),
     "gap_counts": (counts, f"{FOUND} SELECT pos, p.reason, count(g.stem) AS files FROM p LEFT JOIN g ON p.reason = g.reason GROUP BY ALL"),
-    "gap_health": (health, "SELECT 'danger' AS health, 2 AS exit_code"),
+    "gap_health": (health, f"""{FOUND} SELECT CASE WHEN bad > 0 THEN 'danger' WHEN open > 0 THEN 'warning' ELSE 'normal' END AS health, CASE WHEN bad > 0 THEN 2 WHEN open > 0 THEN 1 ELSE 0 END AS exit_code
+        FROM (SELECT count(*) FILTER (reason IN ('missing_transcript', 'transcription_failed')) AS bad, count(*) FILTER (reason <> 'derived_excluded') AS open FROM g)"""),
     "gap_action_queue": (actions, f"{FOUND} SELECT priority, g.reason, file FROM g JOIN p USING (reason) WHERE g.reason NOT IN ('blacklisted', 'derived_excluded', 'entity_pending', 'obsidian_pending') ORDER BY 1, 2, 3 LIMIT 30"),
     "gap_report": (summary, f"""{FOUND}, c AS (SELECT reason, count(*) AS n FROM g GROUP BY 1), v AS (SELECT (SELECT count(*) FROM audio) AS audio, (SELECT count(*) FROM transcripts) AS transcripts, (SELECT count(*) FROM matched) AS complete,
             (SELECT count(*) FROM audio WHERE k % 3 = 0) AS blacklist_entries, (SELECT count(*) FROM transcripts WHERE length(stem) % 2 = 0) AS indexed_files, (SELECT count(*) FROM transcripts WHERE length(stem) % 3 = 0) AS exported_files, (SELECT count(*) FROM transcripts WHERE length(stem) % 5 = 0) AS extracted_stems)
@@ -258,9 +284,10 @@ QUERIES = {
     "unchanged_skip": (unchanged, "SELECT cast(doc_id AS varchar) AS stem, md5(text) AS hash FROM documents WHERE doc_id % 2 = 1 OR doc_id % 10 = 0"),
     "index_merge": (index, "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'left' ELSE 'right' END AS state FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"),
     "retry_queue_build": (queue_rows, f"{OLD} SELECT queue_id, stem, reason, action AS next_action, new_priority AS priority, 'pending' AS status FROM q"),
-    "retry_queue_merge": (queue_merge_, f"""{OLD} SELECT q.queue_id, CASE WHEN o.queue_id IS NULL THEN q.new_priority WHEN q.h % 3 = 0 OR o.status IN ('succeeded', 'terminal_failure') THEN 'P8' ELSE q.new_priority END AS priority, coalesce(o.status, 'pending') AS status,
-        coalesce(o.attempts, 0) AS attempts, CASE WHEN o.queue_id IS NOT NULL AND q.h % 2 = 0 THEN 'e' END AS last_error, NOT (o.queue_id IS NOT NULL AND (q.h % 3 = 0 OR o.status IN ('succeeded', 'terminal_failure'))) AS is_new
-        FROM q LEFT JOIN o ON q.queue_id = o.queue_id WHERE o.queue_id IS NOT NULL OR q.h % 3 <> 0"""),
+    "retry_queue_merge": (queue_merge_, f"""{FOUND}, {ACT}, q AS (SELECT {RID} AS queue_id, p.priority, length(stem) AS h, length(stem) % 4 <> 0 AS old FROM g JOIN a ON g.reason = a.reason JOIN p ON g.reason = p.reason),
+        m AS (SELECT *, h % 7 IN (0, 3) OR h % 3 = 0 AS frozen FROM q WHERE old OR h % 3 <> 0)
+        SELECT queue_id, CASE WHEN old AND frozen THEN 'P8' ELSE priority END AS priority, CASE WHEN NOT old THEN 'pending' ELSE CASE h % 7 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' WHEN 3 THEN 'terminal_failure' ELSE 'pending' END END AS status,
+        CASE WHEN old THEN h % 3 ELSE 0 END AS attempts, CASE WHEN old AND h % 2 = 0 THEN 'e' END AS last_error, NOT (old AND frozen) AS is_new FROM m"""),
     "retry_worker_plan": (worker_plan, f"""{OLD}, s AS (SELECT queue_id, stem, reason, h, CASE WHEN h % 11 = 0 THEN 'dance' ELSE action END AS step FROM q)
         SELECT queue_id, step, CASE WHEN step IN ('transcribe', 'diarize') AND h % 3 <> 0 THEN '--file /a/' || stem || '.m4a' || CASE WHEN step = 'diarize' OR reason = 'transcription_failed' THEN ' --force' ELSE '' END WHEN step = 'entity' THEN '--base-dir /t/' || stem WHEN step = 'rag' THEN '--json' ELSE '' END AS arguments,
         CASE WHEN step = 'dance' THEN 'unsupported next_action: dance' WHEN step IN ('transcribe', 'diarize') AND h % 3 = 0 THEN 'missing source_path for ' || step END AS error FROM s"""),

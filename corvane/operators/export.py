@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvane.functions.names import export_name, notice_time, safe_file_name
 from corvane.functions.text import normalise_title, phone_display, strip
 from corvane.operators.rank import global_rank
-from corvane.operators.recon import CAUSES
+from corvane.operators.recon import CAUSES, action_queue, health
 from corvane.session import staged
 
 # Lengths, headings, icons and limits of what is written.
@@ -22,6 +22,7 @@ CALL_TAG, CALL_HEADING = "통화전사", "## 통화 기록"
 ICONS = {"high": "🔴", "medium": "🟡", "low": "🟢"}
 UNKNOWN_PARTY, NO_DATE = "알 수 없음", "미정"
 NEW_TODOS, OLD_TODOS, APPOINTMENTS = 8, 10, 5
+NEW_HEADING, OPEN_HEADING, LEFT_OUT, APPOINTMENT_HEADING = "🆕 새 TODO", "📋 미완료 TODO (%d건)", "  ... 외 %d건", "📅 새 스케줄"
 
 
 def skip_reasons(files: DataFrame, processed: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def cause_table(counts: DataFrame) -> DataFrame:
 
 
 def todo_lines(todos: DataFrame, most: int) -> DataFrame:
-    """seq, line of the first to-dos (seq, title, priority, counterparty, phone, called_at), and how many are left out."""
+    """seq, line of the first to-dos (seq, title, priority, counterparty, phone, called_at)."""
     icon = F.coalesce(F.create_map(*[F.lit(x) for kv in ICONS.items() for x in kv])[F.col("priority")], F.lit(""))
     p = F.coalesce("phone", F.lit(""))
     shown = F.when(F.length(p) < 10, p).otherwise(F.concat_ws("-", F.substring(p, 1, 3), F.substring(p, 4, 4), F.substring(p, 8, 100)))
@@ -86,6 +87,51 @@ def todo_lines(todos: DataFrame, most: int) -> DataFrame:
     return todos.orderBy("seq").limit(most).select("seq", line.alias("line"))
 
 
+def _joined(parts: list[DataFrame], name: str) -> DataFrame:
+    """One row: the lines of parts (seq, line), part by part, each in order. For messages and reports, whose lines are few."""
+    lines = reduce(DataFrame.unionByName, [p.select(F.lit(i).alias("part"), F.col("seq").cast("long").alias("seq"), "line") for i, p in enumerate(parts)])
+    ordered = F.sort_array(F.collect_list(F.struct("part", "seq", "line")))
+    return lines.agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias(name))
+
+
+def message(new: DataFrame, active: DataFrame, appointments: DataFrame) -> DataFrame:
+    """body: the whole notification, one row. New to-dos first; then, if there are any, how many active ones are open besides, the first
+    of them and how many are left out; then new appointments (seq, title, date, time, counterparty). Without anything, empty."""
+    line = lambda df, text: df.select(F.lit(0).alias("seq"), text.alias("line"))
+    some = new.agg(F.count(F.lit(1)).alias("new")).filter("new > 0")
+    open_ = not_new(active, new)
+    more = open_.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").crossJoin(some)
+    cp = F.nullif(F.coalesce("counterparty", F.lit("")), F.lit(UNKNOWN_PARTY))
+    date = F.coalesce(F.nullif("date", F.lit("")), F.lit(NO_DATE))
+    shown = F.concat(F.lit("  - "), F.coalesce("title", F.lit("")), F.lit(" / "), date, F.lit(" "), F.coalesce("time", F.lit("")), F.when(cp != "", F.concat(F.lit(" / "), cp)).otherwise(""))
+    met = appointments.orderBy("seq").limit(APPOINTMENTS)
+    parts = [
+        line(some, F.lit(NEW_HEADING)), todo_lines(new, NEW_TODOS),
+        line(more, F.format_string("\n" + OPEN_HEADING, "n")), todo_lines(open_, OLD_TODOS).crossJoin(some).drop("new"), line(more.filter(F.col("n") > OLD_TODOS), F.format_string(LEFT_OUT, F.col("n") - OLD_TODOS)),
+        line(met.limit(1), F.lit("\n" + APPOINTMENT_HEADING)), met.select("seq", shown.alias("line")),
+    ]
+    return _joined(parts, "body")
+
+
+def report_text(counts: DataFrame, numbers: DataFrame, found: DataFrame, most: int = 30) -> DataFrame:
+    """markdown: the whole report, one row, of counts of causes, derived counts (recon.report) and gaps: what follows from them, the
+    table of causes, and the first rows of what is to be done at once, or that nothing is."""
+    of = counts.agg(*[F.sum(F.when(F.col("reason") == k, F.col("files")).otherwise(0)).alias(f"n_{k}") for k in ("blacklisted", "missing_transcript", "transcription_failed")])
+    one = health(counts).crossJoin(numbers).crossJoin(of)
+    says = F.concat_ws(
+        "\n", F.lit("# Recordings and what became of them\n"), F.format_string("- health: %s (exit_code=%d)\n\n## Conclusion\n", "health", "exit_code"),
+        F.format_string("- by number of files: %d/%d (gap %d)", "complete_by_count", "audio", "gap_by_count"), F.format_string("- by stem: %d/%d (gap %d)", "complete", "audio", "gap"),
+        F.format_string("- of that gap: blacklisted %d, missing_transcript %d, transcription_failed %d", "n_blacklisted", "n_missing_transcript", "n_transcription_failed"),
+        F.format_string("- to be processed again: %d\n\n## Causes\n\n| category | count | next_action |\n|---|---:|---|", "reprocess"),
+    )
+    step = F.create_map(*[F.lit(x) for k, (_, n) in CAUSES.items() for x in (k, n)])
+    queue = global_rank(action_queue(found).limit(most).select("priority", "reason", "file"), "priority", "reason", "file")
+    rows = queue.select(F.col("rank").alias("seq"), F.format_string("| %s | %s | `%s` | %s |", "priority", "reason", "file", step[F.col("reason")]).alias("line"))
+    none = rows.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(0).alias("seq"), F.lit("| - | - | - | nothing to be done at once |").alias("line"))
+    head = one.select(F.lit(0).alias("seq"), F.lit(f"\n## To be done at once, the first {most}\n\n| priority | reason | file | next_action |\n|---|---|---|---|").alias("line"))
+    return _joined([one.select(F.lit(0).alias("seq"), says.alias("line")), cause_table(counts).select(F.col("pos").alias("seq"), "line"), head, rows, none], "markdown")
+
+
 def not_new(active: DataFrame, new: DataFrame) -> DataFrame:
     """Active to-dos whose title isn't among the new ones."""
     titles = new.select(normalise_title(F.col("title")).alias("_t")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import joblog, jobs, recon, retry
+from corvane.operators import export, joblog, jobs, recon, retry
 from corvane.plans.names import STEMS, stems
 from corvane.session import shared_folder, staged, table
 
@@ -85,6 +85,49 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recon.report(found=found(spark, sf_dir, known), **known)
 
 
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = states(spark, sf_dir)
+    gaps = found(spark, sf_dir, known)
+    return export.report_text(recon.cause_counts(gaps), recon.report(found=gaps, **known), gaps)
+
+
+def report_text_sql() -> str:
+    """The report's lines put together from the same counts; the counts themselves are the sums of gap_report's SQL."""
+    steps = "n(reason, next) AS (VALUES " + ", ".join(f"('{k}', '{n.replace(chr(39), chr(39) * 2)}')" for k, (_, n) in recon.CAUSES.items()) + ")"
+    nl = "chr(10)"
+    return f"""{FOUND}, {steps}, c AS (SELECT pos, p.reason, next, count(g.stem) AS files FROM p JOIN n ON p.reason = n.reason LEFT JOIN g ON p.reason = g.reason GROUP BY ALL),
+        k AS (SELECT (SELECT count(*) FROM audio) AS a, (SELECT count(*) FROM transcripts) AS t, (SELECT count(*) FROM matched) AS m, (SELECT files FROM c WHERE reason = 'blacklisted') AS b, (SELECT files FROM c WHERE reason = 'missing_transcript') AS x, (SELECT files FROM c WHERE reason = 'transcription_failed') AS f,
+            (SELECT files FROM c WHERE reason = 'diarization_failed') AS d, (SELECT sum(files) FROM c WHERE reason <> 'derived_excluded') AS o),
+        q AS (SELECT priority, g.reason, file, next FROM g JOIN p USING (reason) JOIN n ON n.reason = g.reason WHERE g.reason NOT IN ('blacklisted', 'derived_excluded', 'entity_pending', 'obsidian_pending') ORDER BY 1, 2, 3 LIMIT 30)
+        SELECT '# Recordings and what became of them' || {nl} || {nl} || '- health: ' || CASE WHEN x + f > 0 THEN 'danger (exit_code=2)' WHEN o > 0 THEN 'warning (exit_code=1)' ELSE 'normal (exit_code=0)' END || {nl} || {nl} || '## Conclusion' || {nl} || {nl}
+            || '- by number of files: ' || t || '/' || a || ' (gap ' || (a - t) || ')' || {nl} || '- by stem: ' || m || '/' || a || ' (gap ' || (a - m) || ')' || {nl} || '- of that gap: blacklisted ' || b || ', missing_transcript ' || x || ', transcription_failed ' || f || {nl}
+            || '- to be processed again: ' || (x + f + d) || {nl} || {nl} || '## Causes' || {nl} || {nl} || '| category | count | next_action |' || {nl} || '|---|---:|---|' || {nl} || (SELECT string_agg('| ' || reason || ' | ' || files || ' | ' || next || ' |', {nl} ORDER BY pos) FROM c)
+            || {nl} || {nl} || '## To be done at once, the first 30' || {nl} || {nl} || '| priority | reason | file | next_action |' || {nl} || '|---|---|---|---|' || {nl}
+            || coalesce((SELECT string_agg('| ' || priority || ' | ' || reason || ' | `' || file || '` | ' || next || ' |', {nl} ORDER BY priority, reason, file) FROM q), '| - | - | - | nothing to be done at once |') AS markdown FROM k"""
+
+
+def message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A notification: parts are to-dos, every 97th a new one, orders of the dearest kind appointments; active ones repeat new titles."""
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(
+        k.alias("seq"), F.concat("p_name", F.lit(" "), k).alias("title"), F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "none"))), (k % 4 + 1).cast("int")).alias("priority"), F.when(k % 3 > 0, F.col("p_brand")).alias("counterparty"),
+        F.when(k % 2 == 0, F.concat(F.lit("010"), F.lpad(k.cast("string"), 8, "0"))).alias("phone"), F.when(k % 5 > 0, F.concat(F.lit("2024-03-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit("T10:20:00"))).alias("called_at"),
+    )
+    o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
+    met = o.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("order "), "o_orderkey").alias("title"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.lit("10:00").alias("time"), F.concat(F.lit("c"), "o_custkey").alias("counterparty"))
+    return export.message(part.filter("seq % 97 = 1"), part.filter("seq % 50 = 0 or seq % 97 = 1"), met)
+
+
+MESSAGE = """WITH t AS (SELECT p_partkey AS k, '  ' || ['🔴', '🟡', '🟢', ''][p_partkey % 4 + 1] || ' ' || p_name || ' ' || p_partkey AS head, CASE WHEN p_partkey % 3 > 0 THEN p_brand || CASE WHEN p_partkey % 2 = 0 THEN ' (010-' || substr(lpad(p_partkey::varchar, 8, '0'), 1, 4) || '-' || substr(lpad(p_partkey::varchar, 8, '0'), 5) || ')' ELSE '' END END AS who,
+            CASE WHEN p_partkey % 5 > 0 THEN '3/' || (p_partkey % 28 + 1) || ' 10:20' END AS called FROM part),
+        l AS (SELECT k, head || CASE WHEN who IS NULL AND called IS NULL THEN '' ELSE chr(10) || '    • 통화: ' || concat_ws(' / ', who, called) END AS line FROM t),
+        n AS (SELECT * FROM l WHERE k % 97 = 1), o AS (SELECT * FROM l WHERE k % 50 = 0 AND k % 97 <> 1), m AS (SELECT count(*) AS c FROM o),
+        p AS (SELECT 0 AS i, 0 AS k, '🆕 새 TODO' AS line UNION ALL SELECT 1, * FROM (SELECT * FROM n ORDER BY k LIMIT 8) UNION ALL SELECT 2, 0, chr(10) || '📋 미완료 TODO (' || c || '건)' FROM m WHERE c > 0 UNION ALL SELECT 3, * FROM (SELECT * FROM o ORDER BY k LIMIT 10)
+            UNION ALL SELECT 4, 0, '  ... 외 ' || (c - 10) || '건' FROM m WHERE c > 10 UNION ALL SELECT 5, 0, chr(10) || '📅 새 스케줄'
+            UNION ALL SELECT 6, * FROM (SELECT o_orderkey, '  - order ' || o_orderkey || ' / ' || CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '미정' END || ' 10:00 / c' || o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 5))
+        SELECT string_agg(line, chr(10) ORDER BY i, k) AS body FROM p"""
+
+
 def unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.md5("text").alias("hash"))
     done = d.filter("cast(stem as int) % 2 = 0").withColumn("hash", F.when(F.col("stem").cast("int") % 10 == 0, "old").otherwise(F.col("hash")))
@@ -272,6 +315,8 @@ JOB_LOG = f"""WITH {JOBS}, t AS (SELECT TIMESTAMP '2024-01-15' AS now), s0 AS (S
 
 QUERIES = {
     "job_event_log": (job_log, JOB_LOG),
+    "gap_report_text": (report_text, report_text_sql()),
+    "notice_message": (message, MESSAGE),
     "gap_rows": (gap_rows, f"{FOUND} SELECT g.reason, file, stem, priority FROM g JOIN p USING (reason)"),
     "gap_counts": (counts, f"{FOUND} SELECT pos, p.reason, count(g.stem) AS files FROM p LEFT JOIN g ON p.reason = g.reason GROUP BY ALL"),
     "gap_health": (health, f"""{FOUND} SELECT CASE WHEN bad > 0 THEN 'danger' WHEN open > 0 THEN 'warning' ELSE 'normal' END AS health, CASE WHEN bad > 0 THEN 2 WHEN open > 0 THEN 1 ELSE 0 END AS exit_code

@@ -75,6 +75,17 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(basename(F.col("path")).alias("name"), "line", F.try_variant_get("v", "$.turn", "int").alias("turn"), F.md5(F.try_variant_get("v", "$.text", "string")).alias("md5"))
 
 
+def bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of lines: some turns are no JSON, some have a NUL byte."""
+    c = table(spark, sf_dir, "conversations")
+    k, turn = F.col("conv_id"), F.col("turn")
+    line = F.when((k % 5 == 0) & (turn % 3 == 2), "no JSON").when((k % 7 == 0) & (turn == 1), F.lit("\0")).otherwise(F.to_json(F.struct("turn", "text")))
+    turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    content = F.array_join(F.transform("l", lambda x: F.concat(x["line"], F.lit("\n\r\n"))), "")
+    found = files.bad_lines(files.numbered_lines(spark, folder_of(turns.select(F.concat(text("conv_id"), F.lit(".jsonl")).alias("name"), content.alias("content")))))
+    return found.select(basename(F.col("path")).alias("name"), "bad_line", "nul")
+
+
 def batch_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of customers as documents of batches."""
     o = table(spark, sf_dir, "orders")
@@ -186,6 +197,8 @@ QUERIES = {
     "legacy_encodings": (legacy, "SELECT * FROM (VALUES (1, '한글'), (2, '한글'), (3, 'a' || chr(65533) || 'b'), (4, ''), (5, NULL)) AS t(id, text)"),
     "json_documents": (documents, "SELECT s_suppkey || '.json' AS name, CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS s_name, CASE WHEN s_suppkey % 5 = 0 THEN 'no JSON' END AS error FROM supplier"),
     "json_lines": (lines, "SELECT conv_id || '.jsonl' AS name, 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line, turn, md5(text) AS md5 FROM conversations"),
+    "bad_lines": (bad_lines, """WITH t AS (SELECT conv_id, turn, 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line FROM conversations)
+        SELECT conv_id || '.jsonl' AS name, min(line) FILTER ((conv_id % 5 = 0 AND turn % 3 = 2) OR (conv_id % 7 = 0 AND turn = 1)) AS bad_line, bool_or(conv_id % 7 = 0 AND turn = 1 AND NOT (conv_id % 5 = 0 AND turn % 3 = 2)) AS nul FROM t GROUP BY conv_id"""),
     "batch_files": (batch_stems, "SELECT 's' || o_orderkey AS stem FROM orders"),
     "batch_statuses": (batch_states, "SELECT CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE 'ok' END AS status, count(*) AS files FROM orders GROUP BY 1"),
     "log_scan": (log, "SELECT DISTINCT 'u ' || user_id AS stem FROM events WHERE event_id % 3 = 0"),

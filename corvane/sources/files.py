@@ -9,16 +9,19 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.names import basename, stem
 from corvane.operators.rank import global_rank
+from corvane.session import staged
 
 # Sizes that a file must exceed, the size at which a log is cut to its last lines, and the line by which a failed separation of speakers is known.
 LEAST_TRANSCRIPT, LEAST_AUDIO, LEAST_RECENT = 50, 1024, 50
 LOG_BYTES, KEPT_LINES = 5 << 20, 5000
 STALE_LOCK = timedelta(hours=8)
+#: Splits of files whose first line numbers are broadcast.
+BLOCKS = 1_000_000
 DIARIZATION_FAILED = r"Speaker diarization JSON parse failed for (.+?)\.m4a:"
 
 
@@ -85,10 +88,29 @@ def json_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> t
     return v.filter("v is not null").select("path", "v"), v.filter("v is null").select("path", F.lit("no JSON").alias("error"))
 
 
+def numbered_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, line (from 1), text of files of any size. Spark splits a file where it likes; a first scan counts the lines of each split, their
+    sums say at which number a split begins, and a line's number is that and its place in its task. Texts aren't shuffled while
+    there are BLOCKS splits at most; whatever ends a line (LF, CR, CRLF) does so in both scans."""
+    scan = spark.read.text(path, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    splits = staged(scan.groupBy("path", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines")))
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("start")) - F.col("lines")
+    known = splits.select("path", "start", (before + 1 - F.col("first")).alias("shift"))
+    found = scan.join(F.broadcast(known) if splits.count() <= BLOCKS else known, ["path", "start"])
+    line = F.col("at") + F.col("shift")
+    return found.select("path", line.alias("line"), F.when(line == 1, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text")).alias("text"))
+
+
+def bad_lines(lines: DataFrame) -> DataFrame:
+    """path, bad_line, nul of files of lines (path, line, text): the first line that is neither blank nor JSON, and whether a NUL byte is
+    anywhere. Each task passes on a row for each file."""
+    bad = F.when((F.trim("text") != "") & F.try_parse_json("text").isNull(), F.col("line"))
+    return lines.groupBy("path").agg(F.min(bad).alias("bad_line"), F.bool_or(F.contains("text", F.lit("\0"))).alias("nul"))
+
+
 def json_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """path, line, v: each line that isn't blank. A line that is no JSON fails the query, by its number."""
-    f = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), r"\r\n|\n|\r")).alias("pos", "raw"))
-    rows = f.filter(F.trim("raw") != "").select("path", (F.col("pos") + 1).alias("line"), "raw", F.try_parse_json("raw").alias("v"))
+    rows = numbered_lines(spark, path, pattern).filter(F.trim("text") != "").select("path", "line", F.try_parse_json("text").alias("v"))
     bad = F.raise_error(F.concat("path", F.lit(": line "), F.col("line").cast("string"), F.lit(" is no JSON")))
     return rows.select("path", "line", F.when(F.col("v").isNull(), F.parse_json(bad.cast("string"))).otherwise(F.col("v")).alias("v"))
 

@@ -155,3 +155,24 @@ def test_prompts(spark):
     said = lambda **how: one.select(stages.prompt("{corrections}|{examples}|{content}", F.lit(block), F.col("t"), **how).alias("p")).first().p
     assert said(examples="EX").startswith(block + "|EX|") and "the text" in said()
     assert said(override="short") == said() and said(override="x" * 101 + "{content}").startswith("x" * 101) and "the text" in said(override="x" * 101 + "{content}")
+
+
+def test_lines_of_a_large_file_are_numbered(spark, tmp_path):
+    """Split into many tasks, a file's lines have the numbers that a plain reader gives them."""
+    texts = [("" if i % 17 == 0 else f'{{"n":{i},"x":"{"é" * (i % 50)}"}}') + ("\r\n" if i % 5 == 0 else "\n") for i in range(60_000)]
+    (tmp_path / "big.jsonl").write_bytes(("\ufeff" + "".join(texts)).encode())
+    (tmp_path / "small.jsonl").write_bytes(b'{"n":1}\n\nbroken\n{"n":"\0"}')
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    (tmp_path / "other.txt").write_bytes(b"x")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        lines = files.numbered_lines(spark, f"file://{tmp_path}", "*.jsonl")
+        assert lines.rdd.getNumPartitions() > 8
+        got = {(r.path.rsplit("/", 1)[-1], r.line): r.text for r in lines.collect()}
+        bad = {r.path.rsplit("/", 1)[-1]: (r.bad_line, r.nul) for r in files.bad_lines(lines).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {("big.jsonl", i + 1): t.rstrip("\r\n") for i, t in enumerate(texts)}
+    assert got == want | {("small.jsonl", 1): '{"n":1}', ("small.jsonl", 2): "", ("small.jsonl", 3): "broken", ("small.jsonl", 4): '{"n":"\0"}'}
+    assert bad == {"big.jsonl": (None, False), "small.jsonl": (3, True)}

@@ -17,58 +17,28 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corvane.operators import jobs
+from corvane.sources.versions import TRIES, Conflict, Versions
 
-EVERY, TRIES = 16, 20
+EVERY = 16
 MARK = "version bigint, event string, at timestamp, id bigint, gone boolean"
 
 
-class Conflict(RuntimeError):
-    """Others have committed each time that this driver tried."""
-
-
 class JobLog:
     """The log at path, of jobs of a schema with an `id`; every: versions between snapshots."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType | str, every: int = EVERY):
         self.spark, self.path, self.every = spark, path.rstrip("/"), every
+        self.files = Versions(spark, path)
         self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.events_schema = StructType.fromDDL(MARK).add("job", self.schema)
 
-    # ── files ──
-
-    def _fs(self, name: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _names(self, folder: str) -> list[int]:
-        fs, p = self._fs(folder)
-        return sorted(int(n) for s in (fs.listStatus(p) if fs.exists(p) else []) if (n := s.getPath().getName()).isdigit())
-
     def _folder(self, kind: str, version: int) -> str:
-        fs, p = self._fs(f"{kind}/{version:012d}")
-        opened = fs.open(p)
-        name = bytes(opened.readAllBytes()).decode()
-        opened.close()
-        return f"{self.path}/data/{name}"
-
-    def _named(self, kind: str, version: int, folder: str) -> bool:
-        """Whether kind/version names the folder from now on: not if there is one already."""
-        fs, p = self._fs(f"{kind}/{version:012d}")
-        try:
-            out = fs.create(p, False)
-        except Py4JJavaError as e:
-            if fs.exists(p):
-                return False
-            raise e
-        out.write(bytearray(folder.encode()))
-        out.close()
-        return True
+        return f"{self.path}/data/{self.files.text(kind, version)}"
 
     def _written(self, rows: DataFrame) -> str:
         folder = uuid.uuid4().hex
@@ -79,7 +49,7 @@ class JobLog:
 
     def version(self) -> int:
         """The last version; -1 of an empty log."""
-        return max([-1, *self._names("commits")])
+        return max([-1, *self.files.numbers("commits")])
 
     def events(self, since: int = -1, upto: int | None = None) -> DataFrame:
         """The events of versions behind `since` and up to `upto`."""
@@ -90,7 +60,7 @@ class JobLog:
 
     def _latest(self, version: int) -> DataFrame:
         """The last event of each job that isn't gone."""
-        base = max([-1, *(s for s in self._names("snapshots") if s <= version)])
+        base = max([-1, *(s for s in self.files.numbers("snapshots") if s <= version)])
         rows = self.events(base, version)
         if base >= 0:
             rows = rows.unionByName(self.spark.read.schema(self.events_schema).parquet(self._folder("snapshots", base)))
@@ -113,7 +83,7 @@ class JobLog:
             new = after.select(F.col("id"), F.struct(*[F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.schema.names]).alias("job"))
             both = old.join(new.withColumn("_is", F.to_json("job")), "id", "full").filter(~F.col("_was").eqNullSafe(F.col("_is")))
             rows = both.select(F.lit(version + 1).cast("long").alias("version"), F.lit(event).alias("event"), now.alias("at"), "id", F.col("job").isNull().alias("gone"), "job")
-            if self._named("commits", version + 1, self._written(rows)):
+            if self.files.put("commits", version + 1, self._written(rows)):
                 if (version + 1) % self.every == 0:
                     self.snapshot(version + 1)
                 return version + 1, self.events(version, version + 1)
@@ -121,19 +91,17 @@ class JobLog:
 
     def snapshot(self, version: int) -> None:
         """The fold of all events up to a version, written."""
-        self._named("snapshots", version, self._written(self._latest(version)))
+        self.files.put("snapshots", version, self._written(self._latest(version)))
 
     def vacuum(self) -> None:
         """Removes the events that lie before the last snapshot but one, and older snapshots. The versions' files stay, so that no version is
         given twice."""
-        taken = self._names("snapshots")[:-1]
-        for kind, versions in (("snapshots", taken[:-1]), ("commits", [v for v in self._names("commits") if taken and v <= taken[-1]])):
-            for v in versions:
-                fs, p = self._fs(self._folder(kind, v).removeprefix(f"{self.path}/"))
-                fs.delete(p, True)
-                if kind == "snapshots":
-                    mark = self._fs(f"snapshots/{v:012d}")
-                    mark[0].delete(mark[1], False)
+        taken = self.files.numbers("snapshots")[:-1]
+        for v in (v for v in self.files.numbers("commits") if taken and v <= taken[-1]):
+            self.files.remove(f"data/{self.files.text('commits', v)}")
+        for v in taken[:-1]:
+            self.files.remove(f"data/{self.files.text('snapshots', v)}")
+            self.files.remove(f"snapshots/{v:012d}")
 
     # ── what callers ask for ──
 

@@ -9,7 +9,7 @@ from corvane.functions.names import basename
 from corvane.operators import jobs
 from corvane.plans.health import EXPORTED, notes
 from corvane.session import rows, shared_folder, staged, table
-from corvane.sources import files
+from corvane.sources import files, versions
 
 
 def folder_of(contents: DataFrame) -> str:
@@ -75,6 +75,17 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(basename(F.col("path")).alias("name"), "line", F.try_variant_get("v", "$.turn", "int").alias("turn"), F.md5(F.try_variant_get("v", "$.text", "string")).alias("md5"))
 
 
+def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in buckets after new rows for some of them, others of repeated keys, and a deletion."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    kept = versions.BucketTable(spark, f"{shared_folder(spark)}/customers", c.schema, "c_custkey")
+    kept.upsert(c)
+    more = c.filter("c_custkey % 100 = 7").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    kept.upsert(more.select("c_custkey", F.concat("c_name", F.lit("/"), "n").alias("c_name"), "c_acctbal", "n").unionByName(c.filter("c_custkey % 100 = 9").select(F.col("c_custkey") + 10_000_000, "c_name", "c_acctbal", F.lit(1).alias("n")).toDF("c_custkey", "c_name", "c_acctbal", "n")), "n")
+    kept.delete(c.filter("c_custkey % 100 = 3"))
+    return kept.read()
+
+
 def bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as files of lines: some turns are no JSON, some have a NUL byte."""
     c = table(spark, sf_dir, "conversations")
@@ -197,6 +208,8 @@ QUERIES = {
     "legacy_encodings": (legacy, "SELECT * FROM (VALUES (1, '한글'), (2, '한글'), (3, 'a' || chr(65533) || 'b'), (4, ''), (5, NULL)) AS t(id, text)"),
     "json_documents": (documents, "SELECT s_suppkey || '.json' AS name, CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS s_name, CASE WHEN s_suppkey % 5 = 0 THEN 'no JSON' END AS error FROM supplier"),
     "json_lines": (lines, "SELECT conv_id || '.jsonl' AS name, 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line, turn, md5(text) AS md5 FROM conversations"),
+    "bucket_upsert": (bucket_upsert, """SELECT c_custkey, CASE WHEN c_custkey % 100 = 7 THEN c_name || '/2' ELSE c_name END AS c_name, c_acctbal FROM customer WHERE c_custkey % 100 <> 3
+        UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal FROM customer WHERE c_custkey % 100 = 9"""),
     "bad_lines": (bad_lines, """WITH t AS (SELECT conv_id, turn, 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line FROM conversations)
         SELECT conv_id || '.jsonl' AS name, min(line) FILTER ((conv_id % 5 = 0 AND turn % 3 = 2) OR (conv_id % 7 = 0 AND turn = 1)) AS bad_line, bool_or(conv_id % 7 = 0 AND turn = 1 AND NOT (conv_id % 5 = 0 AND turn % 3 = 2)) AS nul FROM t GROUP BY conv_id"""),
     "batch_files": (batch_stems, "SELECT 's' || o_orderkey AS stem FROM orders"),

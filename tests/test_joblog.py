@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import joblog
 from corvane.operators.joblog import Conflict, JobLog
+from corvane.sources.versions import BucketTable
 
 SCHEMA = "id long, status string, queue string, priority int, payload map<string,string>, attempts int, max_attempts int, idempotency_key string, parent_id long, scheduled_at timestamp, created_at timestamp, started_at timestamp, completed_at timestamp, error string, progress string"
 START = datetime(2024, 1, 1)
@@ -81,7 +82,7 @@ def test_a_mixed_sequence(spark, tmp_path, seed):
             log.clean(at(k - 1), now)
             gone = {i for i, j in state.items() if j["status"] in ("completed", "failed", "cancelled") and j["completed_at"] < START + timedelta(hours=k - 1)}
             state = {i: j | ({"parent_id": None} if j["parent_id"] in gone else {}) for i, j in state.items() if i not in gone}
-    assert log.version() == 10 and log._names("snapshots") == [0, 4, 8]
+    assert log.version() == 10 and log.files.numbers("snapshots") == [0, 4, 8]
     got = [r.asDict() for r in log.state().collect()]
     assert shown(got) == shown(state.values()) and len(got) == len(state)
     # From the events alone, and from what a clean-up of files leaves, the state is the same.
@@ -130,3 +131,32 @@ def test_an_empty_log_and_changes_of_nothing(spark, tmp_path):
     assert log.version() == -1 and log.state().count() == 0
     version, events = log.claim(at(0))
     assert version == 0 and events.count() == 0 and log.state().count() == 0
+
+
+def test_an_upsert_rewrites_the_buckets_it_falls_in(spark, tmp_path):
+    rows = {i: f"v{i}" for i in range(500)}
+    table = BucketTable(spark, f"file://{tmp_path}/t", "k long, v string", "k", buckets=32)
+    df = lambda some: spark.createDataFrame(some, "k long, v string, n int")
+    assert table.read().count() == 0
+    table.upsert(df([(k, v, 0) for k, v in rows.items()]))
+    before = table.manifest()
+    table.upsert(df([(7, "old", 1), (7, "new", 2), (1000, "x", 1)]), "n")
+    after = table.manifest()
+    assert len(before) == 32 and 1 <= sum(before.get(b) != f for b, f in after.items()) <= 2
+    want = rows | {7: "new", 1000: "x"}
+    assert dict(map(tuple, table.read().collect())) == want and dict(map(tuple, table.read(0).collect())) == rows
+    table.delete(df([(8, None, None), (4000, None, None)]))
+    del want[8]
+    with pytest.raises(Exception, match="lost"):
+        table.change(df([(1, "", 0)]), lambda old: old.withColumn("v", F.raise_error(F.lit("lost")).cast("string")))
+    with pytest.raises(ValueError, match="buckets"):
+        table.change(df([(1, "", 0)]), lambda old: old.unionByName(df([(k, "", 0) for k in range(50)]).drop("n")))
+    assert table.version() == 2 and dict(map(tuple, table.read().collect())) == want
+
+    def meanwhile(old):
+        if table.version() == 2:
+            BucketTable(spark, f"file://{tmp_path}/t", "k long, v string", "k", buckets=32).upsert(df([(9, "other", 0)]))
+        return old.withColumn("v", F.concat("v", F.lit("!")))
+
+    table.change(df([(9, "", 0)]), meanwhile)
+    assert table.version() == 4 and table.read().filter("k = 9").first().v == "other!"

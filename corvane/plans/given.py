@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import names
-from corvane.operators import export, health, mail, state
+from corvane.functions import lexicon, names
+from corvane.operators import export, health, mail, stages, state
 from corvane.operators.health import STALE_DEFAULT, STALE_HOURS
 from corvane.session import table
 from corvane.sources import files
@@ -101,7 +101,46 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", files.decoded(F.unhex(raw)).alias("text"))
 
 
+def classified_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages as raw messages, read as the classifier reads them: of several plain parts the last, and a lone part whatever it is."""
+    p = table(spark, sf_dir, "pages")
+    subject = F.regexp_replace(F.base64(F.encode("url", "utf-8")), "\\s", "")
+    head = F.concat(F.lit("Subject: =?utf-8?B?"), subject, F.lit("?=\r\nFrom: A <a@b.c>\r\n"))
+    body = F.concat(F.lit("Content-Transfer-Encoding: base64\r\n\r\n"), F.base64(F.encode("html", "utf-8")), F.lit("\r\n"))
+    parts = F.concat(
+        F.lit("Content-Type: multipart/alternative; boundary=zz\r\n\r\n--zz\r\nContent-Type: text/plain; charset=utf-8\r\n\r\nfirst\r\n--zz\r\nContent-Type: text/plain; charset=euc-kr\r\n"), body,
+        F.lit("--zz\r\nContent-Type: text/html\r\n\r\n<b>no</b>\r\n--zz--\r\n"),
+    )
+    raw = F.when(F.col("page_id") % 3 == 0, F.concat(head, F.lit("Content-Type: text/html\r\n"), body)).otherwise(F.concat(head, parts))
+    m = p.select(F.lit("INBOX").alias("folder"), F.col("page_id").cast("string").alias("uid"), F.encode(raw, "utf-8").alias("raw"))
+    return mail.parse_raw(m, "classifier").select("uid", "subject", "from", F.md5("body").alias("body_md5"))
+
+
+TEMPLATE = "Corrections:\n{corrections}\nExamples: {examples}\n{content}\nEnd."
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole prompt of each document, with suppliers as corrections."""
+    s = table(spark, sf_dir, "supplier")
+    rules_ = s.select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("old"), F.concat(F.lit("N"), "s_suppkey").alias("new"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("of "), "s_nationkey")).alias("note"))
+    d = table(spark, sf_dir, "documents").crossJoin(F.broadcast(stages.corrections_block(rules_)))
+    made = stages.prompt(TEMPLATE, F.col("block"), F.col("text"), examples="none")
+    return d.select("doc_id", F.explode(F.array(made)).alias("p")).select("doc_id", F.md5("p").alias("md5"), F.length("p").alias("chars"))
+
+
+def prompts_sql() -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    head, tail = TEMPLATE.replace("{examples}", "none").split("{corrections}")
+    middle, end = tail.split("{content}")
+    return f"""WITH r AS (SELECT string_agg('  - "' || s_name || '" → "N' || s_suppkey || '"' || CASE WHEN s_suppkey % 2 = 0 THEN ' (of ' || s_nationkey || ')' ELSE '' END, chr(10) ORDER BY s_suppkey) AS l FROM supplier),
+        p AS (SELECT doc_id, {q(head)} || {q(stages.CORRECTIONS_HEADING)} || chr(10) || l || {q(middle)} || {q(lexicon.UNTRUSTED_HEADER)} || chr(10) || 'Source: transcript' || chr(10) || chr(10) || '<<<UNTRUSTED_SOURCE_DATA>>>' || chr(10)
+            || substr(text, 1, {stages.PROMPT_CHARS}) || chr(10) || '<<<END_UNTRUSTED_SOURCE_DATA>>>' || {q(end)} AS p FROM documents, r)
+        SELECT doc_id, md5(p) AS md5, length(p) AS chars FROM p"""
+
+
 QUERIES = {
+    "mail_classifier": (classified_mail, "SELECT page_id::varchar AS uid, url AS subject, 'A <a@b.c>' AS \"from\", md5(html) AS body_md5 FROM pages"),
+    "prompt_digests": (prompts, prompts_sql()),
     "clocks_of_events": (clocks, """WITH s AS (SELECT event_id, value, CASE WHEN event_id % 5 <> 0 THEN (hour(ts) * 3600 + minute(ts) * 60) + (strftime(ts, '%S') || '.' || lpad((event_id % 100)::varchar, 2, '0'))::DOUBLE END AS seconds FROM events)
         SELECT event_id, seconds, CASE WHEN value - 20 > 0 THEN coalesce(seconds, 0) / (value - 20) ELSE 0 END AS factor FROM s"""),
     "paths_of_pages": (paths, r"""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'C:\' || replace(url, '/', '\') WHEN 1 THEN '/mnt/d/' || url ELSE url END AS path FROM pages)

@@ -93,6 +93,19 @@ def mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return todo.owned(r, "run1").drop("place")
 
 
+def synchronisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after results of calls: ten parts to a call, three quarters of them mine, every seventh call failed."""
+    k = F.col("p_partkey")
+    t = F.struct(F.concat(F.lit(" "), "p_name", F.lit(" "), "p_type").alias("title"), F.when(k % 4 == 1, "boss").when(k % 4 == 2, "me").alias("owner"), F.lit(None).cast("string").alias("priority"), F.lit("ctx").alias("context"), F.lit("").alias("due_date"))
+    calls = table(spark, sf_dir, "part").groupBy(F.floor(k / 10).alias("call")).agg(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), t.alias("t")))), lambda x: x["t"]).alias("todos"))
+    records = calls.select(F.concat(F.lit("f"), "call", F.lit(".m4a")).alias("file"), F.when(F.col("call") % 7 == 0, "error").otherwise("ok").alias("status"), "todos")
+    return todo.synchronised(store(spark, sf_dir), records, completed(spark, sf_dir), "run1")
+
+
+MINE = """titles AS MATERIALIZED (SELECT row_number() OVER (ORDER BY source || '.m4a', p_partkey) - 1 AS seq, title, source FROM (SELECT p_partkey, p_name || ' ' || p_type AS title, 'f' || (p_partkey // 10) AS source FROM part
+    WHERE p_partkey // 10 % 7 <> 0 AND p_partkey % 4 <> 1))"""
+
+
 def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("key"), "value")
     return todo.upsert(e.filter("seq % 3 = 0"), e.filter("seq % 3 <> 0"))
@@ -201,6 +214,10 @@ QUERIES = {
         kept AS MATERIALIZED (SELECT s.* FROM store AS s WHERE {NORM.format('title')} NOT IN (SELECT x.t FROM (SELECT DISTINCT {NORM.format('title')} AS t FROM store) AS x, done WHERE x.t = done.t OR {SIM.format(GRAMS.format('x.t'), GRAMS.format('done.t'))} >= 0.45)),
         {known('kept')}, {accepted('mine')}, n AS (SELECT seq, title, source, {NORM.format('title')} || '|' || source AS key FROM accepted)
         SELECT * FROM n UNION ALL SELECT * FROM kept WHERE key NOT IN (SELECT key FROM n)"""),
+    "todo_synchronisation": (synchronisation, f"""WITH RECURSIVE {MINE}, {DONE}, {STORE}, {MERGED}, mine AS MATERIALIZED (SELECT t.* FROM merged JOIN titles AS t USING (seq)),
+        kept AS MATERIALIZED (SELECT s.* FROM store AS s WHERE {NORM.format('title')} NOT IN (SELECT x.t FROM (SELECT DISTINCT {NORM.format('title')} AS t FROM store) AS x, done WHERE x.t = done.t OR {SIM.format(GRAMS.format('x.t'), GRAMS.format('done.t'))} >= 0.45)),
+        {known('kept')}, {accepted('mine')}, n AS (SELECT seq, title, source, {NORM.format('title')} || '|' || source AS key FROM accepted)
+        SELECT * FROM n UNION ALL SELECT * FROM kept WHERE key NOT IN (SELECT key FROM n)"""),
     "my_todo_rows": (mine, f"""WITH {STEMS} SELECT stem || '.txt' AS file, 'T' || o_orderkey AS title, 'me' AS owner, stem AS source, CASE WHEN {fits(CTX, 'base')} THEN {x(CTX, 1, 'base')} ELSE base END AS counterparty, {x(CTX, 2, 'base')} AS phone,
         CASE WHEN {fits(CTX, 'base')} THEN {iso(x(CTX, 3, 'base'))} ELSE '' END AS called_at, CASE WHEN o_orderkey % 2 = 0 THEN 'high' ELSE 'medium' END AS priority, 'active' AS status, 'ctx' AS details,
         CASE WHEN o_orderkey % 5 = 0 THEN '2024-01-01' END AS due_date, 'run1' AS run_id FROM (SELECT *, {BASE} AS base FROM stems) WHERE o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 1"""),

@@ -96,6 +96,7 @@ def lookup(asked: DataFrame, found: DataFrame) -> DataFrame:
     often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(often, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     part = rarest.join(index, "gram").filter(F.exists("fields", lambda x: F.contains(x, F.col("term")))).select("term", "key", F.lit(2).alias("rank"), "first")
-    all_ = found.groupBy(F.lit("").alias("term")).agg(F.min_by("key", F.struct("first", "key")).alias("key"))
+    # The empty term is made of the rows, so that it is a key of the join like others.
+    all_ = found.agg(F.max(F.left("key", F.lit(0))).alias("term"), F.min_by("key", F.struct("first", "key")).alias("key"))
     empty = left.join(all_, "term").select("term", "key", F.lit(2).alias("rank"), F.lit(0).cast("long").alias("first"))
     return exact.unionByName(part).unionByName(empty).groupBy("term").agg(F.min_by("key", F.struct("rank", "first", "key")).alias("key"))

@@ -369,3 +369,42 @@ def test_empty_tables(spark):
     e = spark.createDataFrame([], "a long, b long")
     assert graph.components(e).count() == 0
     assert recon.matched_audio(spark.createDataFrame([], "stem string"), spark.createDataFrame([], "stem string")).count() == 0
+
+
+def test_nearest_with_nulls_ties_and_other_lengths(spark):
+    from corvane.operators import export
+
+    v = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", None), ("e", [None, 1.0]), ("f", [0.0]), ("g", [9.0, 9.0])], "source string, v array<double>")
+    q = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, [0.0, None]), (3, [0.5]), (4, [0.0, 0.0])], "query_pos int, q array<double>")
+    got = {(r.query_pos, r.source): r.dist for r in export.nearest(v, q, 2, 1.5).collect()}
+    # Of equally near ones the first by name; a source belongs to the first query that has it.
+    assert got == {(0, "a"): 0.0, (0, "b"): 1.0, (3, "f"): 0.25}
+    assert export.nearest(v.limit(0), q).count() == export.nearest(v, q.limit(0)).count() == 0
+
+
+def test_orders_that_contain_a_term(spark):
+    found = spark.createDataFrame([("phone:0101", "Kim & Co", "0101", 5), ("name:Lee", "Lee", None, 2), ("name:Park Kim", "Park Kim", None, 3), ("name:x", None, None, 1)], "key string, counterparty string, phone string, first int")
+    asked = spark.createDataFrame([("01-01",), ("Lee",), ("Kim",), ("i",), ("im &",), ("nobody",), ("",), ("e",), ("e",), ("101",), ("kim",)], "term string")
+    got = orders.lookup(asked, found)
+    assert {r.term: r.key for r in got.collect()} == {"01-01": "phone:0101", "Lee": "name:Lee", "Kim": "name:Park Kim", "i": "name:Park Kim", "im &": "phone:0101", "": "name:x", "e": "name:Lee", "101": "phone:0101"}
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_message_and_a_report_of_nothing(spark):
+    from corvane.operators import export
+
+    todos = "seq int, title string, priority string, counterparty string, phone string, called_at string"
+    one = spark.createDataFrame([(1, "Call", "high", "Kim", "01012345678", "2024-01-02 03:04:00")], todos)
+    met = spark.createDataFrame([(1, "Visit", None, None, "알 수 없음"), (2, "Meet", "2024-05-06", "10:00", "Lee")], "seq int, title string, date string, time string, counterparty string")
+    none = one.limit(0)
+    body = lambda *a: export.message(*a).first().body
+    assert body(none, one, met.limit(0)) == "" and body(none, none, met) == "\n📅 새 스케줄\n  - Visit / 미정 \n  - Meet / 2024-05-06 10:00 / Lee"
+    assert body(one, one, met.limit(0)) == "🆕 새 TODO\n  🔴 Call\n    • 통화: Kim (010-1234-5678) / 1/2 03:04"
+    old = spark.createDataFrame([(i, f"Old {i}", "x", None, None, None) for i in range(12)], todos)
+    text = body(one, old, met.limit(0))
+    assert "\n\n📋 미완료 TODO (12건)\n   Old 0\n" in text and text.endswith("   Old 9\n  ... 외 2건")
+    counts = spark.createDataFrame([(i, k, 0) for i, k in enumerate(recon.CAUSES)], "pos int, reason string, files long")
+    numbers = spark.range(1).selectExpr("3L AS audio", "2L AS complete_by_count", "1L AS gap_by_count", "3L AS complete", "0L AS gap", "0L AS reprocess")
+    gaps = spark.createDataFrame([], "reason string, file string, stem string, priority string")
+    report = export.report_text(counts, numbers, gaps).first().markdown
+    assert "- health: normal (exit_code=0)" in report and "2/3 (gap 1)" in report and report.endswith("| - | - | - | nothing to be done at once |")

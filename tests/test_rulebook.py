@@ -44,6 +44,31 @@ def test_ten_thousand_rules():
         assert automaton.corrected(text) == folded(steps, text)
 
 
+def test_many_rules_for_the_same_words_are_looked_for_once():
+    """Words that stand in many rules, and parts of words: what a text costs doesn't follow the rules that can't fire."""
+    rng = random.Random(11)
+    names = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 5))) for _ in range(40)]
+    steps = [("exact", rng.choice(names), rng.choice(names), f"n{i}", None) for i in range(300)] + [("alias", rng.choice(names), rng.choice(names).upper(), None, f"c{i}") for i in range(3000)]
+    steps = [s for s in steps if s[1] != s[2]]
+    automaton, looked = rulebook.Automaton(steps), []
+    for part in automaton.parts:
+        part.places = lambda i, text, places=part.places: looked.append(i) or places(i, text)
+    for _ in range(20):
+        looked.clear()
+        text = " ".join(rng.choices(names, k=80))
+        got = automaton.corrected(text)
+        assert got == folded(steps, text)
+        assert len(looked) <= 3 * len(got[1]) + len(names)
+
+
+def test_a_batch_is_made_into_rows_slice_by_slice(spark, monkeypatch):
+    monkeypatch.setattr(rulebook, "SLICE", 3)
+    fix = rulebook.corrector(rulebook.term_steps(spark, {"a": "b"}))
+    got = spark.range(10, numPartitions=1).select("id", F.when(F.col("id") != 4, F.concat(F.lit("a a "), "id")).alias("t")).select("id", fix(F.col("t")).alias("c")).orderBy("id").collect()
+    assert [r.c.text for r in got] == [None if i == 4 else f"b b {i}" for i in range(10)]
+    assert [[c["count"] for c in r.c.changes] for r in got] == [[] if i == 4 else [2] for i in range(10)]
+
+
 def test_a_table_of_rules(spark):
     exact = spark.createDataFrame([(2, "THE and", "T&A", "n2", True), (1, " the ", "THE", None, None), (3, "off", "on", None, False), (4, None, "x", None, True), (5, "q", "q ", None, True), (6, "gone", None, "n6", True)], EXACT)
     alias = spark.createDataFrame([(1, "Kim & Co", ["kim", " kim co ", "Kim & Co", "kim", None], "firm", None), (2, " ", ["x"], None, True), (3, "on", ["off"], None, False)], ALIAS)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.extraction import extraction_record
@@ -20,6 +22,8 @@ T = TypeVar("T")
 ATTEMPTS, WAITS, FINAL, RATE_WAIT = 4, (5, 15, 45, 90), (400, 401, 403, 404), 30
 CONNECT_TRIES, CONNECT_WAIT = 3, 5
 PROMPT_CHARS, OVERRIDE_CHARS = 12_000, 100
+#: Texts that are held as objects at once.
+DIGESTED = 256
 CORRECTIONS_HEADING = "- 전사 교정 규칙 (반드시 적용, corrections에 기록):"
 
 
@@ -41,6 +45,34 @@ def prompt(template: str, corrections: Column, content: Column, most: int = PROM
     return F.replace(whole, F.lit("{content}"), framed)
 
 
+def prompt_digests(template: str, corrections: str, content: Column, most: int = PROMPT_CHARS, examples: str = "") -> Column:
+    """Struct (md5, chars) of what prompt() makes of the same. What stands before the content is the same in all prompts, and with many
+    corrections most of them: it is hashed once by each worker, and no prompt is made. Null content, null struct."""
+    framed = wrap_untrusted(F.lit("transcript"), F.substring(content, 1, most))
+    parts = template.replace("{corrections}", corrections).replace("{examples}", examples).split("{content}")
+    shared = SparkSession.active().sparkContext.broadcast(parts)
+
+    @F.arrow_udf("md5 string, chars int")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        first, *others = [(p.encode("utf-8"), len(p)) for p in shared.value]
+        head, chars = hashlib.md5(first[0], usedforsecurity=False), first[1] + sum(n for _, n in others)
+
+        def one(text: str | None) -> dict | None:
+            if text is None:
+                return None
+            h, own = head.copy(), text.encode("utf-8")
+            for part, _ in others:
+                h.update(own)
+                h.update(part)
+            return {"md5": h.hexdigest(), "chars": chars + len(others) * len(text)}
+
+        for batch in batches:
+            for start in range(0, len(batch), DIGESTED):
+                yield pa.array([one(t) for t in batch.slice(start, DIGESTED).to_pylist()], pa.struct([("md5", pa.string()), ("chars", pa.int32())]))
+
+    return run(framed)
+
+
 def corrections_block(rules: DataFrame) -> DataFrame:
     """block: the rules (pos, old, new, note) as lines of a prompt, one row, empty without rules. Rules are what people wrote."""
     line = F.concat(F.lit('  - "'), "old", F.lit('" → "'), "new", F.lit('"'), F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit(" ("), "note", F.lit(")"))).otherwise(""))

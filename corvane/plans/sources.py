@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.names import basename
 from corvane.operators import jobs
 from corvane.plans.health import EXPORTED, notes
-from corvane.session import rows, shared_folder, staged, table
+from corvane.session import rows, shared_folder, table
 from corvane.sources import files, versions
 
 
@@ -186,10 +186,9 @@ def rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes as files of their own, read back."""
     path = shared_folder(spark)
-    n = staged(notes(spark, sf_dir).select(F.concat("name", F.lit(".md")).alias("note"), F.concat(F.lit("# "), "note", F.lit("\n"), "date").alias("markdown")))
+    n = notes(spark, sf_dir).select(F.concat("name", F.lit(".md")).alias("note"), F.concat(F.lit("# "), "note", F.lit("\n"), "date").alias("markdown"))
     files.write_notes(n, path)
-    back = spark.read.text(path, wholetext=True).select(basename(F.col("_metadata.file_path")).alias("file"), "value")
-    return back.select(F.md5("value").alias("md5"))
+    return files.read_notes(spark, path).select(F.md5("markdown").alias("md5"))
 
 
 def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

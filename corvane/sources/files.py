@@ -22,6 +22,8 @@ LOG_BYTES, KEPT_LINES = 5 << 20, 5000
 STALE_LOCK = timedelta(hours=8)
 #: Splits of files whose first line numbers are broadcast.
 BLOCKS = 1_000_000
+#: Notes in a folder, and tasks that write or read folders, at most.
+IN_FOLDER, TASKS = 1000, 1000
 DIARIZATION_FAILED = r"Speaker diarization JSON parse failed for (.+?)\.m4a:"
 
 
@@ -185,23 +187,35 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_files(contents: DataFrame, path: str) -> None:
-    """A file of its own for each row (name, content as text or bytes): written beside its place and then moved there, so that readers see
-    whole files, and a task that is tried again writes the same ones. Names that repeat have the content of one of their rows."""
+    """A file of its own for each row (name, content as text or bytes, and a folder under path if there is such a column): written beside its
+    place and then moved there, so that readers see whole files, and a task that is tried again writes the same ones. Names that repeat have
+    the content of one of their rows."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as pafs
-
-        fs, folder = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
-        fs.create_dir(folder, recursive=True)
+        fs, base = _filesystem(path)
+        made = set()
         for pdf in batches:
-            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+            for under, name, content in zip(pdf["folder"], pdf["name"], pdf["content"], strict=True):
+                folder = f"{base}/{under}" if under else base
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
                 beside = f"{folder}/.{uuid.uuid4().hex}.tmp"
                 with fs.open_output_stream(beside) as out:
                     out.write(content.encode("utf-8") if isinstance(content, str) else bytes(content or b""))
                 fs.move(beside, f"{folder}/{name}")
+        if not made:
+            fs.create_dir(base, recursive=True)
         yield pd.DataFrame({"n": pd.Series([], dtype="int64")})
 
-    contents.select("name", "content").mapInPandas(each, "n long").write.format("noop").mode("overwrite").save()
+    folder = "folder" if "folder" in contents.columns else F.lit("").alias("folder")
+    contents.select(folder, "name", "content").mapInPandas(each, "n long").write.format("noop").mode("overwrite").save()
+
+
+def _filesystem(path: str) -> tuple:
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
 
 
 def append_json(df: DataFrame, path: str) -> None:
@@ -228,8 +242,44 @@ def rotated(lines: DataFrame, keep: int = KEPT_LINES, order: str = "seq", most:
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
-    """A file for each note (note, markdown), by its name."""
-    write_files(notes.select(F.col("note").alias("name"), F.col("markdown").alias("content")), path)
+    """A file for each note (note, markdown), by its name. They are dealt into folders of some IN_FOLDER each, of which one task writes all;
+    up to so many notes are written into path itself."""
+    kept = staged(notes.select(F.col("note").alias("name"), F.col("markdown").alias("content")))
+    folders = -(-kept.count() // IN_FOLDER)
+    if folders > 1:
+        kept = kept.withColumn("folder", F.format_string("%06d", F.crc32(F.col("name").cast("binary")) % folders)).repartition(min(folders, TASKS), "folder")
+    write_files(kept, path)
+
+
+def read_notes(spark: SparkSession, path: str) -> DataFrame:
+    """note, markdown of the files that write_notes has written. The driver lists the folders alone; their files are listed and read by tasks."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    inside = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatusIterator(p)
+    folders, flat = [], False
+    while inside.hasNext():
+        f = inside.next()
+        if f.isDirectory():
+            folders.append((f.getPath().getName(),))
+        else:
+            flat = True
+    folders += [("",)] if flat else []
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        fs, base = _filesystem(path)
+        for pdf in batches:
+            for under in pdf["folder"]:
+                found = fs.get_file_info(pafs.FileSelector(f"{base}/{under}" if under else base))
+                names = [(f.base_name, f.path) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(".")]
+                for start in range(0, len(names), IN_FOLDER):
+                    some, texts = names[start : start + IN_FOLDER], []
+                    for _, file in some:
+                        with fs.open_input_stream(file) as opened:
+                            texts.append(opened.read().decode("utf-8", "replace"))
+                    yield pd.DataFrame({"note": [n for n, _ in some], "markdown": texts})
+
+    return spark.createDataFrame(folders, "folder string").repartition(max(1, min(len(folders), TASKS))).mapInPandas(each, "note string, markdown string")
 
 
 # ── beside the tables: what a driver does with files of its own ──

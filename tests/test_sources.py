@@ -176,3 +176,22 @@ def test_lines_of_a_large_file_are_numbered(spark, tmp_path):
     want = {("big.jsonl", i + 1): t.rstrip("\r\n") for i, t in enumerate(texts)}
     assert got == want | {("small.jsonl", 1): '{"n":1}', ("small.jsonl", 2): "", ("small.jsonl", 3): "broken", ("small.jsonl", 4): '{"n":"\0"}'}
     assert bad == {"big.jsonl": (None, False), "small.jsonl": (3, True)}
+
+
+def test_notes_are_listed_by_tasks_folder_by_folder(spark, tmp_path, monkeypatch):
+    """More notes than a folder takes: each a file of its own, read back whole, and the driver lists folders alone."""
+    monkeypatch.setattr(files, "IN_FOLDER", 5)
+    path = f"file://{tmp_path}/notes"
+    notes = [(f"n{i} 한.md", f"# {i}\r\n한글") for i in range(23)] + [("empty.md", None)]
+    files.write_notes(spark.createDataFrame(notes, "note string, markdown string"), path)
+    written = [p for p in (tmp_path / "notes").rglob("*.md")]
+    assert len(written) == 24 and not any(p.parent == tmp_path / "notes" for p in written)
+    back = files.read_notes(spark, path)
+    assert sorted(tuple(r) for r in back.collect()) == sorted((n, t or "") for n, t in notes)
+    assert "FileScan" not in back._jdf.queryExecution().toString()
+    few = f"file://{tmp_path}/few"
+    files.write_notes(spark.createDataFrame(notes[:3], "note string, markdown string"), few)
+    assert sorted(p.name for p in (tmp_path / "few").glob("*.md")) == sorted(n for n, _ in notes[:3]) and files.read_notes(spark, few).count() == 3
+    none = f"file://{tmp_path}/none"
+    files.write_notes(spark.createDataFrame([], "note string, markdown string"), none)
+    assert files.read_notes(spark, none).count() == 0

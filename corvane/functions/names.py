@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
+from corvane.functions.text import let
 
 # The patterns of the dialects.
 CALL = r"^(.*?)_(\d+)_(\d{14})(?:_(\d{6}))?$"
-CALLER_PHONE_TIME, PHONE_TIME, CALLER_TIME = r"^(.+?)_(\d{10,11})_(\d{14})$", r"^(\d{10,11})_(\d{14})$", r"^(.+?)_(\d{14})$"
-DERIVED = r"^(.+_\d{14})_\d{6}$"
+CALLER_PHONE_TIME = r"^(.+?)_(\d{10,11})_(\d{14})$"
+#: What stands before a time, and the line's end that $ allows behind it.
+TIMED = r"^(.+)_(\d{14})$(?s:.*)"
+DERIVED = r"^(.+_\d{14})_\d{6}$(?s:.*)"
 EXPORT_NAMED, EXPORT_PHONE = r"^(.+?)_(\d{7,12})_(\d{14})\.txt$", r"^(\d{7,12})_(\d{14})\.txt$"
 MOBILE = r"(0(?:1[0-6789]|10)\d{7,8})"
 DATED_NAME, NAMED = r"^\d{8}_\d{4}_(.+?)_(0(?:1[0-6789]|10)\d{7,8})$", r"^(.+?)_(0(?:1[0-6789]|10)\d{7,8})$"
 
 
 def basename(path: Column) -> Column:
-    return F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"([^/]*)/*$", 1)
+    whole = F.replace(path, F.lit("\\"), F.lit("/"))
+    last = F.substring_index(whole, "/", -1)
+    # Slashes, or a line's end, may stand behind the name; what is longer than a line's end is the name, and needs no pattern.
+    return F.when(F.length(last) > 2, last).otherwise(F.regexp_extract(whole, r"([^/]*)/*$", 1))
 
 
 def stem(path: Column) -> Column:
@@ -48,17 +53,30 @@ def call_context(name: Column) -> Column:
 
 
 def stem_parts(s: Column) -> Column:
-    a, b, c = (F.regexp_like(s, F.lit(p)) for p in (CALLER_PHONE_TIME, PHONE_TIME, CALLER_TIME))
-    of = F.regexp_extract
-    return F.struct(
-        F.when(a, of(s, CALLER_PHONE_TIME, 1)).when(b, "").when(c, of(s, CALLER_TIME, 1)).otherwise("").alias("caller"),
-        F.when(a, of(s, CALLER_PHONE_TIME, 2)).when(b, of(s, PHONE_TIME, 1)).otherwise("").alias("phone"),
-        F.when(a, of(s, CALLER_PHONE_TIME, 3)).when(b, of(s, PHONE_TIME, 2)).when(c, of(s, CALLER_TIME, 2)).otherwise("").alias("date"),
-    )
+    return let(F.struct(s.alias("s"), timed(s).alias("r")), lambda c: let(stem_cut(c["s"], c["r"]), stem_struct))
+
+
+def timed(s: Column) -> Column:
+    """time, comma and what stands before the time of a stem, which can't be the stem itself; a stem without a time as it is."""
+    return F.regexp_replace(s, TIMED, "$2,$1")
+
+
+def stem_cut(s: Column, r: Column) -> Column:
+    """Struct (head, last, date) of a stem and timed() of it: what stands before the time, and the last of it."""
+    fits = F.coalesce(r != s, F.lit(False))
+    head = F.when(fits, F.substring(r, 16, 1 << 30)).otherwise("")
+    return F.struct(head.alias("head"), F.substring_index(head, "_", -1).alias("last"), F.when(fits, F.substring(r, 1, 14)).otherwise("").alias("date"))
+
+
+def stem_struct(cut: Column) -> Column:
+    """Struct (caller, phone, date) of stem_cut(): a phone alone, one with a caller before it, or a caller."""
+    head, last = cut["head"], cut["last"]
+    phoned = F.length(last).isin(10, 11) & (F.translate(last, "0123456789", "") == "") & (F.length(head) != F.length(last) + 1)
+    return F.struct(F.when(phoned, F.substring(head, F.lit(1), F.length(head) - F.length(last) - 1)).otherwise(head).alias("caller"), F.when(phoned, last).otherwise("").alias("phone"), cut["date"].alias("date"))
 
 
 def canonical_stem(s: Column) -> Column:
-    return F.when(F.regexp_like(s, F.lit(DERIVED)), F.regexp_extract(s, DERIVED, 1)).otherwise(s)
+    return F.regexp_replace(s, DERIVED, "$1")
 
 
 def export_name(name: Column) -> Column:

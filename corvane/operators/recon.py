@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.names import basename, canonical_stem, stem_parts
-from corvane.session import staged
+from corvane.functions.names import basename, canonical_stem, stem_cut, stem_struct, timed
 
 # Causes in order with their priorities. What to do next is said in words of our own.
 CAUSES = {
@@ -38,43 +37,63 @@ def split_blacklist(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def matched_audio(audio: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Stems of audio that some transcript stands for: four equi semi joins, never one with OR."""
-    # Written once: each of the joins below would take the stems apart again.
-    a, t = (staged(df.select("stem", stem_parts(F.col("stem")).alias("p"), canonical_stem(F.col("stem")).alias("whole")).select("stem", "whole", "p.*")) for df in (audio, transcripts))
-    same = a.join(t.select("stem"), "stem", "left_semi").select("stem")
-    canonical = a.join(t.select(F.col("whole").alias("stem")), "stem", "left_semi").select("stem")
-    dated_a, dated_t = a.filter("date <> ''"), t.filter("date <> ''")
-    phone = dated_a.filter("phone <> ''").join(dated_t.filter("phone <> ''").select("date", "phone"), ["date", "phone"], "left_semi").select("stem")
-    caller = dated_a.filter("phone = ''").join(dated_t.filter("phone = ''").select("date", "caller"), ["date", "caller"], "left_semi").select("stem")
-    return reduce(DataFrame.unionByName, [same, canonical, phone, caller]).distinct()
+    """Stems of audio that some transcript stands for: by stem, as an aggregate of both, and by an equi semi join on who called when."""
+    # Stems are hashed, not sorted: 1 is a recording, 2 a transcript.
+    whole = transcripts.select("stem", F.explode(F.array(canonical_stem(F.col("stem")))).alias("whole"))
+    names = whole.select("stem").unionByName(whole.filter("whole <> stem").select(F.col("whole").alias("stem")))
+    both = audio.select("stem", F.lit(1).alias("side")).unionByName(names.select("stem", F.lit(2).alias("side"))).filter("stem is not null")
+    same = both.groupBy("stem").agg(F.bit_or("side").alias("sides")).filter("sides = 3").select("stem")
+    # explode() of one element: a stem is matched once, not again in each expression that uses a part; these stay compiled, as in a lambda they wouldn't.
+    one = lambda df, name, value: df.select("stem", F.explode(F.array(value)).alias(name))
+    a, t = (one(one(one(df, "r", timed(F.col("stem"))).filter("r <> stem"), "cut", stem_cut(F.col("stem"), F.col("r"))), "p", stem_struct(F.col("cut"))).select("stem", "p.*") for df in (audio, transcripts))
+    phoned = F.col("phone") != ""
+    asked = a.select("stem", "date", phoned.alias("phoned"), F.when(phoned, F.col("phone")).otherwise(F.col("caller")).alias("who"))
+    known = lambda is_phone, who: F.struct(F.lit(is_phone).alias("phoned"), F.col(who).alias("who"))
+    keys = t.select("date", F.explode(F.when(phoned, F.array(known(True, "phone"), known(False, "caller"))).otherwise(F.array(known(False, "caller")))).alias("k")).select("date", "k.*")
+    return same.unionByName(asked.join(keys, ["date", "phoned", "who"], "left_semi").select("stem")).distinct()
 
 
-def _gap(df: DataFrame, reason: str | Column, file: Column) -> DataFrame:
-    why = F.lit(reason) if isinstance(reason, str) else reason
-    return df.select(why.alias("reason"), file.alias("file"), "stem")
+#: What is known of a stem, a bit each.
+AUDIO, TRANSCRIPT, MATCHED, LISTED, FAILED, INDEXED, EXPORTED, EXTRACTED, UNTOLD = (1 << i for i in range(9))
+
+
+def _known(df: DataFrame, stem: Column, bit: int) -> DataFrame:
+    return df.select(stem.alias("stem")).filter("stem is not null").withColumn("bit", F.lit(bit))
 
 
 def gaps(
     audio: DataFrame, transcripts: DataFrame, blacklist: DataFrame, indexed: DataFrame, exported: DataFrame, extracted: DataFrame, diarization_failed: DataFrame, matched: DataFrame | None = None
 ) -> DataFrame:
     """reason, file, stem, priority, next_action: a row for each file and cause. indexed.path, exported.name, extracted.stem;
-    matched: matched_audio(audio, transcripts), where it is there already."""
+    matched: matched_audio(audio, transcripts), where it is there already.
+
+    All that is known of a stem is brought together by one aggregate of bits, which hashes stems where a join for each cause would
+    deal and sort them again. Only derived copies, which are looked up under another stem, have a join of their own."""
     listed, failed = split_blacklist(blacklist)
-    state = listed.withColumn("why", F.lit("blacklisted")).unionByName(failed.withColumn("why", F.lit("transcription_failed"))).groupBy("stem").agg(F.min("why").alias("why"))
-    missing = audio.join(matched_audio(audio, transcripts) if matched is None else matched, "stem", "left_anti").join(state, "stem", "left")
-    name, wav = F.concat("stem", F.lit(".txt")), F.concat("stem", F.lit(".m4a"))
-    t = transcripts.select("stem", name.alias("name"))
-    derived = t.withColumn("canonical", canonical_stem(F.col("stem"))).filter("canonical <> stem").join(audio.select(F.col("stem").alias("canonical")), "canonical", "left_semi")
-    parts = [
-        _gap(missing, F.coalesce("why", F.lit("missing_transcript")), wav),
-        _gap(derived, "derived_excluded", name),
-        _gap(t.join(indexed.select(basename(F.col("path")).alias("name")), "name", "left_anti"), "rag_pending", F.col("name")),
-        _gap(t.join(exported.select("name"), "name", "left_anti"), "obsidian_pending", F.col("name")),
-        _gap(t.join(extracted.select("stem"), "stem", "left_anti"), "entity_pending", F.col("name")),
-        _gap(diarization_failed.select("stem").distinct(), "diarization_failed", wav),
-    ]
+    stem, name, wav = F.col("stem"), F.concat("stem", F.lit(".txt")), F.concat("stem", F.lit(".m4a"))
+    # A transcript's file is its stem and .txt, so that other names are no transcript's.
+    named = lambda df, file: df.select(F.explode(F.array(file)).alias("file")).filter(F.endswith("file", F.lit(".txt"))).select(F.expr("left(file, length(file) - 4)").alias("stem"))
+    facts = [
+        audio.select("stem", F.lit(AUDIO).alias("bit")), transcripts.select("stem", F.lit(TRANSCRIPT).alias("bit")), diarization_failed.select("stem", F.lit(UNTOLD).alias("bit")),
+        _known(matched_audio(audio, transcripts) if matched is None else matched, stem, MATCHED), _known(listed, stem, LISTED), _known(failed, stem, FAILED),
+        _known(named(indexed, basename(F.col("path"))), stem, INDEXED), _known(named(exported, F.col("name")), stem, EXPORTED), _known(extracted, stem, EXTRACTED),
+    ]
+    of = reduce(DataFrame.unionByName, facts).groupBy("stem").agg(F.bit_or("bit").alias("bits"), F.count_if(F.col("bit") == AUDIO).alias("recordings"), F.count_if(F.col("bit") == TRANSCRIPT).alias("texts"))
+    has = lambda bit: F.col("bits").bitwiseAND(bit) != 0
+    row = lambda reason, file, n: F.struct(reason.alias("reason"), file.alias("file"), n.cast("int").alias("n"))
+    text = lambda reason, bit: row(F.lit(reason), name, F.when(has(bit), 0).otherwise(F.col("texts")))
+    causes = F.array(
+        row(F.when(has(LISTED), "blacklisted").when(has(FAILED), "transcription_failed").otherwise("missing_transcript"), wav, F.when(has(MATCHED), 0).otherwise(F.col("recordings"))),
+        text("rag_pending", INDEXED), text("obsidian_pending", EXPORTED), text("entity_pending", EXTRACTED), row(F.lit("diarization_failed"), wav, has(UNTOLD).cast("int")),
+    )
     known = F.create_map(*[x for k, (p, n) in CAUSES.items() for x in (F.lit(k), F.struct(F.lit(p).alias("priority"), F.lit(n).alias("next_action")))])
-    return reduce(DataFrame.unionByName, parts).withColumn("k", known[F.col("reason")]).select("reason", "file", "stem", "k.priority", "k.next_action")
+    out = lambda df: df.select("reason", "file", "stem", known[F.col("reason")].alias("k")).select("reason", "file", "stem", "k.priority", "k.next_action")
+    # As many rows as the stem has files: one, unless an input repeats it.
+    found = of.select("stem", F.inline(causes)).filter("n > 0")
+    found = found.select("stem", "reason", "file", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
+    t = transcripts.select("stem", F.explode(F.array(canonical_stem(stem))).alias("canonical"))
+    derived = t.filter("canonical <> stem").join(audio.select(F.col("stem").alias("canonical")), "canonical", "left_semi").select(F.lit("derived_excluded").alias("reason"), name.alias("file"), "stem")
+    return out(found).unionByName(out(derived))
 
 
 def cause_counts(found: DataFrame) -> DataFrame:

@@ -21,10 +21,13 @@ def action_rank(action: Column) -> Column:
 
 
 def build(gaps: DataFrame, now: Column) -> DataFrame:
-    """An entry for each gap (reason, file, stem, priority) that can be acted on; of equal ids the last file's."""
+    """An entry for each gap (reason, file, stem, priority) that can be acted on; of equal stems and causes, which is what an id is
+    made of, the last file's."""
     action = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])[F.col("reason")]
-    e = gaps.withColumn("next_action", action).filter("next_action is not null").withColumn("queue_id", queue_id(F.col("stem"), F.col("reason"), F.col("next_action")))
-    last = e.withColumn("k", F.row_number().over(Window.partitionBy("queue_id").orderBy(F.desc("file")))).filter("k = 1")
+    e = gaps.withColumn("next_action", action).filter("next_action is not null")
+    # By stem and cause, not by id: gaps are dealt by their stems already, and ids are made of what stays.
+    last = e.withColumn("k", F.row_number().over(Window.partitionBy("stem", "reason").orderBy(F.desc("file")))).filter("k = 1")
+    last = last.withColumn("queue_id", queue_id(F.col("stem"), F.col("reason"), F.col("next_action")))
     return last.select(
         "queue_id", "stem", "file", "reason", "next_action", F.coalesce("priority", F.lit("P3")).alias("priority"), F.lit("pending").alias("status"),
         F.lit(0).alias("attempts"), F.lit(3).alias("max_attempts"), F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("timestamp").alias("next_retry_at"),

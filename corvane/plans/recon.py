@@ -186,7 +186,8 @@ def worker_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = old_queue(spark, sf_dir).filter(retry.is_due(now()))
+    # Written once: outcomes are of the queue's own entries, so that it would be built for each side of their join.
+    q = staged(old_queue(spark, sf_dir).filter(retry.is_due(now())).select("queue_id", "stem", "status", "attempts", "max_attempts", "last_error", "next_retry_at", "terminal_failure", "history", "updated_at"))
     o = q.select("queue_id", (F.length("stem") % 2 == 0).alias("ok"), F.lit("boom").alias("error"), now().alias("at"))
     r = retry.apply_outcomes(q, o)
     return r.groupBy("status", "attempts", "terminal_failure", F.date_format("next_retry_at", "yyyy-MM-dd HH:mm:ss").alias("next_retry"), F.size("history").alias("events")).agg(F.count(F.lit(1)).alias("entries"))

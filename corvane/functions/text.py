@@ -94,8 +94,8 @@ def detect_ideas(text: Column, patterns: Sequence[str] = lx.IDEA_PATTERNS) -> Co
     """Array of (content, original_phrase), pattern by pattern."""
     def of(pattern: str) -> Column:
         p = F.lit("(?d)(?iu)(?U)" + pattern)
-        pairs = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(1)).alias("content"), F.regexp_extract_all(text, p, F.lit(0)).alias("phrase"))
-        return F.transform(pairs, lambda x: F.struct(strip(x["content"]).alias("content"), strip(x["phrase"]).alias("original_phrase")))
+        # The text is searched once; a phrase, which ends as it did in the text, gives its content again.
+        return F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda x: F.struct(strip(F.regexp_extract(x, "(?d)(?iu)(?U)" + pattern, 1)).alias("content"), strip(x).alias("original_phrase")))
 
     return F.filter(F.concat(*map(of, patterns)), lambda x: F.length(x["content"]) > 5)
 
@@ -110,7 +110,10 @@ def detect_entities(text: Column, company: str = lx.COMPANY_PATTERN, product: st
 
 
 def _operational(text: Column, should_process: Column, messages: Sequence[str]) -> Column:
-    return let(strip(text), lambda bare: (F.length(bare) < 5) | F.lower(bare).isin(*messages)) | ~should_process
+    # Two characters further apart than any message is long: found at once in most texts, which then need no stripping.
+    most = max([5, *map(len, messages)])
+    long = rf"(?s)(?U)[^{SPACE}].{{{most}}}.*?[^{SPACE}]"
+    return F.when(F.regexp_like(text, F.lit(long)), False).otherwise(let(strip(text), lambda bare: (F.length(bare) < 5) | F.lower(bare).isin(*messages))) | ~should_process
 
 
 def is_operational(text: Column, messages: Sequence[str] = lx.OPERATIONAL_MESSAGES, lexicon: ScoreLexicon | None = None) -> Column:

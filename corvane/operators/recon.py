@@ -21,6 +21,7 @@ CAUSES = {
     "obsidian_pending": ("P2", "export what is new"),
     "derived_excluded": ("P4", "nothing: it is a checked copy of another"),
 }
+OF_TEXTS = ("rag_pending", "obsidian_pending", "entity_pending")
 BACKGROUND = ("blacklisted", "derived_excluded", "entity_pending", "obsidian_pending")
 
 
@@ -36,13 +37,13 @@ def split_blacklist(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return e.filter(listed).select("stem"), e.filter(~listed & (F.coalesce("failures", F.lit(0)) > 0)).select("stem")
 
 
-def matched_audio(audio: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Stems of audio that some transcript stands for: by stem, as an aggregate of both, and by an equi semi join on who called when."""
-    # Stems are hashed, not sorted: 1 is a recording, 2 a transcript.
-    whole = transcripts.select("stem", F.explode(F.array(canonical_stem(F.col("stem")))).alias("whole"))
-    names = whole.select("stem").unionByName(whole.filter("whole <> stem").select(F.col("whole").alias("stem")))
-    both = audio.select("stem", F.lit(1).alias("side")).unionByName(names.select("stem", F.lit(2).alias("side"))).filter("stem is not null")
-    same = both.groupBy("stem").agg(F.bit_or("side").alias("sides")).filter("sides = 3").select("stem")
+def wholes(transcripts: DataFrame) -> DataFrame:
+    """Stems that derived transcripts are derived from, as often as they are."""
+    return transcripts.select("stem", F.explode(F.array(canonical_stem(F.col("stem")))).alias("whole")).filter("whole <> stem").select(F.col("whole").alias("stem"))
+
+
+def called_alike(audio: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Stems of audio for which some transcript says the same of who called when, by an equi semi join."""
     # explode() of one element: a stem is matched once, not again in each expression that uses a part; these stay compiled, as in a lambda they wouldn't.
     one = lambda df, name, value: df.select("stem", F.explode(F.array(value)).alias(name))
     a, t = (one(one(one(df, "r", timed(F.col("stem"))).filter("r <> stem"), "cut", stem_cut(F.col("stem"), F.col("r"))), "p", stem_struct(F.col("cut"))).select("stem", "p.*") for df in (audio, transcripts))
@@ -50,11 +51,22 @@ def matched_audio(audio: DataFrame, transcripts: DataFrame) -> DataFrame:
     asked = a.select("stem", "date", phoned.alias("phoned"), F.when(phoned, F.col("phone")).otherwise(F.col("caller")).alias("who"))
     known = lambda is_phone, who: F.struct(F.lit(is_phone).alias("phoned"), F.col(who).alias("who"))
     keys = t.select("date", F.explode(F.when(phoned, F.array(known(True, "phone"), known(False, "caller"))).otherwise(F.array(known(False, "caller")))).alias("k")).select("date", "k.*")
-    return same.unionByName(asked.join(keys, ["date", "phoned", "who"], "left_semi").select("stem")).distinct()
+    # By a hash first: the keys begin alike, so that a sort would compare them whole.
+    asked, keys = (df.withColumn("h", F.xxhash64("date", "phoned", "who")) for df in (asked, keys))
+    return asked.join(keys, ["h", "date", "phoned", "who"], "left_semi").select("stem")
+
+
+def matched_audio(audio: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Stems of audio that some transcript stands for: by stem, as an aggregate of both, and by who called when."""
+    # Stems are hashed, not sorted: 1 is a recording, 2 a transcript.
+    names = transcripts.select("stem").unionByName(wholes(transcripts))
+    both = audio.select("stem", F.lit(1).alias("side")).unionByName(names.select("stem", F.lit(2).alias("side"))).filter("stem is not null")
+    same = both.groupBy("stem").agg(F.bit_or("side").alias("sides")).filter("sides = 3").select("stem")
+    return same.unionByName(called_alike(audio, transcripts)).distinct()
 
 
 #: What is known of a stem, a bit each.
-AUDIO, TRANSCRIPT, MATCHED, LISTED, FAILED, INDEXED, EXPORTED, EXTRACTED, UNTOLD = (1 << i for i in range(9))
+AUDIO, TRANSCRIPT, MATCHED, LISTED, FAILED, INDEXED, EXPORTED, EXTRACTED, UNTOLD, WHOLE = (1 << i for i in range(10))
 
 
 def _known(df: DataFrame, stem: Column, bit: int) -> DataFrame:
@@ -62,38 +74,47 @@ def _known(df: DataFrame, stem: Column, bit: int) -> DataFrame:
 
 
 def gaps(
-    audio: DataFrame, transcripts: DataFrame, blacklist: DataFrame, indexed: DataFrame, exported: DataFrame, extracted: DataFrame, diarization_failed: DataFrame, matched: DataFrame | None = None
+    audio: DataFrame, transcripts: DataFrame, blacklist: DataFrame, indexed: DataFrame, exported: DataFrame, extracted: DataFrame, diarization_failed: DataFrame, matched: DataFrame | None = None, once: bool = False
 ) -> DataFrame:
-    """reason, file, stem, priority, next_action: a row for each file and cause. indexed.path, exported.name, extracted.stem;
-    matched: matched_audio(audio, transcripts), where it is there already.
+    """reason, file, stem, priority, next_action: a row for each file and cause; with once, one for each stem and cause, even if inputs
+    repeat it. indexed.path, exported.name, extracted.stem; matched: matched_audio(audio, transcripts), where it is there already.
 
     All that is known of a stem is brought together by one aggregate of bits, which hashes stems where a join for each cause would
-    deal and sort them again. Only derived copies, which are looked up under another stem, have a join of their own."""
+    deal and sort them again; so is what matches by stem. Only derived copies, which are looked up under another stem, and who called
+    when have a join of their own."""
     listed, failed = split_blacklist(blacklist)
-    stem, name, wav = F.col("stem"), F.concat("stem", F.lit(".txt")), F.concat("stem", F.lit(".m4a"))
+    stem, name = F.col("stem"), F.concat("stem", F.lit(".txt"))
     # A transcript's file is its stem and .txt, so that other names are no transcript's.
     named = lambda df, file: df.select(F.explode(F.array(file)).alias("file")).filter(F.endswith("file", F.lit(".txt"))).select(F.expr("left(file, length(file) - 4)").alias("stem"))
     facts = [
         audio.select("stem", F.lit(AUDIO).alias("bit")), transcripts.select("stem", F.lit(TRANSCRIPT).alias("bit")), diarization_failed.select("stem", F.lit(UNTOLD).alias("bit")),
-        _known(matched_audio(audio, transcripts) if matched is None else matched, stem, MATCHED), _known(listed, stem, LISTED), _known(failed, stem, FAILED),
+        _known(called_alike(audio, transcripts) if matched is None else matched, stem, MATCHED), _known(listed, stem, LISTED), _known(failed, stem, FAILED),
         _known(named(indexed, basename(F.col("path"))), stem, INDEXED), _known(named(exported, F.col("name")), stem, EXPORTED), _known(extracted, stem, EXTRACTED),
     ]
-    of = reduce(DataFrame.unionByName, facts).groupBy("stem").agg(F.bit_or("bit").alias("bits"), F.count_if(F.col("bit") == AUDIO).alias("recordings"), F.count_if(F.col("bit") == TRANSCRIPT).alias("texts"))
-    has = lambda bit: F.col("bits").bitwiseAND(bit) != 0
-    row = lambda reason, file, n: F.struct(reason.alias("reason"), file.alias("file"), n.cast("int").alias("n"))
-    text = lambda reason, bit: row(F.lit(reason), name, F.when(has(bit), 0).otherwise(F.col("texts")))
+    has = lambda bits: F.col("bits").bitwiseAND(bits) != 0
+    is_matched = has(MATCHED)
+    if matched is None:
+        facts.append(_known(wholes(transcripts), stem, WHOLE))
+        is_matched = is_matched | (has(TRANSCRIPT | WHOLE) & stem.isNotNull())
+    number = lambda bit, name: F.count_if(F.col("bit") == bit).alias(name)
+    of = reduce(DataFrame.unionByName, facts).groupBy("stem").agg(F.bit_or("bit").alias("bits"), *([] if once else [number(AUDIO, "recordings"), number(TRANSCRIPT, "texts")]))
+    # As many rows as the stem has files: one, unless an input repeats it.
+    recordings, texts = (has(AUDIO).cast("int"), has(TRANSCRIPT).cast("int")) if once else (F.col("recordings").cast("int"), F.col("texts").cast("int"))
+    row = lambda reason, n: F.struct(reason.alias("reason"), n.alias("n"))
+    text = lambda reason, bit: row(F.lit(reason), F.when(has(bit), 0).otherwise(texts))
     causes = F.array(
-        row(F.when(has(LISTED), "blacklisted").when(has(FAILED), "transcription_failed").otherwise("missing_transcript"), wav, F.when(has(MATCHED), 0).otherwise(F.col("recordings"))),
-        text("rag_pending", INDEXED), text("obsidian_pending", EXPORTED), text("entity_pending", EXTRACTED), row(F.lit("diarization_failed"), wav, has(UNTOLD).cast("int")),
+        row(F.when(has(LISTED), "blacklisted").when(has(FAILED), "transcription_failed").otherwise("missing_transcript"), F.when(is_matched, 0).otherwise(recordings)),
+        text("rag_pending", INDEXED), text("obsidian_pending", EXPORTED), text("entity_pending", EXTRACTED), row(F.lit("diarization_failed"), has(UNTOLD).cast("int")),
     )
     known = F.create_map(*[x for k, (p, n) in CAUSES.items() for x in (F.lit(k), F.struct(F.lit(p).alias("priority"), F.lit(n).alias("next_action")))])
     out = lambda df: df.select("reason", "file", "stem", known[F.col("reason")].alias("k")).select("reason", "file", "stem", "k.priority", "k.next_action")
-    # As many rows as the stem has files: one, unless an input repeats it.
     found = of.select("stem", F.inline(causes)).filter("n > 0")
-    found = found.select("stem", "reason", "file", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
+    if not once:
+        found = found.select("stem", "reason", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
+    found = found.select("stem", "reason", F.concat("stem", F.when(F.col("reason").isin(*OF_TEXTS), ".txt").otherwise(".m4a")).alias("file"))
     t = transcripts.select("stem", F.explode(F.array(canonical_stem(stem))).alias("canonical"))
     derived = t.filter("canonical <> stem").join(audio.select(F.col("stem").alias("canonical")), "canonical", "left_semi").select(F.lit("derived_excluded").alias("reason"), name.alias("file"), "stem")
-    return out(found).unionByName(out(derived))
+    return out(found).unionByName(out(derived.distinct() if once else derived))
 
 
 def cause_counts(found: DataFrame) -> DataFrame:

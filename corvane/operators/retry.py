@@ -20,13 +20,13 @@ def action_rank(action: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ACTION_ORDER)), action), F.lit(0)) - 1, F.lit(9))
 
 
-def build(gaps: DataFrame, now: Column) -> DataFrame:
+def build(gaps: DataFrame, now: Column, once: bool = False) -> DataFrame:
     """An entry for each gap (reason, file, stem, priority) that can be acted on; of equal stems and causes, which is what an id is
-    made of, the last file's."""
+    made of, the last file's. once: gaps have none, as recon.gaps(once=True) makes them, and needn't be sorted to find the last."""
     action = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])[F.col("reason")]
     e = gaps.withColumn("next_action", action).filter("next_action is not null")
     # By stem and cause, not by id: gaps are dealt by their stems already, and ids are made of what stays.
-    last = e.withColumn("k", F.row_number().over(Window.partitionBy("stem", "reason").orderBy(F.desc("file")))).filter("k = 1")
+    last = e if once else e.withColumn("k", F.row_number().over(Window.partitionBy("stem", "reason").orderBy(F.desc("file")))).filter("k = 1")
     last = last.withColumn("queue_id", queue_id(F.col("stem"), F.col("reason"), F.col("next_action")))
     return last.select(
         "queue_id", "stem", "file", "reason", "next_action", F.coalesce("priority", F.lit("P3")).alias("priority"), F.lit("pending").alias("status"),

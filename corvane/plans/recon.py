@@ -39,21 +39,21 @@ MATCHED = f"""pa AS MATERIALIZED ({PART} audio), pt AS MATERIALIZED ({PART} tran
     UNION SELECT pa.stem FROM pa SEMI JOIN pt ON pa.date = pt.date AND pa.caller = pt.caller AND pa.phone = pt.phone WHERE pa.date <> '' AND pa.phone = '')"""
 
 
-def states(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """What reconciliation looks at, each made once."""
+def states(spark: SparkSession, sf_dir: str, counted: bool = True) -> dict[str, DataFrame]:
+    """What reconciliation looks at, each made once. counted: what matches is counted, too, so that it is made; gaps alone don't need it."""
     a, t = audio(spark, sf_dir), transcripts(spark, sf_dir)
     k = F.col("k")
     return {
-        "audio": a, "transcripts": t, "matched": staged(recon.matched_audio(a, t)),
+        "audio": a, "transcripts": t, "matched": staged(recon.matched_audio(a, t)) if counted else None,
         "blacklist": a.filter("k % 3 = 0").select("stem", (k % 5).cast("int").alias("failures"), F.when(k % 9 == 0, "2024-01-01").alias("blacklisted_at")),
         "indexed": t.filter(F.length("stem") % 2 == 0).select(F.concat(F.lit("C:\\data\\"), "stem", F.lit(".txt")).alias("path")),
         "exported": t.filter(F.length("stem") % 3 == 0).select(F.concat("stem", F.lit(".txt")).alias("name")), "extracted": t.filter(F.length("stem") % 5 == 0).select("stem"),
     }
 
 
-def found(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
-    known = known or states(spark, sf_dir)
-    return recon.gaps(**known, diarization_failed=known["audio"].filter("k % 50 = 0").select("stem"))
+def found(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame] | None = None, once: bool = False) -> DataFrame:
+    known = known or states(spark, sf_dir, counted=False)
+    return recon.gaps(**known, diarization_failed=known["audio"].filter("k % 50 = 0").select("stem"), once=once)
 
 
 FOUND = f"""WITH {AUDIO}, {TRANSCRIPTS}, {MATCHED}, g AS MATERIALIZED (
@@ -143,7 +143,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ── the retry queue ──
 
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retry.build(found(spark, sf_dir), now())
+    return retry.build(found(spark, sf_dir, once=True), now(), once=True)
 
 
 RID = "'rq_' || left(sha256(stem || chr(0) || g.reason || chr(0) || action), 16)"

@@ -29,6 +29,8 @@ from corvane.functions.text import strip
 MOST = 200_000
 #: Of pieces of text of so many characters at most, what was found in this many is kept. As many texts are made into rows at once.
 SHORT, KEPT, SLICE = 64, 100_000, 128
+#: Most pieces have nothing, which is kept once: an empty set of its own takes more than the piece.
+NOTHING: frozenset[int] = frozenset()
 CHANGES = "array<struct<type:string,from:string,to:string,count:int,note:string,category:string>>"
 CHANGE = [("type", pa.string()), ("from", pa.string()), ("to", pa.string()), ("count", pa.int32()), ("note", pa.string()), ("category", pa.string())]
 CHANGED = pa.struct([("text", pa.string()), ("changes", pa.list_(pa.struct(CHANGE)))])
@@ -77,7 +79,7 @@ class Strings:
     def inside(self, piece: str) -> frozenset[int]:
         at = self.known.get(piece)
         if at is None:
-            at = frozenset(map(itemgetter(1), self.found.iter(piece)))
+            at = frozenset(map(itemgetter(1), self.found.iter(piece))) or NOTHING
             if len(piece) <= SHORT:
                 if len(self.known) >= KEPT:
                     self.known.clear()

@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,20 @@ def test_a_batch_is_made_into_rows_slice_by_slice(spark, monkeypatch):
     assert [[c["count"] for c in r.c.changes] for r in got] == [[] if i == 4 else [2] for i in range(10)]
 
 
+def test_memory_follows_neither_a_batch_nor_pieces_with_nothing(spark):
+    fix = rulebook.corrector(rulebook.term_steps(spark, {"a": "b"}))
+    batch = pa.array([f"{i} a {'x' * 4000}" for i in range(4096)])
+    tracemalloc.start()
+    rows = sum(len(some) for some in fix.func(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4096 and most < 4e6 < batch.nbytes / 4
+    strings = rulebook.Strings(["a"])
+    for i in range(1000):
+        strings.inside(f"x{i}")
+    assert len(strings.known) == 1000 and len(set(map(id, strings.known.values()))) == 1
+
+
 def test_a_table_of_rules(spark):
     exact = spark.createDataFrame([(2, "THE and", "T&A", "n2", True), (1, " the ", "THE", None, None), (3, "off", "on", None, False), (4, None, "x", None, True), (5, "q", "q ", None, True), (6, "gone", None, "n6", True)], EXACT)
     alias = spark.createDataFrame([(1, "Kim & Co", ["kim", " kim co ", "Kim & Co", "kim", None], "firm", None), (2, " ", ["x"], None, True), (3, "on", ["off"], None, False)], ALIAS)

@@ -15,6 +15,9 @@ and no bucket is capped. Copies have the same fingerprint and never meet in a jo
 
 Classes are the connected components of the links, found by alternating star contraction over DataFrames.
 
+Joins of what grows with the documents are told to exchange both sides (the hint "merge"): Spark sizes a side by its files, and takes
+an explode for one row each, so that whole balls would go through the driver as a table of which it thinks that it is small.
+
 Cases. A null, empty or white-space text has no words and fingerprint zero, linked like any other; fewer words than a
 shingle needs are one shingle. A component's id is its smallest doc_id, null only if all of them are. Rows that repeat an
 id are rows of their own, and may be in different components: one row of each component is kept even if components share an
@@ -174,7 +177,7 @@ def met(probes: DataFrame, entries: DataFrame, distance: int) -> DataFrame:
     p, t = probes.alias("p"), entries.alias("t")
     near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= distance
     once = (~F.col("p.exact")) | (F.col("p.fp") < F.col("t.fp"))
-    return p.join(t, (F.col("p.key") == F.col("t.key")) & near & once).select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b"))
+    return p.join(t.hint("merge"), (F.col("p.key") == F.col("t.key")) & near & once).select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b"))
 
 
 def in_blocks(entries: DataFrame, asked: DataFrame, dense: DataFrame, distance: int) -> DataFrame:
@@ -216,7 +219,7 @@ def with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
     """pairs (a, b) with m of least (a, m). The key is a number made of a, so that both sides are exchanged for the join: only then
     does adaptive execution split the partition of a hub."""
     key = F.col("a").bitwiseXOR(F.lit(SEED).cast("long"))
-    return pairs.withColumn("key", key).join(least.select(key.alias("key"), "m"), "key").drop("key")
+    return pairs.withColumn("key", key).join(least.select(key.alias("key"), "m").hint("merge"), "key").drop("key")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -247,17 +250,17 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     docs = staged(fingerprints(keyed_text(df, id_col, text_col), size))
     fps = staged(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps.select("fp"), distance))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = fps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = staged(named.join(ids, "root").select("fp", "root", "component_id"))
-    return docs.join(by_fp, "fp").select("row", "doc_id", "fp", "root", "component_id")
+    return docs.join(by_fp.hint("merge"), "fp").select("row", "doc_id", "fp", "root", "component_id")
 
 
 def all_but_first(groups: DataFrame) -> DataFrame:
     """row of all rows of groups (row, doc_id, root, component_id) but one of each root: of those with the smallest id the first.
     Components are told apart by their root, for their ids may be null, or the same where rows of several repeat an id."""
     first = groups.filter("doc_id <=> component_id").groupBy("root").agg(F.min("row").alias("row"))
-    return groups.select("row").join(first, "row", "left_anti")
+    return groups.select("row").join(first.hint("merge"), "row", "left_anti")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, size: int = SHINGLE_WORDS) -> DataFrame:

@@ -183,6 +183,17 @@ def test_heavy_entries_connect_all_that_links_do(spark, monkeypatch, plan_for, d
         assert len({find(f) for f in fps}) == len(set(of.values()))
 
 
+def test_nothing_that_grows_is_broadcast(spark, docs):
+    """However small Spark thinks a side is: it takes an explode for one row each."""
+    fps = spark.range(50).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.segment_plan(1 << 20)
+    edges, groups = spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), simhash.near_groups(docs)
+    joined = [simhash.met(simhash.probe_rows(fps, plan), simhash.index_rows(fps, plan), 4), simhash.with_least(edges, edges.withColumnRenamed("b", "m")), groups, simhash.all_but_first(simhash.staged(groups))]
+    for df in joined:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -99,8 +99,8 @@ def decided(rows: DataFrame, edges: DataFrame, replace: bool) -> DataFrame:
         late = made.filter("kept is not null")
         return staged(late.unionByName(first.select("seq", F.lit(True).alias("kept"), F.col("seq").alias("place"), "until")))
     degree = e.groupBy("later").agg(F.count(F.lit(1)).alias("degree"))
-    left = staged(_dealt(e.join(degree, "later"), "later", "earlier"))
-    first = rows.join(left.select(F.col("later").alias("seq")), "seq", "left_anti")
+    left = staged(_dealt(e.join(degree.hint("merge"), "later"), "later", "earlier"))
+    first = rows.join(left.select(F.col("later").alias("seq")).distinct().hint("merge"), "seq", "left_anti")
     fates = staged(first.select("seq", F.lit(True).alias("kept"), F.col("seq").alias("place"), F.lit(None).cast("long").alias("until")))
     done = 0
     while not left.isEmpty():
